@@ -29,14 +29,31 @@ def pearson(x: Column, y: Column) -> Column:
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long-form correlation matrix ``(col_a, col_b, r)`` for every ordered pair of
-    numeric columns (booleans excluded); empty with fewer than two columns."""
+    numeric columns (booleans excluded); empty with fewer than two columns.
+
+    A first small pass finds which columns have missing values or no variance;
+    pairs of complete, non-constant columns then use Spark's ``corr`` directly,
+    and only pairs touching a column with missing values pay for the
+    pairwise-complete masking. Both passes are single scans."""
     cols = numeric_columns(df) if cols is None else cols
     schema = "pos_a int, col_a string, pos_b int, col_b string, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
+    pre = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count_if(_x(df, c).isNull()).alias(f"m{i}"),
+        F.stddev_pop(_x(df, c)).alias(f"s{i}"))]).first()
+    has_null = [pre[f"m{i}"] > 0 for i in range(len(cols))]
+    constant = [not pre[f"s{i}"] for i in range(len(cols))]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs = [pearson(_x(df, cols[i]), _x(df, cols[j])).alias(f"r{i}_{j}") for i, j in pairs]
-    aggs += [F.when(F.stddev_pop(_x(df, c)) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(cols)]
+    aggs = []
+    for i, j in pairs:
+        if (constant[i] or constant[j]) and not (has_null[i] or has_null[j]):
+            e = F.lit(None).cast("double")
+        elif has_null[i] or has_null[j]:
+            e = pearson(_x(df, cols[i]), _x(df, cols[j]))
+        else:
+            e = F.corr(_x(df, cols[i]), _x(df, cols[j]))
+        aggs.append(e.alias(f"r{i}_{j}"))
     agg = df.agg(*aggs)
     structs = []
     for i, j in pairs:
@@ -47,7 +64,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         structs.append(F.struct(F.lit(i).alias("pos_a"), F.lit(c).alias("col_a"),
                                 F.lit(i).alias("pos_b"), F.lit(c).alias("col_b"),
-                                F.col(f"d{i}").alias("r")))
+                                F.lit(None if constant[i] else 1.0).cast("double").alias("r")))
     return agg.select(F.inline(F.array(*structs)))
 
 
