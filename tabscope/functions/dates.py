@@ -53,15 +53,16 @@ def best_formats(df: DataFrame, names: list[str], formats: list[str] | None = No
     aggregation over all candidate columns and formats.
     """
     formats = formats or DATE_FORMATS
-    aggs = []
+    from .aggs import agg_row
+    named = []
     for i, c in enumerate(names):
         col = F.col(quote(c))
-        aggs.append(F.count(col).alias(f"n{i}"))
+        named.append((f"n{i}", F.count(col), 1))
         for j, fmt in enumerate(formats):
-            aggs.append(F.count(parse_with(col, fmt)).alias(f"p{i}_{j}"))
-    if not aggs:
+            named.append((f"p{i}_{j}", F.count(parse_with(col, fmt)), 1))
+    if not named:
         return {}
-    r = df.agg(*aggs).first()
+    r = agg_row(df, named)
     out = {}
     for i, c in enumerate(names):
         counts = [r[f"p{i}_{j}"] for j in range(len(formats))]

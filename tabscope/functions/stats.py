@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggs import agg_row
 from .missing import quote
 
 DEFAULT_ACCURACY = 10000
@@ -102,15 +103,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     # pass 2 (repeated only when needed): rank offset and bracket size per target
     pending = list(targets)
     for _ in range(12):
-        aggs = []
+        named = []
         for i, t in enumerate(pending):
             x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
             lo_ok = F.lit(True) if t["lo"] == -math.inf else (x >= F.lit(t["lo"]))
             hi_ok = F.lit(True) if t["hi"] == math.inf else (x <= F.lit(t["hi"]))
             below = F.lit(0) if t["lo"] == -math.inf else F.count_if(x < F.lit(t["lo"]))
-            aggs.append(below.cast("long").alias(f"b{i}"))
-            aggs.append(F.count_if(x.isNotNull() & lo_ok & hi_ok).alias(f"i{i}"))
-        r = df.agg(*aggs).first()
+            named.append((f"b{i}", below.cast("long"), 1))
+            named.append((f"i{i}", F.count_if(x.isNotNull() & lo_ok & hi_ok), 1))
+        r = agg_row(df, named)
         again = []
         for i, t in enumerate(pending):
             b, k = int(r[f"b{i}"]), int(r[f"i{i}"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggs import agg_row
 from ..functions.missing import missing_safe, normalize_missing, quote
 from ..functions.stats import quantile_map
 from ..functions.typeclass import categorical_columns, numeric_columns
@@ -71,16 +72,11 @@ def outliers_iqr_counts(df: DataFrame, cols: list[str] | None = None) -> DataFra
         return df.sparkSession.createDataFrame(
             [], "position int, column_name string, q1 double, q3 double, lower double, upper double, outliers bigint")
     bounds = iqr_bounds(df, cols)
-    agg = df.agg(*[F.count_if(iqr_predicate(_x(df, c), bounds[c])).alias(f"o{i}")
-                   for i, c in enumerate(cols)])
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                 F.lit(bounds[c][0]).cast("double").alias("q1"),
-                 F.lit(bounds[c][1]).cast("double").alias("q3"),
-                 F.lit(bounds[c][2]).cast("double").alias("lower"),
-                 F.lit(bounds[c][3]).cast("double").alias("upper"),
-                 F.col(f"o{i}").alias("outliers"))
-        for i, c in enumerate(cols)])))
+    r = agg_row(df, [(f"o{i}", F.count_if(iqr_predicate(_x(df, c), bounds[c])), 1)
+                     for i, c in enumerate(cols)])
+    rows = [(i, c, *bounds[c], r[f"o{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, q1 double, q3 double, lower double, upper double, outliers bigint")
 
 
 def outliers_zscore(df: DataFrame, col: str, threshold: float = 3.0) -> DataFrame:
@@ -125,10 +121,9 @@ def negative_values(df: DataFrame) -> DataFrame:
     cols = [c for c in numeric_columns(df) if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, negative_count bigint")
-    agg = df.agg(*[F.count_if(_x(df, c) < 0).alias(f"n{i}") for i, c in enumerate(cols)])
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("negative_count"))
-        for i, c in enumerate(cols)])))
+    r = agg_row(df, [(f"n{i}", F.count_if(_x(df, c) < 0), 1) for i, c in enumerate(cols)])
+    return df.sparkSession.createDataFrame([(c, r[f"n{i}"]) for i, c in enumerate(cols)],
+                                           "column_name string, negative_count bigint")
 
 
 def strip_ws(x: Column) -> Column:
@@ -141,16 +136,14 @@ def whitespace_issues(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     cols = categorical_columns(df) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, affected bigint, example string")
-    aggs = []
+    named = []
     for i, c in enumerate(cols):
         v = F.col(quote(c))
         bad = v.isNotNull() & (v != strip_ws(v))
-        aggs += [F.count_if(bad).alias(f"n{i}"), F.min(F.when(bad, v)).alias(f"e{i}")]
-    agg = df.agg(*aggs)
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("affected"),
-                 F.col(f"e{i}").alias("example"))
-        for i, c in enumerate(cols)])))
+        named += [(f"n{i}", F.count_if(bad), 1), (f"e{i}", F.min(F.when(bad, v)), 1)]
+    r = agg_row(df, named)
+    return df.sparkSession.createDataFrame([(c, r[f"n{i}"], r[f"e{i}"]) for i, c in enumerate(cols)],
+                                           "column_name string, affected bigint, example string")
 
 
 def outlier_compare(df: DataFrame, col: str, iforest: bool = False, k: float = 1.5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.aggs import agg_row
 from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
 from ..functions.stats import (kurt_bias_corrected, quantile_map, skew_bias_corrected,
                                with_k2)
@@ -43,15 +44,13 @@ def value_key(df: DataFrame, name: str) -> Column:
 def missing_summary(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """Per column: missing count and % of rows (A1); only columns with any by default."""
     cols = df.columns
-    agg = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    out = _rows(agg, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                               F.col(f"m{i}").alias("missing_count"),
-                               F.try_divide(F.col(f"m{i}") * 100.0, F.col("_n")).alias("missing_pct"))
-                      for i, c in enumerate(cols)])
-    if only_missing:
-        out = out.filter(F.col("missing_count") > 0)
-    return out
+    r = agg_row(df, [("_n", F.count(F.lit(1)), 1)] +
+                [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)])
+    n = r["_n"]
+    rows = [(i, c, r[f"m{i}"], (r[f"m{i}"] * 100.0 / n) if n else None) for i, c in enumerate(cols)
+            if r[f"m{i}"] > 0 or not only_missing]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, missing_count bigint, missing_pct double")
 
 
 def columns_with_missing(df: DataFrame) -> DataFrame:
@@ -88,16 +87,73 @@ def missing_bands(df: DataFrame, order_col: str, bands: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ duplicates
 
+def _row_hash(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of the whole row (NULLs and field order included)."""
+    cols = [F.col(quote(c)) for c in df.columns]
+    tagged = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]
+    return [F.xxhash64(*cols, F.lit(17)).alias("_h1"),
+            F.xxhash64(F.concat_ws("\u0001", *tagged), F.lit(31)).alias("_h2")]
+
+
+DUP_CANDIDATE_BROADCAST_ROWS = 1_000_000
+NARROW_ROW_BYTES = 64
+
+
+def _row_width(df: DataFrame) -> int:
+    """Size estimate of one row, as Spark's planner estimates it (strings 20 bytes)."""
+    sizes = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
+             T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8,
+             T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 20}
+    return sum(sizes.get(type(f.dataType), 100) for f in df.schema.fields)
+
+
+def _duplicate_candidates(norm: DataFrame):
+    """``(candidate_rows, duplicate_hash_keys)`` or None when no row hash repeats.
+
+    Only hashes are shuffled to find them (16 bytes per row, partially
+    aggregated), so wide rows such as long texts do not move unless they may be
+    duplicates; the candidates are then compared on their full values, so results
+    stay exact under hash collisions. When the repeated hashes are too many to
+    broadcast (a table made mostly of duplicates), ``("all", None)`` tells the
+    caller to group the full rows directly, which is then no more expensive; the
+    same holds for narrow rows, which are grouped directly as well."""
+    if _row_width(norm) <= NARROW_ROW_BYTES:
+        return "all", None
+    hashed = norm.select(*_row_hash(norm))
+    dup_hashes = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    n = dup_hashes.count()
+    if n == 0:
+        return None
+    if n > DUP_CANDIDATE_BROADCAST_ROWS:
+        return "all", None
+    keys = F.broadcast(dup_hashes.select("_h1", "_h2"))
+    cand = norm.select("*", *_row_hash(norm)).join(keys, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    return cand, keys
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows (A3); NULL equals NULL."""
     norm = normalize_missing(df)
-    g = norm.groupBy(*[quote(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
+    found = _duplicate_candidates(norm)
+    if found is None:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
+    rows = norm if isinstance(found[0], str) else found[0]
+    g = rows.groupBy(*[quote(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
     return g.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one row of each identical group (A4)."""
-    return normalize_missing(df).dropDuplicates()
+    """Keep one row of each identical group (A4). Rows with a unique hash pass
+    through without a shuffle; only candidate duplicates are de-duplicated."""
+    norm = normalize_missing(df)
+    found = _duplicate_candidates(norm)
+    if found is None:
+        return norm
+    cand, keys = found
+    if isinstance(cand, str):
+        return norm.dropDuplicates()
+    unique = norm.select("*", *_row_hash(norm)).join(keys, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
+    return unique.unionByName(cand.dropDuplicates())
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -106,7 +162,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Groups are counted once and re-expanded by their count, so no self-join."""
     norm = normalize_missing(df)
     cols = [quote(c) for c in df.columns]
-    g = norm.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
+    found = _duplicate_candidates(norm)
+    if found is None:
+        return norm.limit(0)
+    rows = norm if isinstance(found[0], str) else found[0]
+    g = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
     out = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_i")
     return out.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
 
@@ -202,20 +262,19 @@ def numeric_report(df: DataFrame, col: str) -> DataFrame:
 
 
 def numeric_summary_all(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Mean, median, min, max of every numeric column in one pass (A12), long form."""
+    """Mean, median, min, max of every numeric column (A12), long form; the plain
+    statistics are one (chunked) aggregation, the medians one quantile run."""
     cols = numeric_columns(df) if cols is None else cols
+    ddl = "position int, column_name string, mean double, median double, min double, max double"
     if not cols:
-        return _empty(df, "position int, column_name string, mean double, median double, min double, max double")
+        return _empty(df, ddl)
     norm = normalize_missing(df.select(*[quote(c) for c in cols]))
     med = quantile_map(norm, cols, [0.5])
-    agg = norm.agg(*[e for i, c in enumerate(cols) for e in (
-        F.avg(_col(c).cast("double")).alias(f"a{i}"), F.min(_col(c).cast("double")).alias(f"lo{i}"),
-        F.max(_col(c).cast("double")).alias(f"hi{i}"))])
-    return _rows(agg, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                                F.col(f"a{i}").alias("mean"),
-                                F.lit(med[c][0]).cast("double").alias("median"),
-                                F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-                       for i, c in enumerate(cols)])
+    x = {c: _col(c).cast("double") for c in cols}
+    r = agg_row(norm, [e for i, c in enumerate(cols) for e in (
+        (f"a{i}", F.avg(x[c]), 2), (f"lo{i}", F.min(x[c]), 1), (f"hi{i}", F.max(x[c]), 1))])
+    rows = [(i, c, r[f"a{i}"], med[c][0], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, ddl)
 
 
 def skew_label(skew: Column) -> Column:
@@ -225,25 +284,32 @@ def skew_label(skew: Column) -> Column:
             .when(skew.isNotNull(), F.lit("symmetrical")))
 
 
+def _moment_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(position, column_name, n, g1, g2)`` — population skewness and excess
+    kurtosis (NULL for a constant column) from one chunked aggregation."""
+    named = []
+    for i, c in enumerate(cols):
+        x = missing_safe(df, c).cast("double")
+        sd = F.stddev_pop(x)
+        named += [(f"n{i}", F.count(x), 1), (f"sd{i}", sd, 3), (f"s{i}", F.skewness(x), 4),
+                  (f"k{i}", F.kurtosis(x), 5)]
+    r = agg_row(df, named)
+    rows = [(i, c, r[f"n{i}"], r[f"s{i}"] if r[f"sd{i}"] else None, r[f"k{i}"] if r[f"sd{i}"] else None)
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, n bigint, g1 double, g2 double")
+
+
 def skew_kurt(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Bias-corrected skewness (G1) and excess kurtosis (G2) per numeric column with
-    the skew label (A13–A15); one aggregation for all columns."""
+    the skew label (A13–A15)."""
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return _empty(df, "position int, column_name string, n bigint, skewness double, kurtosis double, skew_label string")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = missing_safe(df, c).cast("double")
-        sd = F.stddev_pop(x)
-        aggs += [F.count(x).alias(f"n{i}"), F.when(sd > 0, F.skewness(x)).alias(f"s{i}"),
-                 F.when(sd > 0, F.kurtosis(x)).alias(f"k{i}")]
-    agg = df.agg(*aggs)
-    rows = _rows(agg, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                                F.col(f"n{i}").alias("n"),
-                                skew_bias_corrected(F.col(f"n{i}"), F.col(f"s{i}")).alias("skewness"),
-                                kurt_bias_corrected(F.col(f"n{i}"), F.col(f"k{i}")).alias("kurtosis"))
-                       for i, c in enumerate(cols)])
-    return rows.withColumn("skew_label", skew_label(F.col("skewness")))
+    m = _moment_rows(df, cols)
+    out = m.select("position", "column_name", "n",
+                   skew_bias_corrected(F.col("n"), F.col("g1")).alias("skewness"),
+                   kurt_bias_corrected(F.col("n"), F.col("g2")).alias("kurtosis"))
+    return out.withColumn("skew_label", skew_label(F.col("skewness")))
 
 
 def normality_test(df: DataFrame, cols: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -252,17 +318,7 @@ def normality_test(df: DataFrame, cols: list[str] | None = None, alpha: float =
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return _empty(df, "position int, column_name string, n bigint, statistic double, p_value double, is_normal boolean")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = missing_safe(df, c).cast("double")
-        sd = F.stddev_pop(x)
-        aggs += [F.count(x).alias(f"n{i}"), F.when(sd > 0, F.skewness(x)).alias(f"s{i}"),
-                 F.when(sd > 0, F.kurtosis(x)).alias(f"k{i}")]
-    agg = df.agg(*aggs)
-    rows = _rows(agg, [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                                F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("g1"),
-                                F.col(f"k{i}").alias("g2")) for i, c in enumerate(cols)])
-    tested = with_k2(rows, "n", "g1", "g2", "_stat", "_p")
+    tested = with_k2(_moment_rows(df, cols), "n", "g1", "g2", "_stat", "_p")
     ok = F.col("n") > 8
     return (tested.select("position", "column_name", "n", F.when(ok, F.col("_stat")).alias("statistic"),
                           F.when(ok, F.col("_p")).alias("p_value"))

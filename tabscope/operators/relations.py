@@ -1,15 +1,19 @@
 """Relations between columns.
 
-All pairwise correlations come from one aggregation with m(m−1)/2 pairwise-
-complete covariance terms; Spark's ``corr`` is avoided because under ANSI mode
-it raises on a constant column (division by zero) — ``try_divide`` yields NULL.
+Pairwise correlations come from plain sums of mean-shifted values (codegen-
+friendly, numerically stable); Spark's ``corr`` is avoided because its buffer is
+six fields per pair (wide matrices leave whole-stage codegen) and under ANSI mode
+it raises on a constant column.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggs import agg_row
 from ..functions.missing import missing_safe, quote
 from ..functions.typeclass import numeric_columns
 from .profile import top_values
@@ -31,41 +35,68 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long-form correlation matrix ``(col_a, col_b, r)`` for every ordered pair of
     numeric columns (booleans excluded); empty with fewer than two columns.
 
-    A first small pass finds which columns have missing values or no variance;
-    pairs of complete, non-constant columns then use Spark's ``corr`` directly,
-    and only pairs touching a column with missing values pay for the
-    pairwise-complete masking. Both passes are single scans."""
+    Two scans of plain sums, both inside whole-stage codegen: the first gets each
+    column's mean, missing count and spread; the second sums products of
+    mean-shifted values (the stable two-pass form). Pairs of complete columns
+    share per-column sums; a pair touching a column with missing values sums over
+    its pairwise-complete rows only. Wide tables are split into chunks of
+    aggregates under the codegen field limit. r is NULL for a constant column."""
     cols = numeric_columns(df) if cols is None else cols
+    spark = df.sparkSession
     schema = "pos_a int, col_a string, pos_b int, col_b string, r double"
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    pre = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count_if(_x(df, c).isNull()).alias(f"m{i}"),
-        F.stddev_pop(_x(df, c)).alias(f"s{i}"))]).first()
-    has_null = [pre[f"m{i}"] > 0 for i in range(len(cols))]
-    constant = [not pre[f"s{i}"] for i in range(len(cols))]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs = []
+        return spark.createDataFrame([], schema)
+    m = len(cols)
+    xs = [_x(df, c) for c in cols]
+    pre = agg_row(df, [e for i in range(m) for e in (
+        (f"m{i}", F.count_if(xs[i].isNull()), 1), (f"a{i}", F.avg(xs[i]), 2),
+        (f"s{i}", F.stddev_pop(xs[i]), 3))] + [("n", F.count(F.lit(1)), 1)])
+    mean = [pre[f"a{i}"] or 0.0 for i in range(m)]
+    has_null = [pre[f"m{i}"] > 0 for i in range(m)]
+    constant = [not pre[f"s{i}"] for i in range(m)]
+    d = [xs[i] - F.lit(mean[i]) for i in range(m)]
+    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
+    named = []
+    for i in range(m):
+        if not has_null[i]:
+            named += [(f"sx{i}", F.sum(d[i]), 1), (f"sxx{i}", F.sum(d[i] * d[i]), 1)]
     for i, j in pairs:
-        if (constant[i] or constant[j]) and not (has_null[i] or has_null[j]):
-            e = F.lit(None).cast("double")
-        elif has_null[i] or has_null[j]:
-            e = pearson(_x(df, cols[i]), _x(df, cols[j]))
+        if constant[i] or constant[j]:
+            continue
+        if has_null[i] or has_null[j]:
+            both = xs[i].isNotNull() & xs[j].isNotNull()
+            di, dj = F.when(both, d[i]), F.when(both, d[j])
+            named += [(f"n{i}_{j}", F.count(di), 1), (f"x{i}_{j}", F.sum(di), 1),
+                      (f"y{i}_{j}", F.sum(dj), 1), (f"xx{i}_{j}", F.sum(di * di), 1),
+                      (f"yy{i}_{j}", F.sum(dj * dj), 1)]
+        named.append((f"p{i}_{j}", F.sum(d[i] * d[j]), 1))
+    sums = agg_row(df, named) if named else {}
+    n_all = pre["n"]
+
+    def r_of(i: int, j: int):
+        if constant[i] or constant[j]:
+            return None
+        if has_null[i] or has_null[j]:
+            n = sums[f"n{i}_{j}"]
+            sx, sy = sums[f"x{i}_{j}"], sums[f"y{i}_{j}"]
+            sxx, syy = sums[f"xx{i}_{j}"], sums[f"yy{i}_{j}"]
         else:
-            e = F.corr(_x(df, cols[i]), _x(df, cols[j]))
-        aggs.append(e.alias(f"r{i}_{j}"))
-    agg = df.agg(*aggs)
-    structs = []
+            n = n_all
+            sx, sy, sxx, syy = sums[f"sx{i}"], sums[f"sx{j}"], sums[f"sxx{i}"], sums[f"sxx{j}"]
+        if not n or n < 2 or sx is None:
+            return None
+        sxy = sums[f"p{i}_{j}"]
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        if vx <= 0 or vy <= 0:
+            return None
+        return (sxy - sx * sy / n) / math.sqrt(vx * vy)
+
+    rows = []
     for i, j in pairs:
-        for a, b in ((i, j), (j, i)):
-            structs.append(F.struct(F.lit(a).alias("pos_a"), F.lit(cols[a]).alias("col_a"),
-                                    F.lit(b).alias("pos_b"), F.lit(cols[b]).alias("col_b"),
-                                    F.col(f"r{i}_{j}").alias("r")))
-    for i, c in enumerate(cols):
-        structs.append(F.struct(F.lit(i).alias("pos_a"), F.lit(c).alias("col_a"),
-                                F.lit(i).alias("pos_b"), F.lit(c).alias("col_b"),
-                                F.lit(None if constant[i] else 1.0).cast("double").alias("r")))
-    return agg.select(F.inline(F.array(*structs)))
+        r = r_of(i, j)
+        rows += [(i, cols[i], j, cols[j], r), (j, cols[j], i, cols[i], r)]
+    rows += [(i, c, i, c, None if constant[i] else 1.0) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, schema)
 
 
 def top_corr_pairs(df: DataFrame, k: int = 3, cols: list[str] | None = None) -> DataFrame:

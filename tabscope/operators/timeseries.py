@@ -32,11 +32,16 @@ def daily_resample(df: DataFrame, time_col: str, value_col: str, fmt: str | None
     """Every day from the first to the last, mean per day, gaps forward-filled.
 
     ``observed`` is the filled value; ``raw_mean`` is NULL on days without data."""
-    daily = daily_means(df, time_col, value_col, fmt)
+    return fill_calendar(daily_means(df, time_col, value_col, fmt))
+
+
+def fill_calendar(daily: DataFrame) -> DataFrame:
+    """Day-grain ``(day, mean)`` → every calendar day between the first and last,
+    with ``raw_mean`` and the forward-filled ``observed`` (bounded by the span)."""
     span = daily.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
     calendar = span.select(F.explode(F.sequence("d0", "d1")).alias("day"))
     filled = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return (calendar.join(daily, "day", "left")
+    return (calendar.join(daily.select("day", "mean"), "day", "left")
             .select("day", F.col("mean").alias("raw_mean"),
                     F.last("mean", ignorenulls=True).over(filled).alias("observed")))
 

@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggs import agg_row
 from ..functions.missing import is_missing, missing_safe, normalize_missing
 from ..functions.typeclass import NESTED_TYPES, categorical_columns, numeric_columns
 from ..operators.detect import ID_HINTS, TIME_HINTS, _named, parse_status
@@ -33,16 +34,16 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15)
     negs = [c for c in nums if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
     bounds = iqr_bounds(df, nums) if nums else {}
 
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.count_if(missing_safe(df, c) < 0).alias(f"neg{i}") for i, c in enumerate(negs)]
-    aggs += [F.count_if(iqr_predicate(missing_safe(df, c).cast("double"), bounds[c])).alias(f"o{i}")
+    aggs = [("_n", F.count(F.lit(1)), 1)]
+    aggs += [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)]
+    aggs += [(f"neg{i}", F.count_if(missing_safe(df, c) < 0), 1) for i, c in enumerate(negs)]
+    aggs += [(f"o{i}", F.count_if(iqr_predicate(missing_safe(df, c).cast("double"), bounds[c])), 1)
              for i, c in enumerate(nums)]
     for i, c in enumerate(cats):
         v = F.col(f"`{c}`")
         bad = v.isNotNull() & (v != strip_ws(v))
-        aggs += [F.count_if(bad).alias(f"w{i}"), F.min(F.when(bad, v)).alias(f"we{i}")]
-    r = df.agg(*aggs).first()
+        aggs += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
+    r = agg_row(df, aggs)
     n = r["_n"]
     out = []
 

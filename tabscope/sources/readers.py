@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.aggs import agg_row
 from ..functions.missing import normalize_missing, quote
 
 # pandas' default missing-value tokens for read_csv.
@@ -38,14 +39,14 @@ def _typed_from_text(df: DataFrame, na_tokens: list[str]) -> DataFrame:
         v = F.col(quote(c))
         t = F.trim(v)
         checks += [
-            F.count_if(v.isNotNull() & t.try_cast("bigint").isNull()).alias(f"i{i}"),
-            F.count_if(v.isNotNull() & t.try_cast("double").isNull()).alias(f"d{i}"),
-            F.count_if(v.isNotNull() & ~v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
-            F.count(v).alias(f"n{i}"),
+            (f"i{i}", F.count_if(v.isNotNull() & t.try_cast("bigint").isNull()), 1),
+            (f"d{i}", F.count_if(v.isNotNull() & t.try_cast("double").isNull()), 1),
+            (f"b{i}", F.count_if(v.isNotNull() & ~v.isin(TRUE_TOKENS + FALSE_TOKENS)), 1),
+            (f"n{i}", F.count(v), 1),
         ]
     if not cols:
         return cleaned
-    r = cleaned.agg(*checks).first()
+    r = agg_row(cleaned, checks)
     out = []
     for i, c in enumerate(cols):
         v = F.col(quote(c))
