@@ -2,9 +2,10 @@
 
 * ``quantiles`` — exact linear-interpolated quantiles (pandas' default) that
   never hold a whole column in one task: an approximate pass brackets every
-  target rank, a counting pass fixes the rank offset (and narrows the bracket
-  again while it is too wide), and only the rows inside the bracket — a number
-  checked against ``max_bracket`` before it is used — are ranked exactly.
+  target rank, a counting pass fixes the rank offset (narrowing the bracket
+  again while it is too wide), and only the values inside a bracket — at most
+  ``max_bracket`` of them, a bound known before they are gathered — are sorted
+  to read the exact order statistics.
   Spark's own exact ``percentile`` keeps a value→count map of the whole column
   in the final task, which does not survive 100 TB; ``method="approx"`` gives the
   plain ``percentile_approx`` answer in one pass.
@@ -16,14 +17,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggs import agg_row
 from .missing import quote
 
 DEFAULT_ACCURACY = 10000
-DEFAULT_MAX_BRACKET = 1_000_000
+DEFAULT_MAX_BRACKET = 200_000
 
 
 def _c(name: str) -> Column:
@@ -53,6 +54,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     Missing values are skipped (the column must already be NaN-normalised).
     With ``by`` the statistics are per group; ``groups`` (the group values) must
     then be given and is expected to be small (e.g. a top-N list).
+
+    Pass 1 (one aggregation for every column, group and probability) gives the
+    count and an approximate bracket around each target rank. Each following
+    pass is one aggregation that counts the rows below and inside every open
+    bracket and — when the bracket is known or predicted to hold at most
+    ``max_bracket`` rows — also sorts just the in-bracket values and picks the
+    exact order statistics on the executors. A bracket that is too wide is
+    narrowed with another approximate pass restricted to it; a bracket the
+    approximation missed is opened on that side. Typically two passes in all.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
@@ -61,6 +71,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     group_values = [None] if by is None else list(groups or [])
     if not group_values:
         return {}
+    if method != "approx":
+        accuracy = max(int(accuracy), 100)   # each narrowing keeps at most ~8 % of a bracket
     margin = 3.0 / accuracy
 
     # pass 1: counts and approximate brackets, all columns × groups in one aggregation
@@ -78,7 +90,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     row = df.agg(*aggs).first()
 
     out: dict = {}
-    targets = []  # mutable state per target rank pair
+    wanted = []     # (key, k_lo, k_hi, t) per quantile
+    ranks = {}      # one bracket per distinct (group, column, rank)
     for gi, g in enumerate(group_values):
         for ci, c in enumerate(cols):
             n = int(row[f"n_{gi}_{ci}"] or 0)
@@ -94,105 +107,83 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
                 h = (n - 1) * p
                 k_lo = int(math.floor(h))
                 k_hi = min(int(math.ceil(h)), n - 1)
-                targets.append(dict(key=key, gi=gi, g=g, c=c, n=n, k_lo=k_lo, k_hi=k_hi,
-                                    t=h - k_lo, lo=float(approx[3 * pi]),
-                                    hi=float(approx[3 * pi + 2]), below=None, inside=None))
-    if method == "approx" or not targets:
+                wanted.append((key, (g, c, k_lo), (g, c, k_hi), h - k_lo))
+                for k in (k_lo, k_hi):
+                    ranks.setdefault((g, c, k), dict(
+                        g=g, c=c, k=k, lo=float(approx[3 * pi]), hi=float(approx[3 * pi + 2]),
+                        est=n * (2 * margin + 2.0 / accuracy) + 2, value=None))
+    if method == "approx" or not wanted:
         return out
 
-    # pass 2 (repeated only when needed): rank offset and bracket size per target
-    pending = list(targets)
-    for _ in range(12):
+    pending = list(ranks.values())
+    for _ in range(32):
         named = []
         for i, t in enumerate(pending):
             x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
-            lo_ok = F.lit(True) if t["lo"] == -math.inf else (x >= F.lit(t["lo"]))
-            hi_ok = F.lit(True) if t["hi"] == math.inf else (x <= F.lit(t["hi"]))
-            below = F.lit(0) if t["lo"] == -math.inf else F.count_if(x < F.lit(t["lo"]))
-            named.append((f"b{i}", below.cast("long"), 1))
-            named.append((f"i{i}", F.count_if(x.isNotNull() & lo_ok & hi_ok), 1))
+            lo_set, hi_set = t["lo"] != -math.inf, t["hi"] != math.inf
+            lo, hi = F.lit(t["lo"]), F.lit(t["hi"])
+            below = F.count_if(x < lo) if lo_set else F.lit(0)
+            eq_lo = F.count_if(x == lo) if lo_set else F.lit(0)
+            eq_hi = F.count_if(x == hi) if hi_set and t["hi"] != t["lo"] else F.lit(0)
+            interior = x.isNotNull()
+            if lo_set:
+                interior = interior & (x > lo)
+            if hi_set:
+                interior = interior & (x < hi)
+            named += [(f"b{i}", below.cast("long"), 1), (f"el{i}", eq_lo.cast("long"), 1),
+                      (f"eh{i}", eq_hi.cast("long"), 1), (f"m{i}", F.count_if(interior), 1)]
+            t["collect"] = t["est"] <= max_bracket
+            if t["collect"]:
+                # the exact order statistic from the (bounded) strict interior only
+                ranked = F.array_sort(F.collect_list(F.when(interior, x)))
+                pos = (F.lit(t["k"] + 1) - below - eq_lo).cast("int")
+                named.append((f"v{i}", F.when(pos >= 1, F.try_element_at(ranked, pos)), 1))
         r = agg_row(df, named)
-        again = []
+        again, narrow = [], []
         for i, t in enumerate(pending):
-            b, k = int(r[f"b{i}"]), int(r[f"i{i}"])
-            if b > t["k_lo"]:          # approximate bracket missed low: open it
-                t["lo"] = -math.inf
+            b, el, eh, m = (int(r[f"{k}{i}"]) for k in ("b", "el", "eh", "m"))
+            p = t["k"] - b
+            if p < 0:                      # the approximate bracket missed low: open it
+                t["lo"], t["est"] = -math.inf, math.inf
                 again.append(t)
-                continue
-            if b + k <= t["k_hi"]:     # missed high: open it
-                t["hi"] = math.inf
+            elif p >= el + m + eh:         # missed high: open it
+                t["hi"], t["est"] = math.inf, math.inf
                 again.append(t)
-                continue
-            t["below"], t["inside"] = b, k
-            if t["lo"] == t["hi"] or k <= max_bracket:
-                continue
-            again.append(t)            # still too wide: narrow inside the bracket
-        if not again:
-            break
-        narrow = [t for t in again if t["below"] is not None]
+            elif p < el:
+                t["value"] = t["lo"]
+            elif p >= el + m:
+                t["value"] = t["hi"]
+            elif t["collect"] and r[f"v{i}"] is not None:
+                t["value"] = r[f"v{i}"]
+            else:
+                t.update(below=b + el, est=m)
+                again.append(t)
+                if m > max_bracket:
+                    narrow.append(t)       # interior too wide: narrow it around the rank
         if narrow:
             aggs = []
             for i, t in enumerate(narrow):
                 x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
-                inside = x
+                inner = x
                 if t["lo"] != -math.inf:
-                    inside = F.when(x >= F.lit(t["lo"]), inside)
+                    inner = F.when(x > F.lit(t["lo"]), inner)
                 if t["hi"] != math.inf:
-                    inside = F.when(x <= F.lit(t["hi"]), inside)
-                k = t["inside"]
-                f_lo = max(0.0, (t["k_lo"] - t["below"]) / max(k - 1, 1) - margin)
-                f_hi = min(1.0, (t["k_hi"] - t["below"]) / max(k - 1, 1) + margin)
-                aggs.append(F.percentile_approx(inside, F.array(F.lit(f_lo), F.lit(f_hi)),
-                                                accuracy).alias(f"q{i}"))
+                    inner = F.when(x < F.lit(t["hi"]), inner)
+                f = (t["k"] - t["below"]) / max(t["est"] - 1, 1)
+                aggs.append(F.percentile_approx(
+                    inner, F.array(F.lit(max(0.0, f - margin)), F.lit(min(1.0, f + margin))),
+                    accuracy).alias(f"q{i}"))
             r = df.agg(*aggs).first()
             for i, t in enumerate(narrow):
                 t["lo"], t["hi"] = float(r[f"q{i}"][0]), float(r[f"q{i}"][1])
-                t["below"] = t["inside"] = None
+                t["est"] = t["est"] * (2 * margin + 2.0 / accuracy) + 2
         pending = again
+        if not pending:
+            break
     else:
         raise RuntimeError("quantile bracket did not converge")
-
-    # pass 3: rank the (bounded) bracket rows exactly
-    exact = []
-    for t in targets:
-        if t["lo"] == t["hi"]:
-            out[t["key"]] = t["lo"]
-        else:
-            exact.append(t)
-    if exact:
-        entries = []
-        for i, t in enumerate(exact):
-            x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
-            cond = x.isNotNull()
-            if t["lo"] != -math.inf:
-                cond = cond & (x >= F.lit(t["lo"]))
-            if t["hi"] != math.inf:
-                cond = cond & (x <= F.lit(t["hi"]))
-            entries.append(F.when(cond, F.struct(F.lit(i).alias("t"), x.alias("v"))))
-        picked = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                  .select("e.t", "e.v")
-                  .groupBy("t", "v").count())
-        w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        picked = picked.withColumn("upto", F.sum("count").over(w))
-        ranks = F.create_map(*[x for i, t in enumerate(exact)
-                               for x in (F.lit(i), F.array(F.lit(t["below"]),
-                                                           F.lit(t["k_lo"]), F.lit(t["k_hi"])))])
-        info = ranks[F.col("t")]
-        first_rank = info[0] + F.col("upto") - F.col("count")
-        last_rank = info[0] + F.col("upto") - 1
-        hit_lo = (info[1] >= first_rank) & (info[1] <= last_rank)
-        hit_hi = (info[2] >= first_rank) & (info[2] <= last_rank)
-        rows = picked.filter(hit_lo | hit_hi).select(
-            "t", "v", hit_lo.alias("is_lo"), hit_hi.alias("is_hi")).collect()
-        got: dict = {}
-        for rr in rows:
-            if rr["is_lo"]:
-                got[(rr["t"], "lo")] = rr["v"]
-            if rr["is_hi"]:
-                got[(rr["t"], "hi")] = rr["v"]
-        for i, t in enumerate(exact):
-            a, b = got[(i, "lo")], got[(i, "hi")]
-            out[t["key"]] = _lerp(a, b, t["t"])
+    for key, a, b, frac in wanted:
+        out[key] = _lerp(ranks[a]["value"], ranks[b]["value"], frac)
     return out
 
 

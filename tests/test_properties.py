@@ -123,3 +123,14 @@ def test_isolation_forest_small_input_path(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id bigint, v double")
     out = iforest.outliers_iforest(df, "v").collect()
     assert 1000.0 in [r["value"] for r in out]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quantiles_narrowing_path(spark, seed):
+    rng = np.random.default_rng(seed)
+    vals = np.concatenate([rng.normal(size=1500), np.full(700, 0.25), rng.exponential(size=300) * 50])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles(df, ["x"], probs, accuracy=100, max_bracket=5)
+    for p in probs:
+        assert got[(None, "x", p)] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
