@@ -277,6 +277,12 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["column_report"] = lambda s, d: _r6(reports.column_report(_t(s, d, "events"), "value"),
                                           "mean", "median", "std", "min", "max", "skewness",
                                           "kurtosis", "p_value")
+    q["audit_report_documents"] = lambda s, d: audit.audit_report(_t(s, d, "documents"))
+    q["table_summary_documents"] = lambda s, d: _r6(profile.table_summary(_t(s, d, "documents")),
+                                                    "mean", "std", "missing_pct")
+    q["duplicate_count_texts"] = lambda s, d: profile.duplicate_count(
+        _t(s, d, "documents").select("text", "lang"))
+    q["cardinality_documents"] = lambda s, d: profile.cardinality_class(_t(s, d, "documents"))
     q["eda_report"] = lambda s, d: reports.eda_findings(_t(s, d, "events"))
     q["one_click_report"] = lambda s, d: reports.one_click_findings(_t(s, d, "events"))
     return q
@@ -698,6 +704,30 @@ def _oracle() -> dict[str, str]:
         f"CAST(d AS DOUBLE), CASE WHEN d > 0 THEN 'remove duplicate rows' ELSE 'no duplicate rows' END FROM "
         f"(SELECT coalesce(sum(k - 1), 0) AS d FROM (SELECT COUNT(*) AS k FROM {F2} GROUP BY l_orderkey, l_linenumber, qty, flag))")
     o["audit_report"] = _audit_sql()
+    o["insights_report"] = _union([
+        "SELECT 'shape' AS section, NULL AS column_name, 'rows' AS \"check\", 'info' AS severity, "
+        "CAST(COUNT(*) AS DOUBLE) AS metric, CAST(COUNT(*) AS VARCHAR) || ' rows' AS detail FROM orders",
+        "SELECT 'shape', NULL, 'columns', 'info', CAST(COUNT(*) AS DOUBLE), CAST(COUNT(*) AS VARCHAR) || ' columns' "
+        "FROM information_schema.columns WHERE table_name = 'orders'",
+        "SELECT 'columns', column_name, 'summary', 'info', CAST(unique_values AS DOUBLE), description FROM ("
+        + _table_summary_sql("orders", ORDERS_COLS) + ")",
+        "SELECT 'time', 'o_orderdate', 'time_span', 'info', CAST(date_sub('day', min(o_orderdate), max(o_orderdate)) "
+        "AS DOUBLE), strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d') "
+        "FROM orders",
+        "SELECT 'granularity', c, 'granularity', 'info', CAST(u AS DOUBLE), CASE WHEN u = n THEN 'one row per id' "
+        "ELSE 'several rows per id' END FROM (SELECT c, u, n FROM (SELECT 'o_orderkey' AS c, 0 AS i, "
+        "COUNT(DISTINCT o_orderkey) AS u, COUNT(*) AS n FROM orders UNION ALL SELECT 'o_custkey', 1, "
+        "COUNT(DISTINCT o_custkey), COUNT(*) FROM orders) WHERE u * 1.0 / n > 0.8 ORDER BY i LIMIT 1)"])
+    o["audit_report_documents"] = _audit_sql("documents", DOCUMENTS_COLS)
+    o["table_summary_documents"] = _table_summary_sql("documents", DOCUMENTS_COLS)
+    o["duplicate_count_texts"] = ("SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM "
+                                  "(SELECT COUNT(*) AS k FROM documents GROUP BY text, lang)")
+    o["cardinality_documents"] = _union([
+        f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count, "
+        f"CASE WHEN COUNT(DISTINCT {c}) > 50 THEN 'high' WHEN COUNT(DISTINCT {c}) = 1 THEN 'constant' "
+        f"WHEN COUNT(DISTINCT {c}) > 15 THEN 'moderate' END AS cardinality, "
+        f"CASE WHEN COUNT(DISTINCT {c}) > 15 AND COUNT(DISTINCT {c}) <= 50 THEN COUNT(DISTINCT {c}) - 15 END "
+        "AS more_than_shown FROM documents" for i, c in enumerate(["text", "lang", "source"])])
     return o
 
 
@@ -731,11 +761,20 @@ def _k2_sql(i: int, c: str, table: str) -> str:
             f"ROUND(({k})[2], 6) AS p_value, ({k})[2] >= 0.05 AS is_normal FROM {table}")
 
 
-def _table_summary_sql() -> str:
-    cols = [("event_id", "bigint", "numeric"), ("ts", "timestamp_ntz", "datetime"), ("user_id", "bigint", "numeric"),
-            ("event_type", "string", "categorical"), ("value", "double", "numeric"), ("props", "string", "categorical")]
+EVENTS_COLS = [("event_id", "bigint", "numeric"), ("ts", "timestamp_ntz", "datetime"),
+               ("user_id", "bigint", "numeric"), ("event_type", "string", "categorical"),
+               ("value", "double", "numeric"), ("props", "string", "categorical")]
+ORDERS_COLS = [("o_orderkey", "bigint", "numeric"), ("o_custkey", "bigint", "numeric"),
+               ("o_orderstatus", "string", "categorical"), ("o_totalprice", "double", "numeric"),
+               ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "categorical")]
+DOCUMENTS_COLS = [("doc_id", "bigint", "numeric"), ("text", "string", "categorical"),
+                  ("lang", "string", "categorical"), ("source", "string", "categorical"),
+                  ("n_chars", "bigint", "numeric")]
+
+
+def _table_summary_sql(table: str = "events", spec=None) -> str:
     parts = []
-    for i, (c, t, k) in enumerate(cols):
+    for i, (c, t, k) in enumerate(spec or EVENTS_COLS):
         if k == "numeric":
             mean, std, mode = f"avg({c})", f"stddev_samp({c})", "CAST(NULL AS VARCHAR)"
             desc = f"printf('Numeric. Mean: %.2f, Std: %.2f', avg({c}), stddev_samp({c}))"
@@ -744,22 +783,24 @@ def _table_summary_sql() -> str:
             desc = f"'Datetime. From ' || CAST(min({c}) AS VARCHAR) || ' to ' || CAST(max({c}) AS VARCHAR)"
         else:
             mean, std = "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"
-            mode = (f"(SELECT {c} FROM events WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, {c} LIMIT 1)")
+            mode = (f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, {c} LIMIT 1)")
             desc = f"'Categorical. Top value: ''' || coalesce({mode}, 'N/A') || ''''"
         parts.append(
             f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, COUNT(DISTINCT {c}) AS unique_values, "
             f"ROUND(COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*), 6) AS missing_pct, "
-            f"ROUND({mean}, 6) AS mean, ROUND({std}, 6) AS std, {mode} AS mode, {desc} AS description FROM events")
+            f"ROUND({mean}, 6) AS mean, ROUND({std}, 6) AS std, {mode} AS mode, {desc} AS description FROM {table}")
     return _union(parts)
 
 
-def _audit_sql() -> str:
-    """Findings of the audit of ``events`` (columns event_id, ts, user_id,
-    event_type, value, props), computed per column in SQL."""
-    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-    nums = ["event_id", "user_id", "value"]
-    cats = ["event_type", "props"]
-    miss = [f"SELECT '{c}' AS c, {i} AS i, COUNT(*) FILTER (WHERE {c} IS NULL) AS k, COUNT(*) AS n FROM events"
+def _audit_sql(table: str = "events", spec=None) -> str:
+    """Findings of the audit of ``table`` computed per column in SQL (for tables
+    without date-named columns)."""
+    spec = spec or EVENTS_COLS
+    cols = [c for c, _, _ in spec]
+    nums = [c for c, _, k in spec if k == "numeric"]
+    cats = [c for c, _, k in spec if k == "categorical"]
+    ids = [(i, c) for i, c in enumerate(cols) if any(h in c.lower() for h in ("id", "key", "number"))]
+    miss = [f"SELECT '{c}' AS c, {i} AS i, COUNT(*) FILTER (WHERE {c} IS NULL) AS k, COUNT(*) AS n FROM {table}"
             for i, c in enumerate(cols)]
     parts = [
         "SELECT 'missing' AS section, NULL AS column_name, 'missing_values' AS \"check\", 'success' AS severity, "
@@ -768,11 +809,11 @@ def _audit_sql() -> str:
         f"CAST(k AS VARCHAR) || ' missing (' || printf('%.1f', k * 100.0 / n) || '%)' FROM ({_union(miss)}) WHERE k > 0",
         "SELECT 'duplicates', NULL, 'duplicate_rows', CASE WHEN d > 0 THEN 'warning' ELSE 'success' END, d, "
         "CAST(d AS VARCHAR) || ' duplicate rows' FROM (SELECT coalesce(sum(k - 1), 0) AS d FROM "
-        "(SELECT COUNT(*) AS k FROM events GROUP BY event_id, ts, user_id, event_type, value, props))",
+        f"(SELECT COUNT(*) AS k FROM {table} GROUP BY {', '.join(cols)}))",
     ]
     idc = [f"SELECT '{c}' AS c, {i} AS i, COUNT(DISTINCT {c}) * 1.0 / COUNT(*) AS ratio, "
-           f"COUNT(*) - COUNT(DISTINCT {c}) - CASE WHEN COUNT(*) > COUNT({c}) THEN 1 ELSE 0 END AS d FROM events"
-           for i, c in [(0, "event_id"), (2, "user_id")]]
+           f"COUNT(*) - COUNT(DISTINCT {c}) - CASE WHEN COUNT(*) > COUNT({c}) THEN 1 ELSE 0 END AS d FROM {table}"
+           for i, c in ids]
     parts.append(
         "SELECT 'duplicates', c, 'duplicate_ids', CASE WHEN d > 0 THEN 'warning' ELSE 'success' END, d, "
         f"CAST(d AS VARCHAR) || ' duplicate IDs' FROM (SELECT * FROM ({_union(idc)}) WHERE ratio > 0.8 "
@@ -780,25 +821,25 @@ def _audit_sql() -> str:
     outl = []
     for c in nums:
         outl.append(
-            f"SELECT '{c}' AS c, COUNT(*) FILTER (WHERE {c} < lo OR {c} > hi) AS k FROM events, "
+            f"SELECT '{c}' AS c, COUNT(*) FILTER (WHERE {c} < lo OR {c} > hi) AS k FROM {table}, "
             f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) - 1.5 * (quantile_cont(CAST({c} AS DOUBLE), 0.75) "
             f"- quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS lo, quantile_cont(CAST({c} AS DOUBLE), 0.75) + 1.5 * "
-            f"(quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS hi FROM events)")
+            f"(quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS hi FROM {table})")
     parts.append("SELECT 'invalid', c, 'iqr_outliers', 'warning', k, CAST(k AS VARCHAR) || ' values outside the "
                  f"IQR fences' FROM ({_union(outl)}) WHERE k > 0")
     ws = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
     for c in cats:
         parts.append(
             f"SELECT 'consistency', '{c}', 'whitespace', 'warning', COUNT(*), 'example: ''' || min({c}) || '''' "
-            f"FROM events WHERE {c} <> {ws.format(c=c)} HAVING COUNT(*) > 0")
+            f"FROM {table} WHERE {c} <> {ws.format(c=c)} HAVING COUNT(*) > 0")
         parts.append(
             f"SELECT 'consistency', '{c}', 'case_collisions', 'warning', COUNT(*), 'values differing only by case' "
-            f"FROM (SELECT lower({c}) FROM (SELECT DISTINCT {c} FROM events WHERE {c} IS NOT NULL) GROUP BY 1 "
+            f"FROM (SELECT lower({c}) FROM (SELECT DISTINCT {c} FROM {table} WHERE {c} IS NOT NULL) GROUP BY 1 "
             "HAVING COUNT(*) > 1) HAVING COUNT(*) > 0")
         parts.append(
             f"SELECT 'consistency', '{c}', 'cardinality', 'info', nu, CASE WHEN nu > 50 THEN 'high cardinality' "
             "WHEN nu = 1 THEN 'single value' ELSE CAST(nu - 15 AS VARCHAR) || ' more beyond the top 15' END "
-            f"FROM (SELECT COUNT(DISTINCT {c}) AS nu FROM events) WHERE nu > 15 OR nu = 1")
+            f"FROM (SELECT COUNT(DISTINCT {c}) AS nu FROM {table}) WHERE nu > 15 OR nu = 1")
     body = _union(parts)
     return ("SELECT section, column_name, \"check\", severity, CAST(metric AS DOUBLE) AS metric, detail FROM ("
             + body + ")")
