@@ -241,11 +241,15 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                                     "o_totalprice"),
                                             "total", "cumulative_pct").withColumn(
         "cumulative_value", F.round("cumulative_value", 2))
+    q["segmentation"] = lambda s, d: _r6(segment.segmentation_report(_t(s, d, "events")),
+                                         "pct_entities", "value", "pct_value")
     q["pareto_summary"] = lambda s, d: _r6(segment.pareto_summary(_t(s, d, "orders"), "o_custkey",
                                                                   "o_totalprice"),
                                            "pct_entities", "value", "pct_value")
 
     # sorts / limits / set operations
+    q["scatter_sample_by"] = lambda s, d: chartdata.scatter_sample(
+        _t(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], by="l_returnflag", per_group=200)
     q["scatter_sample"] = lambda s, d: chartdata.scatter_sample(_t(s, d, "lineitem"),
                                                                 ["l_quantity", "l_extendedprice"], 1000)
     q["distinct_values"] = lambda s, d: chartdata.distinct_values(_t(s, d, "orders"), "o_orderpriority")
@@ -257,10 +261,14 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["detect_time_column"] = lambda s, d: detect.detect_time_column(_t(s, d, "orders"))
     q["detect_ts_columns"] = lambda s, d: detect.detect_ts_columns(_t(s, d, "events"))
     q["detect_category_column"] = lambda s, d: detect.detect_category_column(_t(s, d, "events"))
+    q["detect_facet_column"] = lambda s, d: detect.detect_category_column(_t(s, d, "part"), 2, 10)
+    q["detect_boxplot_column"] = lambda s, d: detect.detect_category_column(_t(s, d, "documents"), 0, 14,
+                                                                             fallback=False)
     q["datetime_candidates"] = lambda s, d: detect.datetime_candidates(f4(s, d))
     q["invalid_dates"] = lambda s, d: detect.invalid_dates(f4(s, d))
 
     # time series
+    q["time_analysis"] = lambda s, d: _r6(reports.time_series_daily(_t(s, d, "events")), "raw_mean", "observed")
     q["daily_resample"] = lambda s, d: _r6(_ts_daily(s, d, "orders", "o_orderdate", "o_totalprice"),
                                            "raw_mean", "observed")
     q["seasonal_decompose"] = lambda s, d: _r6(timeseries.seasonal_decompose(
@@ -640,6 +648,14 @@ def _oracle() -> dict[str, str]:
         f"ROUND(sum(total), 6) AS value, ROUND(sum(total) * 100.0 / sum(sum(total)) OVER (), 6) AS pct_value "
         f"FROM (SELECT *, CASE WHEN cumulative_pct <= 80.0 THEN 'Top' ELSE 'Bottom' END AS segment "
         f"FROM {_pareto_sql()}) GROUP BY segment")
+    o["segmentation"] = (
+        "WITH t AS (SELECT event_id AS entity, coalesce(sum(value), 0.0) AS total FROM events WHERE event_id IS NOT NULL "
+        "GROUP BY 1), r AS (SELECT total, sum(total) OVER (ORDER BY total DESC, entity ROWS BETWEEN UNBOUNDED "
+        "PRECEDING AND CURRENT ROW) / sum(total) OVER () * 100.0 AS pct FROM t) "
+        "SELECT CASE WHEN pct <= 80.0 THEN 'Top' ELSE 'Bottom' END AS segment, COUNT(*) AS entities, "
+        "ROUND(COUNT(*) * 100.0 / sum(COUNT(*)) OVER (), 6) AS pct_entities, ROUND(sum(total), 6) AS value, "
+        "ROUND(sum(total) * 100.0 / sum(sum(total)) OVER (), 6) AS pct_value, 'event_id' AS id_column, "
+        "'value' AS value_column FROM r GROUP BY 1")
     o["distinct_values"] = ("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL "
                             "ORDER BY 1")
 
@@ -664,12 +680,24 @@ def _oracle() -> dict[str, str]:
             f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM events"
             for i, c in [(0, "event_type"), (1, "props")]]) + ") WHERE distinct_count BETWEEN 2 AND 20 "
         "ORDER BY position LIMIT 1")
+    o["detect_facet_column"] = (
+        "SELECT * FROM (" + _union([
+            f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM part"
+            for i, c in enumerate(["p_name", "p_brand", "p_type"])]) + ") WHERE distinct_count BETWEEN 2 AND 10 "
+        "ORDER BY position LIMIT 1")
+    o["detect_boxplot_column"] = (
+        "SELECT * FROM (" + _union([
+            f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM documents"
+            for i, c in enumerate(["text", "lang", "source"])]) + ") WHERE distinct_count BETWEEN 0 AND 14 "
+        "ORDER BY position LIMIT 1")
     o["datetime_candidates"] = "SELECT 2 AS position, 'order_date_text' AS column_name, 'name' AS reason"
     o["invalid_dates"] = (
         "SELECT 2 AS position, 'order_date_text' AS column_name, 'iso' AS best_format, "
         f"COUNT(*) FILTER (WHERE order_date_text IS NOT NULL AND TRY_CAST(order_date_text AS TIMESTAMP) IS NULL) "
         f"AS failing_values FROM {F4} HAVING failing_values > 0")
 
+    o["time_analysis"] = (f"SELECT day, ROUND(raw_mean, 6) AS raw_mean, ROUND(observed, 6) AS observed "
+                          f"FROM {_daily_sql('events', 'ts', 'value')}")
     o["daily_resample"] = (f"SELECT day, ROUND(raw_mean, 6) AS raw_mean, ROUND(observed, 6) AS observed "
                            f"FROM {_daily_sql('orders', 'o_orderdate', 'o_totalprice')}")
     o["seasonal_decompose"] = _seasonal_sql()

@@ -48,3 +48,16 @@ def pareto_summary(df: DataFrame, id_col: str, value_col: str, threshold: float
     return g.select("segment", "entities",
                     (F.col("entities") * 100.0 / F.lit(n)).alias("pct_entities"), "value",
                     (F.lit(0.0) if v == 0 else F.col("value") * 100.0 / F.lit(v)).alias("pct_value"))
+
+
+def segmentation_report(df: DataFrame, id_col: str | None = None, value_col: str | None = None,
+                        threshold: float = 80.0) -> DataFrame:
+    """Segmentation (M8): the entity column (R2) and value column (R3) are detected
+    when not given, then the Pareto summary (W3) is computed."""
+    from .detect import _first, detect_entity_column, detect_value_column
+    id_col = id_col or _first(detect_entity_column(df))
+    value_col = value_col or _first(detect_value_column(df))
+    if id_col is None or value_col is None:
+        raise ValueError("no entity/value column detected; pass id_col and value_col")
+    return (pareto_summary(df, id_col, value_col, threshold)
+            .withColumn("id_column", F.lit(id_col)).withColumn("value_column", F.lit(value_col)))

@@ -174,6 +174,15 @@ def eda_findings(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ M5 time-based analysis
 
+def time_series_daily(df: DataFrame) -> DataFrame:
+    """The daily series of the detected time and value columns (M5 core); empty
+    when no suitable columns exist."""
+    parts = time_analysis(df)
+    if not parts:
+        return df.sparkSession.createDataFrame([], "day date, raw_mean double, observed double")
+    return parts["daily"]
+
+
 def time_analysis(df: DataFrame) -> dict:
     """Parts of the time-based analysis (M5); empty when no time/value columns exist
     or the daily series has fewer than two days."""
