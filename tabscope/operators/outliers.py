@@ -159,23 +159,20 @@ def outlier_compare(df: DataFrame, col: str, iforest: bool = False, k: float = 1
         return df.sparkSession.createDataFrame([], schema)
     f = outlier_flags(df, col, iforest=iforest)
     out_flag = F.col("is_any")
-    aggs = [F.count_if(out_flag).alias("_no"), F.count_if(~out_flag).alias("_nn")]
+    named = [("_no", F.count_if(out_flag), 1), ("_nn", F.count_if(~out_flag), 1)]
     for i, c in enumerate(others):
         x = _x(f, c)
-        aggs += [F.avg(F.when(out_flag, x)).alias(f"o{i}"), F.avg(F.when(~out_flag, x)).alias(f"m{i}"),
-                 F.stddev_samp(F.when(~out_flag, x)).alias(f"s{i}")]
-    agg = f.agg(*aggs).filter((F.col("_no") > 0) & (F.col("_nn") > 0))
-    rows = agg.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                 F.col(f"o{i}").alias("outlier_mean"), F.col(f"m{i}").alias("normal_mean"),
-                 F.col(f"s{i}").alias("normal_std"))
-        for i, c in enumerate(others)])))
-    dist = F.coalesce((F.col("normal_std") > 0)
-                      & (F.abs(F.col("outlier_mean") - F.col("normal_mean")) > k * F.col("normal_std")),
-                      F.lit(False))
-    return (rows.withColumn("is_distinct", dist)
-            .withColumn("direction", F.when(F.col("is_distinct"), F.when(
-                F.col("outlier_mean") > F.col("normal_mean"), F.lit("higher")).otherwise(F.lit("lower")))))
+        named += [(f"o{i}", F.avg(F.when(out_flag, x)), 2), (f"m{i}", F.avg(F.when(~out_flag, x)), 2),
+                  (f"s{i}", F.stddev_samp(F.when(~out_flag, x)), 3)]
+    r = agg_row(f, named)
+    rows = []
+    if r["_no"] > 0 and r["_nn"] > 0:
+        for i, c in enumerate(others):
+            om, nm, ns = r[f"o{i}"], r[f"m{i}"], r[f"s{i}"]
+            distinct = bool(ns and ns > 0 and om is not None and nm is not None and abs(om - nm) > k * ns)
+            rows.append((i, c, om, nm, ns, distinct,
+                         ("higher" if om > nm else "lower") if distinct else None))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def outlier_verdict(compare: DataFrame) -> DataFrame:

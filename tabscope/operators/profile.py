@@ -393,35 +393,28 @@ def table_summary(df: DataFrame) -> DataFrame:
     if not names:
         return _empty(df, "position int, column_name string, data_type string, unique_values bigint, "
                           "missing_pct double, mean double, std double, description string")
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    named = [("_n", F.count(F.lit(1)), 1)]
     kinds = {}
     for i, f in enumerate(fields):
         x = missing_safe(df, f.name)
-        aggs.append(F.count_if(x.isNull()).alias(f"m{i}"))
+        named.append((f"m{i}", F.count_if(x.isNull()), 1))
         if is_numeric_type(f.dataType, include_bool=True):
             kinds[f.name] = "numeric"
             xd = x.cast("double")
-            aggs += [F.avg(xd).alias(f"a{i}"), F.stddev_samp(xd).alias(f"s{i}")]
+            named += [(f"a{i}", F.avg(xd), 2), (f"s{i}", F.stddev_samp(xd), 3)]
         elif isinstance(f.dataType, DATETIME_TYPES):
             kinds[f.name] = "datetime"
-            aggs += [F.min(x).cast("string").alias(f"lo{i}"), F.max(x).cast("string").alias(f"hi{i}")]
+            named += [(f"lo{i}", F.min(x).cast("string"), 1), (f"hi{i}", F.max(x).cast("string"), 1)]
         else:
             kinds[f.name] = "categorical"
-    agg = df.agg(*aggs)
-    structs = []
-    for i, f in enumerate(fields):
-        k = kinds[f.name]
-        mean = F.col(f"a{i}") if k == "numeric" else F.lit(None).cast("double")
-        std = F.col(f"s{i}") if k == "numeric" else F.lit(None).cast("double")
-        lo = F.col(f"lo{i}") if k == "datetime" else F.lit(None).cast("string")
-        hi = F.col(f"hi{i}") if k == "datetime" else F.lit(None).cast("string")
-        structs.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
-                                F.lit(f.dataType.simpleString()).alias("data_type"),
-                                F.lit(k).alias("kind"),
-                                F.try_divide(F.col(f"m{i}") * 100.0, F.col("_n")).alias("missing_pct"),
-                                mean.alias("mean"), std.alias("std"), lo.alias("first"),
-                                hi.alias("last")))
-    per_col = agg.select(F.inline(F.array(*structs)))
+    r = agg_row(df, named)
+    n = r["_n"]
+    rows = [(i, f.name, f.dataType.simpleString(), kinds[f.name],
+             (r[f"m{i}"] * 100.0 / n) if n else None, r.get(f"a{i}"), r.get(f"s{i}"),
+             r.get(f"lo{i}"), r.get(f"hi{i}")) for i, f in enumerate(fields)]
+    per_col = df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, data_type string, kind string, missing_pct double, "
+              "mean double, std double, first string, last string")
     dc = distinct_counts(df, names).select("column_name", F.col("distinct_count").alias("unique_values"))
     cat_cols = [c for c in names if kinds[c] == "categorical"]
     out = per_col.join(dc, "column_name")
