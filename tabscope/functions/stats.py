@@ -39,10 +39,20 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + d * t
 
 
-def _group_mask(by: str | None, g) -> Column:
-    if by is None:
-        return F.lit(True)
-    return F.col(quote(by)).eqNullSafe(F.lit(g))
+def _lookup(values: dict, key: Column) -> Column:
+    """``values[key]`` as a column (a literal when there is one group and no key)."""
+    if len(values) == 1 and key is None:
+        return F.lit(next(iter(values.values())))
+    return F.create_map(*[x for g, v in values.items() for x in (F.lit(g), F.lit(v))])[key]
+
+
+def _grouped_rows(df: DataFrame, key: Column | None, groups: list, named: list) -> dict:
+    """Run ``named`` aggregates globally (key None) or per group → ``{group: row dict}``."""
+    if key is None:
+        return {0: agg_row(df, named)}
+    rows = (df.filter(key.isin(groups)).groupBy(key.alias("_qg"))
+            .agg(*[e.alias(a) for a, e, _ in named]).collect())     # one row per group (few)
+    return {r["_qg"]: r.asDict() for r in rows}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
@@ -52,138 +62,141 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     """Quantiles of ``cols`` at ``probs`` → ``{(group, col, p): float | None}``.
 
     Missing values are skipped (the column must already be NaN-normalised).
-    With ``by`` the statistics are per group; ``groups`` (the group values) must
-    then be given and is expected to be small (e.g. a top-N list).
-
-    Pass 1 (one aggregation for every column, group and probability) gives the
-    count and an approximate bracket around each target rank. Each following
-    pass is one aggregation that counts the rows below and inside every open
-    bracket and — when the bracket is known or predicted to hold at most
-    ``max_bracket`` rows — also sorts just the in-bracket values and picks the
-    exact order statistics on the executors. A bracket that is too wide is
-    narrowed with another approximate pass restricted to it; a bracket the
-    approximation missed is opened on that side. Typically two passes in all.
+    With ``by`` the statistics are per group, computed with ``groupBy(by)`` for
+    the given ``groups`` (expected to be few, e.g. a top-N list); each group's
+    bracket is looked up from a small literal map, so the aggregate has one
+    expression per column, probability and side whatever the number of groups.
+
+    Pass 1 gives the count and an approximate bracket around every needed order
+    statistic. Each following pass is one aggregation that counts the rows below
+    each open bracket, the ties on its two ends and its strict interior, and —
+    when the interior is known or predicted to hold at most ``max_bracket`` rows —
+    sorts just those values and reads the exact order statistic on the
+    executors. A wider interior is narrowed by another approximate pass
+    restricted to it; a bracket the approximation missed is opened on that side.
+    Typically two passes in all.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
     if not cols or not probs:
         return {}
-    group_values = [None] if by is None else list(groups or [])
+    key = None if by is None else F.col(quote(by))
+    group_values = [0] if by is None else [g for g in (groups or []) if g is not None]
+    out: dict = {}
+    if by is not None:
+        for g in groups or []:
+            if g is None:
+                out.update({(None, c, p): None for c in cols for p in probs})
     if not group_values:
-        return {}
+        return out
     if method != "approx":
         accuracy = max(int(accuracy), 100)   # each narrowing keeps at most ~8 % of a bracket
     margin = 3.0 / accuracy
+    ext = (lambda g: None) if by is None else (lambda g: g)
 
-    # pass 1: counts and approximate brackets, all columns × groups in one aggregation
+    # pass 1: counts and approximate brackets for every column (and group)
     fracs = []
     for p in probs:
         fracs += [max(0.0, p - margin), p, min(1.0, p + margin)]
-    aggs = []
-    for gi, g in enumerate(group_values):
-        m = _group_mask(by, g)
-        for ci, c in enumerate(cols):
-            x = F.when(m, _c(c))
-            aggs.append(F.count(x).alias(f"n_{gi}_{ci}"))
-            aggs.append(F.percentile_approx(x, F.array(*[F.lit(f) for f in fracs]),
-                                            accuracy).alias(f"a_{gi}_{ci}"))
-    row = df.agg(*aggs).first()
+    farr = F.array(*[F.lit(f) for f in fracs])
+    named = []
+    for ci, c in enumerate(cols):
+        named += [(f"n{ci}", F.count(_c(c)), 1),
+                  (f"a{ci}", F.percentile_approx(_c(c), farr, accuracy), 1)]
+    first = _grouped_rows(df, key, group_values, named)
 
-    out: dict = {}
-    wanted = []     # (key, k_lo, k_hi, t) per quantile
-    ranks = {}      # one bracket per distinct (group, column, rank)
-    for gi, g in enumerate(group_values):
+    wanted = []     # (out key, lo state, hi state, fraction)
+    state = {}      # (group, col index, prob index, side) -> bracket state
+    for g in group_values:
+        row = first.get(g)
         for ci, c in enumerate(cols):
-            n = int(row[f"n_{gi}_{ci}"] or 0)
-            approx = row[f"a_{gi}_{ci}"]
+            n = int(row[f"n{ci}"] or 0) if row else 0
+            approx = row[f"a{ci}"] if row else None
             for pi, p in enumerate(probs):
-                key = (g, c, p)
+                okey = (ext(g), c, p)
                 if n == 0:
-                    out[key] = None
+                    out[okey] = None
                     continue
                 if method == "approx":
-                    out[key] = float(approx[3 * pi + 1])
+                    out[okey] = float(approx[3 * pi + 1])
                     continue
                 h = (n - 1) * p
-                k_lo = int(math.floor(h))
-                k_hi = min(int(math.ceil(h)), n - 1)
-                wanted.append((key, (g, c, k_lo), (g, c, k_hi), h - k_lo))
-                for k in (k_lo, k_hi):
-                    ranks.setdefault((g, c, k), dict(
-                        g=g, c=c, k=k, lo=float(approx[3 * pi]), hi=float(approx[3 * pi + 2]),
-                        est=n * (2 * margin + 2.0 / accuracy) + 2, value=None))
+                ks = {"lo": int(math.floor(h)), "hi": min(int(math.ceil(h)), n - 1)}
+                for side in ("lo", "hi"):
+                    state[(g, ci, pi, side)] = dict(
+                        k=ks[side], lo=float(approx[3 * pi]), hi=float(approx[3 * pi + 2]),
+                        est=n * (2 * margin + 2.0 / accuracy) + 2, value=None, done=False)
+                wanted.append((okey, (g, ci, pi, "lo"), (g, ci, pi, "hi"), h - ks["lo"]))
     if method == "approx" or not wanted:
         return out
 
-    pending = list(ranks.values())
+    slots = sorted({s[1:] for s in state})
     for _ in range(32):
+        live = {sl: {g: state[(g,) + sl] for g in group_values
+                     if (g,) + sl in state and not state[(g,) + sl]["done"]} for sl in slots}
+        live = {sl: st for sl, st in live.items() if st}
+        if not live:
+            break
+        gkey = key if key is not None else None
         named = []
-        for i, t in enumerate(pending):
-            x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
-            lo_set, hi_set = t["lo"] != -math.inf, t["hi"] != math.inf
-            lo, hi = F.lit(t["lo"]), F.lit(t["hi"])
-            below = F.count_if(x < lo) if lo_set else F.lit(0)
-            eq_lo = F.count_if(x == lo) if lo_set else F.lit(0)
-            eq_hi = F.count_if(x == hi) if hi_set and t["hi"] != t["lo"] else F.lit(0)
-            interior = x.isNotNull()
-            if lo_set:
-                interior = interior & (x > lo)
-            if hi_set:
-                interior = interior & (x < hi)
-            named += [(f"b{i}", below.cast("long"), 1), (f"el{i}", eq_lo.cast("long"), 1),
-                      (f"eh{i}", eq_hi.cast("long"), 1), (f"m{i}", F.count_if(interior), 1)]
-            t["collect"] = t["est"] <= max_bracket
-            if t["collect"]:
-                # the exact order statistic from the (bounded) strict interior only
-                ranked = F.array_sort(F.collect_list(F.when(interior, x)))
-                pos = (F.lit(t["k"] + 1) - below - eq_lo).cast("int")
-                named.append((f"v{i}", F.when(pos >= 1, F.try_element_at(ranked, pos)), 1))
-        r = agg_row(df, named)
-        again, narrow = [], []
-        for i, t in enumerate(pending):
-            b, el, eh, m = (int(r[f"{k}{i}"]) for k in ("b", "el", "eh", "m"))
-            p = t["k"] - b
-            if p < 0:                      # the approximate bracket missed low: open it
-                t["lo"], t["est"] = -math.inf, math.inf
-                again.append(t)
-            elif p >= el + m + eh:         # missed high: open it
-                t["hi"], t["est"] = math.inf, math.inf
-                again.append(t)
-            elif p < el:
-                t["value"] = t["lo"]
-            elif p >= el + m:
-                t["value"] = t["hi"]
-            elif t["collect"] and r[f"v{i}"] is not None:
-                t["value"] = r[f"v{i}"]
-            else:
-                t.update(below=b + el, est=m)
-                again.append(t)
-                if m > max_bracket:
-                    narrow.append(t)       # interior too wide: narrow it around the rank
+        for j, (sl, st) in enumerate(live.items()):
+            x = _c(cols[sl[0]])
+            lo = _lookup({g: t["lo"] for g, t in st.items()}, gkey)
+            hi = _lookup({g: t["hi"] for g, t in st.items()}, gkey)
+            below = F.count_if(x < lo)
+            eq_lo = F.count_if(x == lo)
+            eq_hi = F.count_if((x == hi) & (hi != lo))
+            interior = (x > lo) & (x < hi)
+            named += [(f"b{j}", below, 1), (f"el{j}", eq_lo, 1), (f"eh{j}", eq_hi, 1),
+                      (f"m{j}", F.count_if(interior), 1)]
+            for t in st.values():
+                t["collect"] = t["est"] <= max_bracket
+            if any(t["collect"] for t in st.values()):
+                allow = _lookup({g: t["collect"] for g, t in st.items()}, gkey)
+                ranked = F.array_sort(F.collect_list(F.when(interior & allow, x)))
+                k = _lookup({g: t["k"] for g, t in st.items()}, gkey)
+                pos = (k + 1 - below - eq_lo).cast("int")
+                named.append((f"v{j}", F.when(pos >= 1, F.try_element_at(ranked, pos)), 1))
+        res = _grouped_rows(df, key, group_values, named)
+        narrow = []
+        for j, (sl, st) in enumerate(live.items()):
+            for g, t in st.items():
+                r = res.get(g)
+                b, el, eh, m = (int(r[f"{a}{j}"]) for a in ("b", "el", "eh", "m")) if r else (0, 0, 0, 0)
+                p = t["k"] - b
+                if p < 0:                      # the approximate bracket missed low: open it
+                    t["lo"], t["est"] = -math.inf, math.inf
+                elif p >= el + m + eh:         # missed high: open it
+                    t["hi"], t["est"] = math.inf, math.inf
+                elif p < el:
+                    t["value"], t["done"] = t["lo"], True
+                elif p >= el + m:
+                    t["value"], t["done"] = t["hi"], True
+                elif t["collect"] and r.get(f"v{j}") is not None:
+                    t["value"], t["done"] = r[f"v{j}"], True
+                else:
+                    t.update(below=b + el, est=m)
+                    if m > max_bracket:
+                        narrow.append((g, sl, t))   # interior too wide: narrow it around the rank
         if narrow:
             aggs = []
-            for i, t in enumerate(narrow):
-                x = F.when(_group_mask(by, t["g"]), _c(t["c"]))
-                inner = x
-                if t["lo"] != -math.inf:
-                    inner = F.when(x > F.lit(t["lo"]), inner)
-                if t["hi"] != math.inf:
-                    inner = F.when(x < F.lit(t["hi"]), inner)
+            for i, (g, sl, t) in enumerate(narrow):
+                x = _c(cols[sl[0]])
+                if key is not None:
+                    x = F.when(key == F.lit(g), x)
+                inner = F.when((x > F.lit(t["lo"])) & (x < F.lit(t["hi"])), x)
                 f = (t["k"] - t["below"]) / max(t["est"] - 1, 1)
                 aggs.append(F.percentile_approx(
                     inner, F.array(F.lit(max(0.0, f - margin)), F.lit(min(1.0, f + margin))),
                     accuracy).alias(f"q{i}"))
             r = df.agg(*aggs).first()
-            for i, t in enumerate(narrow):
+            for i, (g, sl, t) in enumerate(narrow):
                 t["lo"], t["hi"] = float(r[f"q{i}"][0]), float(r[f"q{i}"][1])
                 t["est"] = t["est"] * (2 * margin + 2.0 / accuracy) + 2
-        pending = again
-        if not pending:
-            break
     else:
         raise RuntimeError("quantile bracket did not converge")
-    for key, a, b, frac in wanted:
-        out[key] = _lerp(ranks[a]["value"], ranks[b]["value"], frac)
+    for okey, a, b, frac in wanted:
+        out[okey] = _lerp(state[a]["value"], state[b]["value"], frac)
     return out
 
 

@@ -191,3 +191,87 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-missing values of a column, sorted."""
     v = missing_safe(df, col)
     return df.select(v.alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value")
+
+
+def histograms(df: DataFrame, cols: list[str], bins: int = 30, ranges: dict | None = None) -> DataFrame:
+    """Histograms of many numeric columns with one shuffle: each row is unpivoted
+    to ``(column, bin)`` and counted (partial aggregation per column and bin).
+    ``ranges`` = ``{col: (min, max)}`` when already known; empty bins included."""
+    spark = df.sparkSession
+    ddl = "column_name string, bin int, bin_start double, bin_end double, count bigint"
+    if not cols:
+        return spark.createDataFrame([], ddl)
+    if ranges is None:
+        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
+                                                             F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+        ranges = {c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
+    spans = {c: hist_range(*ranges[c]) for c in cols}
+    live = [c for c in cols if spans[c][0] is not None]
+    if not live:
+        return spark.createDataFrame([], ddl)
+    entries = F.array(*[F.struct(F.lit(c).alias("c"), hist_bin(_x(df, c), *spans[c], bins).alias("b"))
+                        for c in live])
+    counts = (df.select(F.explode(entries).alias("e")).filter(F.col("e.b").isNotNull())
+              .groupBy(F.col("e.c").alias("column_name"), F.col("e.b").alias("bin"))
+              .agg(F.count(F.lit(1)).alias("count")))
+    frame_rows = []
+    for c in live:
+        lo, hi = spans[c]
+        w = (hi - lo) / bins
+        frame_rows += [(c, b, lo + b * w, hi if b == bins - 1 else lo + (b + 1) * w) for b in range(bins)]
+    frame = spark.createDataFrame(frame_rows, "column_name string, bin int, bin_start double, bin_end double")
+    return (frame.join(counts, ["column_name", "bin"], "left")      # frame: len(cols) × bins rows
+            .select("column_name", "bin", "bin_start", "bin_end",
+                    F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+
+
+def box_stats_many(df: DataFrame, cols: list[str], quartiles: dict | None = None) -> DataFrame:
+    """Box-plot numbers for many columns: one quantile run, one aggregation."""
+    from ..functions.aggs import agg_row
+    ddl = ("column_name string, n bigint, q1 double, median double, q3 double, whisker_low double, "
+           "whisker_high double, fliers bigint")
+    if not cols:
+        return df.sparkSession.createDataFrame([], ddl)
+    if quartiles is None:
+        q = quantiles(normalize_missing(df.select(*[quote(c) for c in cols])), cols, [0.25, 0.5, 0.75])
+        quartiles = {c: (q[(None, c, 0.25)], q[(None, c, 0.5)], q[(None, c, 0.75)]) for c in cols}
+    named = []
+    for i, c in enumerate(cols):
+        q1, _, q3 = quartiles[c]
+        if q1 is None:
+            continue
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        x = _x(df, c)
+        named += [(f"n{i}", F.count(x), 1), (f"wl{i}", F.min(F.when(x >= F.lit(lo), x)), 1),
+                  (f"wh{i}", F.max(F.when(x <= F.lit(hi), x)), 1),
+                  (f"f{i}", F.count_if((x < F.lit(lo)) | (x > F.lit(hi))), 1)]
+    r = agg_row(df, named) if named else {}
+    rows = [(c, r[f"n{i}"], *quartiles[c], r[f"wl{i}"], r[f"wh{i}"], r[f"f{i}"])
+            for i, c in enumerate(cols) if quartiles[c][0] is not None]
+    return df.sparkSession.createDataFrame(rows, ddl)
+
+
+def density_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 30,
+                  ranges: dict | None = None) -> DataFrame:
+    """Binned scatter counts for several column pairs with one shuffle."""
+    spark = df.sparkSession
+    ddl = "col_x string, col_y string, bin_x int, bin_y int, count bigint"
+    if not pairs:
+        return spark.createDataFrame([], ddl)
+    cols = sorted({c for p in pairs for c in p})
+    if ranges is None:
+        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
+                                                             F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+        ranges = {c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
+    spans = {c: hist_range(*ranges[c]) for c in cols}
+    live = [(a, b) for a, b in pairs if spans[a][0] is not None and spans[b][0] is not None]
+    if not live:
+        return spark.createDataFrame([], ddl)
+    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                                 hist_bin(_x(df, a), *spans[a], bins).alias("bx"),
+                                 hist_bin(_x(df, b), *spans[b], bins).alias("by")) for a, b in live])
+    return (df.select(F.explode(entries).alias("e"))
+            .filter(F.col("e.bx").isNotNull() & F.col("e.by").isNotNull())
+            .groupBy(F.col("e.a").alias("col_x"), F.col("e.b").alias("col_y"),
+                     F.col("e.bx").alias("bin_x"), F.col("e.by").alias("bin_y"))
+            .agg(F.count(F.lit(1)).alias("count")))

@@ -13,6 +13,7 @@ from ..functions.typeclass import categorical_columns, is_numeric_type, numeric_
 from ..operators import chartdata, detect, outliers, profile, relations, timeseries
 from ..sources.readers import table_shape
 from .audit import audit_findings
+from .eda import eda_report
 from .findings import finding, findings_frame
 
 
@@ -111,64 +112,21 @@ def column_report_parts(df: DataFrame, col: str, iforest: bool = False) -> dict:
 
 # ------------------------------------------------------------------ M4 exploratory analysis
 
-def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10) -> dict:
-    """Parts of the exploratory analysis (M4) as lazy DataFrames."""
-    df = normalize_missing(df)
-    nums = numeric_columns(df)
-    cats = categorical_columns(df)
-    parts: dict = {"numeric_summary": profile.numeric_summary_all(df)}
-    for c in df.columns:
-        if c in nums:
-            parts[f"histogram:{c}"] = chartdata.histogram(df, c)
-            parts[f"box:{c}"] = chartdata.box_stats(df, c)
-        elif is_numeric_type(df.schema[c].dataType, include_bool=True):
-            continue
-        else:
-            parts[f"value_counts:{c}"] = profile.value_counts(df, c).limit(max_bars)
-            parts[f"bars:{c}"] = profile.topn_other(df, c, max_bars)
-            parts[f"pie:{c}"] = profile.pie_shares(df, c, max_slices)
-    if len(nums) >= 2:
-        parts["corr_matrix"] = relations.corr_matrix(df, nums)
-        pairs = relations.top_corr_pairs(df, top_pairs, nums).collect()
-        parts["top_corr_pairs"] = relations.top_corr_pairs(df, top_pairs, nums)
-        for r in pairs:
-            parts[f"trend:{r['col_a']}~{r['col_b']}"] = relations.ols_trend(df, r["col_a"], r["col_b"])
-            parts[f"scatter:{r['col_a']}~{r['col_b']}"] = chartdata.density_2d(df, r["col_a"], r["col_b"])
-    if cats and nums:
-        box_cat = detect.category_column_name(df, 0, 14, fallback=False)
-        if box_cat:
-            for c in nums[:3]:
-                parts[f"box_by:{box_cat}:{c}"] = chartdata.box_stats_by_category(df, box_cat, c)
-        group_cat = detect.category_column_name(df, 2, 20)
-        parts[f"group_means:{group_cat}"] = relations.group_means(df, group_cat, nums)
-        if len(nums) >= 2:
-            facet = detect.category_column_name(df, 2, 10)
-            pair = relations.top_corr_pairs(df, 1, nums).collect()
-            xa, ya = (pair[0]["col_a"], pair[0]["col_b"]) if pair else (nums[0], nums[1])
-            faceted = profile_collapse(df, facet, 20)
-            parts[f"facets:{facet}"] = chartdata.density_2d(faceted, xa, ya, by=facet)
-    return parts
-
-
-def profile_collapse(df: DataFrame, col: str, n: int) -> DataFrame:
-    from ..operators.transform import collapse_rare
-    return collapse_rare(df, col, n)
-
-
 def eda_findings(df: DataFrame) -> DataFrame:
     """A findings view of the exploratory analysis: four-number summaries, the
-    most common category of each text column and the top correlated pairs."""
-    df = normalize_missing(df)
+    most common value of each text column and the top correlated pairs."""
+    parts = eda_report(df)
     out = []
-    for r in profile.numeric_summary_all(df).collect():
-        out.append(finding("eda", r["column_name"], "mean", "info", r["mean"], None))
-        out.append(finding("eda", r["column_name"], "median", "info", r["median"], None))
-    for c in categorical_columns(df):
-        top = profile.top_category(df, c).collect()
-        if top:
-            out.append(finding("eda", c, "top_category", "info", top[0]["count"], str(top[0]["value"])))
-    for r in relations.top_corr_pairs(df).collect():
-        out.append(finding("eda", r["col_a"], "correlated_with", "info", r["r"], r["col_b"]))
+    if "numeric_summary" in parts:
+        for r in parts["numeric_summary"].collect():
+            out.append(finding("eda", r["column_name"], "mean", "info", r["mean"], None))
+            out.append(finding("eda", r["column_name"], "median", "info", r["median"], None))
+    if "value_counts" in parts:
+        for r in parts["value_counts"].filter(F.col("rank") == 1).collect():
+            out.append(finding("eda", r["column_name"], "top_category", "info", r["count"], str(r["value"])))
+    if "top_corr_pairs" in parts:
+        for r in parts["top_corr_pairs"].collect():
+            out.append(finding("eda", r["col_a"], "correlated_with", "info", r["r"], r["col_b"]))
     return findings_frame(df.sparkSession, out)
 
 
