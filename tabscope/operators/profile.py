@@ -9,6 +9,7 @@ DataFrames built lazily from the one-row aggregate with ``inline``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -376,10 +377,10 @@ def _empty(df: DataFrame, ddl: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], ddl)
 
 
-def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
+def column_modes(df: DataFrame, cols: list[str], vc: DataFrame | None = None) -> DataFrame:
     """``(column_name, mode)``: per column the smallest of the most frequent values,
     from the value-count table with two distributed aggregations (no window)."""
-    vc = value_counts_long(df, cols)
+    vc = value_counts_long(df, cols) if vc is None else vc.filter(F.col("column_name").isin(cols))
     best = vc.groupBy("column_name").agg(F.max("count").alias("_top"))
     return (vc.join(best, "column_name").filter(F.col("count") == F.col("_top"))
             .groupBy("column_name").agg(F.min("value").alias("mode")))
@@ -415,13 +416,16 @@ def table_summary(df: DataFrame) -> DataFrame:
     per_col = df.sparkSession.createDataFrame(
         rows, "position int, column_name string, data_type string, kind string, missing_pct double, "
               "mean double, std double, first string, last string")
-    dc = distinct_counts(df, names).select("column_name", F.col("distinct_count").alias("unique_values"))
+    # one value-count shuffle serves both the distinct counts and the modes
+    vc = value_counts_long(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    dc = {r["column_name"]: r["n"] for r in
+          vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per column
     cat_cols = [c for c in names if kinds[c] == "categorical"]
-    out = per_col.join(dc, "column_name")
-    if cat_cols:
-        out = out.join(column_modes(df, cat_cols), "column_name", "left")
-    else:
-        out = out.withColumn("mode", F.lit(None).cast("string"))
+    modes = {r["column_name"]: r["mode"] for r in column_modes(df, cat_cols, vc).collect()} if cat_cols else {}
+    vc.unpersist()
+    out = per_col.join(df.sparkSession.createDataFrame(
+        [(c, dc.get(c, 0), modes.get(c)) for c in names],
+        "column_name string, unique_values bigint, mode string"), "column_name")
     desc = (F.when(F.col("kind") == "numeric",
                    F.format_string("Numeric. Mean: %.2f, Std: %.2f", F.col("mean"), F.col("std")))
             .when(F.col("kind") == "datetime",
