@@ -49,25 +49,40 @@ def to_timestamp_any(df: DataFrame, name: str, fmt: str | None = None) -> Column
 def best_formats(df: DataFrame, names: list[str], formats: list[str] | None = None) -> dict:
     """For each text column: the format parsing the most values, and counts.
 
-    Returns ``{name: (best_format, parsed_count, non_null_count)}`` from one
-    aggregation over all candidate columns and formats.
+    Returns ``{name: (best_format, parsed_count, non_null_count)}``. Only layouts
+    that parse the column's smallest or largest value are counted (a layout that
+    parses every value must parse both, so "fully parses" stays exact); ordinary
+    text columns therefore cost one min/max pass instead of trying every layout
+    on every value — failed pattern parses are expensive in the JVM.
     """
-    formats = formats or DATE_FORMATS
     from .aggs import agg_row
-    named = []
-    for i, c in enumerate(names):
-        col = F.col(quote(c))
-        named.append((f"n{i}", F.count(col), 1))
-        for j, fmt in enumerate(formats):
-            named.append((f"p{i}_{j}", F.count(parse_with(col, fmt)), 1))
-    if not named:
+    formats = formats or DATE_FORMATS
+    if not names:
         return {}
-    r = agg_row(df, named)
+    ends = agg_row(df, [e for i, c in enumerate(names) for e in (
+        (f"lo{i}", F.min(F.col(quote(c))), 1), (f"hi{i}", F.max(F.col(quote(c))), 1),
+        (f"n{i}", F.count(F.col(quote(c))), 1))])
+    probes = []
+    for i, c in enumerate(names):
+        for side in ("lo", "hi"):
+            v = ends[f"{side}{i}"]
+            if v is not None:
+                probes += [(f"{i}_{side}_{j}", parse_with(F.lit(v), fmt)) for j, fmt in enumerate(formats)]
+    hit = (df.sparkSession.range(1).select(*[e.isNotNull().alias(a) for a, e in probes]).first().asDict()
+           if probes else {})
+    cands = {i: [j for j in range(len(formats))
+                 if hit.get(f"{i}_lo_{j}") or hit.get(f"{i}_hi_{j}")] for i in range(len(names))}
+    named = [(f"p{i}_{j}", F.count(parse_with(F.col(quote(c)), formats[j])), 1)
+             for i, c in enumerate(names) for j in cands[i]]
+    r = agg_row(df, named) if named else {}
     out = {}
     for i, c in enumerate(names):
-        counts = [r[f"p{i}_{j}"] for j in range(len(formats))]
-        best = max(range(len(formats)), key=lambda j: (counts[j], -j))
-        out[c] = (formats[best], counts[best], r[f"n{i}"])
+        counts = {j: r[f"p{i}_{j}"] for j in cands[i]}
+        if counts:
+            best = max(counts, key=lambda j: (counts[j], -j))
+            out[c] = (formats[best], counts[best], ends[f"n{i}"])
+        else:
+            out[c] = (formats[0], 0, ends[f"n{i}"])
     return out
 
 
