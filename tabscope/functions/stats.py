@@ -58,7 +58,7 @@ def _grouped_rows(df: DataFrame, key: Column | None, groups: list, named: list)
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
               groups: list | None = None, method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY,
-              max_bracket: int = DEFAULT_MAX_BRACKET) -> dict:
+              max_bracket: int = DEFAULT_MAX_BRACKET, extra: list | None = None) -> dict:
     """Quantiles of ``cols`` at ``probs`` → ``{(group, col, p): float | None}``.
 
     Missing values are skipped (the column must already be NaN-normalised).
@@ -74,7 +74,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     sorts just those values and reads the exact order statistic on the
     executors. A wider interior is narrowed by another approximate pass
     restricted to it; a bracket the approximation missed is opened on that side.
-    Typically two passes in all.
+    Typically two passes in all. ``extra`` = ``[(alias, aggregate, width)]`` are
+    computed in the first pass too (ungrouped only) and returned under
+    ``"__extra__"``, saving a scan for callers that need plain statistics as well.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
@@ -99,19 +101,21 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     for p in probs:
         fracs += [max(0.0, p - margin), p, min(1.0, p + margin)]
     farr = F.array(*[F.lit(f) for f in fracs])
-    named = []
+    named = list(extra or []) if key is None else []
     for ci, c in enumerate(cols):
-        named += [(f"n{ci}", F.count(_c(c)), 1),
-                  (f"a{ci}", F.percentile_approx(_c(c), farr, accuracy), 1)]
+        named += [(f"_qn{ci}", F.count(_c(c)), 1),
+                  (f"_qa{ci}", F.percentile_approx(_c(c), farr, accuracy), 1)]
     first = _grouped_rows(df, key, group_values, named)
+    if extra and key is None:
+        out["__extra__"] = {a: first[0][a] for a, _, _ in extra}
 
     wanted = []     # (out key, lo state, hi state, fraction)
     state = {}      # (group, col index, prob index, side) -> bracket state
     for g in group_values:
         row = first.get(g)
         for ci, c in enumerate(cols):
-            n = int(row[f"n{ci}"] or 0) if row else 0
-            approx = row[f"a{ci}"] if row else None
+            n = int(row[f"_qn{ci}"] or 0) if row else 0
+            approx = row[f"_qa{ci}"] if row else None
             for pi, p in enumerate(probs):
                 okey = (ext(g), c, p)
                 if n == 0:

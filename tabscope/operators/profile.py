@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions.aggs import agg_row
 from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
-from ..functions.stats import (kurt_bias_corrected, quantile_map, skew_bias_corrected,
-                               with_k2)
+from ..functions.stats import (kurt_bias_corrected, quantile_map, quantiles,
+                               skew_bias_corrected, with_k2)
 from ..functions.typeclass import (DATETIME_TYPES, NESTED_TYPES, categorical_columns,
                                    is_numeric_type, numeric_columns)
 
@@ -270,11 +270,12 @@ def numeric_summary_all(df: DataFrame, cols: list[str] | None = None) -> DataFra
     if not cols:
         return _empty(df, ddl)
     norm = normalize_missing(df.select(*[quote(c) for c in cols]))
-    med = quantile_map(norm, cols, [0.5])
     x = {c: _col(c).cast("double") for c in cols}
-    r = agg_row(norm, [e for i, c in enumerate(cols) for e in (
+    q = quantiles(norm, cols, [0.5], extra=[e for i, c in enumerate(cols) for e in (
         (f"a{i}", F.avg(x[c]), 2), (f"lo{i}", F.min(x[c]), 1), (f"hi{i}", F.max(x[c]), 1))])
-    rows = [(i, c, r[f"a{i}"], med[c][0], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)]
+    r = q.get("__extra__") or {}
+    rows = [(i, c, r.get(f"a{i}"), q[(None, c, 0.5)], r.get(f"lo{i}"), r.get(f"hi{i}"))
+            for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, ddl)
 
 

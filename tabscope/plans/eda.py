@@ -65,11 +65,12 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
 
     ranges: dict = {}
     if nums:
-        st = agg_row(df, [e for i, c in enumerate(nums) for e in (
-            (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
-            (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
-            (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))])
-        q = quantiles(df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75])
+        q = quantiles(df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75],
+                      extra=[e for i, c in enumerate(nums) for e in (
+                          (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
+                          (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
+                          (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))])
+        st = q["__extra__"]
         quart = {c: (q[(None, c, 0.25)], q[(None, c, 0.5)], q[(None, c, 0.75)]) for c in nums}
         ranges = {c: (st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(nums)}
         parts["numeric_summary"] = spark.createDataFrame(
