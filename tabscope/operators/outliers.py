@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import agg_row
 from ..functions.missing import missing_safe, normalize_missing, quote
-from ..functions.stats import quantile_map
+from ..functions.stats import quantile_map, quantiles
 from ..functions.typeclass import categorical_columns, numeric_columns
 
 # Name fragments of measures that must not be negative.
@@ -86,10 +86,23 @@ def outliers_zscore(df: DataFrame, col: str, threshold: float = 3.0) -> DataFram
     return df.select(x.alias("value")).filter(zscore_predicate(F.col("value"), st, threshold))
 
 
-def outlier_flags(df: DataFrame, col: str, iforest: bool = False, seed: int = 42) -> DataFrame:
+def column_outlier_stats(df: DataFrame, col: str, k: float = 1.5) -> dict:
+    """Quartiles, median, IQR fences, mean and population std of one column from a
+    single quantile run (mean and std ride along in its first pass)."""
+    x = _x(df, col)
+    q = quantiles(normalize_missing(df.select(quote(col))), [col], [0.25, 0.5, 0.75],
+                  extra=[("_mu", F.avg(x), 2), ("_sd", F.stddev_pop(x), 3)])
+    q1, med, q3 = q[(None, col, 0.25)], q[(None, col, 0.5)], q[(None, col, 0.75)]
+    ex = q["__extra__"]
+    bounds = (None, None, None, None) if q1 is None else (q1, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    return {"bounds": bounds, "median": med, "z": (ex["_mu"], ex["_sd"])}
+
+
+def outlier_flags(df: DataFrame, col: str, iforest: bool = False, seed: int = 42,
+                  stats: dict | None = None) -> DataFrame:
     """Row-level flags ``is_iqr``, ``is_z`` (and ``is_iforest``), and ``is_any``."""
-    b = iqr_bounds(df, [col])[col]
-    st = zscore_stats(df, [col])[col]
+    stats = stats or column_outlier_stats(df, col)
+    b, st = stats["bounds"], stats["z"]
     x = _x(df, col)
     out = df.withColumn("is_iqr", iqr_predicate(x, b)).withColumn("is_z", zscore_predicate(x, st))
     any_flag = F.col("is_iqr") | F.col("is_z")

@@ -78,9 +78,9 @@ def cleaning_suggestions(df: DataFrame) -> DataFrame:
 def column_report(df: DataFrame, col: str, iforest: bool = False) -> DataFrame:
     """One-row statistical and anomaly report of a numeric column (M6)."""
     df = normalize_missing(df)
-    x = missing_safe(df, col).cast("double")
-    med = quantile_map(df.select(x.alias("x")), ["x"], [0.5])["x"][0]
-    flags = outliers.outlier_flags(df, col, iforest=iforest)
+    stats = outliers.column_outlier_stats(df, col)
+    med = stats["median"]
+    flags = outliers.outlier_flags(df, col, iforest=iforest, stats=stats)
     xf = missing_safe(flags, col).cast("double")
     sd = F.stddev_pop(xf)
     agg = flags.agg(
