@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import agg_row
-from ..functions.missing import is_missing, missing_safe, normalize_missing
+from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
+from ..functions.stats import quantiles
 from ..functions.typeclass import NESTED_TYPES, categorical_columns, numeric_columns
 from ..operators.detect import ID_HINTS, TIME_HINTS, _named, parse_status
-from ..operators.outliers import NON_NEGATIVE_HINTS, iqr_bounds, iqr_predicate, strip_ws
+from ..operators.outliers import NON_NEGATIVE_HINTS, iqr_predicate, strip_ws
 from ..operators.profile import duplicate_count, value_counts_long
 from .findings import finding, findings_frame
 
@@ -32,18 +33,28 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15)
     nums = numeric_columns(df)
     cats = categorical_columns(df)
     negs = [c for c in nums if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
-    bounds = iqr_bounds(df, nums) if nums else {}
-
-    aggs = [("_n", F.count(F.lit(1)), 1)]
-    aggs += [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)]
-    aggs += [(f"neg{i}", F.count_if(missing_safe(df, c) < 0), 1) for i, c in enumerate(negs)]
-    aggs += [(f"o{i}", F.count_if(iqr_predicate(missing_safe(df, c).cast("double"), bounds[c])), 1)
-             for i, c in enumerate(nums)]
+    # pass 1 of the quartile computation also counts missing values, negatives and
+    # whitespace, so the per-column checks cost no scan of their own
+    checks = [("_n", F.count(F.lit(1)), 1)]
+    checks += [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)]
+    checks += [(f"neg{i}", F.count_if(missing_safe(df, c) < 0), 1) for i, c in enumerate(negs)]
     for i, c in enumerate(cats):
-        v = F.col(f"`{c}`")
+        v = F.col(quote(c))
         bad = v.isNotNull() & (v != strip_ws(v))
-        aggs += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
-    r = agg_row(df, aggs)
+        checks += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
+    if nums:
+        q = quantiles(df, nums, [0.25, 0.75], extra=checks)
+        r = dict(q["__extra__"])
+        bounds = {}
+        for c in nums:
+            q1, q3 = q[(None, c, 0.25)], q[(None, c, 0.75)]
+            bounds[c] = (None, None, None, None) if q1 is None else (
+                q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        r.update(agg_row(df, [(f"o{i}", F.count_if(iqr_predicate(missing_safe(df, c).cast("double"),
+                                                                    bounds[c])), 1)
+                              for i, c in enumerate(nums)]))
+    else:
+        r = agg_row(df, checks)
     n = r["_n"]
     out = []
 
