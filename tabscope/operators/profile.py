@@ -26,11 +26,6 @@ def _col(name: str) -> Column:
     return F.col(quote(name))
 
 
-def _rows(agg_row_df: DataFrame, structs: list[Column]) -> DataFrame:
-    """Turn a one-row aggregate into many rows (one struct per output row)."""
-    return agg_row_df.select(F.inline(F.array(*structs)))
-
-
 def value_key(df: DataFrame, name: str) -> Column:
     """A string key per value with pandas' equality (−0.0 equals 0.0)."""
     dt = df.schema[name].dataType

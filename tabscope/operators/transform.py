@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import best_formats, parse_mixed, to_timestamp_any
-from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
+from ..functions.missing import is_missing, missing_safe, quote
 from ..functions.stats import quantile_map
 from ..functions.typeclass import is_numeric_type
-from .profile import mode_value, top_values, value_counts
+from .profile import mode_value, top_values
 
 
 def _col(name: str) -> Column:

@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import missing_safe, normalize_missing, quote
-from ..functions.stats import kurt_bias_corrected, quantile_map, skew_bias_corrected, with_k2
-from ..functions.typeclass import categorical_columns, is_numeric_type, numeric_columns
-from ..operators import chartdata, detect, outliers, profile, relations, timeseries
+from ..functions.missing import missing_safe, normalize_missing
+from ..functions.stats import kurt_bias_corrected, skew_bias_corrected, with_k2
+from ..functions.typeclass import is_numeric_type
+from ..operators import chartdata, detect, outliers, profile, timeseries
 from ..sources.readers import table_shape
 from .audit import audit_findings
 from .eda import eda_report
