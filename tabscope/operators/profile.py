@@ -1,10 +1,10 @@
 """Column profiling.
 
-Statistics for many columns are fused into one aggregation per table; value
-counts for many columns share one shuffle (rows are unpivoted to
-``(column, value)`` and counted once, with map-side partial aggregation, so a
-hot value is pre-aggregated before it is shuffled). Results are small long-form
-DataFrames built lazily from the one-row aggregate with ``inline``.
+Statistics for many columns are fused into one aggregation per table (split
+into chunks that stay inside generated code); value counts for many columns
+share one shuffle (rows are unpivoted to ``(column, value)`` and counted once,
+with map-side partial aggregation, so a hot value is pre-aggregated before it
+is shuffled). Results are small long-form DataFrames made from the aggregate row.
 """
 
 from __future__ import annotations
