@@ -28,10 +28,12 @@ def pareto_segments(df: DataFrame, id_col: str, value_col: str, threshold: float
     """Per entity: total, running total in (total desc, entity asc) order, running
     share of the grand total in %, and ``Top`` (≤ threshold) / ``Bottom`` (W2)."""
     totals = entity_totals(df, id_col, value_col)
-    grand = totals.agg(F.sum("total")).first()[0] or 0.0
     order = [F.col("total").desc(), F.col("entity").asc()]
     run = with_global_running_sum(totals, order, "total", out="cumulative_value", pos="rank",
                                   parts=parts)
+    # the entity table is materialised by the checkpoint above, so the grand total
+    # reads it instead of the raw data
+    grand = run.agg(F.sum("total")).first()[0] or 0.0
     pct = (F.lit(0.0) if grand == 0 else F.col("cumulative_value") / F.lit(grand) * 100.0)
     return (run.withColumn("cumulative_pct", pct)
             .withColumn("segment", F.when(F.col("cumulative_pct") <= threshold, F.lit("Top"))
