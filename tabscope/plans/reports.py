@@ -23,9 +23,11 @@ def insights_findings(df: DataFrame) -> list[tuple]:
     df = normalize_missing(df)
     out = []
     shape = table_shape(df).first()
-    out.append(finding("shape", None, "rows", "info", shape["rows"], f"{shape['rows']} rows"))
+    n = shape["rows"]
+    out.append(finding("shape", None, "rows", "info", n, f"{n} rows"))
     out.append(finding("shape", None, "columns", "info", shape["columns"], f"{shape['columns']} columns"))
-    for r in profile.table_summary(df).collect():
+    summary = profile.table_summary(df).collect()          # one row per column
+    for r in summary:
         out.append(finding("columns", r["column_name"], "summary", "info", r["unique_values"],
                            r["description"]))
     t = detect.detect_time_column(df).collect()
@@ -36,11 +38,13 @@ def insights_findings(df: DataFrame) -> list[tuple]:
                            f"{s['start']:%Y-%m-%d} to {s['end']:%Y-%m-%d}" if s["start"] else None))
     else:
         out.append(finding("time", None, "time_span", "info", None, "no time column detected"))
-    idc = detect.id_column_name(df)
+    # ID detection (R1) and granularity (A29) reuse the distinct counts of the summary
+    unique = {r["column_name"]: r["unique_values"] for r in summary}
+    idc = next((c for c in df.columns if c in unique and any(h in c.lower() for h in detect.ID_HINTS)
+                and n and unique[c] / n > 0.8), None)
     if idc:
-        g = profile.granularity(df, idc).first()
-        out.append(finding("granularity", idc, "granularity", "info", g["unique_values"],
-                           g["granularity"]))
+        label = "one row per id" if unique[idc] == n else "several rows per id"
+        out.append(finding("granularity", idc, "granularity", "info", unique[idc], label))
     else:
         out.append(finding("granularity", None, "granularity", "info", None, "no ID column detected"))
     return out
