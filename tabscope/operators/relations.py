@@ -31,7 +31,15 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(F.count(xs) >= 2, r)
 
 
-def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def corr_pre_aggregates(df: DataFrame, cols: list[str]) -> list:
+    """The first-pass statistics ``corr_matrix`` needs (can ride along in another pass)."""
+    xs = [_x(df, c) for c in cols]
+    return [e for i in range(len(cols)) for e in (
+        (f"_cm{i}", F.count_if(xs[i].isNull()), 1), (f"_ca{i}", F.avg(xs[i]), 2),
+        (f"_cs{i}", F.stddev_pop(xs[i]), 3))] + [("_cn", F.count(F.lit(1)), 1)]
+
+
+def corr_matrix(df: DataFrame, cols: list[str] | None = None, pre: dict | None = None) -> DataFrame:
     """Long-form correlation matrix ``(col_a, col_b, r)`` for every ordered pair of
     numeric columns (booleans excluded); empty with fewer than two columns.
 
@@ -48,12 +56,10 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return spark.createDataFrame([], schema)
     m = len(cols)
     xs = [_x(df, c) for c in cols]
-    pre = agg_row(df, [e for i in range(m) for e in (
-        (f"m{i}", F.count_if(xs[i].isNull()), 1), (f"a{i}", F.avg(xs[i]), 2),
-        (f"s{i}", F.stddev_pop(xs[i]), 3))] + [("n", F.count(F.lit(1)), 1)])
-    mean = [pre[f"a{i}"] or 0.0 for i in range(m)]
-    has_null = [pre[f"m{i}"] > 0 for i in range(m)]
-    constant = [not pre[f"s{i}"] for i in range(m)]
+    pre = pre or agg_row(df, corr_pre_aggregates(df, cols))
+    mean = [pre[f"_ca{i}"] or 0.0 for i in range(m)]
+    has_null = [pre[f"_cm{i}"] > 0 for i in range(m)]
+    constant = [not pre[f"_cs{i}"] for i in range(m)]
     d = [xs[i] - F.lit(mean[i]) for i in range(m)]
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
     named = []
@@ -71,7 +77,7 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                       (f"yy{i}_{j}", F.sum(dj * dj), 1)]
         named.append((f"p{i}_{j}", F.sum(d[i] * d[j]), 1))
     sums = agg_row(df, named) if named else {}
-    n_all = pre["n"]
+    n_all = pre["_cn"]
 
     def r_of(i: int, j: int):
         if constant[i] or constant[j]:

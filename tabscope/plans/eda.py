@@ -69,7 +69,8 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
                       extra=[e for i, c in enumerate(nums) for e in (
                           (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
                           (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
-                          (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))])
+                          (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))]
+                      + (relations.corr_pre_aggregates(df, nums) if len(nums) >= 2 else []))
         st = q["__extra__"]
         quart = {c: (q[(None, c, 0.25)], q[(None, c, 0.5)], q[(None, c, 0.75)]) for c in nums}
         ranges = {c: (st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(nums)}
@@ -93,7 +94,7 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
 
     pairs: list = []
     if len(nums) >= 2:
-        cm = relations.corr_matrix(df, nums)
+        cm = relations.corr_matrix(df, nums, pre=st)
         rows = [r for r in cm.collect() if r["pos_a"] < r["pos_b"] and r["r"] is not None and abs(r["r"]) < 1]
         rows.sort(key=lambda r: (-abs(r["r"]), r["pos_a"], r["pos_b"]))
         pairs = [(r["col_a"], r["col_b"]) for r in rows[:top_pairs]]
