@@ -18,15 +18,21 @@ Random numbers differ from scikit-learn, so results are checked by properties
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import missing_safe
 
+# The tree builder and the scorer run in Python workers. Pickling this module's
+# functions by value means executors need only numpy and pandas, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER_GAMMA = 0.5772156649
 
 
