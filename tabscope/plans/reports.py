@@ -56,22 +56,29 @@ def insights_report(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ M3 cleaning suggestions
 
-def cleaning_suggestions(df: DataFrame) -> DataFrame:
+def cleaning_suggestions(df: DataFrame, audit_rows: list[tuple] | None = None) -> DataFrame:
     """Suggested actions: impute per missing column (median/mean for numbers,
-    mode/'Unknown' otherwise) and removal of duplicate rows."""
+    mode/'Unknown' otherwise) and removal of duplicate rows. With the audit's
+    findings at hand (``audit_rows``) nothing is scanned again."""
     df = normalize_missing(df)
-    miss = profile.missing_summary(df).collect()
     kinds = {f.name: is_numeric_type(f.dataType, include_bool=True) for f in df.schema.fields}
+    if audit_rows is None:
+        miss = [(r["column_name"], r["missing_count"]) for r in profile.missing_summary(df).collect()]
+        dup = profile.duplicate_count(df).first()[0]
+    else:
+        miss = []
+        for sec, col, check, _, metric, detail in audit_rows:
+            if sec == "missing" and check == "missing_values" and col is not None:
+                miss.append((col, int(detail.split(" ", 1)[0])))
+        dup = int(next(m for sec, _, check, _, m, _ in audit_rows if check == "duplicate_rows"))
     out = []
     if not miss:
         out.append(finding("cleaning", None, "missing_values", "success", 0, "nothing to impute"))
-    for r in miss:
-        c = r["column_name"]
+    for c, k in miss:
         if kinds[c]:
-            out.append(finding("cleaning", c, "impute", "info", r["missing_count"], "median or mean"))
+            out.append(finding("cleaning", c, "impute", "info", k, "median or mean"))
         else:
-            out.append(finding("cleaning", c, "impute", "info", r["missing_count"], "mode or 'Unknown'"))
-    dup = profile.duplicate_count(df).first()[0]
+            out.append(finding("cleaning", c, "impute", "info", k, "mode or 'Unknown'"))
     out.append(finding("cleaning", None, "duplicates", "warning" if dup > 0 else "success", dup,
                        "remove duplicate rows" if dup > 0 else "no duplicate rows"))
     return findings_frame(df.sparkSession, out)
@@ -116,10 +123,10 @@ def column_report_parts(df: DataFrame, col: str, iforest: bool = False) -> dict:
 
 # ------------------------------------------------------------------ M4 exploratory analysis
 
-def eda_findings(df: DataFrame) -> DataFrame:
+def eda_findings(df: DataFrame, parts: dict | None = None) -> DataFrame:
     """A findings view of the exploratory analysis: four-number summaries, the
     most common value of each text column and the top correlated pairs."""
-    parts = eda_report(df)
+    parts = eda_report(df) if parts is None else parts
     out = []
     if "numeric_summary" in parts:
         for r in parts["numeric_summary"].collect():
@@ -166,12 +173,14 @@ def time_analysis(df: DataFrame) -> dict:
 # ------------------------------------------------------------------ M7 one click
 
 def one_click_report(df: DataFrame) -> dict:
-    """Audit → insights → cleaning → exploratory → time-based, in that order (M7)."""
+    """Audit → insights → cleaning → exploratory → time-based, in that order (M7).
+    The cleaning suggestions reuse the audit's counts."""
     df = normalize_missing(df)
     spark = df.sparkSession
-    return {"audit": findings_frame(spark, audit_findings(df)),
+    audit_rows = audit_findings(df)
+    return {"audit": findings_frame(spark, audit_rows),
             "insights": insights_report(df),
-            "cleaning": cleaning_suggestions(df),
+            "cleaning": cleaning_suggestions(df, audit_rows),
             "eda": eda_report(df),
             "time": time_analysis(df)}
 
@@ -180,7 +189,7 @@ def one_click_findings(df: DataFrame) -> DataFrame:
     """The text sections of the one-click report as one findings table."""
     rep = one_click_report(df)
     out = rep["audit"].unionByName(rep["insights"]).unionByName(rep["cleaning"])
-    out = out.unionByName(eda_findings(df))
+    out = out.unionByName(eda_findings(df, rep["eda"]))
     ts = rep["time"]
     if ts:
         daily = ts["daily"]
