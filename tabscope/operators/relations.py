@@ -39,7 +39,79 @@ def corr_pre_aggregates(df: DataFrame, cols: list[str]) -> list:
         (f"_cs{i}", F.stddev_pop(xs[i]), 3))] + [("_cn", F.count(F.lit(1)), 1)]
 
 
-def corr_matrix(df: DataFrame, cols: list[str] | None = None, pre: dict | None = None) -> DataFrame:
+class PairSums:
+    """Mean-shifted sums of every column pair from two codegen-friendly scans; gives
+    Pearson r and the least-squares line of any pair without another pass."""
+
+    def __init__(self, df: DataFrame, cols: list[str], pre: dict | None = None):
+        self.cols = cols
+        m = len(cols)
+        xs = [_x(df, c) for c in cols]
+        pre = pre or agg_row(df, corr_pre_aggregates(df, cols))
+        self.mean = [pre[f"_ca{i}"] or 0.0 for i in range(m)]
+        self.has_null = [pre[f"_cm{i}"] > 0 for i in range(m)]
+        self.constant = [not pre[f"_cs{i}"] for i in range(m)]
+        self.n_all = pre["_cn"]
+        d = [xs[i] - F.lit(self.mean[i]) for i in range(m)]
+        named = []
+        for i in range(m):
+            if not self.has_null[i]:
+                named += [(f"sx{i}", F.sum(d[i]), 1), (f"sxx{i}", F.sum(d[i] * d[i]), 1)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                if self.constant[i] or self.constant[j]:
+                    continue
+                if self.has_null[i] or self.has_null[j]:
+                    both = xs[i].isNotNull() & xs[j].isNotNull()
+                    di, dj = F.when(both, d[i]), F.when(both, d[j])
+                    named += [(f"n{i}_{j}", F.count(di), 1), (f"x{i}_{j}", F.sum(di), 1),
+                              (f"y{i}_{j}", F.sum(dj), 1), (f"xx{i}_{j}", F.sum(di * di), 1),
+                              (f"yy{i}_{j}", F.sum(dj * dj), 1)]
+                named.append((f"p{i}_{j}", F.sum(d[i] * d[j]), 1))
+        self.sums = agg_row(df, named) if named else {}
+
+    def _moments(self, i: int, j: int):
+        """(n, sx, sy, sxx, syy, sxy) over the pairwise-complete rows, shifted by the means."""
+        s, (a, b) = self.sums, (min(i, j), max(i, j))
+        if self.constant[a] or self.constant[b]:
+            return None
+        if self.has_null[a] or self.has_null[b]:
+            n, sa, sb = s[f"n{a}_{b}"], s[f"x{a}_{b}"], s[f"y{a}_{b}"]
+            saa, sbb = s[f"xx{a}_{b}"], s[f"yy{a}_{b}"]
+        else:
+            n, sa, sb, saa, sbb = self.n_all, s[f"sx{a}"], s[f"sx{b}"], s[f"sxx{a}"], s[f"sxx{b}"]
+        if not n or n < 2 or sa is None:
+            return None
+        sab = s[f"p{a}_{b}"]
+        return (n, sa, sb, saa, sbb, sab) if i < j else (n, sb, sa, sbb, saa, sab)
+
+    def r(self, i: int, j: int):
+        mo = self._moments(i, j)
+        if mo is None:
+            return None
+        n, sx, sy, sxx, syy, sxy = mo
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        if vx <= 0 or vy <= 0:
+            return None
+        return (sxy - sx * sy / n) / math.sqrt(vx * vy)
+
+    def line(self, i: int, j: int):
+        """(slope, intercept, r², n) of column j on column i, or None."""
+        mo = self._moments(i, j)
+        if mo is None:
+            return None
+        n, sx, sy, sxx, syy, sxy = mo
+        vx = sxx - sx * sx / n
+        if vx <= 0:
+            return None
+        slope = (sxy - sx * sy / n) / vx
+        mx, my = self.mean[i] + sx / n, self.mean[j] + sy / n
+        r = self.r(i, j)
+        return slope, my - slope * mx, None if r is None else r * r, n
+
+
+def corr_matrix(df: DataFrame, cols: list[str] | None = None, pre: dict | None = None,
+                sums: PairSums | None = None) -> DataFrame:
     """Long-form correlation matrix ``(col_a, col_b, r)`` for every ordered pair of
     numeric columns (booleans excluded); empty with fewer than two columns.
 
@@ -54,54 +126,13 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, pre: dict | None =
     schema = "pos_a int, col_a string, pos_b int, col_b string, r double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    m = len(cols)
-    xs = [_x(df, c) for c in cols]
-    pre = pre or agg_row(df, corr_pre_aggregates(df, cols))
-    mean = [pre[f"_ca{i}"] or 0.0 for i in range(m)]
-    has_null = [pre[f"_cm{i}"] > 0 for i in range(m)]
-    constant = [not pre[f"_cs{i}"] for i in range(m)]
-    d = [xs[i] - F.lit(mean[i]) for i in range(m)]
-    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    named = []
-    for i in range(m):
-        if not has_null[i]:
-            named += [(f"sx{i}", F.sum(d[i]), 1), (f"sxx{i}", F.sum(d[i] * d[i]), 1)]
-    for i, j in pairs:
-        if constant[i] or constant[j]:
-            continue
-        if has_null[i] or has_null[j]:
-            both = xs[i].isNotNull() & xs[j].isNotNull()
-            di, dj = F.when(both, d[i]), F.when(both, d[j])
-            named += [(f"n{i}_{j}", F.count(di), 1), (f"x{i}_{j}", F.sum(di), 1),
-                      (f"y{i}_{j}", F.sum(dj), 1), (f"xx{i}_{j}", F.sum(di * di), 1),
-                      (f"yy{i}_{j}", F.sum(dj * dj), 1)]
-        named.append((f"p{i}_{j}", F.sum(d[i] * d[j]), 1))
-    sums = agg_row(df, named) if named else {}
-    n_all = pre["_cn"]
-
-    def r_of(i: int, j: int):
-        if constant[i] or constant[j]:
-            return None
-        if has_null[i] or has_null[j]:
-            n = sums[f"n{i}_{j}"]
-            sx, sy = sums[f"x{i}_{j}"], sums[f"y{i}_{j}"]
-            sxx, syy = sums[f"xx{i}_{j}"], sums[f"yy{i}_{j}"]
-        else:
-            n = n_all
-            sx, sy, sxx, syy = sums[f"sx{i}"], sums[f"sx{j}"], sums[f"sxx{i}"], sums[f"sxx{j}"]
-        if not n or n < 2 or sx is None:
-            return None
-        sxy = sums[f"p{i}_{j}"]
-        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-        if vx <= 0 or vy <= 0:
-            return None
-        return (sxy - sx * sy / n) / math.sqrt(vx * vy)
-
+    ps = sums or PairSums(df, cols, pre)
     rows = []
-    for i, j in pairs:
-        r = r_of(i, j)
-        rows += [(i, cols[i], j, cols[j], r), (j, cols[j], i, cols[i], r)]
-    rows += [(i, c, i, c, None if constant[i] else 1.0) for i, c in enumerate(cols)]
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            r = ps.r(i, j)
+            rows += [(i, cols[i], j, cols[j], r), (j, cols[j], i, cols[i], r)]
+    rows += [(i, c, i, c, None if ps.constant[i] else 1.0) for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, schema)
 
 

@@ -21,7 +21,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggs import agg_row
 from ..functions.missing import missing_safe, normalize_missing, quote
 from ..functions.stats import quantiles
 from ..functions.typeclass import categorical_columns, numeric_columns
@@ -94,24 +93,22 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
 
     pairs: list = []
     if len(nums) >= 2:
-        cm = relations.corr_matrix(df, nums, pre=st)
+        sums = relations.PairSums(df, nums, pre=st)
+        cm = relations.corr_matrix(df, nums, sums=sums)
         rows = [r for r in cm.collect() if r["pos_a"] < r["pos_b"] and r["r"] is not None and abs(r["r"]) < 1]
         rows.sort(key=lambda r: (-abs(r["r"]), r["pos_a"], r["pos_b"]))
-        pairs = [(r["col_a"], r["col_b"]) for r in rows[:top_pairs]]
+        top = rows[:top_pairs]
+        pairs = [(r["col_a"], r["col_b"]) for r in top]
         parts["corr_matrix"] = cm
         parts["top_corr_pairs"] = spark.createDataFrame(
-            [(r["col_a"], r["col_b"], r["r"], abs(r["r"])) for r in rows[:top_pairs]],
+            [(r["col_a"], r["col_b"], r["r"], abs(r["r"])) for r in top],
             "col_a string, col_b string, r double, abs_r double")
         if pairs:
-            tr = agg_row(df, [e for i, (a, b) in enumerate(pairs) for e in (
-                (f"s{i}", F.regr_slope(missing_safe(df, b).cast("double"), missing_safe(df, a).cast("double")), 5),
-                (f"c{i}", F.regr_intercept(missing_safe(df, b).cast("double"),
-                                           missing_safe(df, a).cast("double")), 5),
-                (f"r{i}", F.regr_r2(missing_safe(df, b).cast("double"), missing_safe(df, a).cast("double")), 6),
-                (f"n{i}", F.regr_count(missing_safe(df, b).cast("double"), missing_safe(df, a).cast("double")), 1))])
+            # trend lines come from the same sums: no extra pass
+            lines = [(r["col_a"], r["col_b"], *(sums.line(r["pos_a"], r["pos_b"]) or (None,) * 4))
+                     for r in top]
             parts["trends"] = spark.createDataFrame(
-                [(a, b, tr[f"s{i}"], tr[f"c{i}"], tr[f"r{i}"], tr[f"n{i}"]) for i, (a, b) in enumerate(pairs)],
-                "x string, y string, slope double, intercept double, r2 double, n bigint")
+                lines, "x string, y string, slope double, intercept double, r2 double, n bigint")
             parts["scatter"] = chartdata.density_pairs(df, pairs, bins, ranges)
 
     if cats and nums:
