@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import best_formats
+from ..functions.dates import best_formats, fully_parsing
 from ..functions.missing import missing_safe
 from ..functions.typeclass import (DATETIME_TYPES, NESTED_TYPES, categorical_columns,
                                    numeric_columns)
@@ -99,9 +99,14 @@ def detect_time_column(df: DataFrame) -> DataFrame:
     """A column named like a date/time whose values all parse, else the first
     text column that fully parses."""
     named = _named(df.columns, TIME_HINTS)
-    others = [c for c in categorical_columns(df) if c not in named]
-    st = parse_status(df, named + others)
-    pick = next((c for c in named if st[c][0]), None) or next((c for c in others if st[c][0]), None)
+    st = parse_status(df, named)
+    pick = next((c for c in named if st[c][0]), None)
+    if pick is None:
+        others = [c for c in categorical_columns(df) if c not in named]
+        full = fully_parsing(df, others)
+        pick = next((c for c in others if full[c] is not None), None)
+        if pick is not None:
+            st[pick] = (True, full[pick], 0)
     return _pick(df, pick, st)
 
 
@@ -156,8 +161,7 @@ def detect_category_column(df: DataFrame, lo: int = 2, hi: int = 20, fallback: b
 def datetime_candidates(df: DataFrame) -> DataFrame:
     """Datetime-typed or date/time-named columns, plus text columns that fully parse."""
     named = set(_named(df.columns, TIME_HINTS))
-    text = [c for c in categorical_columns(df)]
-    st = parse_status(df, text)
+    full = fully_parsing(df, [c for c in categorical_columns(df) if c not in named])
     rows = []
     for i, f in enumerate(df.schema.fields):
         c = f.name
@@ -165,7 +169,7 @@ def datetime_candidates(df: DataFrame) -> DataFrame:
             rows.append((i, c, "datetime type"))
         elif c in named:
             rows.append((i, c, "name"))
-        elif c in st and st[c][0]:
+        elif full.get(c) is not None:
             rows.append((i, c, "parses"))
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, reason string")
 
