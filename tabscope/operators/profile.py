@@ -382,7 +382,7 @@ def column_modes(df: DataFrame, cols: list[str], vc: DataFrame | None = None) ->
             .groupBy("column_name").agg(F.min("value").alias("mode")))
 
 
-def table_summary(df: DataFrame) -> DataFrame:
+def table_summary(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
     """Per column (A10): type, distinct count, missing %, and a description —
     numeric: mean and sample std; datetime: first and last; otherwise the mode."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
@@ -413,12 +413,15 @@ def table_summary(df: DataFrame) -> DataFrame:
         rows, "position int, column_name string, data_type string, kind string, missing_pct double, "
               "mean double, std double, first string, last string")
     # one value-count shuffle serves both the distinct counts and the modes
-    vc = value_counts_long(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    own = vc is None
+    vc = (value_counts_long(df, names).persist(StorageLevel.MEMORY_AND_DISK) if own
+          else vc.filter(F.col("column_name").isin(names)))
     dc = {r["column_name"]: r["n"] for r in
           vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per column
     cat_cols = [c for c in names if kinds[c] == "categorical"]
     modes = {r["column_name"]: r["mode"] for r in column_modes(df, cat_cols, vc).collect()} if cat_cols else {}
-    vc.unpersist()
+    if own:
+        vc.unpersist()
     out = per_col.join(df.sparkSession.createDataFrame(
         [(c, dc.get(c, 0), modes.get(c)) for c in names],
         "column_name string, unique_values bigint, mode string"), "column_name")

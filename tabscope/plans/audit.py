@@ -27,7 +27,9 @@ def _fmt(x: float) -> str:
     return f"{x:.1f}"
 
 
-def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15) -> list[tuple]:
+def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
+                   vc: DataFrame | None = None) -> list[tuple]:
+    """Findings rows; ``vc`` is an optional shared value-count table (``value_counts_long``)."""
     df = normalize_missing(df)
     cols = df.columns
     nums = numeric_columns(df)
@@ -75,7 +77,9 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15)
     wanted = list(dict.fromkeys(id_cands + cats))
     stats = {}
     if wanted:
-        vc = value_counts_long(df, wanted).persist(StorageLevel.MEMORY_AND_DISK)
+        own = vc is None
+        vc = (value_counts_long(df, wanted).persist(StorageLevel.MEMORY_AND_DISK) if own
+              else vc.filter(F.col("column_name").isin(wanted)))
         per_col = (vc.groupBy("column_name")
                    .agg(F.count(F.lit(1)).alias("nunique"), F.sum(F.col("count") - 1).alias("dups"))
                    .collect())
@@ -85,7 +89,8 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15)
             .groupBy("column_name", F.lower("value").alias("lv")).agg(F.count(F.lit(1)).alias("k"))
             .filter(F.col("k") > 1).groupBy("column_name").agg(F.count(F.lit(1)).alias("groups"))
             .collect())}
-        vc.unpersist()
+        if own:
+            vc.unpersist()
     else:
         collisions = {}
     id_col = None

@@ -53,7 +53,7 @@ def _category_tables(vc: DataFrame, k_bars: int, k_pie: int) -> dict:
 
 
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
-               bins: int = 30) -> dict:
+               bins: int = 30, vc: DataFrame | None = None) -> dict:
     """Parts of the exploratory analysis as DataFrames (long form, one table per
     chart kind with a ``column_name`` column)."""
     df = normalize_missing(df)
@@ -82,7 +82,8 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
     distinct: dict = {}
     tops: dict = {}
     if cats:
-        vc = value_counts_long(df, cats).persist(StorageLevel.MEMORY_AND_DISK)
+        vc = (value_counts_long(df, cats).persist(StorageLevel.MEMORY_AND_DISK) if vc is None
+              else vc.filter(F.col("column_name").isin(cats)))
         tables = _category_tables(vc, max_bars, max_slices)
         parts["value_counts"] = tables["top"].filter(F.col("rank") <= max_bars)
         parts["bars"] = tables["bars"]

@@ -4,12 +4,13 @@ acts on it, and text findings are built from small aggregate results only."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import missing_safe, normalize_missing
 from ..functions.stats import kurt_bias_corrected, skew_bias_corrected, with_k2
-from ..functions.typeclass import is_numeric_type
+from ..functions.typeclass import NESTED_TYPES, is_numeric_type
 from ..operators import chartdata, detect, outliers, profile, timeseries
 from ..sources.readers import table_shape
 from .audit import audit_findings
@@ -19,14 +20,14 @@ from .findings import finding, findings_frame
 
 # ------------------------------------------------------------------ M2 insights
 
-def insights_findings(df: DataFrame) -> list[tuple]:
+def insights_findings(df: DataFrame, vc: DataFrame | None = None) -> list[tuple]:
     df = normalize_missing(df)
     out = []
     shape = table_shape(df).first()
     n = shape["rows"]
     out.append(finding("shape", None, "rows", "info", n, f"{n} rows"))
     out.append(finding("shape", None, "columns", "info", shape["columns"], f"{shape['columns']} columns"))
-    summary = profile.table_summary(df).collect()          # one row per column
+    summary = profile.table_summary(df, vc).collect()      # one row per column
     for r in summary:
         out.append(finding("columns", r["column_name"], "summary", "info", r["unique_values"],
                            r["description"]))
@@ -50,8 +51,8 @@ def insights_findings(df: DataFrame) -> list[tuple]:
     return out
 
 
-def insights_report(df: DataFrame) -> DataFrame:
-    return findings_frame(df.sparkSession, insights_findings(df))
+def insights_report(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
+    return findings_frame(df.sparkSession, insights_findings(df, vc))
 
 
 # ------------------------------------------------------------------ M3 cleaning suggestions
@@ -177,17 +178,22 @@ def one_click_report(df: DataFrame) -> dict:
     The cleaning suggestions reuse the audit's counts."""
     df = normalize_missing(df)
     spark = df.sparkSession
-    audit_rows = audit_findings(df)
+    # one value-count shuffle over all columns serves the audit, the summary and the EDA
+    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
+    vc = profile.value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    audit_rows = audit_findings(df, vc=vc)
     return {"audit": findings_frame(spark, audit_rows),
-            "insights": insights_report(df),
+            "insights": insights_report(df, vc),
             "cleaning": cleaning_suggestions(df, audit_rows),
-            "eda": eda_report(df),
-            "time": time_analysis(df)}
+            "eda": eda_report(df, vc=vc),
+            "time": time_analysis(df),
+            "value_counts_core": vc}
 
 
 def one_click_findings(df: DataFrame) -> DataFrame:
     """The text sections of the one-click report as one findings table."""
     rep = one_click_report(df)
+    vc = rep["value_counts_core"]
     out = rep["audit"].unionByName(rep["insights"]).unionByName(rep["cleaning"])
     out = out.unionByName(eda_findings(df, rep["eda"]))
     ts = rep["time"]
@@ -197,4 +203,6 @@ def one_click_findings(df: DataFrame) -> DataFrame:
         out = out.unionByName(findings_frame(df.sparkSession, [
             finding("time", None, "daily_points", "info", s["days"], None),
             finding("time", None, "daily_mean", "info", s["m"], None)]))
+    # every section above is built from collected summaries, so the shared table can go
+    vc.unpersist()
     return out
