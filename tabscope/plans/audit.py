@@ -27,25 +27,37 @@ def _fmt(x: float) -> str:
     return f"{x:.1f}"
 
 
+def audit_checks(df: DataFrame) -> list:
+    """The audit's per-column aggregates (missing, negatives, whitespace); they can
+    ride along in another pass over the table (``quantiles(..., extra=...)``)."""
+    cols = df.columns
+    negs = [c for c in numeric_columns(df) if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
+    checks = [("_n", F.count(F.lit(1)), 1)]
+    checks += [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)]
+    checks += [(f"neg{i}", F.count_if(missing_safe(df, c) < 0), 1) for i, c in enumerate(negs)]
+    for i, c in enumerate(categorical_columns(df)):
+        v = F.col(quote(c))
+        bad = v.isNotNull() & (v != strip_ws(v))
+        checks += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
+    return checks
+
+
 def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
-                   vc: DataFrame | None = None) -> list[tuple]:
-    """Findings rows; ``vc`` is an optional shared value-count table (``value_counts_long``)."""
+                   vc: DataFrame | None = None, numeric: dict | None = None) -> list[tuple]:
+    """Findings rows. ``vc`` is an optional shared value-count table
+    (``value_counts_long``); ``numeric`` an optional shared quantile result for all
+    numeric columns whose ``__extra__`` holds ``audit_checks(df)``."""
     df = normalize_missing(df)
     cols = df.columns
     nums = numeric_columns(df)
     cats = categorical_columns(df)
     negs = [c for c in nums if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
+
     # pass 1 of the quartile computation also counts missing values, negatives and
     # whitespace, so the per-column checks cost no scan of their own
-    checks = [("_n", F.count(F.lit(1)), 1)]
-    checks += [(f"m{i}", F.count_if(is_missing(df, c)), 1) for i, c in enumerate(cols)]
-    checks += [(f"neg{i}", F.count_if(missing_safe(df, c) < 0), 1) for i, c in enumerate(negs)]
-    for i, c in enumerate(cats):
-        v = F.col(quote(c))
-        bad = v.isNotNull() & (v != strip_ws(v))
-        checks += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
+    checks = audit_checks(df)
     if nums:
-        q = quantiles(df, nums, [0.25, 0.75], extra=checks)
+        q = numeric if numeric is not None else quantiles(df, nums, [0.25, 0.75], extra=checks)
         r = dict(q["__extra__"])
         bounds = {}
         for c in nums:

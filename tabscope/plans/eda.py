@@ -52,8 +52,18 @@ def _category_tables(vc: DataFrame, k_bars: int, k_pie: int) -> dict:
     return {"top": top, "bars": bars, "pie": pie, "per_col": per_col}
 
 
+def eda_numeric_extras(df: DataFrame, nums: list[str]) -> list:
+    """Plain statistics the EDA needs per numeric column (mean, min, max and the
+    correlation pre-pass); they ride along in the first quantile pass."""
+    return ([e for i, c in enumerate(nums) for e in (
+        (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
+        (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
+        (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))]
+        + (relations.corr_pre_aggregates(df, nums) if len(nums) >= 2 else []))
+
+
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
-               bins: int = 30, vc: DataFrame | None = None) -> dict:
+               bins: int = 30, vc: DataFrame | None = None, numeric: dict | None = None) -> dict:
     """Parts of the exploratory analysis as DataFrames (long form, one table per
     chart kind with a ``column_name`` column)."""
     df = normalize_missing(df)
@@ -64,12 +74,8 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
 
     ranges: dict = {}
     if nums:
-        q = quantiles(df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75],
-                      extra=[e for i, c in enumerate(nums) for e in (
-                          (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
-                          (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
-                          (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))]
-                      + (relations.corr_pre_aggregates(df, nums) if len(nums) >= 2 else []))
+        q = numeric if numeric is not None else quantiles(
+            df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75], extra=eda_numeric_extras(df, nums))
         st = q["__extra__"]
         quart = {c: (q[(None, c, 0.25)], q[(None, c, 0.5)], q[(None, c, 0.75)]) for c in nums}
         ranges = {c: (st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(nums)}

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import missing_safe, normalize_missing
-from ..functions.stats import kurt_bias_corrected, skew_bias_corrected, with_k2
-from ..functions.typeclass import NESTED_TYPES, is_numeric_type
+from ..functions.stats import kurt_bias_corrected, quantiles, skew_bias_corrected, with_k2
+from ..functions.typeclass import NESTED_TYPES, is_numeric_type, numeric_columns
 from ..operators import chartdata, detect, outliers, profile, timeseries
 from ..sources.readers import table_shape
-from .audit import audit_findings
-from .eda import eda_report
+from .audit import audit_checks, audit_findings
+from .eda import eda_numeric_extras, eda_report
 from .findings import finding, findings_frame
 
 
@@ -181,11 +181,16 @@ def one_click_report(df: DataFrame) -> dict:
     # one value-count shuffle over all columns serves the audit, the summary and the EDA
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
     vc = profile.value_counts_long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    audit_rows = audit_findings(df, vc=vc)
+    # one quantile run (with the audit's checks and the EDA's column statistics in
+    # its first pass) serves both sections
+    nums = numeric_columns(df)
+    numeric = (quantiles(df, nums, [0.25, 0.5, 0.75], extra=audit_checks(df) + eda_numeric_extras(df, nums))
+               if nums else None)
+    audit_rows = audit_findings(df, vc=vc, numeric=numeric)
     return {"audit": findings_frame(spark, audit_rows),
             "insights": insights_report(df, vc),
             "cleaning": cleaning_suggestions(df, audit_rows),
-            "eda": eda_report(df, vc=vc),
+            "eda": eda_report(df, vc=vc, numeric=numeric),
             "time": time_analysis(df),
             "value_counts_core": vc}
 

@@ -62,3 +62,17 @@ def test_part_table_collapses_facets(spark):
     facet_col = parts["facets"].first()["facet_column"]
     assert facet_col == "p_type"
     assert "numeric_summary" in parts and "bars" in parts
+
+
+def test_one_click_equals_standalone_reports(spark):
+    from tabscope.plans import audit_report, cleaning_suggestions, eda_findings, insights_report
+    from tabscope.plans.reports import one_click_findings
+    ev = table(spark, "events")
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+
+    combined = rows(one_click_findings(ev).filter("check NOT IN ('daily_points', 'daily_mean')"))
+    parts = (audit_report(ev).unionByName(insights_report(ev)).unionByName(cleaning_suggestions(ev))
+             .unionByName(eda_findings(ev)))
+    assert combined == rows(parts)
