@@ -75,31 +75,44 @@ def to_timestamp_any(df: DataFrame, name: str, fmt: str | None = None) -> Column
     return F.lit(None).cast("timestamp_ntz")
 
 
-def best_formats(df: DataFrame, names: list[str], formats: list[str] | None = None) -> dict:
-    """For each text column: the format parsing the most values, and counts.
-
-    Returns ``{name: (best_format, parsed_count, non_null_count)}`` from one
-    aggregation over all candidate columns and formats (ties: the earlier listed
-    format)."""
-    from .aggs import agg_row
+def format_count_aggregates(names: list[str], formats: list[str] | None = None,
+                            prefix: str = "_df") -> list:
+    """Named aggregates counting, per text column, the values each layout parses
+    (they can ride along in another pass; read back with ``formats_from``)."""
     formats = formats or DATE_FORMATS
     named = []
     for i, c in enumerate(names):
         col = F.col(quote(c))
-        named.append((f"n{i}", F.count(col), 1))
+        named.append((f"{prefix}n{i}", F.count(col), 1))
         for j, fmt in enumerate(formats):
-            named.append((f"p{i}_{j}", F.count(parse_with(col, fmt)), 1))
-    if not named:
-        return {}
-    r = agg_row(df, named)
+            named.append((f"{prefix}p{i}_{j}", F.count(parse_with(col, fmt)), 1))
+    return named
+
+
+def formats_from(row: dict, names: list[str], formats: list[str] | None = None,
+                 prefix: str = "_df") -> dict:
+    """``{name: (best_format, parsed_count, non_null_count)}`` from the counts."""
+    formats = formats or DATE_FORMATS
     out = {}
     for i, c in enumerate(names):
-        counts = [r[f"p{i}_{j}"] for j in range(len(formats))]
+        counts = [row[f"{prefix}p{i}_{j}"] for j in range(len(formats))]
         best = max(range(len(formats)), key=lambda j: (counts[j], -j))
-        out[c] = (formats[best], counts[best], r[f"n{i}"])
+        out[c] = (formats[best], counts[best], row[f"{prefix}n{i}"])
     return out
 
 
+def best_formats(df: DataFrame, names: list[str], formats: list[str] | None = None) -> dict:
+    """For each text column: the format parsing the most values, and counts.
+
+    Returns ``{name: (best_format, parsed_count, non_null_count)}`` from one
+    aggregation over all candidate columns and formats (ties: the earlier listed
+    format)."""
+    from .aggs import agg_row
+    if not names:
+        return {}
+    return formats_from(agg_row(df, format_count_aggregates(names, formats)), names, formats)
+
+
 def fully_parsing(df: DataFrame, names: list[str], formats: list[str] | None = None) -> dict:
     """``{name: format or None}``: a layout that parses every non-missing value.
 

@@ -127,6 +127,16 @@ def _duplicate_candidates(norm: DataFrame):
     return cand, keys
 
 
+def duplicate_count_from_hashes(df: DataFrame, vc: DataFrame) -> int:
+    """Exact duplicate-row count given a value-count table built with ``rows=True``:
+    zero when no row hash repeats (no further scan); otherwise the rows whose hash
+    repeats are compared on their full values."""
+    repeated = vc.filter((F.col("column_name") == ROW_KEY) & (F.col("count") > 1)).limit(1).count()
+    if repeated == 0:
+        return 0
+    return duplicate_count(df).first()[0]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows (A3); NULL equals NULL."""
     norm = normalize_missing(df)
@@ -200,10 +210,23 @@ def mode_value(df: DataFrame, col: str):
     return r[0] if r else None
 
 
-def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """VC core: ``(column_name, value, count)`` for many columns with one shuffle."""
+ROW_KEY = "__row__"
+
+
+def row_key(df: DataFrame) -> Column:
+    """The 128-bit row hash as text (identical rows always share it)."""
+    h1, h2 = _row_hash(df)
+    return F.concat_ws(":", h1.cast("string"), h2.cast("string"))
+
+
+def value_counts_long(df: DataFrame, cols: list[str], rows: bool = False) -> DataFrame:
+    """VC core: ``(column_name, value, count)`` for many columns with one shuffle.
+    With ``rows`` the row hash is counted too (column name ``__row__``), so the
+    same shuffle also proves the absence of duplicate rows."""
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), value_key(df, c).alias("value"))
-                        for c in cols])
+                        for c in cols]
+                      + ([F.struct(F.lit(ROW_KEY).alias("column_name"), row_key(df).alias("value"))]
+                         if rows else []))
     return (df.select(F.explode(entries).alias("e"))
             .filter(F.col("e.value").isNotNull())
             .groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("count")))

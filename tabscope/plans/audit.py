@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggs import agg_row
+from ..functions.dates import format_count_aggregates, formats_from
 from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
 from ..functions.stats import quantiles
 from ..functions.typeclass import NESTED_TYPES, categorical_columns, numeric_columns
 from ..operators.detect import ID_HINTS, TIME_HINTS, _named, parse_status
 from ..operators.outliers import NON_NEGATIVE_HINTS, iqr_predicate, strip_ws
-from ..operators.profile import duplicate_count, value_counts_long
+from ..operators.profile import ROW_KEY, duplicate_count_from_hashes, value_counts_long
 from .findings import finding, findings_frame
 
 
@@ -27,9 +29,13 @@ def _fmt(x: float) -> str:
     return f"{x:.1f}"
 
 
+def _date_text_columns(df: DataFrame) -> list[str]:
+    return [c for c in _named(df.columns, TIME_HINTS) if isinstance(df.schema[c].dataType, T.StringType)]
+
+
 def audit_checks(df: DataFrame) -> list:
-    """The audit's per-column aggregates (missing, negatives, whitespace); they can
-    ride along in another pass over the table (``quantiles(..., extra=...)``)."""
+    """The audit's per-column aggregates (missing, negatives, whitespace, date-layout
+    counts); they can ride along in another pass (``quantiles(..., extra=...)``)."""
     cols = df.columns
     negs = [c for c in numeric_columns(df) if any(h in c.lower() for h in NON_NEGATIVE_HINTS)]
     checks = [("_n", F.count(F.lit(1)), 1)]
@@ -39,7 +45,7 @@ def audit_checks(df: DataFrame) -> list:
         v = F.col(quote(c))
         bad = v.isNotNull() & (v != strip_ws(v))
         checks += [(f"w{i}", F.count_if(bad), 1), (f"we{i}", F.min(F.when(bad, v)), 1)]
-    return checks
+    return checks + format_count_aggregates(_date_text_columns(df))
 
 
 def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
@@ -81,17 +87,19 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
         out.append(finding("missing", c, "missing_values", "warning", pct, f"{k} missing ({_fmt(pct)}%)"))
 
     # 2. duplicates (rows, then IDs from the value-count table)
-    dup = duplicate_count(df).first()[0]
-    out.append(finding("duplicates", None, "duplicate_rows", "warning" if dup > 0 else "success", dup,
-                       f"{dup} duplicate rows"))
     vc_cols = [c for c in cols if not isinstance(df.schema[c].dataType, NESTED_TYPES)]
     id_cands = _named(vc_cols, ID_HINTS)
     wanted = list(dict.fromkeys(id_cands + cats))
+    # one value-count shuffle: distinct counts, duplicate IDs, case collisions and,
+    # through the row-hash entry, whether any duplicate rows exist at all
+    own = vc is None or not vc.filter(F.col("column_name") == ROW_KEY).limit(1).count()
+    full = (value_counts_long(df, wanted, rows=True).persist(StorageLevel.MEMORY_AND_DISK) if own else vc)
+    dup = duplicate_count_from_hashes(df, full)
+    out.append(finding("duplicates", None, "duplicate_rows", "warning" if dup > 0 else "success", dup,
+                       f"{dup} duplicate rows"))
     stats = {}
     if wanted:
-        own = vc is None
-        vc = (value_counts_long(df, wanted).persist(StorageLevel.MEMORY_AND_DISK) if own
-              else vc.filter(F.col("column_name").isin(wanted)))
+        vc = full.filter(F.col("column_name").isin(wanted))
         per_col = (vc.groupBy("column_name")
                    .agg(F.count(F.lit(1)).alias("nunique"), F.sum(F.col("count") - 1).alias("dups"))
                    .collect())
@@ -101,10 +109,10 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
             .groupBy("column_name", F.lower("value").alias("lv")).agg(F.count(F.lit(1)).alias("k"))
             .filter(F.col("k") > 1).groupBy("column_name").agg(F.count(F.lit(1)).alias("groups"))
             .collect())}
-        if own:
-            vc.unpersist()
     else:
         collisions = {}
+    if own:
+        full.unpersist()
     id_col = None
     for c in id_cands:
         nu = stats.get(c, (0, 0))[0]
@@ -130,7 +138,9 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
             out.append(finding("invalid", c, "iqr_outliers", "warning", r[f"o{i}"],
                                f"{r[f'o{i}']} values outside the IQR fences"))
     date_cols = _named(cols, TIME_HINTS)
-    st = parse_status(df, date_cols)
+    st = parse_status(df, [c for c in date_cols if c not in _date_text_columns(df)])
+    for c, (fmt, parsed, present) in formats_from(r, _date_text_columns(df)).items():
+        st[c] = (parsed == present, fmt, present - parsed)
     for c in date_cols:
         ok, _, failing = st[c]
         if ok:
