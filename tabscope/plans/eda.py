@@ -82,7 +82,6 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
         parts["numeric_summary"] = spark.createDataFrame(
             [(i, c, st[f"a{i}"], quart[c][1], st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(nums)],
             "position int, column_name string, mean double, median double, min double, max double")
-        parts["histograms"] = chartdata.histograms(df, nums, bins, ranges)
         parts["box_stats"] = chartdata.box_stats_many(df, nums, quart)
 
     distinct: dict = {}
@@ -99,6 +98,7 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
             tops.setdefault(r["column_name"], []).append(r["value"])
 
     pairs: list = []
+    facet_spec = None
     if len(nums) >= 2:
         sums = relations.PairSums(df, nums, pre=st)
         cm = relations.corr_matrix(df, nums, sums=sums)
@@ -116,7 +116,6 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
                      for r in top]
             parts["trends"] = spark.createDataFrame(
                 lines, "x string, y string, slope double, intercept double, r2 double, n bigint")
-            parts["scatter"] = chartdata.density_pairs(df, pairs, bins, ranges)
 
     if cats and nums:
         box_cat = next((c for c in cats if distinct.get(c, 0) < 15), None)          # R9
@@ -134,18 +133,67 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
             fv = missing_safe(df, facet)
             label = fv if distinct.get(facet, 0) <= 20 else F.when(
                 fv.isin(tops.get(facet, [])), fv).otherwise(F.lit("Other"))
-            spans = {c: chartdata.hist_range(*ranges[c]) for c in (xa, ya)}
-            if spans[xa][0] is not None and spans[ya][0] is not None:
-                bx = chartdata.hist_bin(missing_safe(df, xa).cast("double"), *spans[xa], bins)
-                by_ = chartdata.hist_bin(missing_safe(df, ya).cast("double"), *spans[ya], bins)
-                parts["facets"] = (df.select(label.alias("facet"), bx.alias("bin_x"), by_.alias("bin_y"))
-                                   .filter(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
-                                   .groupBy("facet", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
-                                   .withColumn("facet_column", F.lit(facet))
-                                   .withColumn("col_x", F.lit(xa)).withColumn("col_y", F.lit(ya)))
+            facet_spec = (facet, label, xa, ya)
+    if nums:
+        parts.update(_binned_parts(df, nums, pairs, facet_spec, ranges, bins))
     return parts
 
 
+def _binned_parts(df: DataFrame, nums: list[str], pairs: list, facet_spec, ranges: dict, bins: int) -> dict:
+    """Histograms of every numeric column, binned scatters of the top pairs and the
+    faceted scatter from one explode and one shuffle. The counted table has at most
+    ``bins`` rows per column and ``bins²`` per pair and facet, so it is persisted."""
+    spark = df.sparkSession
+    spans = {c: chartdata.hist_range(*ranges[c]) for c in nums}
+    ok = {c for c in nums if spans[c][0] is not None}
+
+    def b(c):
+        return chartdata.hist_bin(missing_safe(df, c).cast("double"), *spans[c], bins)
+
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def entry(kind, cx, cy, facet, bx, by):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(cx).alias("col_x"),
+                        (F.lit(cy) if cy else none_s).alias("col_y"), facet.alias("facet"),
+                        bx.alias("bin_x"), by.alias("bin_y"))
+
+    entries = [entry("hist", c, None, none_s, b(c), none_i) for c in nums if c in ok]
+    entries += [entry("pair", a, c, none_s, b(a), b(c)) for a, c in pairs if a in ok and c in ok]
+    if facet_spec and facet_spec[2] in ok and facet_spec[3] in ok:
+        facet, label, xa, ya = facet_spec
+        entries.append(entry("facet", xa, ya, label.cast("string"), b(xa), b(ya)))
+    out: dict = {}
+    hist_ddl = "column_name string, bin int, bin_start double, bin_end double, count bigint"
+    if not entries:
+        out["histograms"] = spark.createDataFrame([], hist_ddl)
+        return out
+    binned = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+              .filter(F.col("bin_x").isNotNull() & ((F.col("kind") == "hist") | F.col("bin_y").isNotNull()))
+              .groupBy("kind", "col_x", "col_y", "facet", "bin_x", "bin_y")
+              .agg(F.count(F.lit(1)).alias("count"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    frame_rows = []
+    for c in nums:
+        if c in ok:
+            lo, hi = spans[c]
+            w = (hi - lo) / bins
+            frame_rows += [(c, k, lo + k * w, hi if k == bins - 1 else lo + (k + 1) * w) for k in range(bins)]
+    frame = spark.createDataFrame(frame_rows, "column_name string, bin int, bin_start double, bin_end double")
+    hist = binned.filter(F.col("kind") == "hist").select(F.col("col_x").alias("column_name"),
+                                                         F.col("bin_x").alias("bin"), "count")
+    out["histograms"] = (frame.join(hist, ["column_name", "bin"], "left")
+                         .select("column_name", "bin", "bin_start", "bin_end",
+                                 F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+    if pairs:
+        out["scatter"] = (binned.filter(F.col("kind") == "pair")
+                          .select("col_x", "col_y", "bin_x", "bin_y", "count"))
+    if facet_spec:
+        out["facets"] = (binned.filter(F.col("kind") == "facet")
+                         .select("facet", "bin_x", "bin_y", "count", F.lit(facet_spec[0]).alias("facet_column"),
+                                 "col_x", "col_y"))
+    return out
+
+
 def _box_by_category(df: DataFrame, cat: str, cols: list[str], keep: list) -> DataFrame:
     """Box numbers of several columns per top category: one quantile run, one grouped aggregation."""
     ddl = ("column_name string, category string, n bigint, q1 double, median double, q3 double, "
