@@ -1,7 +1,8 @@
 """Isolation forest on one numeric column (D3) as a Spark job.
 
-1. Sample: each of ``n_trees`` trees gets ``min(256, n)`` rows chosen by a seeded
-   row hash — a distributed top-k, so at most ``n_trees × 256`` rows move.
+1. Sample: one distributed top-k of ``n_trees × 256`` rows by a seeded row hash
+   (at most that many rows move); it holds every row when the column is smaller,
+   in which case each tree draws its own ``min(256, n)`` rows from it.
 2. Build: ``groupBy(tree).applyInPandas`` grows one tree per group with numpy
    (random split uniform between the node's min and max, depth limit
    ceil(log2(sample))). With one feature a tree is a step function of the
@@ -22,7 +23,7 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,26 +86,30 @@ def isolation_forest_scores(df: DataFrame, col: str, n_trees: int = 100, sample_
     x = missing_safe(df, col).cast("double")
     present = df.select(x.alias("v"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns],
                                                  F.lit(seed)).alias("h")).filter(F.col("v").isNotNull())
-    n = present.count()
+    # one top-k by row hash: it holds every row when the column has fewer than
+    # n_trees × sample_size values, so no separate count pass is needed
+    k = n_trees * sample_size
+    top = present.orderBy("h", "v").limit(k).persist(StorageLevel.MEMORY_AND_DISK)   # ≤ k rows
+    n = top.count()
     if n <= 1:
+        top.unpersist()
         return df.withColumn("iforest_score", F.lit(None).cast("double")).withColumn(
             "is_iforest", F.lit(False))
     psi = min(sample_size, n)
     limit = int(math.ceil(math.log2(psi))) if psi > 1 else 0
-    if n >= n_trees * psi:
-        # one global top-k by row hash, dealt round-robin to the trees
-        sample = (present.orderBy("h", "v").limit(n_trees * psi)
-                  .withColumn("tree", F.pmod(F.row_number().over(Window.orderBy("h", "v")), F.lit(n_trees))))
+    if n >= k:
+        # large input: the top-k rows are dealt round-robin to the trees
+        sample = top.withColumn("tree", F.pmod(F.row_number().over(Window.orderBy("h", "v")), F.lit(n_trees)))
     else:
-        # small input: every tree draws its own sample (at most n × n_trees rows)
-        per_tree = present.select("v", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
-                                  "h")
+        # small input (all rows are in the top-k): every tree draws its own sample
+        per_tree = top.select("v", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), "h")
         per_tree = per_tree.withColumn("th", F.xxhash64("h", "tree", F.lit(seed)))
         w = Window.partitionBy("tree").orderBy("th", "v")
         sample = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
     steps = (sample.select("tree", "v").groupBy("tree")
              .applyInPandas(_tree_steps(seed, limit), "tree long, edge double, delta double"))
     rows = steps.collect()          # ≤ n_trees × sample_size rows: bounded by parameters
+    top.unpersist()
     base = sum(r["delta"] for r in rows if r["edge"] is None)
     pts = sorted((r["edge"], r["delta"]) for r in rows if r["edge"] is not None)
     edges = np.array([e for e, _ in pts], dtype="float64")
