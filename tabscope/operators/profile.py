@@ -408,11 +408,17 @@ def column_modes(df: DataFrame, cols: list[str], vc: DataFrame | None = None) ->
 def table_summary(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
     """Per column (A10): type, distinct count, missing %, and a description —
     numeric: mean and sample std; datetime: first and last; otherwise the mode."""
+    return table_summary_and_rows(df, vc)[0]
+
+
+def table_summary_and_rows(df: DataFrame, vc: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``table_summary`` and the table's row count from the same aggregation."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
     names = [f.name for f in fields]
     if not names:
-        return _empty(df, "position int, column_name string, data_type string, unique_values bigint, "
-                          "missing_pct double, mean double, std double, description string")
+        return (_empty(df, "position int, column_name string, data_type string, unique_values bigint, "
+                           "missing_pct double, mean double, std double, mode string, description string"),
+                df.count())
     named = [("_n", F.count(F.lit(1)), 1)]
     kinds = {}
     for i, f in enumerate(fields):
@@ -454,5 +460,5 @@ def table_summary(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
                   F.concat(F.lit("Datetime. From "), F.col("first"), F.lit(" to "), F.col("last")))
             .otherwise(F.concat(F.lit("Categorical. Top value: '"),
                                 F.coalesce(F.col("mode"), F.lit("N/A")), F.lit("'"))))
-    return out.select("position", "column_name", "data_type", "unique_values", "missing_pct",
-                      "mean", "std", "mode", desc.alias("description")).orderBy("position")
+    return (out.select("position", "column_name", "data_type", "unique_values", "missing_pct",
+                       "mean", "std", "mode", desc.alias("description")).orderBy("position"), n)

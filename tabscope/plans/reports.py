@@ -12,7 +12,6 @@ from ..functions.missing import missing_safe, normalize_missing
 from ..functions.stats import kurt_bias_corrected, quantiles, skew_bias_corrected, with_k2
 from ..functions.typeclass import NESTED_TYPES, is_numeric_type, numeric_columns
 from ..operators import chartdata, detect, outliers, profile, timeseries
-from ..sources.readers import table_shape
 from .audit import audit_checks, audit_findings
 from .eda import eda_numeric_extras, eda_report
 from .findings import finding, findings_frame
@@ -23,11 +22,11 @@ from .findings import finding, findings_frame
 def insights_findings(df: DataFrame, vc: DataFrame | None = None) -> list[tuple]:
     df = normalize_missing(df)
     out = []
-    shape = table_shape(df).first()
-    n = shape["rows"]
+    summary_df, n = profile.table_summary_and_rows(df, vc)  # the row count rides along
+    ncols = len(df.columns)
     out.append(finding("shape", None, "rows", "info", n, f"{n} rows"))
-    out.append(finding("shape", None, "columns", "info", shape["columns"], f"{shape['columns']} columns"))
-    summary = profile.table_summary(df, vc).collect()      # one row per column
+    out.append(finding("shape", None, "columns", "info", ncols, f"{ncols} columns"))
+    summary = summary_df.collect()                          # one row per column
     for r in summary:
         out.append(finding("columns", r["column_name"], "summary", "info", r["unique_values"],
                            r["description"]))
