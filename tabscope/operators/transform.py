@@ -104,16 +104,14 @@ def category_codes(df: DataFrame, name: str, code_col: str | None = None) -> Dat
     distinct = df.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     codes = with_global_position(distinct, [F.col("_v").asc()], pos="_code")
     n_codes = codes.count()
-    limit = _broadcast_rows(df)
-    table = F.broadcast(codes) if n_codes <= limit else codes
+    table = F.broadcast(codes) if n_codes <= CODE_TABLE_BROADCAST_ROWS else codes
     joined = df.join(table, v.eqNullSafe(F.col("_v")), "left")
     return joined.select(*[_col(c) for c in df.columns],
                          F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(code_col))
 
 
-def _broadcast_rows(df: DataFrame) -> int:
-    """Row limit for broadcasting a small two-column lookup table."""
-    return 2_000_000
+# Largest code table (value, code) broadcast to the join; larger ones are shuffle-joined.
+CODE_TABLE_BROADCAST_ROWS = 2_000_000
 
 
 # ------------------------------------------------------------------ C5 categories
