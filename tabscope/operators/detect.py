@@ -17,13 +17,14 @@ from ..functions.dates import best_formats, fully_parsing
 from ..functions.missing import missing_safe
 from ..functions.typeclass import (DATETIME_TYPES, NESTED_TYPES, categorical_columns,
                                    numeric_columns)
-from .profile import distinct_counts
+from .profile import distinct_counts, value_key
 
 # Column-name fragments the reference looks for.
 ID_HINTS = ["id", "key", "number"]
 ENTITY_HINTS = ["id", "customer", "user"]
 VALUE_HINTS = ["sales", "revenue", "price", "amount", "value"]
 TIME_HINTS = ["date", "time"]
+ROWS = "__rows__"
 
 
 def _named(cols: list[str], hints: list[str]) -> list[str]:
@@ -48,13 +49,20 @@ def detect_id_column(df: DataFrame, hints: list[str] | None = None, ratio: float
     ddl = "position int, column_name string, distinct_count bigint, rows bigint, ratio double"
     if not cands:
         return _empty(df, ddl)
-    n = df.count()
-    table_pos = F.create_map(*[x for c in cands for x in (F.lit(c), F.lit(df.columns.index(c)))])
-    dc = (distinct_counts(df, cands).withColumn("position", table_pos[F.col("column_name")])
-          .withColumn("rows", F.lit(n).cast("bigint")))
-    return (dc.withColumn("ratio", F.try_divide(F.col("distinct_count").cast("double"), F.col("rows")))
-            .filter(F.col("ratio") > ratio).orderBy("position").limit(1)
-            .select("position", "column_name", "distinct_count", "rows", "ratio"))
+    # one value-count shuffle gives every candidate's distinct count and, through a
+    # constant entry counted once per row, the row count (missing values included)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), value_key(df, c).alias("value"))
+                        for c in cands] + [F.struct(F.lit(ROWS).alias("column_name"), F.lit("").alias("value"))])
+    vc = (df.select(F.explode(entries).alias("e")).filter(F.col("e.value").isNotNull())
+          .groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("count")))
+    per = {r["column_name"]: (r["distinct"], r["total"]) for r in
+           vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"),
+                                         F.sum("count").alias("total")).collect()}   # one row per candidate
+    n = per.get(ROWS, (0, 0))[1]
+    rows = [(df.columns.index(c), c, per.get(c, (0, 0))[0], n, (per.get(c, (0, 0))[0] / n) if n else None)
+            for c in cands]
+    return (df.sparkSession.createDataFrame(rows, ddl).filter(F.col("ratio") > ratio)
+            .orderBy("position").limit(1))
 
 
 def detect_entity_column(df: DataFrame) -> DataFrame:
