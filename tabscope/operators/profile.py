@@ -286,7 +286,7 @@ def numeric_report(df: DataFrame, col: str) -> DataFrame:
         "column_name string, mean double, median double, std double, min double, max double, missing bigint")
 
 
-def numeric_summary_all(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def numeric_summary_all(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
     """Mean, median, min, max of every numeric column (A12), long form; the plain
     statistics are one (chunked) aggregation, the medians one quantile run."""
     cols = numeric_columns(df) if cols is None else cols
@@ -295,7 +295,7 @@ def numeric_summary_all(df: DataFrame, cols: list[str] | None = None) -> DataFra
         return _empty(df, ddl)
     norm = normalize_missing(df.select(*[quote(c) for c in cols]))
     x = {c: _col(c).cast("double") for c in cols}
-    q = quantiles(norm, cols, [0.5], extra=[e for i, c in enumerate(cols) for e in (
+    q = quantiles(norm, cols, [0.5], method=method, extra=[e for i, c in enumerate(cols) for e in (
         (f"a{i}", F.avg(x[c]), 2), (f"lo{i}", F.min(x[c]), 1), (f"hi{i}", F.max(x[c]), 1))])
     r = q.get("__extra__") or {}
     rows = [(i, c, r.get(f"a{i}"), q[(None, c, 0.5)], r.get(f"lo{i}"), r.get(f"hi{i}"))

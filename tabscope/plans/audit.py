@@ -49,10 +49,12 @@ def audit_checks(df: DataFrame) -> list:
 
 
 def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
-                   vc: DataFrame | None = None, numeric: dict | None = None) -> list[tuple]:
+                   vc: DataFrame | None = None, numeric: dict | None = None,
+                   quantile_method: str = "exact") -> list[tuple]:
     """Findings rows. ``vc`` is an optional shared value-count table
     (``value_counts_long``); ``numeric`` an optional shared quantile result for all
-    numeric columns whose ``__extra__`` holds ``audit_checks(df)``."""
+    numeric columns whose ``__extra__`` holds ``audit_checks(df)``. ``quantile_method="approx"``
+    takes the IQR fences from one ``percentile_approx`` pass instead of exact quartiles."""
     df = normalize_missing(df)
     cols = df.columns
     nums = numeric_columns(df)
@@ -63,7 +65,8 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
     # whitespace, so the per-column checks cost no scan of their own
     checks = audit_checks(df)
     if nums:
-        q = numeric if numeric is not None else quantiles(df, nums, [0.25, 0.75], extra=checks)
+        q = numeric if numeric is not None else quantiles(df, nums, [0.25, 0.75], extra=checks,
+                                                          method=quantile_method)
         r = dict(q["__extra__"])
         bounds = {}
         for c in nums:

@@ -63,7 +63,8 @@ def eda_numeric_extras(df: DataFrame, nums: list[str]) -> list:
 
 
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
-               bins: int = 30, vc: DataFrame | None = None, numeric: dict | None = None) -> dict:
+               bins: int = 30, vc: DataFrame | None = None, numeric: dict | None = None,
+               quantile_method: str = "exact") -> dict:
     """Parts of the exploratory analysis as DataFrames (long form, one table per
     chart kind with a ``column_name`` column)."""
     df = normalize_missing(df)
@@ -75,7 +76,8 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
     ranges: dict = {}
     if nums:
         q = numeric if numeric is not None else quantiles(
-            df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75], extra=eda_numeric_extras(df, nums))
+            df.select(*[quote(c) for c in nums]), nums, [0.25, 0.5, 0.75], extra=eda_numeric_extras(df, nums),
+            method=quantile_method)
         st = q["__extra__"]
         quart = {c: (q[(None, c, 0.25)], q[(None, c, 0.5)], q[(None, c, 0.75)]) for c in nums}
         ranges = {c: (st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(nums)}

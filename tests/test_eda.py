@@ -76,3 +76,13 @@ def test_one_click_equals_standalone_reports(spark):
     parts = (audit_report(ev).unionByName(insights_report(ev)).unionByName(cleaning_suggestions(ev))
              .unionByName(eda_findings(ev)))
     assert combined == rows(parts)
+
+
+def test_approx_quantile_option_runs_in_one_pass(spark):
+    from tabscope.plans import audit_report
+    ev = table(spark, "events")
+    exact = sorted(map(tuple, audit_report(ev).collect()), key=str)
+    approx = sorted(map(tuple, audit_report(ev, quantile_method="approx").collect()), key=str)
+    assert exact == approx          # below the sketch's accuracy the approximation is exact
+    parts = eda_report(ev, quantile_method="approx")
+    assert parts["box_stats"].count() == 3
