@@ -125,10 +125,11 @@ def _pick(df: DataFrame, pick: str | None, st: dict) -> DataFrame:
     return df.sparkSession.createDataFrame([(pick, st.get(pick, (None, None))[1])], ddl)
 
 
-def detect_ts_columns(df: DataFrame) -> DataFrame:
+def detect_ts_columns(df: DataFrame, ranges: dict | None = None) -> DataFrame:
     """R5 + R6: time column (first datetime-typed, else first named date/time column
     that parses) and value column (first numeric without id/key/number in its name
-    having more than one distinct value, else the first numeric)."""
+    having more than one distinct value, else the first numeric). ``ranges`` =
+    ``{col: (min, max)}`` when already known saves the aggregation."""
     ddl = "time_column string, value_column string"
     time_col = next(iter([f.name for f in df.schema.fields if isinstance(f.dataType, DATETIME_TYPES)]), None)
     if time_col is None:
@@ -142,7 +143,9 @@ def detect_ts_columns(df: DataFrame) -> DataFrame:
         return _empty(df, ddl)
     cands = [c for c in nums if not any(h in c.lower() for h in ID_HINTS)]
     value_col = None
-    if cands:
+    if cands and ranges is not None and all(c in ranges for c in cands):
+        value_col = next((c for c in cands if ranges[c][0] is not None and ranges[c][0] < ranges[c][1]), None)
+    elif cands:
         r = df.agg(*[(F.min(missing_safe(df, c)) < F.max(missing_safe(df, c))).alias(f"v{i}")
                      for i, c in enumerate(cands)]).first()
         value_col = next((c for i, c in enumerate(cands) if r[f"v{i}"]), None)

@@ -152,11 +152,11 @@ def time_series_daily(df: DataFrame) -> DataFrame:
     return parts["daily"]
 
 
-def time_analysis(df: DataFrame) -> dict:
+def time_analysis(df: DataFrame, ranges: dict | None = None) -> dict:
     """Parts of the time-based analysis (M5); empty when no time/value columns exist
     or the daily series has fewer than two days."""
     df = normalize_missing(df)
-    tv = detect.detect_ts_columns(df).collect()
+    tv = detect.detect_ts_columns(df, ranges).collect()
     if not tv:
         return {}
     tcol, vcol = tv[0]["time_column"], tv[0]["value_column"]
@@ -190,10 +190,18 @@ def one_click_report(df: DataFrame) -> dict:
             "insights": insights_report(df, vc),
             "cleaning": cleaning_suggestions(df, audit_rows),
             "eda": eda_report(df, vc=vc, numeric=numeric),
-            "time": time_analysis(df),
+            "time": time_analysis(df, _ranges(numeric, nums)),
             "value_counts_core": vc}
 
 
+def _ranges(numeric: dict | None, nums: list[str]) -> dict | None:
+    """``{col: (min, max)}`` from the shared quantile run's extra statistics."""
+    if not numeric:
+        return None
+    ex = numeric["__extra__"]
+    return {c: (ex[f"lo{i}"], ex[f"hi{i}"]) for i, c in enumerate(nums)}
+
+
 def one_click_findings(df: DataFrame) -> DataFrame:
     """The text sections of the one-click report as one findings table."""
     rep = one_click_report(df)
