@@ -417,33 +417,47 @@ def table_summary(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
     return table_summary_and_rows(df, vc)[0]
 
 
-def table_summary_and_rows(df: DataFrame, vc: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """``table_summary`` and the table's row count from the same aggregation."""
+def _summary_kind(dt) -> str:
+    if is_numeric_type(dt, include_bool=True):
+        return "numeric"
+    if isinstance(dt, DATETIME_TYPES):
+        return "datetime"
+    return "categorical"
+
+
+def table_summary_aggregates(df: DataFrame) -> list:
+    """The summary's per-column aggregates (prefixed ``_ts``); they can ride along in
+    another pass over the table."""
+    named = [("_tsn", F.count(F.lit(1)), 1)]
+    fields = [f for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
+    for i, f in enumerate(fields):
+        x = missing_safe(df, f.name)
+        named.append((f"_tsm{i}", F.count_if(x.isNull()), 1))
+        kind = _summary_kind(f.dataType)
+        if kind == "numeric":
+            xd = x.cast("double")
+            named += [(f"_tsa{i}", F.avg(xd), 2), (f"_tss{i}", F.stddev_samp(xd), 3)]
+        elif kind == "datetime":
+            named += [(f"_tslo{i}", F.min(x).cast("string"), 1), (f"_tshi{i}", F.max(x).cast("string"), 1)]
+    return named
+
+
+def table_summary_and_rows(df: DataFrame, vc: DataFrame | None = None,
+                           stats: dict | None = None) -> tuple[DataFrame, int]:
+    """``table_summary`` and the table's row count from the same aggregation
+    (``stats``: the results of ``table_summary_aggregates`` computed elsewhere)."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
     names = [f.name for f in fields]
     if not names:
         return (_empty(df, "position int, column_name string, data_type string, unique_values bigint, "
                            "missing_pct double, mean double, std double, mode string, description string"),
                 df.count())
-    named = [("_n", F.count(F.lit(1)), 1)]
-    kinds = {}
-    for i, f in enumerate(fields):
-        x = missing_safe(df, f.name)
-        named.append((f"m{i}", F.count_if(x.isNull()), 1))
-        if is_numeric_type(f.dataType, include_bool=True):
-            kinds[f.name] = "numeric"
-            xd = x.cast("double")
-            named += [(f"a{i}", F.avg(xd), 2), (f"s{i}", F.stddev_samp(xd), 3)]
-        elif isinstance(f.dataType, DATETIME_TYPES):
-            kinds[f.name] = "datetime"
-            named += [(f"lo{i}", F.min(x).cast("string"), 1), (f"hi{i}", F.max(x).cast("string"), 1)]
-        else:
-            kinds[f.name] = "categorical"
-    r = agg_row(df, named)
-    n = r["_n"]
+    kinds = {f.name: _summary_kind(f.dataType) for f in fields}
+    r = stats if stats is not None and "_tsn" in stats else agg_row(df, table_summary_aggregates(df))
+    n = r["_tsn"]
     rows = [(i, f.name, f.dataType.simpleString(), kinds[f.name],
-             (r[f"m{i}"] * 100.0 / n) if n else None, r.get(f"a{i}"), r.get(f"s{i}"),
-             r.get(f"lo{i}"), r.get(f"hi{i}")) for i, f in enumerate(fields)]
+             (r[f"_tsm{i}"] * 100.0 / n) if n else None, r.get(f"_tsa{i}"), r.get(f"_tss{i}"),
+             r.get(f"_tslo{i}"), r.get(f"_tshi{i}")) for i, f in enumerate(fields)]
     per_col = df.sparkSession.createDataFrame(
         rows, "position int, column_name string, data_type string, kind string, missing_pct double, "
               "mean double, std double, first string, last string")

@@ -19,10 +19,10 @@ from .findings import finding, findings_frame
 
 # ------------------------------------------------------------------ M2 insights
 
-def insights_findings(df: DataFrame, vc: DataFrame | None = None) -> list[tuple]:
+def insights_findings(df: DataFrame, vc: DataFrame | None = None, stats: dict | None = None) -> list[tuple]:
     df = normalize_missing(df)
     out = []
-    summary_df, n = profile.table_summary_and_rows(df, vc)  # the row count rides along
+    summary_df, n = profile.table_summary_and_rows(df, vc, stats)  # the row count rides along
     ncols = len(df.columns)
     out.append(finding("shape", None, "rows", "info", n, f"{n} rows"))
     out.append(finding("shape", None, "columns", "info", ncols, f"{ncols} columns"))
@@ -50,8 +50,8 @@ def insights_findings(df: DataFrame, vc: DataFrame | None = None) -> list[tuple]
     return out
 
 
-def insights_report(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
-    return findings_frame(df.sparkSession, insights_findings(df, vc))
+def insights_report(df: DataFrame, vc: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
+    return findings_frame(df.sparkSession, insights_findings(df, vc, stats))
 
 
 # ------------------------------------------------------------------ M3 cleaning suggestions
@@ -183,11 +183,12 @@ def one_click_report(df: DataFrame) -> dict:
     # one quantile run (with the audit's checks and the EDA's column statistics in
     # its first pass) serves both sections
     nums = numeric_columns(df)
-    numeric = (quantiles(df, nums, [0.25, 0.5, 0.75], extra=audit_checks(df) + eda_numeric_extras(df, nums))
+    numeric = (quantiles(df, nums, [0.25, 0.5, 0.75], extra=audit_checks(df) + eda_numeric_extras(df, nums)
+                         + profile.table_summary_aggregates(df))
                if nums else None)
     audit_rows = audit_findings(df, vc=vc, numeric=numeric)
     return {"audit": findings_frame(spark, audit_rows),
-            "insights": insights_report(df, vc),
+            "insights": insights_report(df, vc, numeric["__extra__"] if numeric else None),
             "cleaning": cleaning_suggestions(df, audit_rows),
             "eda": eda_report(df, vc=vc, numeric=numeric),
             "time": time_analysis(df, _ranges(numeric, nums)),
