@@ -125,3 +125,17 @@ def test_tables_without_numeric_or_text(spark):
     assert insights_report(nums_only).count() > 0
     assert cleaning_suggestions(nums_only).count() > 0
     assert detect._first(detect.detect_category_column(nums_only)) is None
+
+
+def test_duplicates_with_nulls_in_different_columns(spark):
+    swapped = frame(spark, [(None, 1), (1, None), (2, 2)], "a bigint, b bigint")
+    assert profile.duplicate_count(swapped).first()[0] == 0
+    dup = audit_report(swapped).filter("check = 'duplicate_rows'").first()
+    assert dup["metric"] == 0.0
+    same = frame(spark, [(None, 1), (None, 1), (2, None), (2, None), (2, None)], "a bigint, b bigint")
+    assert profile.duplicate_count(same).first()[0] == 3
+    assert audit_report(same).filter("check = 'duplicate_rows'").first()["metric"] == 3.0
+    wide = frame(spark, [("x" * 50, None, 1.0), ("x" * 50, None, 1.0), (None, "x" * 50, 1.0)],
+                 "s string, t string, v double")
+    assert profile.duplicate_count(wide).first()[0] == 1
+    assert profile.drop_duplicates(wide).count() == 2
