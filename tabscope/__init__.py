@@ -1,4 +1,11 @@
-"""tabscope — table profiling, cleaning and exploration as Spark DataFrame operators."""
+"""tabscope — table profiling, cleaning and exploration as Spark DataFrame operators.
+
+Subpackages: ``sources`` (readers), ``functions`` (expression building blocks),
+``operators`` (DataFrame-in/DataFrame-out operators), ``plans`` (composite
+reports) and ``streaming`` (the daily resample on a stream).
+"""
+
+__version__ = "0.1.0"
 
 from .functions.missing import normalize_missing
 from .session import ensure_checkpoint_dir, local_session
