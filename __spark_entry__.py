@@ -11,6 +11,7 @@ expressions on both sides (FIXTURES.md F2–F4).
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -309,8 +310,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return audit.audit_report(_t(spark, SMOKE_DIR, "events"))
 
 
+def _optional(name: str):
+    """A module of the corpus subpackage, or None where it is not installed."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as e:
+        if e.name and (name == e.name or name.startswith(e.name + ".")):
+            return None
+        raise
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries()
+    out = _queries()
+    if registry := _optional("tabscope.llm.queries"):
+        out |= registry.queries()
+    if pipeline := _optional("corpus_pipeline"):
+        out["pipeline"] = pipeline.run
+    return out
 
 
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
@@ -874,4 +890,10 @@ def _audit_sql(table: str = "events", spec=None) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle()
+    out = _oracle()
+    if registry := _optional("tabscope.llm.queries"):
+        out |= registry.oracle_sql()
+    pipeline = _optional("corpus_pipeline")
+    if pipeline and pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
+    return out
