@@ -289,9 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         side = loose.select("rep", "grp").join(parts, "grp").withColumn(
             "part", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("u")).cast("int"))
         moved = texts.filter("k > 1").join(side.select("rep", "part"), "rep").select(
-            F.struct("root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block")).alias("at"),
-            "rep", "h1", "h2", F.lit(True).alias("fresh"), "text", "part")
-        moved = moved.select("at.root", "at.block", "part", "rep", "h1", "h2", "fresh", "text")
+            "root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "part",
+            "rep", "h1", "h2", F.lit(True).alias("fresh"), "text")
         at_home = texts.filter("k > 1").join(parts.withColumnRenamed("grp", "root"), "root").select(
             "root", "block", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("part"),
             "rep", "h1", "h2", F.lit(False).alias("fresh"), "text")

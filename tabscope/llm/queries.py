@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from tabscope.session import scratch_path
+
+from . import bpe, minhash, token_files
 from .common import read_table
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; the same on the driver and the workers."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "tokens")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), out, end_id=0)
+    return token_files.ids_checksums(token_files.read_tokens(spark, out))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.decode(coded, vocabulary()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash_dedup": op8_minhash_dedup}
+    return {"op1_token_files": op1_token_files, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
