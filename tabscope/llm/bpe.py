@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .chunks import ChunkEncoder
 from .common import ship
 
+#: Chunks a worker remembers (of one cache generation).
+CACHE_ENTRIES = 120_000
 #: Widths of an id and of a byte position in packed integers.
 _ID_BITS, _POS_BITS = 20, 40
 _ID_MASK, _POS_MASK = (1 << _ID_BITS) - 1, (1 << _POS_BITS) - 1
@@ -68,7 +70,7 @@ class ByteBPE:
             self.merges[vocab[left] << _ID_BITS | vocab[right]] = rank << _ID_BITS | vocab[left + right]
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.encode = ChunkEncoder(self._piece, self._with_added, names)
+        self.encode = ChunkEncoder(self._piece, self._with_added, names, CACHE_ENTRIES)
 
     def piece_ids(self, data: bytes) -> list[int]:
         """Ids of one piece; queue entries hold a merge rank above the position of the left symbol."""

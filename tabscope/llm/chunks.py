@@ -15,8 +15,7 @@ import regex
 
 #: Fixed value: how byte-level BPE vocabularies of this family split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of one generation of a cache, and the longest key it keeps.
-CACHE_ENTRIES = 200_000
+#: Longest key that a cache keeps.
 CACHE_CHARS = 48
 #: Marks that form a piece of their own after a word.
 MARKS = frozenset(".,;:!?")
@@ -29,9 +28,12 @@ class _NotSafe(Exception):
 
 
 class _Cache(dict):
-    def __init__(self, make: Callable[[str], bytes]):
+    """``entries``: size of one generation."""
+
+    def __init__(self, make: Callable[[str], bytes], entries: int):
         super().__init__()
         self.make = make
+        self.entries = entries
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
@@ -39,7 +41,7 @@ class _Cache(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -53,12 +55,13 @@ class ChunkEncoder:
     ``whole`` encodes with the text around them.
     """
 
-    def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes], special: Iterable[str]):
+    def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes], special: Iterable[str],
+                 entries: int):
         self.find = regex.compile(PATTERN).findall
         self.whole = whole
         self.special = list(special)
-        self.pieces = _Cache(piece)
-        self.chunks = _Cache(self._safe_chunk)          # keys lost the space before them
+        self.pieces = _Cache(piece, entries // 4)
+        self.chunks = _Cache(self._safe_chunk, entries)          # keys lost the space before them
 
     def plain(self, run: str) -> bytes:
         """Ids of a run without added tokens."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.session import scratch_path
 
-from . import bpe, minhash, token_files
+from . import bpe, decontam, minhash, token_files
 from .common import read_table
 
 
@@ -35,8 +35,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
+            "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,6 +35,9 @@ LAYOUT = {"parquet.block.size": 16 << 20, "parquet.page.size": 128 << 10, "parqu
           "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20,
           "compression": "zstd"}
 
+#: Chunks a worker remembers (of one cache generation).
+CACHE_ENTRIES = 300_000
+
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
@@ -51,14 +54,18 @@ def library_encoder(path: str) -> ChunkEncoder:
             return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
         letters = {b: c for c, b in byte_letters().items()}
-        model = tok.model
+        blank, model = letters[0x20], tok.model
 
         def piece(text: str) -> bytes:
             """One piece, as its byte letters, straight to the library's merge model."""
-            found = model.tokenize(text.encode("utf-8").decode("latin-1").translate(letters))
+            if text.isascii() and text.isprintable():
+                found = model.tokenize(text.replace(" ", blank))
+            else:
+                found = model.tokenize(text.encode("utf-8").decode("latin-1").translate(letters))
             return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
-        _LOADED[path] = ChunkEncoder(piece, whole, [t.content for t in tok.get_added_tokens_decoder().values()])
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        _LOADED[path] = ChunkEncoder(piece, whole, added, CACHE_ENTRIES)
     return _LOADED[path]
 
 
