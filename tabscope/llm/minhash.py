@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import batched, connected_components, cut, drop_table, map_groups, ship
+from .common import batched, connected_components, cut, drop_table, map_groups, ship, shuffle_parts
 
 REGISTERS = 64
 BUCKET_BITS = 6
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     members = cut(_blocks(classes.select("rep", "h1", "h2", "n_shingles").join(
         groups.select(F.col("node").alias("rep"), "root"), "rep")), "members", old)
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-                .join(members, "rep"), "texts", old)
+                .join(members.hint("merge"), "rep"), "texts", old)     # members grow with the corpus: never broadcast
 
     confirm = _confirmed_links(shingle, num, den)
     cols = ["root", "block", "rep", "h1", "h2", "fresh", "text"]
@@ -279,11 +279,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     found = cut(connected_components(links), "found", old)
 
     # groups of several blocks: what is outside the largest component meets every block
+    few = max(1, shuffle_parts(spark) // 8)
     split = members.filter("k > 1").select("rep", F.col("root").alias("grp"), "k").join(
         found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
     sizes = split.groupBy("grp", "comp").agg(F.count("*").alias("c"))
     top = sizes.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("t")).select("grp", F.col("t.comp").alias("comp"))
-    loose = cut(split.select("rep", "grp", "k", "comp").join(top, ["grp", "comp"], "left_anti"), "loose", old)
+    loose = cut(split.select("rep", "grp", "k", "comp").join(top, ["grp", "comp"], "left_anti")
+                .coalesce(few), "loose", old)
     if loose.limit(1).count():
         parts = loose.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("u"))
         side = loose.select("rep", "grp").join(parts, "grp").withColumn(
