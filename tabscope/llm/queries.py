@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.session import scratch_path
 
-from . import bpe, decontam, minhash, token_files
+from . import bpe, decontam, language, minhash, quality, token_files
 from .common import read_table
 
 
@@ -25,6 +25,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.ids_checksums(token_files.read_tokens(spark, out))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -40,7 +50,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
+    return {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_language": op3_language,
+            "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
             "op10_decontamination": op10_decontamination}
 
 

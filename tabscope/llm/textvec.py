@@ -19,6 +19,9 @@ _P = 0x9E3779B97F4A7C15 | 1
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between runs of ASCII letters, digits and non-ASCII bytes.
+MARK = np.ones(256, dtype=bool)
+MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -83,50 +86,62 @@ def doc_slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         i = j
 
 
-def _word_hashes(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word of ``raw``; a word never crosses a break."""
-    if not len(raw):
-        z = np.zeros(0, dtype=np.int64)
-        return z.astype(np.uint64), z, z
-    solid = ~SPACE[raw]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:]
-    b = breaks[(breaks > 0) & (breaks < len(raw))]
-    first[b] = solid[b]
-    last[b - 1] = solid[b - 1]
-    starts = np.flatnonzero(first)
-    ends = np.flatnonzero(last) + 1
-    pw, inv = _powers(len(raw) + 1)
-    total = np.empty(len(raw) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[raw] * pw[:len(raw)], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
-
-
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of consecutive texts and the n+1 word offsets of the texts."""
+class Words:
+    """Words of consecutive texts in one slice of bytes, hashed through prefix sums."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE):
+        self.raw = raw
+        n = len(raw)
+        solid = ~gap[raw]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:]
+        b = off[(off > 0) & (off < n)]                 # a word never crosses from text to text
+        first[b] = solid[b]
+        last[b - 1] = solid[b - 1]
+        self.starts = np.flatnonzero(first)
+        self.ends = np.flatnonzero(last) + 1
+        self.at = np.searchsorted(self.starts, off)    # word offsets of the texts
+        pw, self.inv = _powers(n + 1)
+        self.total = np.empty(n + 1, dtype=np.uint64)
+        self.total[0] = 0
+        np.cumsum(_BYTE[raw] * pw[:n], out=self.total[1:])
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """Hash of each word, or of its first ``most`` bytes."""
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        h = (self.total[ends] - self.total[self.starts]) * self.inv[self.starts]
+        return mix(h + (ends - self.starts).astype(np.uint64))
+
+
+def pieces(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of consecutive texts for ``Words``: one slice, or for one very long text several cut at gaps."""
     base, end = int(off[0]), int(off[-1])
     if end - base <= 2 * SLICE or len(off) > 2:
-        h, starts, _ = _word_hashes(raw[base:end], off - base)
-        return h, np.searchsorted(starts, off - base)
-    parts, at = [], base                     # one very long text: slices cut at white space
+        yield raw[base:end], off - base
+        return
+    at = base
     while at < end:
         stop = min(at + SLICE, end)
-        if stop < end:
-            while True:
-                gap = np.flatnonzero(SPACE[raw[at:stop]])
-                if len(gap):
-                    stop = at + int(gap[-1]) + 1
-                    break
-                if stop >= end:
-                    break
-                stop = min(stop + SLICE, end)
-        parts.append(_word_hashes(raw[at:stop], np.zeros(0, np.int64))[0])
+        while stop < end:
+            free = np.flatnonzero(gap[raw[at:stop]])
+            if len(free):
+                stop = at + int(free[-1]) + 1
+                break
+            stop = min(stop + SLICE, end)
+        yield raw[at:stop], np.array([0, stop - at])
         at = stop
-    h = np.concatenate(parts)
+
+
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of consecutive texts and the n+1 word offsets of the texts."""
+    parts = [Words(r, o) for r, o in pieces(raw, off)]
+    if not parts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(off), dtype=np.int64)
+    if len(parts) == 1:
+        return parts[0].hashes(), parts[0].at
+    h = np.concatenate([w.hashes() for w in parts])
     return h, np.array([0, len(h)], dtype=np.int64)
 
 
