@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.session import scratch_path
 
-from . import bpe, decontam, language, minhash, quality, token_files
+from . import bpe, decontam, fingerprints, language, minhash, quality, token_counts, token_files
 from .common import read_table
 
 
@@ -35,6 +35,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -51,6 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_language": op3_language,
+            "op4_token_counts": op4_token_counts, "op5_fingerprints": op5_fingerprints,
             "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
             "op10_decontamination": op10_decontamination}
 
