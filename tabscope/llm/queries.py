@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tabscope.session import scratch_path
 
-from . import bpe, decontam, fingerprints, language, minhash, quality, token_counts, token_files
-from .common import read_table
+from . import bpe, chat, decontam, fingerprints, language, minhash, quality, token_counts, token_files, urls
+from .common import cut, read_table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +43,29 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+#: The rules that decide pages: verdict, host and beginning of the path.
+PAGE_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+              ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), PAGE_RULES)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  said.alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(cut(chat.format_conversations(chat.layouts_of(rows)), "chats"))
+    said_so = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_so, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -60,6 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_language": op3_language,
             "op4_token_counts": op4_token_counts, "op5_fingerprints": op5_fingerprints,
+            "op6_url_filter": op6_url_filter, "op7_chat_format": op7_chat_format,
             "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
             "op10_decontamination": op10_decontamination}
 
