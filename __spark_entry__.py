@@ -71,6 +71,39 @@ def amounts(spark: SparkSession, sf: str) -> DataFrame:
                                             "c_nationkey")
 
 
+def zeros(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that differ in the sign of zero or in the kind of missing value only, wide and narrow columns mixed."""
+    odd = F.col("l_orderkey") % 2 == 1
+    return _t(spark, sf, "lineitem").select(
+        F.when(odd, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("z"),
+        F.when(odd, F.lit(float("nan"))).otherwise(F.lit(None)).alias("gap"),
+        "l_returnflag", "l_linestatus", "l_linenumber",
+        F.repeat("l_returnflag", 100).alias("note"))
+
+
+def number_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that look like numbers: with a letter, infinite, spaced, with an exponent, or not at all."""
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    return _t(spark, sf, "orders").select("o_orderkey", F.when(k == 0, F.concat(c, F.lit("d"))).when(
+        k == 1, "inf").when(k == 2, F.concat(F.lit(" "), c, F.lit(" "))).when(k == 3, "1.25e3").otherwise(
+        F.concat(c, F.lit("F"))).alias("amount"))
+
+
+def long_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """events.value between 0 and 1 with a few values far out."""
+    return _t(spark, sf, "events").select(F.when(F.col("event_id") % 1000 == 0, F.lit(1000.0)).otherwise(
+        F.col("value") - F.floor("value")).alias("value"))
+
+
+def f4_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "orders").select("o_orderdate", F.when(
+        F.col("o_orderkey") % 6 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+ZEROS = ("(SELECT 0.0::DOUBLE AS z, CAST(NULL AS DOUBLE) AS gap, l_returnflag, l_linestatus, l_linenumber, "
+         "repeat(l_returnflag, 100) AS note FROM lineitem)")
+NUMBER_TEXTS = "(SELECT o_orderkey, o_custkey, o_orderkey % 5 AS k FROM orders)"
+LONG_TAIL = "(SELECT CASE WHEN event_id % 1000 = 0 THEN 1000.0 ELSE value - floor(value) END AS value FROM events)"
 F2 = ("(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS qty, "
       "CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_returnflag END AS flag FROM lineitem)")
 F3 = "(SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem)"
@@ -122,6 +155,38 @@ def _ts_daily(spark, sf, table, tcol, vcol):
     return timeseries.daily_resample(_t(spark, sf, table), tcol, vcol)
 
 
+def q_kde_close(spark, sf):
+    """The binned curve against the exact sum on a long-tailed column."""
+    df = long_tail(spark, sf)
+    exact = chartdata.kde_curve(df, "value", grid=50, exact=True).select("point", F.col("density").alias("e"))
+    both = chartdata.kde_curve(df, "value", grid=50).join(exact, "point")
+    return both.agg((F.max(F.abs(F.col("density") - F.col("e"))) <= 1e-4 * F.max("e")).alias("within_1e4_of_the_peak"),
+                    F.count("*").alias("points"))
+
+
+def q_scatter_spread(spark, sf):
+    """Share of each band of l_quantity in a sample of repeated points against its share of the rows."""
+    def shares(df, name):
+        band = F.floor((F.col("l_quantity") - 1) / 10)
+        total = df.count()
+        return df.groupBy(band.alias("band")).agg((F.count("*") / F.lit(total)).alias(name))
+    rows = _t(spark, sf, "lineitem").select("l_quantity", "l_discount")
+    sample = chartdata.scatter_sample(rows, ["l_quantity", "l_discount"], 1000)
+    return shares(rows, "p").join(shares(sample, "s"), "band", "left").select(
+        "band", (F.abs(F.coalesce("s", F.lit(0.0)) - F.col("p")) < 0.06).alias("close"))
+
+
+def q_iforest_extreme(spark, sf):
+    """Repeated values 1..50 of l_quantity with a few rows at 5000: the extreme has the highest score."""
+    rows = _t(spark, sf, "lineitem").select(F.when(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(500)) == 0,
+                                                   F.lit(5000.0)).otherwise(F.col("l_quantity")).alias("v"))
+    s = iforest.isolation_forest_scores(rows, "v")
+    far = F.col("v") == 5000.0
+    score = F.col("iforest_score")
+    return s.agg((F.min(F.when(far, score)) > F.max(F.when(~far, score))).alias("extreme_scores_highest"),
+                 F.bool_and(F.when(far, F.col("is_iforest"))).alias("extremes_flagged"))
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -139,6 +204,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                             ["o_orderpriority", "o_orderstatus"])
     q["cast_numeric"] = lambda s, d: transform.convert_type(
         f4(s, d).select("o_orderkey", "cust_text"), "cust_text", "numeric")
+    q["cast_numeric_texts"] = lambda s, d: transform.convert_type(number_texts(s, d), "amount", "numeric")
+    q["cast_int"] = lambda s, d: transform.convert_type(number_texts(s, d), "amount", "int")
     q["cast_datetime"] = lambda s, d: transform.convert_type(
         f4(s, d).select("o_orderkey", "order_date_text"), "order_date_text", "datetime")
     q["cast_string"] = lambda s, d: transform.convert_type(
@@ -196,8 +263,12 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["missing_summary"] = lambda s, d: _r6(profile.missing_summary(f2(s, d)), "missing_pct")
     q["missing_patterns"] = lambda s, d: profile.missing_patterns(f2(s, d))
     q["missing_bands"] = lambda s, d: _r6(profile.missing_bands(f2(s, d), "l_orderkey", 10), "missing_rate")
+    q["missing_bands_time"] = lambda s, d: _r6(profile.missing_bands(
+        f4_dates(s, d), "o_orderdate", 4), "missing_rate")
     q["duplicate_count"] = lambda s, d: profile.duplicate_count(f3(s, d))
     q["drop_duplicates"] = lambda s, d: profile.drop_duplicates(f3(s, d))
+    q["duplicate_count_zeros"] = lambda s, d: profile.duplicate_count(zeros(s, d))
+    q["drop_duplicates_zeros"] = lambda s, d: profile.drop_duplicates(zeros(s, d))
     q["duplicate_ids"] = lambda s, d: profile.duplicate_ids(_t(s, d, "events"), "user_id")
     q["distinct_counts"] = lambda s, d: profile.distinct_counts(_t(s, d, "orders"))
     q["value_counts"] = lambda s, d: profile.value_counts(_t(s, d, "events"), "event_type")
@@ -221,6 +292,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["histogram"] = lambda s, d: _r6(chartdata.histogram(_t(s, d, "events"), "value"), "bin_start", "bin_end")
     q["kde_curve"] = lambda s, d: _r6(chartdata.kde_curve(_t(s, d, "events"), "value"),
                                       "x", "density", "count_density")
+    q["kde_exact"] = lambda s, d: _r6(chartdata.kde_curve(long_tail(s, d), "value", grid=50, exact=True),
+                                      "x", "density").select("point", "x", "density")
+    q["kde_close_to_exact"] = q_kde_close
     q["corr_matrix"] = lambda s, d: _r6(relations.corr_matrix(_t(s, d, "lineitem")), "r")
     q["top_corr_pairs"] = lambda s, d: _r6(relations.top_corr_pairs(_t(s, d, "lineitem")), "r", "abs_r")
     q["ols_trend"] = lambda s, d: _r6(relations.ols_trend(_t(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
@@ -253,6 +327,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         _t(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], by="l_returnflag", per_group=200)
     q["scatter_sample"] = lambda s, d: chartdata.scatter_sample(_t(s, d, "lineitem"),
                                                                 ["l_quantity", "l_extendedprice"], 1000)
+    q["scatter_sample_spread"] = q_scatter_spread
+    q["iforest_extreme"] = q_iforest_extreme
     q["distinct_values"] = lambda s, d: chartdata.distinct_values(_t(s, d, "orders"), "o_orderpriority")
 
     # detectors
@@ -434,6 +510,10 @@ def _oracle() -> dict[str, str]:
     o["select_numeric"] = f"SELECT {', '.join(li_num)} FROM lineitem"
     o["drop_columns"] = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders"
     o["cast_numeric"] = f"SELECT o_orderkey, TRY_CAST(trim(cust_text) AS DOUBLE) AS cust_text FROM {F4}"
+    o["cast_numeric_texts"] = (
+        "SELECT o_orderkey, CASE WHEN k = 1 THEN CAST('inf' AS DOUBLE) WHEN k IN (0, 4) THEN NULL WHEN k = 3 "
+        f"THEN 1250.0 ELSE CAST(o_custkey AS DOUBLE) END AS amount FROM {NUMBER_TEXTS}")
+    o["cast_int"] = f"SELECT o_orderkey, CASE WHEN k = 2 THEN o_custkey END AS amount FROM {NUMBER_TEXTS}"
     o["cast_datetime"] = f"SELECT o_orderkey, TRY_CAST(order_date_text AS TIMESTAMP) AS order_date_text FROM {F4}"
     o["cast_string"] = "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders"
     o["conversion_report"] = (
@@ -524,6 +604,12 @@ def _oracle() -> dict[str, str]:
         + _union([f"SELECT band, COUNT(*) AS rows, '{c}' AS column_name, ROUND(avg(CASE WHEN {c} IS NULL "
                   f"THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM b GROUP BY band"
                   for c in ["l_linenumber", "qty", "flag"]]))
+    o["missing_bands_time"] = (
+        "WITH t AS (SELECT epoch_us(o_orderdate) AS o, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderstatus END "
+        "AS status FROM orders), c AS (SELECT quantile_cont(o, 0.25) AS a, quantile_cont(o, 0.5) AS b, "
+        "quantile_cont(o, 0.75) AS d FROM t), x AS (SELECT CAST((o > a)::INT + (o > b)::INT + (o > d)::INT AS INTEGER) "
+        "AS band, status FROM t, c) SELECT band, COUNT(*) AS rows, 'status' AS column_name, "
+        "ROUND(avg(CASE WHEN status IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM x GROUP BY band")
     o["duplicate_count"] = (f"SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM "
                             f"(SELECT COUNT(*) AS k FROM {F3} GROUP BY l_returnflag, l_linestatus, l_linenumber)")
     o["drop_duplicates"] = f"SELECT DISTINCT * FROM {F3}"
@@ -593,14 +679,21 @@ def _oracle() -> dict[str, str]:
     o["kde_curve"] = (
         "WITH r AS (SELECT COUNT(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd "
         "FROM events), p AS (SELECT n, lo, hi, sd * pow(n, -1.0 / 5.0) AS bw, (hi - lo) / 199 AS step, "
-        "(hi - lo) / 4096 AS fw FROM r), "
-        "b AS (SELECT LEAST(FLOOR((value - lo) / fw), 4095) AS b, COUNT(*) AS w FROM events, p "
+        "sd * pow(n, -1.0 / 5.0) / 64 AS fw FROM r), "
+        "b AS (SELECT FLOOR((value - lo) / fw) AS b, COUNT(*) AS w FROM events, p "
         "WHERE value IS NOT NULL GROUP BY 1), "
         "pts AS (SELECT lo + (b + 0.5) * fw AS v, w FROM b, p) "
         "SELECT CAST(g.i AS INTEGER) AS point, ROUND(lo + g.i * step, 6) AS x, "
         "ROUND(sum(w * exp(-0.5 * pow((lo + g.i * step - v) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density, "
         "ROUND(sum(w * exp(-0.5 * pow((lo + g.i * step - v) / bw, 2))) / (n * bw * sqrt(2 * pi())) * n, 6) "
         "AS count_density FROM range(200) g(i), pts, p GROUP BY g.i, lo, step, n, bw")
+    o["kde_exact"] = (
+        "WITH r AS (SELECT COUNT(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd "
+        f"FROM {LONG_TAIL}), p AS (SELECT n, lo, hi, sd * pow(n, -1.0 / 5.0) AS bw, (hi - lo) / 49 AS step FROM r) "
+        "SELECT CAST(g.i AS INTEGER) AS point, ROUND(lo + g.i * step, 6) AS x, "
+        "ROUND(sum(exp(-0.5 * pow((lo + g.i * step - value) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density "
+        f"FROM range(50) g(i), {LONG_TAIL}, p GROUP BY g.i, lo, step, n, bw")
+    o["kde_close_to_exact"] = "SELECT true AS within_1e4_of_the_peak, CAST(50 AS BIGINT) AS points"
     o["corr_matrix"] = _corr_sql()
     pairs = []
     for i, a in enumerate(li_num):
@@ -672,6 +765,9 @@ def _oracle() -> dict[str, str]:
         "ROUND(COUNT(*) * 100.0 / sum(COUNT(*)) OVER (), 6) AS pct_entities, ROUND(sum(total), 6) AS value, "
         "ROUND(sum(total) * 100.0 / sum(sum(total)) OVER (), 6) AS pct_value, 'event_id' AS id_column, "
         "'value' AS value_column FROM r GROUP BY 1")
+    o["scatter_sample_spread"] = (
+        "SELECT CAST(floor((l_quantity - 1) / 10) AS BIGINT) AS band, true AS close FROM lineitem GROUP BY 1")
+    o["iforest_extreme"] = ("SELECT true AS extreme_scores_highest, true AS extremes_flagged")
     o["distinct_values"] = ("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL "
                             "ORDER BY 1")
 
@@ -764,6 +860,10 @@ def _oracle() -> dict[str, str]:
         "COUNT(DISTINCT o_custkey), COUNT(*) FROM orders) WHERE u * 1.0 / n > 0.8 ORDER BY i LIMIT 1)"])
     o["audit_report_documents"] = _audit_sql("documents", DOCUMENTS_COLS)
     o["table_summary_documents"] = _table_summary_sql("documents", DOCUMENTS_COLS)
+    o["duplicate_count_zeros"] = (f"SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM "
+                                  f"(SELECT COUNT(*) AS k FROM {ZEROS} GROUP BY ALL)".replace("GROUP BY ALL",
+                                  "GROUP BY z, gap, l_returnflag, l_linestatus, l_linenumber, note"))
+    o["drop_duplicates_zeros"] = f"SELECT DISTINCT z, gap, l_returnflag, l_linestatus, l_linenumber, note FROM {ZEROS}"
     o["duplicate_count_texts"] = ("SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM "
                                   "(SELECT COUNT(*) AS k FROM documents GROUP BY text, lang)")
     o["cardinality_documents"] = _union([

@@ -58,14 +58,15 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def kde_curve(df: DataFrame, col: str, grid: int = 200, exact: bool = False,
-              fine_bins: int = 4096) -> DataFrame:
+              bins_per_bandwidth: int = 64) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from min to max.
 
     Bandwidth is Scott's rule n^(−1/5)·std (sample std). ``exact`` sums one kernel
     per row (each row contributes to every grid point, pre-aggregated per
-    partition before the shuffle); by default rows are first reduced to at most
-    ``fine_bins`` weighted bin centres, so the kernel work no longer grows with
-    the data. ``count_density`` is scaled to counts (density × n)."""
+    partition before the shuffle); by default rows are first reduced to
+    weighted bin centres whose width is the bandwidth over ``bins_per_bandwidth``
+    (relative error about 1e-5, whatever the column's tails), so the kernel work
+    is per occupied bin. ``count_density`` is scaled to counts (density × n)."""
     x = _x(df, col)
     r = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                F.stddev_samp(x).alias("sd")).first()
@@ -79,8 +80,8 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, exact: bool = False,
     if exact:
         pts = df.select(x.alias("v"), F.lit(1).cast("long").alias("w")).filter(F.col("v").isNotNull())
     else:
-        fw = (hi - lo) / fine_bins
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(fw)), F.lit(fine_bins - 1))
+        fw = bw / bins_per_bandwidth
+        b = F.floor((x - F.lit(lo)) / F.lit(fw))
         pts = (df.filter(x.isNotNull()).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("w"))
                .select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(fw)).alias("v"), "w"))
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
@@ -170,21 +171,36 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 30, by: str | None = N
     return df.filter(both).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+def numbered_copies(df: DataFrame, cols: list[str], block: int = 10_000) -> DataFrame:
+    """The rows of ``df`` (columns ``cols``) with a number ``_copy`` among equal rows.
+
+    Equal rows are counted and re-expanded, first by blocks of copies that are
+    dealt out anew, so a point that holds a third of all rows is numbered by many
+    tasks and no long sequence is held."""
+    names = [quote(c) for c in cols]
+    blocks = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
+    dealt = blocks.repartition(*names, "_b")
+    last = F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.col("_b") * block, last))).select(*names, "_copy")
+
+
 def scatter_sample(df: DataFrame, cols: list[str], n: int = 1000, seed: int = 42,
                    by: str | None = None, per_group: int | None = None) -> DataFrame:
     """Deterministic sample of points for point-level charts (L5): the ``n`` rows
-    with the smallest row hash (a distributed top-k, no full sort). With ``by``,
+    with the smallest hash of point and copy number (a distributed top-k, no full
+    sort), so equal points are drawn as often as they occur. With ``by``,
     ``per_group`` rows per category."""
     keep = list(dict.fromkeys(cols + ([by] if by else [])))
-    h = F.xxhash64(*[F.col(quote(c)) for c in keep], F.lit(seed))
-    base = df.select(*[F.col(quote(c)) for c in keep]).withColumn("_h", h)
+    names = [quote(c) for c in keep]
+    base = numbered_copies(df.select(*names), keep).withColumn("_h", F.xxhash64(*names, "_copy", F.lit(seed)))
     if by is None:
-        return base.orderBy("_h", *[quote(c) for c in keep]).limit(n).drop("_h")
+        return base.orderBy("_h", *names, "_copy").limit(n).drop("_h", "_copy")
     from pyspark.sql import Window
-    w = Window.partitionBy(quote(by)).orderBy("_h", *[quote(c) for c in keep])
+    w = Window.partitionBy(quote(by)).orderBy("_h", *names, "_copy")
     k = per_group or n
     # rank inside each group; a group keeps only its first k rows
-    return base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_h", "_r")
+    return base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_h", "_r", "_copy")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import missing_safe
+from .chartdata import numbered_copies
 
 # The tree builder and the scorer run in Python workers. Pickling this module's
 # functions by value means executors need only numpy and pandas, not this package.
@@ -84,9 +85,10 @@ def isolation_forest_scores(df: DataFrame, col: str, n_trees: int = 100, sample_
                             seed: int = 42) -> DataFrame:
     """Adds ``iforest_score`` (anomaly score in (0, 1)) and ``is_iforest`` to ``df``."""
     x = missing_safe(df, col).cast("double")
-    present = df.select(x.alias("v"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns],
-                                                 F.lit(seed)).alias("h")).filter(F.col("v").isNotNull())
-    # one top-k by row hash: it holds every row when the column has fewer than
+    # equal values are numbered, so a value is drawn as often as it occurs
+    present = numbered_copies(df.select(x.alias("v")).filter(F.col("v").isNotNull()), ["v"]).select(
+        "v", F.xxhash64("v", "_copy", F.lit(seed)).alias("h"))
+    # one top-k by that hash: it holds every row when the column has fewer than
     # n_trees × sample_size values, so no separate count pass is needed
     k = n_trees * sample_size
     top = present.orderBy("h", "v").limit(k).persist(StorageLevel.MEMORY_AND_DISK)   # ≤ k rows

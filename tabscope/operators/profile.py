@@ -61,6 +61,13 @@ def missing_patterns(df: DataFrame) -> DataFrame:
             .withColumn("missing_columns", F.length(F.regexp_replace("pattern", "0", ""))))
 
 
+def _order_number(df: DataFrame, col: str) -> Column:
+    """A numeric column as it is, a date or time as microseconds since 1970."""
+    if not isinstance(df.schema[col].dataType, DATETIME_TYPES):
+        return _col(col)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[col].dataType), _col(col))
+
+
 def missing_bands(df: DataFrame, order_col: str, bands: int = 10) -> DataFrame:
     """Missing rate per column per block of rows along ``order_col``.
 
@@ -68,8 +75,8 @@ def missing_bands(df: DataFrame, order_col: str, bands: int = 10) -> DataFrame:
     column, and a row's band is the number of cut points below its value.
     """
     cuts = [k / bands for k in range(1, bands)]
-    qs = quantile_map(normalize_missing(df.select(quote(order_col))), [order_col], cuts)[order_col]
-    o = _col(order_col)
+    o = _order_number(df, order_col)
+    qs = quantile_map(normalize_missing(df.select(o.alias("_o"))), ["_o"], cuts)["_o"]
     band = sum((F.when(o > F.lit(q), 1).otherwise(0) for q in qs if q is not None), F.lit(0))
     cols = [c for c in df.columns if c != order_col]
     agg = (df.filter(o.isNotNull()).groupBy(band.alias("band"))
@@ -83,98 +90,58 @@ def missing_bands(df: DataFrame, order_col: str, bands: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ duplicates
 
-def _row_hash(df: DataFrame) -> list[Column]:
-    """Two independent 64-bit hashes of the whole row (NULLs and field order included)."""
-    cols = [F.col(quote(c)) for c in df.columns]
-    tagged = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]
-    return [F.xxhash64(*cols, F.lit(17)).alias("_h1"),
-            F.xxhash64(F.concat_ws("\u0001", *tagged), F.lit(31)).alias("_h2")]
-
-
-DUP_CANDIDATE_BROADCAST_ROWS = 1_000_000
-NARROW_ROW_BYTES = 64
-
-
-def _row_width(df: DataFrame) -> int:
-    """Size estimate of one row, as Spark's planner estimates it (strings 20 bytes)."""
-    sizes = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
-             T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8,
-             T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 20}
-    return sum(sizes.get(type(f.dataType), 100) for f in df.schema.fields)
-
-
-def _duplicate_candidates(norm: DataFrame):
-    """``(candidate_rows, duplicate_hash_keys)`` or None when no row hash repeats.
-
-    Only hashes are shuffled to find them (16 bytes per row, partially
-    aggregated), so wide rows such as long texts do not move unless they may be
-    duplicates; the candidates are then compared on their full values, so results
-    stay exact under hash collisions. When the repeated hashes are too many to
-    broadcast (a table made mostly of duplicates), ``("all", None)`` tells the
-    caller to group the full rows directly, which is then no more expensive; the
-    same holds for narrow rows, which are grouped directly as well."""
-    if _row_width(norm) <= NARROW_ROW_BYTES:
-        return "all", None
-    hashed = norm.select(*_row_hash(norm))
-    dup_hashes = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    n = dup_hashes.count()
-    if n == 0:
-        return None
-    if n > DUP_CANDIDATE_BROADCAST_ROWS:
-        return "all", None
-    keys = F.broadcast(dup_hashes.select("_h1", "_h2"))
-    cand = norm.select("*", *_row_hash(norm)).join(keys, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    return cand, keys
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as NULL and −0.0 as 0.0, the equality pandas groups by."""
+    norm = normalize_missing(df)
+    floats = {f.name for f in norm.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return norm.select(*[(_col(c) + F.lit(0.0).cast(norm.schema[c].dataType)).alias(c) if c in floats else _col(c)
+                         for c in norm.columns])
+
+
+def _row_hash(plain: DataFrame) -> list[Column]:
+    """128 bits that name a row of a ``_plain`` table: two 64-bit hashes that run through
+    the columns in opposite orders, NULL positions included."""
+    cols = [_col(c) for c in plain.columns]
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    return [F.xxhash64(*cols, nulls).alias("_h1"), F.xxhash64(F.lit(31), nulls, *reversed(cols)).alias("_h2")]
+
+
+def _row_groups(df: DataFrame, keep_row: bool = False) -> DataFrame:
+    """``_k`` rows per distinct row (and one such row ``_row``), found by the row hash.
+
+    The one path of all duplicate operators, whatever the rows' width: 16 bytes
+    per row are shuffled, partially aggregated, so neither texts nor hot rows
+    move; with ``keep_row`` one representative of a row moves per map task."""
+    plain = _plain(df)
+    row = F.struct(*[_col(c) for c in plain.columns]).alias("_row")
+    rows = plain.select(*_row_hash(plain), *([row] if keep_row else []))
+    aggs = [F.count(F.lit(1)).alias("_k")] + ([F.first("_row").alias("_row")] if keep_row else [])
+    return rows.groupBy("_h1", "_h2").agg(*aggs)
 
 
 def duplicate_count_from_hashes(df: DataFrame, vc: DataFrame) -> int:
-    """Exact duplicate-row count given a value-count table built with ``rows=True``:
-    zero when no row hash repeats (no further scan); otherwise the rows whose hash
-    repeats are compared on their full values."""
-    repeated = vc.filter((F.col("column_name") == ROW_KEY) & (F.col("count") > 1)).limit(1).count()
-    if repeated == 0:
-        return 0
-    return duplicate_count(df).first()[0]
+    """Duplicate-row count given a value-count table built with ``rows=True`` (same row hash)."""
+    return vc.filter(F.col("column_name") == ROW_KEY).agg(
+        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint")).first()[0]
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of identical rows (A3); NULL equals NULL."""
-    norm = normalize_missing(df)
-    found = _duplicate_candidates(norm)
-    if found is None:
-        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
-    rows = norm if isinstance(found[0], str) else found[0]
-    g = rows.groupBy(*[quote(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
-    return g.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    """Rows beyond the first of each group of identical rows (A3); NULL equals NULL, −0.0 equals 0.0."""
+    return _row_groups(df).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one row of each identical group (A4). Rows with a unique hash pass
-    through without a shuffle; only candidate duplicates are de-duplicated."""
-    norm = normalize_missing(df)
-    found = _duplicate_candidates(norm)
-    if found is None:
-        return norm
-    cand, keys = found
-    if isinstance(cand, str):
-        return norm.dropDuplicates()
-    unique = norm.select("*", *_row_hash(norm)).join(keys, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
-    return unique.unionByName(cand.dropDuplicates())
+    """Keep one row of each identical group (A4)."""
+    return _row_groups(df, keep_row=True).select("_row.*")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Every member of every duplicated group, sorted by all columns.
 
     Groups are counted once and re-expanded by their count, so no self-join."""
-    norm = normalize_missing(df)
-    cols = [quote(c) for c in df.columns]
-    found = _duplicate_candidates(norm)
-    if found is None:
-        return norm.limit(0)
-    rows = norm if isinstance(found[0], str) else found[0]
-    g = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
-    out = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_i")
-    return out.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
+    g = _row_groups(df, keep_row=True).filter(F.col("_k") > 1)
+    out = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).select("_row.*")
+    return out.orderBy(*[_col(c).asc_nulls_last() for c in df.columns])
 
 
 def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
@@ -214,22 +181,45 @@ ROW_KEY = "__row__"
 
 
 def row_key(df: DataFrame) -> Column:
-    """The 128-bit row hash as text (identical rows always share it)."""
+    """The 128-bit row hash of a ``_plain`` table as text (identical rows always share it)."""
     h1, h2 = _row_hash(df)
     return F.concat_ws(":", h1.cast("string"), h2.cast("string"))
 
 
-def value_counts_long(df: DataFrame, cols: list[str], rows: bool = False) -> DataFrame:
-    """VC core: ``(column_name, value, count)`` for many columns with one shuffle.
+#: Texts longer than this are counted under a 128-bit name where only counts are asked for.
+LONG_TEXT = 64
+LONG_MARK = "\u0001"
+
+
+def compact_key(text: Column) -> Column:
+    """``text``, or a short name of it when it is long."""
+    name = F.concat(F.lit(LONG_MARK), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(31), text)))
+    return F.when(F.length(text) > LONG_TEXT, name).otherwise(text)
+
+
+def value_counts_long(df: DataFrame, cols: list[str], rows: bool = False, compact: bool = False) -> DataFrame:
+    """VC core: ``(column_name, value, lower_value, count)`` for many columns with one shuffle.
+
     With ``rows`` the row hash is counted too (column name ``__row__``), so the
-    same shuffle also proves the absence of duplicate rows."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), value_key(df, c).alias("value"))
-                        for c in cols]
-                      + ([F.struct(F.lit(ROW_KEY).alias("column_name"), row_key(df).alias("value"))]
-                         if rows else []))
+    same shuffle also counts duplicate rows. With ``compact`` long texts are
+    counted under a 128-bit name (see ``compact_key``), so whole texts do not move;
+    counts, distinct counts and spellings that differ by case stay exact.
+    ``lower_value`` names the lower-cased value the same way."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    if rows:
+        plain = _plain(df)
+        df = plain.withColumn(ROW_KEY, row_key(plain))
+
+    def entry(c: str) -> Column:
+        v = value_key(df, c)
+        short = compact_key(v) if compact and c in texts else v
+        low = F.lower(v) if c in texts else v
+        return F.struct(F.lit(c).alias("column_name"), short.alias("value"),
+                        (compact_key(low) if compact and c in texts else low).alias("lower_value"))
+    entries = F.array(*[entry(c) for c in cols + ([ROW_KEY] if rows else [])])
     return (df.select(F.explode(entries).alias("e"))
             .filter(F.col("e.value").isNotNull())
-            .groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("count")))
+            .groupBy("e.column_name", "e.value", "e.lower_value").agg(F.count(F.lit(1)).alias("count")))
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -237,7 +227,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else [
         f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
     pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    counted = value_counts_long(df, cols).groupBy("column_name").agg(
+    counted = value_counts_long(df, cols, compact=True).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("distinct_count"))
     present = F.array(*[F.lit(c) for c in cols])
     base = df.sparkSession.range(1).select(F.explode(present).alias("column_name"))
@@ -250,13 +240,18 @@ def topn_other(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     """Bar-chart counts (A8): the top ``n`` values; when more values exist, the rest
     are summed into ``Other``. Largest first (so ``Other`` may lead).
 
-    The top ``n`` is a top-k (at most ``n`` values reach the driver); the rest is
-    summed by a second distributed aggregation over the value counts."""
-    top = top_values(df, col, n)
-    vc = value_counts(df, col)
-    label = F.when(F.col("value").isin(top), F.col("value").cast("string")).otherwise(F.lit("Other"))
-    return (vc.groupBy(label.alias("value")).agg(F.sum("count").cast("bigint").alias("count"))
-            .orderBy(F.col("count").desc(), F.col("value").asc()))
+    A real value ``Other`` among the top ``n`` shares that row. The top ``n`` is a
+    top-k (at most ``n`` rows reach the driver); the rest is the number of present
+    values, a plain count without a shuffle, minus their sum."""
+    v = missing_safe(df, col)
+    top = [(r["value"], r["count"]) for r in value_counts(df, col).select(
+        F.col("value").cast("string").alias("value"), "count").limit(n).collect()]
+    rest = df.agg(F.count(v)).first()[0] - sum(k for _, k in top)
+    rows = dict(top)
+    if rest:
+        rows["Other"] = rows.get("Other", 0) + rest
+    return df.sparkSession.createDataFrame(list(rows.items()), "value string, count bigint").orderBy(
+        F.col("count").desc(), F.col("value").asc())
 
 
 def pie_shares(df: DataFrame, col: str, n: int = 10) -> DataFrame:
@@ -404,11 +399,29 @@ def _empty(df: DataFrame, ddl: str) -> DataFrame:
 
 def column_modes(df: DataFrame, cols: list[str], vc: DataFrame | None = None) -> DataFrame:
     """``(column_name, mode)``: per column the smallest of the most frequent values,
-    from the value-count table with two distributed aggregations (no window)."""
-    vc = value_counts_long(df, cols) if vc is None else vc.filter(F.col("column_name").isin(cols))
-    best = vc.groupBy("column_name").agg(F.max("count").alias("_top"))
-    return (vc.join(best, "column_name").filter(F.col("count") == F.col("_top"))
-            .groupBy("column_name").agg(F.min("value").alias("mode")))
+    from the value-count table with two distributed aggregations (no window).
+
+    Long texts in a compact table are looked up: where every value is as frequent
+    as any other the mode is the column's minimum, else the minimum of the rows
+    whose names are among the most frequent."""
+    vc = value_counts_long(df, cols, compact=True) if vc is None else vc.filter(F.col("column_name").isin(cols))
+    best = vc.groupBy("column_name").agg(F.max("count").alias("_top"), F.min("count").alias("_least"))
+    tied = vc.join(F.broadcast(best), "column_name").filter(F.col("count") == F.col("_top"))   # one row per column
+    named = F.col("value").startswith(LONG_MARK)
+    found = tied.groupBy("column_name").agg(F.min("value").alias("mode"), F.bool_or(named).alias("named"),
+                                            F.max(F.col("_top") == F.col("_least")).alias("flat")).collect()
+    out = []
+    for r in found:
+        mode, c = r["mode"], r["column_name"]
+        if r["named"]:
+            v = value_key(df, c)
+            rows = df.select(v.alias("value"), compact_key(v).alias("_key"))
+            if not r["flat"]:
+                keys = tied.filter(F.col("column_name") == c).select(F.col("value").alias("_key"))
+                rows = rows.join(keys, "_key", "left_semi")
+            mode = rows.agg(F.min("value")).first()[0]
+        out.append((c, mode))
+    return df.sparkSession.createDataFrame(out, "column_name string, mode string")
 
 
 def table_summary(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
@@ -463,7 +476,7 @@ def table_summary_and_rows(df: DataFrame, vc: DataFrame | None = None,
               "mean double, std double, first string, last string")
     # one value-count shuffle serves both the distinct counts and the modes
     own = vc is None
-    vc = (value_counts_long(df, names).persist(StorageLevel.MEMORY_AND_DISK) if own
+    vc = (value_counts_long(df, names, compact=True).persist(StorageLevel.MEMORY_AND_DISK) if own
           else vc.filter(F.col("column_name").isin(names)))
     dc = {r["column_name"]: r["n"] for r in
           vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per column

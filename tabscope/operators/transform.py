@@ -15,6 +15,7 @@ from ..functions.dates import best_formats, parse_mixed, to_timestamp_any
 from ..functions.missing import is_missing, missing_safe, quote
 from ..functions.stats import quantile_map
 from ..functions.typeclass import is_numeric_type
+from ..functions.numbers import numeric_text
 from .profile import mode_value, top_values
 
 
@@ -52,7 +53,7 @@ def numeric_expr(df: DataFrame, name: str, target: str = "double") -> Column:
     if is_numeric_type(dt, include_bool=True):
         return missing_safe(df, name).cast(target)
     v = F.trim(_col(name).cast("string"))
-    parsed = v.try_cast(target)
+    parsed = numeric_text(v, target)
     if target == "double":
         parsed = F.when(F.isnan(parsed), F.lit(None)).otherwise(parsed)
     return parsed
@@ -95,7 +96,7 @@ def category_codes(df: DataFrame, name: str, code_col: str | None = None) -> Dat
 
     The code table is built from the distinct values with a range-partitioned
     global position (no single-task window); it is broadcast only when its
-    counted size is under the broadcast limit, otherwise joined by shuffle."""
+    counted bytes are under the broadcast limit, otherwise joined by shuffle."""
     from ..functions.ordering import with_global_position
     _require(df, name)
     code_col = code_col or f"{name}_code"
@@ -103,15 +104,15 @@ def category_codes(df: DataFrame, name: str, code_col: str | None = None) -> Dat
     v = missing_safe(df, name)
     distinct = df.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     codes = with_global_position(distinct, [F.col("_v").asc()], pos="_code")
-    n_codes = codes.count()
-    table = F.broadcast(codes) if n_codes <= CODE_TABLE_BROADCAST_ROWS else codes
-    joined = df.join(table, v.eqNullSafe(F.col("_v")), "left")
+    size = codes.agg(F.sum(F.octet_length(F.col("_v").cast("string")) + F.lit(16))).first()[0] or 0
+    table = F.broadcast(codes) if size <= CODE_TABLE_BROADCAST_BYTES else codes
+    joined = df.join(table, v == F.col("_v"), "left")         # missing values match nothing and stay out of the join
     return joined.select(*[_col(c) for c in df.columns],
                          F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(code_col))
 
 
-# Largest code table (value, code) broadcast to the join; larger ones are shuffle-joined.
-CODE_TABLE_BROADCAST_ROWS = 2_000_000
+# Bytes of the largest code table (value, code) broadcast to the join; larger ones are shuffle-joined.
+CODE_TABLE_BROADCAST_BYTES = 64 << 20
 
 
 # ------------------------------------------------------------------ C5 categories

@@ -96,7 +96,7 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
     # one value-count shuffle: distinct counts, duplicate IDs, case collisions and,
     # through the row-hash entry, whether any duplicate rows exist at all
     own = vc is None or not vc.filter(F.col("column_name") == ROW_KEY).limit(1).count()
-    full = (value_counts_long(df, wanted, rows=True).persist(StorageLevel.MEMORY_AND_DISK) if own else vc)
+    full = (value_counts_long(df, wanted, rows=True, compact=True).persist(StorageLevel.MEMORY_AND_DISK) if own else vc)
     dup = duplicate_count_from_hashes(df, full)
     out.append(finding("duplicates", None, "duplicate_rows", "warning" if dup > 0 else "success", dup,
                        f"{dup} duplicate rows"))
@@ -109,7 +109,7 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
         stats = {row["column_name"]: (row["nunique"], row["dups"]) for row in per_col}
         collisions = {row["column_name"]: row["groups"] for row in (
             vc.filter(F.col("column_name").isin(cats))
-            .groupBy("column_name", F.lower("value").alias("lv")).agg(F.count(F.lit(1)).alias("k"))
+            .groupBy("column_name", F.col("lower_value").alias("lv")).agg(F.count(F.lit(1)).alias("k"))
             .filter(F.col("k") > 1).groupBy("column_name").agg(F.count(F.lit(1)).alias("groups"))
             .collect())}
     else:
@@ -146,6 +146,8 @@ def audit_findings(df: DataFrame, id_ratio: float = 0.8, moderate_top: int = 15,
         st[c] = (parsed == present, fmt, present - parsed)
     for c in date_cols:
         ok, _, failing = st[c]
+        if not ok and failing is None:
+            continue                # a number named like a time is no date (same rule as the candidates, R11)
         if ok:
             out.append(finding("invalid", c, "date_parse", "success", 0, "all values parse as dates"))
         else:

@@ -28,10 +28,10 @@ from ..operators import chartdata, relations
 from ..operators.profile import value_counts_long
 
 
-def _category_tables(vc: DataFrame, k_bars: int, k_pie: int) -> dict:
+def _category_tables(vc: DataFrame, k_bars: int, k_pie: int, k_groups: int) -> dict:
     """Top values, bars (+Other), pie slices (+Other, %) per column from the VC core."""
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-    k = max(k_bars, k_pie)
+    k = max(k_bars, k_pie, k_groups)
     top = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     per_col = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"),
                                             F.sum("count").alias("total"))
@@ -43,7 +43,9 @@ def _category_tables(vc: DataFrame, k_bars: int, k_pie: int) -> dict:
                  .filter((F.col("distinct") > n) & (F.col("total") > F.col("kept")))
                  .select("column_name", F.lit("Other").alias("value"),
                          (F.col("total") - F.col("kept")).alias("count")))
-        return kept.select("column_name", "value", "count").unionByName(other)
+        # a real value "Other" among the top shares the remainder's row (as in topn_other)
+        return kept.select("column_name", "value", "count").unionByName(other).groupBy(
+            "column_name", "value").agg(F.sum("count").cast("bigint").alias("count"))
 
     bars = with_other(k_bars)
     pie = with_other(k_pie).join(per_col.select("column_name", "total"), "column_name")
@@ -64,9 +66,12 @@ def eda_numeric_extras(df: DataFrame, nums: list[str]) -> list:
 
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
                bins: int = 30, vc: DataFrame | None = None, numeric: dict | None = None,
-               quantile_method: str = "exact") -> dict:
+               quantile_method: str = "exact", group_top: int = 20, box_top: int = 15,
+               box_columns: int = 3) -> dict:
     """Parts of the exploratory analysis as DataFrames (long form, one table per
-    chart kind with a ``column_name`` column)."""
+    chart kind with a ``column_name`` column). Bars and slices, the categories of
+    group means and facets (``group_top``), and of grouped boxes (``box_top`` categories,
+    ``box_columns`` numeric columns) are limited independently."""
     df = normalize_missing(df)
     spark = df.sparkSession
     nums = numeric_columns(df)
@@ -91,12 +96,12 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
     if cats:
         vc = (value_counts_long(df, cats).persist(StorageLevel.MEMORY_AND_DISK) if vc is None
               else vc.filter(F.col("column_name").isin(cats)))
-        tables = _category_tables(vc, max_bars, max_slices)
+        tables = _category_tables(vc, max_bars, max_slices, max(group_top, box_top))
         parts["value_counts"] = tables["top"].filter(F.col("rank") <= max_bars)
         parts["bars"] = tables["bars"]
         parts["pies"] = tables["pie"]
         distinct = {r["column_name"]: r["distinct"] for r in tables["per_col"].collect()}
-        for r in tables["top"].filter(F.col("rank") <= 20).collect():     # ≤ 20 per column
+        for r in tables["top"].filter(F.col("rank") <= max(group_top, box_top)).collect():   # few per column
             tops.setdefault(r["column_name"], []).append(r["value"])
 
     pairs: list = []
@@ -122,9 +127,9 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
     if cats and nums:
         box_cat = next((c for c in cats if distinct.get(c, 0) < 15), None)          # R9
         if box_cat:
-            parts["box_by_category"] = _box_by_category(df, box_cat, nums[:3], tops.get(box_cat, [])[:15])
+            parts["box_by_category"] = _box_by_category(df, box_cat, nums[:box_columns], tops.get(box_cat, [])[:box_top])
         group_cat = next((c for c in cats if 2 <= distinct.get(c, 0) <= 20), cats[0])  # R7
-        keep = tops.get(group_cat, [])
+        keep = tops.get(group_cat, [])[:group_top]
         g = missing_safe(df, group_cat)
         parts["group_means"] = (df.filter(g.isin(keep)).groupBy(g.alias("category"))
                                 .agg(*[F.avg(missing_safe(df, c).cast("double")).alias(c) for c in nums])

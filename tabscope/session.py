@@ -2,13 +2,14 @@
 
 On a cluster the caller owns the session; nothing here overrides settings that
 are already present. The scratch folder is always taken from
-``spark.checkpoint.dir`` (a shared, fault-tolerant location on a cluster) and
-only invented when the session has none, as in local tests.
+``spark.checkpoint.dir`` (a shared, fault-tolerant location on a cluster); only
+a local master, where driver and executors are one process, gets a temporary one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,13 +40,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the session's checkpoint folder; without one, only a local master gets a temporary folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tabscope-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

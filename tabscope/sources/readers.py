@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.aggs import agg_row
 from ..functions.missing import normalize_missing, quote
+from ..functions.numbers import numeric_text
 
 # pandas' default missing-value tokens for read_csv.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -39,8 +40,8 @@ def _typed_from_text(df: DataFrame, na_tokens: list[str]) -> DataFrame:
         v = F.col(quote(c))
         t = F.trim(v)
         checks += [
-            (f"i{i}", F.count_if(v.isNotNull() & t.try_cast("bigint").isNull()), 1),
-            (f"d{i}", F.count_if(v.isNotNull() & t.try_cast("double").isNull()), 1),
+            (f"i{i}", F.count_if(v.isNotNull() & numeric_text(t, "bigint").isNull()), 1),
+            (f"d{i}", F.count_if(v.isNotNull() & numeric_text(t).isNull()), 1),
             (f"b{i}", F.count_if(v.isNotNull() & ~v.isin(TRUE_TOKENS + FALSE_TOKENS)), 1),
             (f"n{i}", F.count(v), 1),
         ]
@@ -64,13 +65,35 @@ def _typed_from_text(df: DataFrame, na_tokens: list[str]) -> DataFrame:
     return normalize_missing(cleaned.select(*out))
 
 
+_BAD_RECORD = "_tabscope_bad_record"
+
+
 def scan_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None,
-             sep: str = ",") -> DataFrame:
-    """CSV (or comma-separated .txt) with a header row; types inferred pandas-style."""
-    raw = (spark.read.option("header", True).option("sep", sep)
-           .option("inferSchema", False).option("nullValue", None)
-           .option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
-    return _typed_from_text(raw, NA_TOKENS if na_tokens is None else na_tokens)
+             sep: str = ",", multiline: bool | None = None) -> DataFrame:
+    """CSV (or comma-separated .txt) with a header row; types inferred pandas-style.
+
+    Quotes inside quoted fields are doubled. A quoted field may hold line ends;
+    files that have such fields cannot be split among tasks, so unless
+    ``multiline`` says so, one pass over the lines looks for an odd number of
+    quotes first. A line with more fields than the header raises ``ValueError``;
+    missing trailing fields are NULL."""
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline,
+               "inferSchema": False, "emptyValue": "", "mode": "PERMISSIVE", "columnPruning": False,
+               "columnNameOfCorruptRecord": _BAD_RECORD}
+    names = spark.read.options(**options).csv(path).columns
+    if not names:
+        return spark.read.options(**options).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _BAD_RECORD]])
+    raw = spark.read.schema(schema).options(**options).csv(path)
+    bare = F.regexp_replace(F.col(_BAD_RECORD), '"([^"]|"")*"', "")
+    extra = F.col(_BAD_RECORD).isNotNull() & (
+        F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(names) * len(sep))
+    if raw.agg(F.count_if(extra), F.count(quote(names[0]))).first()[0]:
+        raise ValueError(f"{path}: a line has more than {len(names)} fields")
+    return _typed_from_text(raw.drop(_BAD_RECORD), NA_TOKENS if na_tokens is None else na_tokens)
 
 
 def _first_line(spark: SparkSession, path: str) -> str | None:

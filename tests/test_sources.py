@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tabscope.sources import readers
 
 CSV = """customer_id,order_date,region,quantity,price,active,const,num_text
@@ -27,6 +29,23 @@ def test_csv_and_txt(spark, tmp_path):
         assert rows[3]["price"] is None and rows[3]["region"] == "  East"
 
 
+def test_csv_quotes_newlines_and_codes(spark, tmp_path):
+    p = tmp_path / "quoted.csv"
+    p.write_text('id,note,code\n1,"a ""b"" c",12D\n2,"x, ""y"", z",3F\n3,"two\nlines",7D\n4,plain\n')
+    df = readers.scan_csv(spark, str(p)).orderBy("id")
+    assert dict(df.dtypes) == {"id": "bigint", "note": "string", "code": "string"}
+    assert [tuple(r) for r in df.collect()] == [(1, 'a "b" c', "12D"), (2, 'x, "y", z', "3F"),
+                                                (3, "two\nlines", "7D"), (4, "plain", None)]
+
+
+def test_csv_with_too_many_fields_raises(spark, tmp_path):
+    for name, body in (("a", "1,x\n2,y,z\n"), ("b", '1,"p\nq"\n2,y,z\n')):
+        p = tmp_path / f"{name}.csv"
+        p.write_text("id,note\n" + body)
+        with pytest.raises(ValueError, match="more than 2 fields"):
+            readers.scan_csv(spark, str(p))
+
+
 def test_json_array_and_lines(spark, tmp_path):
     recs = [{"customer_id": 1, "region": "North", "price": 9.5},
             {"customer_id": 2, "region": None, "price": 10.0}]
