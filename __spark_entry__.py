@@ -25,7 +25,7 @@ from tabscope.functions.stats import quantiles as _quantiles  # noqa: E402
 from tabscope.functions.typeclass import select_by_type  # noqa: E402
 from tabscope.operators import (chartdata, detect, iforest, outliers, profile,  # noqa: E402
                                 relations, segment, timeseries, transform)
-from tabscope.plans import audit, reports  # noqa: E402
+from tabscope.plans import audit, eda, reports  # noqa: E402
 from tabscope.sources import readers  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -100,6 +100,14 @@ def f4_dates(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey") % 6 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("status"))
 
 
+def text_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """A date-named text column that does not parse throughout, and a text column of dates under another name."""
+    return f4(spark, sf).select("o_orderkey", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col(
+        "o_orderkey").cast("int") % 300), "yyyy-MM-dd").alias("made_on"), "order_date_text", "pri")
+
+
+TEXT_DATES = ("(SELECT o_orderkey, strftime(DATE '2024-01-01' + CAST(o_orderkey % 300 AS INTEGER), '%Y-%m-%d') AS made_on, "
+              "order_date_text, pri FROM {F4})")
 ZEROS = ("(SELECT 0.0::DOUBLE AS z, CAST(NULL AS DOUBLE) AS gap, l_returnflag, l_linestatus, l_linenumber, "
          "repeat(l_returnflag, 100) AS note FROM lineitem)")
 NUMBER_TEXTS = "(SELECT o_orderkey, o_custkey, o_orderkey % 5 AS k FROM orders)"
@@ -155,6 +163,45 @@ def _ts_daily(spark, sf, table, tcol, vcol):
     return timeseries.daily_resample(_t(spark, sf, table), tcol, vcol)
 
 
+_EDA_DOUBLES = {"bin_start", "bin_end", "pct", "q1", "median", "q3", "whisker_low", "whisker_high", "event_id",
+                "user_id", "value", "slope", "intercept", "r2"}
+
+
+def _eda_part(part: str):
+    """One chart-data table of the exploratory analysis of events."""
+    def query(spark, sf):
+        out = eda.eda_report(_t(spark, sf, "events"))[part]
+        return _r6(out, *[c for c, t in out.dtypes if c in _EDA_DOUBLES and t == "double"])
+    return query
+
+
+def q_one_click_parts(spark, sf):
+    """Every table of the one-click report, executed: its rows and the sum of its counts."""
+    rep = reports.one_click_report(_t(spark, sf, "events"))
+    out = None
+    tables = [(n, rep["eda"][n], "n" if n == "box_by_category" else "count") for n in (
+        "histograms", "bars", "pies", "scatter", "box_by_category")]
+    tables += [(n, rep["eda"][n], None) for n in ("group_means", "trends")]
+    tables += [(n, rep["time"][n], None) for n in ("decomposition", "monthly", "weekday")]
+    for name, df, col in tables:
+        total = F.sum(col).cast("bigint") if col else F.lit(None).cast("bigint")
+        part = df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"), total.alias("total"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def q_outlier_flag_all(spark, sf):
+    """The combined flag of all three methods covers every row that IQR or z-score flags, and every forest row."""
+    from tabscope.operators.iforest import isolation_forest_flags
+    ev = _t(spark, sf, "events").select("event_id", "value")
+    two = outliers.outlier_flag(ev, "value", flag_col="two")
+    three = outliers.outlier_flag(ev, "value", iforest=True, flag_col="three").select("event_id", "three")
+    forest = isolation_forest_flags(ev, "value").select("event_id", "is_iforest")
+    both = two.join(three, "event_id").join(forest, "event_id")
+    expect = F.when((F.col("two") == "Outlier") | F.col("is_iforest"), "Outlier").otherwise("Normal")
+    return both.agg(F.count("*").alias("rows"), F.bool_and(F.col("three") == expect).alias("is_the_union"))
+
+
 def q_kde_close(spark, sf):
     """The binned curve against the exact sum on a long-tailed column."""
     df = long_tail(spark, sf)
@@ -368,6 +415,16 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["duplicate_count_texts"] = lambda s, d: profile.duplicate_count(
         _t(s, d, "documents").select("text", "lang"))
     q["cardinality_documents"] = lambda s, d: profile.cardinality_class(_t(s, d, "documents"))
+    for part in ("histograms", "bars", "pies", "box_by_category", "group_means", "scatter", "trends"):
+        q[f"eda_{part}"] = _eda_part(part)
+    q["one_click_parts"] = q_one_click_parts
+    q["outlier_verdict"] = lambda s, d: outliers.outlier_verdict(outliers.outlier_compare(_t(s, d, "events"), "value"))
+    q["outlier_flag_all"] = q_outlier_flag_all
+    q["moderate_values"] = lambda s, d: profile.moderate_values(_t(s, d, "part"))
+    q["density_3d"] = lambda s, d: chartdata.density_3d(_t(s, d, "lineitem"), "l_quantity", "l_extendedprice", "l_tax")
+    q["pair_plot"] = lambda s, d: chartdata.pair_plot(_t(s, d, "events"))
+    q["datetime_candidates_parse"] = lambda s, d: detect.datetime_candidates(text_dates(s, d))
+    q["detect_time_column_text"] = lambda s, d: detect.detect_time_column(text_dates(s, d)).select("column_name")
     q["eda_report"] = lambda s, d: reports.eda_findings(_t(s, d, "events"))
     q["one_click_report"] = lambda s, d: reports.one_click_findings(_t(s, d, "events"))
     return q
@@ -439,6 +496,68 @@ def _lineitem_numeric() -> list[str]:
             "l_discount", "l_tax"]
 
 
+EVENT_NUMBERS = ["event_id", "user_id", "value"]
+
+
+def _bin_sql(c: str, bins: int = 30) -> str:
+    """0-based equal-width bin of an events column, its range in ``r``."""
+    return f"CAST(LEAST(FLOOR(({c} - lo_{c}) * ({bins} / (hi_{c} - lo_{c}))), {bins - 1}) AS INTEGER)"
+
+
+def _ranges_sql(cols: list[str]) -> str:
+    return "(SELECT " + ", ".join(f"CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}"
+                                  for c in cols) + " FROM events) r"
+
+
+def _pair_sql(a: str, b: str) -> str:
+    return (f"SELECT '{a}' AS col_x, '{b}' AS col_y, {_bin_sql(a)} AS bin_x, {_bin_sql(b)} AS bin_y, COUNT(*) AS count "
+            f"FROM events, {_ranges_sql(list(dict.fromkeys([a, b])))} WHERE {a} IS NOT NULL AND {b} IS NOT NULL "
+            "GROUP BY 3, 4")
+
+
+def _eda_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["eda_histograms"] = _union([
+        f"SELECT '{c}' AS column_name, CAST(g.i AS INTEGER) AS bin, ROUND(lo_{c} + g.i * ((hi_{c} - lo_{c}) / 30), 6) AS "
+        f"bin_start, ROUND(CASE WHEN g.i = 29 THEN hi_{c} ELSE lo_{c} + (g.i + 1) * ((hi_{c} - lo_{c}) / 30) END, 6) AS "
+        f"bin_end, coalesce(k, 0) AS count FROM range(30) g(i) CROSS JOIN {_ranges_sql([c])} LEFT JOIN (SELECT "
+        f"{_bin_sql(c)} AS bin, COUNT(*) AS k FROM events, {_ranges_sql([c])} WHERE {c} IS NOT NULL GROUP BY 1) n "
+        "ON n.bin = g.i" for c in EVENT_NUMBERS])
+    top = ("SELECT '{c}' AS column_name, CASE WHEN {c} IN (SELECT {c} FROM events WHERE {c} IS NOT NULL GROUP BY {c} "
+           "ORDER BY COUNT(*) DESC, {c} LIMIT {n}) THEN {c} ELSE 'Other' END AS value, COUNT(*) AS count FROM events "
+           "WHERE {c} IS NOT NULL GROUP BY 2")
+    o["eda_bars"] = _union([top.format(c=c, n=20) for c in ("event_type", "props")])
+    o["eda_pies"] = ("SELECT column_name, value, count, ROUND(count * 100.0 / sum(count) OVER (PARTITION BY column_name), 6) "
+                     "AS pct, count * 100.0 / sum(count) OVER (PARTITION BY column_name) >= 1.0 AS label_shown FROM ("
+                     + _union([top.format(c=c, n=10) for c in ("event_type", "props")]) + ")")
+    o["eda_box_by_category"] = _union([
+        f"SELECT '{c}' AS column_name, event_type AS category, COUNT({c}) AS n, ROUND(q1, 6) AS q1, ROUND(med, 6) AS median, "
+        f"ROUND(q3, 6) AS q3, ROUND(CAST(min({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1)) AS DOUBLE), 6) AS whisker_low, "
+        f"ROUND(CAST(max({c}) FILTER (WHERE {c} <= q3 + 1.5 * (q3 - q1)) AS DOUBLE), 6) AS whisker_high, "
+        f"COUNT(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS fliers FROM events JOIN "
+        f"(SELECT event_type, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS "
+        f"med, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM events GROUP BY 1) USING (event_type) "
+        "GROUP BY event_type, q1, med, q3" for c in EVENT_NUMBERS])
+    o["eda_group_means"] = ("SELECT event_type AS category, 'event_type' AS column_name, " + ", ".join(
+        f"ROUND(avg({c}), 6) AS {c}" for c in EVENT_NUMBERS) + " FROM events GROUP BY 1")
+    pairs = [(a, b) for i, a in enumerate(EVENT_NUMBERS) for b in EVENT_NUMBERS[i + 1:]]
+    o["eda_scatter"] = _union([_pair_sql(a, b) for a, b in pairs])
+    o["eda_trends"] = _union([
+        f"SELECT '{a}' AS x, '{b}' AS y, ROUND(regr_slope({b}, {a}), 6) AS slope, ROUND(regr_intercept({b}, {a}), 6) AS "
+        f"intercept, ROUND(regr_r2({b}, {a}), 6) AS r2, COUNT(*) AS n FROM events WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for a, b in pairs])
+    count = "SELECT '{p}' AS part, COUNT(*) AS rows, CAST({t} AS BIGINT) AS total FROM ({sql})"
+    daily = _daily_sql("events", "ts", "value")
+    o["one_click_parts"] = _union(
+        [count.format(p=p, t=f"sum({c})", sql=o[f"eda_{p}"]) for p, c in (
+            ("histograms", "count"), ("bars", "count"), ("pies", "count"), ("scatter", "count"), ("box_by_category", "n"))]
+        + [count.format(p=p, t="NULL", sql=o[f"eda_{p}"]) for p in ("group_means", "trends")]
+        + [count.format(p="decomposition", t="NULL", sql=f"SELECT * FROM {daily}"),
+           count.format(p="monthly", t="NULL", sql=f"SELECT DISTINCT month(day) AS m FROM {daily}"),
+           "SELECT 'weekday' AS part, CAST(7 AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS total"])
+    return o
+
+
 def _corr_sql() -> str:
     cols = _lineitem_numeric()
     parts = []
@@ -694,6 +813,7 @@ def _oracle() -> dict[str, str]:
         "ROUND(sum(exp(-0.5 * pow((lo + g.i * step - value) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density "
         f"FROM range(50) g(i), {LONG_TAIL}, p GROUP BY g.i, lo, step, n, bw")
     o["kde_close_to_exact"] = "SELECT true AS within_1e4_of_the_peak, CAST(50 AS BIGINT) AS points"
+    o |= _eda_oracles()
     o["corr_matrix"] = _corr_sql()
     pairs = []
     for i, a in enumerate(li_num):
@@ -802,6 +922,31 @@ def _oracle() -> dict[str, str]:
             f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM documents"
             for i, c in enumerate(["text", "lang", "source"])]) + ") WHERE distinct_count BETWEEN 0 AND 14 "
         "ORDER BY position LIMIT 1")
+    td = TEXT_DATES.replace("{F4}", F4)
+    o["datetime_candidates_parse"] = (
+        "SELECT 1 AS position, 'made_on' AS column_name, 'parses' AS reason WHERE (SELECT COUNT(*) FILTER "
+        f"(WHERE TRY_CAST(made_on AS TIMESTAMP) IS NULL) FROM {td}) = 0 "
+        "UNION ALL SELECT 2, 'order_date_text', 'name'")
+    o["detect_time_column_text"] = (
+        f"SELECT CASE WHEN COUNT(*) FILTER (WHERE TRY_CAST(order_date_text AS TIMESTAMP) IS NULL) = 0 "
+        f"THEN 'order_date_text' ELSE 'made_on' END AS column_name FROM {td}")
+    o["outlier_verdict"] = (
+        "SELECT CASE WHEN bool_or(is_distinct) THEN 'behavioural' ELSE 'statistical' END AS verdict, "
+        f"COUNT(*) FILTER (WHERE is_distinct) AS distinct_columns FROM ({o['outlier_compare']})")
+    o["outlier_flag_all"] = "SELECT COUNT(*) AS rows, true AS is_the_union FROM events"
+    o["moderate_values"] = _union([
+        f"SELECT '{c}' AS column_name, CAST(rank AS INTEGER) AS rank, value, count FROM (SELECT {c} AS value, COUNT(*) AS "
+        f"count, row_number() OVER (ORDER BY COUNT(*) DESC, {c}) AS rank, COUNT(*) OVER () AS d FROM part "
+        f"WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 15 AND d BETWEEN 16 AND 50"
+        for c in ("p_name", "p_brand", "p_type")])
+    b3 = "CAST(LEAST(FLOOR(({c} - {a}) * (10 / ({b} - {a}))), 9) AS INTEGER)"
+    o["density_3d"] = (
+        "WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, "
+        "max(l_extendedprice) AS y1, min(l_tax) AS z0, max(l_tax) AS z1 FROM lineitem) SELECT "
+        + b3.format(c="l_quantity", a="x0", b="x1") + " AS bin_x, " + b3.format(c="l_extendedprice", a="y0", b="y1")
+        + " AS bin_y, " + b3.format(c="l_tax", a="z0", b="z1") + " AS bin_z, COUNT(*) AS count FROM lineitem, r "
+        "GROUP BY 1, 2, 3")
+    o["pair_plot"] = _union([_pair_sql(a, b) for i, a in enumerate(EVENT_NUMBERS) for b in EVENT_NUMBERS[i:]])
     o["datetime_candidates"] = "SELECT 2 AS position, 'order_date_text' AS column_name, 'name' AS reason"
     o["invalid_dates"] = (
         "SELECT 2 AS position, 'order_date_text' AS column_name, 'iso' AS best_format, "

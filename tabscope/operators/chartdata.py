@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import missing_safe, normalize_missing, quote
 from ..functions.stats import quantiles
+from ..functions.typeclass import numeric_columns
 from .profile import top_values
 
 
@@ -171,6 +172,28 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 30, by: str | None = N
     return df.filter(both).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+def density_3d(df: DataFrame, x: str, y: str, z: str, bins: int = 10) -> DataFrame:
+    """Binned counts over three numeric columns (A31); at most ``bins``³ rows."""
+    spans = {}
+    r = df.agg(*[e for i, c in enumerate((x, y, z)) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
+                                                              F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+    for i, c in enumerate((x, y, z)):
+        spans[c] = hist_range(r[f"lo{i}"], r[f"hi{i}"])
+    names = ("bin_x", "bin_y", "bin_z")
+    if any(spans[c][0] is None for c in spans):
+        return df.sparkSession.createDataFrame([], "bin_x int, bin_y int, bin_z int, count bigint")
+    binned = df.select(*[hist_bin(_x(df, c), *spans[c], bins).alias(n) for c, n in zip((x, y, z), names)])
+    return binned.filter(" and ".join(f"{n} is not null" for n in names)).groupBy(*names).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+def pair_plot(df: DataFrame, first: int = 5, bins: int = 30) -> DataFrame:
+    """Binned scatters of all pairs of the ``first`` numeric columns and, as a pair of
+    itself, each column's histogram on the diagonal (A31)."""
+    cols = numeric_columns(df)[:first]
+    return density_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], bins)
+
+
 def numbered_copies(df: DataFrame, cols: list[str], block: int = 10_000) -> DataFrame:
     """The rows of ``df`` (columns ``cols``) with a number ``_copy`` among equal rows.
 

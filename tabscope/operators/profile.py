@@ -372,6 +372,22 @@ def cardinality_class(df: DataFrame, cols: list[str] | None = None, top: int = 1
                      F.when((n > top) & (n <= 50), n - top).alias("more_than_shown"))
 
 
+def moderate_values(df: DataFrame, cols: list[str] | None = None, top: int = 15, most: int = 50) -> DataFrame:
+    """The ``top`` most frequent values of each text column of moderate cardinality (A27):
+    more than ``top`` and at most ``most`` distinct values; ties by value."""
+    cols = categorical_columns(df) if cols is None else cols
+    if not cols:
+        return _empty(df, "column_name string, rank int, value string, count bigint")
+    kinds = cardinality_class(df, cols, top).filter(F.col("distinct_count").between(top + 1, most))
+    found = [r["column_name"] for r in kinds.collect()]              # one row per column
+    if not found:
+        return _empty(df, "column_name string, rank int, value string, count bigint")
+    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
+    counts = value_counts_long(df, found)                            # at most ``most`` values per column
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(
+        "column_name", "rank", "value", "count")
+
+
 # ------------------------------------------------------------------ time / granularity
 
 def time_span(df: DataFrame, col: str, fmt: str | None = None) -> DataFrame:
