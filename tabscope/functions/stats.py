@@ -25,6 +25,8 @@ from .missing import quote
 
 DEFAULT_ACCURACY = 10000
 DEFAULT_MAX_BRACKET = 200_000
+#: Rows that all brackets of one aggregate may gather together, over columns, probabilities and groups.
+DEFAULT_MAX_GATHER = 2_000_000
 
 
 def _c(name: str) -> Column:
@@ -58,7 +60,8 @@ def _grouped_rows(df: DataFrame, key: Column | None, groups: list, named: list)
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
               groups: list | None = None, method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY,
-              max_bracket: int = DEFAULT_MAX_BRACKET, extra: list | None = None) -> dict:
+              max_bracket: int = DEFAULT_MAX_BRACKET, extra: list | None = None,
+              max_gather: int = DEFAULT_MAX_GATHER) -> dict:
     """Quantiles of ``cols`` at ``probs`` → ``{(group, col, p): float | None}``.
 
     Missing values are skipped (the column must already be NaN-normalised).
@@ -74,7 +77,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     sorts just those values and reads the exact order statistic on the
     executors. A wider interior is narrowed by another approximate pass
     restricted to it; a bracket the approximation missed is opened on that side.
-    Typically two passes in all. ``extra`` = ``[(alias, aggregate, width)]`` are
+    Typically two passes in all. One aggregate gathers ``max_gather`` rows at most
+    (the two sides of a rank share a bracket and count once), so with many
+    columns or groups the brackets are read in several passes. ``extra`` = ``[(alias, aggregate, width)]`` are
     computed in the first pass too (ungrouped only) and returned under
     ``"__extra__"``, saving a scan for callers that need plain statistics as well.
     """
@@ -135,13 +140,14 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
         return out
 
     slots = sorted({s[1:] for s in state})
-    for _ in range(32):
+    for _ in range(32 + len(state)):
         live = {sl: {g: state[(g,) + sl] for g in group_values
                      if (g,) + sl in state and not state[(g,) + sl]["done"]} for sl in slots}
         live = {sl: st for sl, st in live.items() if st}
         if not live:
             break
         gkey = key if key is not None else None
+        _share_out(live, max_bracket, max_gather)
         named = []
         for j, (sl, st) in enumerate(live.items()):
             x = _c(cols[sl[0]])
@@ -153,8 +159,6 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
             interior = (x > lo) & (x < hi)
             named += [(f"b{j}", below, 1), (f"el{j}", eq_lo, 1), (f"eh{j}", eq_hi, 1),
                       (f"m{j}", F.count_if(interior), 1)]
-            for t in st.values():
-                t["collect"] = t["est"] <= max_bracket
             if any(t["collect"] for t in st.values()):
                 allow = _lookup({g: t["collect"] for g, t in st.items()}, gkey)
                 ranked = F.array_sort(F.collect_list(F.when(interior & allow, x)))
@@ -204,6 +208,21 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     return out
 
 
+def _share_out(live: dict, max_bracket: int, max_gather: int) -> None:
+    """Decide which open brackets gather their interior now, the smallest first."""
+    by_bracket: dict = {}
+    for (ci, pi, _), st in live.items():
+        for g, t in st.items():
+            by_bracket.setdefault((g, ci, pi, t["lo"], t["hi"]), []).append(t)
+    used = 0
+    for same in sorted(by_bracket.values(), key=lambda ts: max(t["est"] for t in ts)):
+        est = max(t["est"] for t in same)
+        ok = est <= max_bracket and (not used or used + est <= max_gather)
+        used += est if ok else 0
+        for t in same:
+            t["collect"] = ok
+
+
 def quantile_map(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict:
     """``{col: [q(p) for p in probs]}`` for the ungrouped case."""
     q = quantiles(df, cols, probs, **kw)

@@ -62,3 +62,14 @@ def test_samples_repeat_points_as_often_as_they_occur(spark):
 def test_numbers_named_like_times_are_no_dates(spark):
     found = audit.audit_report(spark.createDataFrame([(1,), (2,)], "lead_time int")).collect()
     assert not [r for r in found if r["check"] == "date_parse"]
+
+
+def test_quantiles_within_a_gather_budget(spark):
+    from tabscope.functions.stats import quantiles
+    df = spark.range(5000).select(*[((F.col("id") * (7 + 2 * i)) % 4999).cast("double").alias(f"c{i}") for i in range(4)],
+                                  (F.col("id") % 3).alias("g"))
+    cols, probs = [f"c{i}" for i in range(4)], [0.1, 0.5]
+    free = quantiles(df, cols, probs, accuracy=100)
+    assert quantiles(df, cols, probs, accuracy=100, max_gather=900) == free
+    by = quantiles(df, cols[:1], probs, by="g", groups=[0, 1, 2], accuracy=100)
+    assert quantiles(df, cols[:1], probs, by="g", groups=[0, 1, 2], accuracy=100, max_gather=300) == by
