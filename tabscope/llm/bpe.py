@@ -30,7 +30,7 @@ from .chunks import ChunkEncoder
 from .common import ship
 
 #: Chunks a worker remembers (of one cache generation).
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 100_000
 #: Widths of an id and of a byte position in packed integers.
 _ID_BITS, _POS_BITS = 20, 40
 _ID_MASK, _POS_MASK = (1 << _ID_BITS) - 1, (1 << _POS_BITS) - 1
@@ -138,21 +138,29 @@ def _fields(df: DataFrame, names: Iterable[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``n_tokens`` and ``ids`` (binary) of every whole ``text``."""
-    keep = list(keep)
+def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays: bool = False) -> DataFrame:
+    """``keep`` columns, ``n_tokens`` and ``ids`` (binary) of every whole ``text``.
+
+    With ``arrays`` the ids come as ``token_ids array<int>`` instead."""
+    keep, name = list(keep), "token_ids" if arrays else "ids"
     ship(docs.sparkSession)
 
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
             ids = [bpe.encode(t or "") for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in keep], pa.array([len(x) // 4 for x in ids], type=pa.int64()),
-                 pa.array(ids, type=pa.binary())], names=[*keep, "n_tokens", "ids"])
+            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            if arrays:
+                off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                own = pa.ListArray.from_arrays(off, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            else:
+                own = pa.array(ids, type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n), own],
+                                             names=[*keep, "n_tokens", name])
 
     return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, ", ".join(x for x in (_fields(docs, keep), "n_tokens long, ids binary") if x))
+        run, ", ".join(x for x in (_fields(docs, keep), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}")
+                       if x))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -167,19 +175,3 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())], names=[*cols, "decoded"])
 
     return encoded.mapInArrow(run, _fields(encoded, cols) + ", decoded string")
-
-
-def ids_array(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with the binary ``ids`` replaced by ``token_ids array<int>``."""
-    cols = [c for c in encoded.columns if c != "ids"]
-    ship(encoded.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            raw = [x or b"" for x in b.column("ids").to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.ListArray.from_arrays(off, flat)],
-                                             names=[*cols, "token_ids"])
-
-    return encoded.mapInArrow(run, _fields(encoded, cols) + ", token_ids array<int>")

@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,32 +137,23 @@ def _slice_features(raw: np.ndarray, off: np.ndarray, insults: np.ndarray, conte
 _TABLES: list[np.ndarray] = []
 
 
-def text_features(texts: pa.Array) -> Features:
-    """Features of a batch of texts; long texts are gathered from slices."""
+def _joined(parts: list[Features]) -> Features:
+    """Features of one text from those of its pieces: shares are averaged by words."""
+    n = np.sum([f.n for f in parts], axis=0)
+    share = np.stack([f.n for f in parts]) / np.maximum(n, 1)
+    measures = np.sum([f.measures for f in parts], axis=0)
+    measures[:, :5] = np.sum([f.measures[:, :5] * s[:, None] for f, s in zip(parts, share)], axis=0)
+    return Features(n, measures, *[np.concatenate([getattr(f, x) for f in parts]) for x in ("shapes", "owner", "feature")])
+
+
+def text_features(texts: pa.Array) -> Iterator[Features]:
+    """Features of consecutive texts, about a megabyte of text at a time."""
     if not _TABLES:
         _TABLES.extend(_hash_of(x) for x in (INSULTS, CONTEMPT, FUNCTION_WORDS))
     raw, off = textvec.flat(texts)
-    parts, rows = [], []
     for i, j in textvec.doc_slices(off):
-        for r, o in textvec.pieces(raw, off[i:j + 1], textvec.SPACE):
-            parts.append(_slice_features(r, o, *_TABLES))
-            rows.append(i)
-    docs = len(off) - 1
-    n, measures = np.zeros(docs, dtype=np.int64), np.zeros((docs, len(JUNK) + len(ABUSE) - 2))
-    shapes, owner, feature = [], [], []
-    for at, f in zip(rows, parts):
-        k = len(f.n)
-        both = n[at:at + k] + f.n                      # shares of a text cut in slices are averaged by words
-        share = np.divide(f.n, both, out=np.zeros(k), where=both > 0)[:, None]
-        measures[at:at + k, :5] += (f.measures[:, :5] - measures[at:at + k, :5]) * share
-        measures[at:at + k, 5:] += f.measures[:, 5:]
-        n[at:at + k] = both
-        shapes.append(f.shapes + np.array([at, 0, 0]))
-        owner.append(f.owner + at)
-        feature.append(f.feature)
-    cat = lambda x, like: np.concatenate(x) if x else like
-    return Features(n, measures, cat(shapes, np.zeros((0, 3), np.int64)), cat(owner, np.zeros(0, np.int64)),
-                    cat(feature, np.zeros(0, np.uint64)))
+        parts = [_slice_features(r, o, *_TABLES) for r, o in textvec.pieces(raw, off[i:j + 1], textvec.SPACE)]
+        yield parts[0] if len(parts) == 1 else _joined(parts)
 
 
 def votes(f: Features) -> np.ndarray:
@@ -178,7 +170,7 @@ def votes(f: Features) -> np.ndarray:
 
 def _votes_udf(batches):
     for batch in batches:
-        v = votes(text_features(batch.column("text")))
+        v = np.concatenate([np.zeros((0, 7), dtype=np.int64), *map(votes, text_features(batch.column("text")))])
         junk, abuse = (v[:, a:b] @ (3 ** np.arange(b - a)) for a, b in ((0, 5), (5, 7)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(junk, type=pa.int32()),
                                           pa.array(abuse, type=pa.int32())], names=["doc_id", "junk", "abuse"])
@@ -249,7 +241,12 @@ class Scorer:
     weights: np.ndarray
     abuse_bias: float
 
-    def __call__(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of junk and of abuse for each text."""
+        found = [self.chances(f) for f in text_features(texts)]
+        return tuple(np.concatenate([np.zeros(0), *[x[k] for x in found]]) for k in range(2))
+
+    def chances(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         docs = len(f.n)
         doc, shape, count = f.shapes.T
         share = count / np.maximum(f.n[doc], 1)
@@ -307,17 +304,19 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
 
 def _sample_udf(batches):
     for batch in batches:
-        f = text_features(batch.column("text"))
-        v = votes(f)
         lj, la = batch.column("lj").to_pylist(), batch.column("la").to_pylist()
         out = []
-        order = np.argsort(f.owner, kind="stable")
-        cut = np.searchsorted(f.owner[order], np.arange(len(f.n) + 1))
-        for i in range(len(f.n)):
-            own = f.shapes[f.shapes[:, 0] == i]
-            code = [int(v[i, :5] @ (3 ** np.arange(5))), int(v[i, 5:] @ (3 ** np.arange(2))), lj[i], la[i]]
-            out.append({"votes": code, "n": int(f.n[i]), "shapes": own[:, 1].tolist(), "counts": own[:, 2].tolist(),
-                        "features": np.unique(f.feature[order[cut[i]:cut[i + 1]]]).astype(np.int64)})
+        for f in text_features(batch.column("text")):
+            v = votes(f)
+            order = np.argsort(f.owner, kind="stable")
+            cut = np.searchsorted(f.owner[order], np.arange(len(f.n) + 1))
+            for i in range(len(f.n)):
+                own = f.shapes[f.shapes[:, 0] == i]
+                at = len(out)
+                code = [int(v[i, :5] @ (3 ** np.arange(5))), int(v[i, 5:] @ (3 ** np.arange(2))), lj[at], la[at]]
+                out.append({"votes": code, "n": int(f.n[i]), "shapes": own[:, 1].tolist(),
+                            "counts": own[:, 2].tolist(),
+                            "features": np.unique(f.feature[order[cut[i]:cut[i + 1]]]).astype(np.int64)})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
             ("votes", pa.list_(pa.int32())), ("n", pa.int64()), ("shapes", pa.list_(pa.int64())),
             ("counts", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))]))
@@ -373,7 +372,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            junk, abuse = sent.value(text_features(batch.column("text")))
+            junk, abuse = sent.value(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(junk), pa.array(abuse), pa.array((junk < JUNK_CUT) & (abuse < ABUSE_CUT))],
                 names=["doc_id", "p_junk", "p_abuse", "keep"])
@@ -390,7 +389,7 @@ def keep_good(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            junk, abuse = sent.value(text_features(batch.column("text")))
+            junk, abuse = sent.value(batch.column("text"))
             yield batch.filter(pa.array((junk < JUNK_CUT) & (abuse < ABUSE_CUT)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -100,9 +100,9 @@ def test_odd_rows(spark, odd, none, tmp_path):
     coded = bpe.decode(bpe.encode(odd, BPE, keep=["doc_id", "text", "rk"]), BPE).collect()
     assert len(coded) == n and all(r["decoded"] == (r["text"] or "") for r in coded)
     assert {r["n_tokens"] for r in coded if r["doc_id"] in (2, 3)} == {0}
-    arrays = bpe.ids_array(bpe.encode(odd, BPE)).collect()
+    arrays = bpe.encode(odd, BPE, arrays=True).collect()
     assert sorted(len(r["token_ids"]) for r in arrays) == sorted(r["n_tokens"] for r in coded)
-    assert bpe.ids_array(bpe.encode(none, BPE)).count() == 0
+    assert bpe.encode(none, BPE, arrays=True).count() == 0
     for i, (df, size) in enumerate(((odd, n), (none, 0))):
         out = str(tmp_path / f"t{i}")
         token_files.write_tokens(df, BPE, out)
