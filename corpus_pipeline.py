@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.llm import bpe, decontam, language, minhash, quality
-from tabscope.llm.common import cut, read_table
+from tabscope.llm.common import cut, drop_table, read_table
 from tabscope.llm.queries import vocabulary
 
 
@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids."""
-    return bpe.ids_array(bpe.encode(docs, vocabulary(), keep=docs.columns))
+    return bpe.encode(docs, vocabulary(), keep=docs.columns, arrays=True)
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_dedup", one_of_each),
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"stage_{name}")
-    return docs
+    before: list[str] = []
+    for name, stage in STAGES[:-1]:
+        written: list[str] = []
+        docs = cut(stage(spark, docs, sf_dir), f"stage_{name}", written)
+        for path in before:
+            drop_table(spark, path)
+        before = written
+    return STAGES[-1][1](spark, docs, sf_dir)
