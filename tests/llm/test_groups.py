@@ -115,8 +115,8 @@ def best_windows(docs, items, k=5):
             s = min(k, len(p))
             bag = lambda x: collections.Counter(tuple(x[i:i + s]) for i in range(len(x) - s + 1))
             own, size, best = bag(p), min(len(p), len(w)), None
-            if size < s:
-                continue
+            if size < s or not own.keys() & bag(w).keys():
+                continue                               # a window without a common shingle is unlike
             for start in range(len(w) - size + 1):
                 here = bag(w[start:start + size])
                 both = sum((here & own).values())
