@@ -194,7 +194,7 @@ def q_outlier_flag_all(spark, sf):
     """The combined flag of all three methods covers every row that IQR or z-score flags, and every forest row."""
     from tabscope.operators.iforest import isolation_forest_flags
     ev = _t(spark, sf, "events").select("event_id", "value")
-    two = outliers.outlier_flag(ev, "value", flag_col="two")
+    two = outliers.outlier_flag(ev, "value", iforest=False, flag_col="two")
     three = outliers.outlier_flag(ev, "value", iforest=True, flag_col="three").select("event_id", "three")
     forest = isolation_forest_flags(ev, "value").select("event_id", "is_iforest")
     both = two.join(three, "event_id").join(forest, "event_id")
@@ -202,6 +202,69 @@ def q_outlier_flag_all(spark, sf):
     return both.agg(F.count("*").alias("rows"), F.bool_and(F.col("three") == expect).alias("is_the_union"))
 
 
+def _expected_outliers(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``expected``: IQR or z-score or isolation forest, each flag from its own function."""
+    x = F.col(col).cast("double")
+    b, z = outliers.iqr_bounds(df, [col])[col], outliers.zscore_stats(df, [col])[col]
+    two = outliers.iqr_predicate(x, b) | outliers.zscore_predicate(x, z)
+    return iforest.isolation_forest_flags(df, col).withColumn("expected", two | F.col("is_iforest"))
+
+
+def q_outlier_flag_forest(spark, sf):
+    """Every row of the three-method flag, held against the three tests made one by one."""
+    ev = _t(spark, sf, "events").select("event_id", "value")
+    flag = outliers.outlier_flag(ev, "value")
+    both = flag.join(_expected_outliers(ev, "value").select("event_id", "expected"), "event_id")
+    return both.select("event_id", "value", ((F.col("is_outlier") == "Outlier") == F.col("expected")).alias("agrees"))
+
+
+def q_outliers_combined_forest(spark, sf):
+    """Every distinct value: it is in the three-method list exactly when one of the three tests flags it."""
+    ev = _t(spark, sf, "events").select("value")
+    listed = outliers.outliers_combined(ev, "value").withColumn("listed", F.lit(True))
+    values = _expected_outliers(ev, "value").filter("value is not null").groupBy("value").agg(
+        F.bool_or("expected").alias("expected"))
+    return values.join(listed, "value", "full").select(
+        "value", (F.coalesce("listed", F.lit(False)) == F.col("expected")).alias("agrees"))
+
+
+def _expected_compare(spark, sf):
+    """The three-method comparison of events, beside means and deviations by the three tests made one by one."""
+    ev = _t(spark, sf, "events")
+    found = outliers.outlier_compare(ev, "value")
+    rows = _expected_outliers(ev, "value").select("expected", F.explode(F.create_map(*[
+        x for c in ("event_id", "user_id") for x in (F.lit(c), F.col(c).cast("double"))])).alias("column_name", "x"))
+    means = rows.groupBy("column_name").agg(
+        F.avg(F.when(F.col("expected"), F.col("x"))).alias("om"), F.avg(F.when(~F.col("expected"), F.col("x"))).alias("nm"),
+        F.stddev_samp(F.when(~F.col("expected"), F.col("x"))).alias("ns"))
+    return found, means
+
+
+def q_outlier_compare_forest(spark, sf):
+    found, means = _expected_compare(spark, sf)
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * (F.abs(F.col(b)) + 1)
+    distinct = F.abs(F.col("om") - F.col("nm")) > 1.5 * F.col("ns")
+    return means.join(found, "column_name", "left").select("column_name", (
+        close("outlier_mean", "om") & close("normal_mean", "nm") & close("normal_std", "ns")
+        & (F.col("is_distinct") == distinct)).alias("agrees"))
+
+
+def q_outlier_verdict_forest(spark, sf):
+    found, means = _expected_compare(spark, sf)
+    distinct = means.agg(F.count_if(F.abs(F.col("om") - F.col("nm")) > 1.5 * F.col("ns")).alias("d"))
+    verdict = F.when(F.col("d") > 0, "behavioural").otherwise("statistical")
+    return outliers.outlier_verdict(found).crossJoin(distinct).select(
+        ((F.col("verdict") == verdict) & (F.col("distinct_columns") == F.col("d"))).alias("agrees"))
+
+
+def q_column_report_forest(spark, sf):
+    """The report's outlier counts with the forest; the combined one against the three tests made one by one."""
+    ev = _t(spark, sf, "events").select("value")
+    values = _expected_outliers(ev, "value").agg(F.count_distinct(F.when(F.col("expected"), F.col("value"))).alias("n"))
+    return reports.column_report(ev, "value").crossJoin(values).select(
+        "column_name", "iqr_outliers", "z_outliers", (F.col("combined_outliers") == F.col("n")).alias("agrees"))
+
+
 def q_kde_close(spark, sf):
     """The binned curve against the exact sum on a long-tailed column."""
     df = long_tail(spark, sf)
@@ -290,7 +353,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["collapse_rare"] = lambda s, d: transform.collapse_rare(
         _t(s, d, "part").select("p_partkey", "p_brand"), "p_brand", 10)
     q["outlier_flag"] = lambda s, d: outliers.outlier_flag(
-        _t(s, d, "events").select("event_id", "value"), "value")
+        _t(s, d, "events").select("event_id", "value"), "value", iforest=False)
+    q["outlier_flag_forest"] = q_outlier_flag_forest
 
     # filters / predicates
     q["outliers_iqr"] = lambda s, d: outliers.outliers_iqr(_t(s, d, "events"), "value")
@@ -298,7 +362,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                 "q1", "q3", "lower", "upper")
     q["outliers_zscore"] = lambda s, d: outliers.outliers_zscore(_t(s, d, "events"), "value")
     q["outliers_iforest"] = lambda s, d: iforest.outliers_iforest(_t(s, d, "events"), "value")
-    q["outliers_combined"] = lambda s, d: outliers.outliers_combined(_t(s, d, "events"), "value")
+    q["outliers_combined"] = lambda s, d: outliers.outliers_combined(_t(s, d, "events"), "value", iforest=False)
+    q["outliers_combined_forest"] = q_outliers_combined_forest
     q["negative_values"] = lambda s, d: outliers.negative_values(amounts(s, d))
     q["whitespace_issues"] = lambda s, d: outliers.whitespace_issues(f4(s, d))
     q["duplicate_rows"] = lambda s, d: profile.duplicate_rows(f3(s, d))
@@ -348,8 +413,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                       "slope", "intercept", "r2")
     q["group_means"] = lambda s, d: _r6(relations.group_means(_t(s, d, "events"), "event_type"),
                                         "event_id", "user_id", "value")
-    q["outlier_compare"] = lambda s, d: _r6(outliers.outlier_compare(_t(s, d, "events"), "value"),
+    q["outlier_compare"] = lambda s, d: _r6(outliers.outlier_compare(_t(s, d, "events"), "value", iforest=False),
                                             "outlier_mean", "normal_mean", "normal_std")
+    q["outlier_compare_forest"] = q_outlier_compare_forest
     q["case_collisions"] = lambda s, d: profile.case_collisions(f4(s, d), "pri")
     q["cardinality_class"] = lambda s, d: profile.cardinality_class(_t(s, d, "part"))
     q["time_span"] = lambda s, d: profile.time_span(_t(s, d, "orders"), "o_orderdate")
@@ -406,9 +472,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["audit_report"] = lambda s, d: audit.audit_report(_t(s, d, "events"))
     q["insights_report"] = lambda s, d: reports.insights_report(_t(s, d, "orders"))
     q["cleaning_suggestions"] = lambda s, d: reports.cleaning_suggestions(f2(s, d))
-    q["column_report"] = lambda s, d: _r6(reports.column_report(_t(s, d, "events"), "value"),
+    q["column_report"] = lambda s, d: _r6(reports.column_report(_t(s, d, "events"), "value", iforest=False),
                                           "mean", "median", "std", "min", "max", "skewness",
                                           "kurtosis", "p_value")
+    q["column_report_forest"] = q_column_report_forest
     q["audit_report_documents"] = lambda s, d: audit.audit_report(_t(s, d, "documents"))
     q["table_summary_documents"] = lambda s, d: _r6(profile.table_summary(_t(s, d, "documents")),
                                                     "mean", "std", "missing_pct")
@@ -418,7 +485,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for part in ("histograms", "bars", "pies", "box_by_category", "group_means", "scatter", "trends"):
         q[f"eda_{part}"] = _eda_part(part)
     q["one_click_parts"] = q_one_click_parts
-    q["outlier_verdict"] = lambda s, d: outliers.outlier_verdict(outliers.outlier_compare(_t(s, d, "events"), "value"))
+    q["outlier_verdict"] = lambda s, d: outliers.outlier_verdict(outliers.outlier_compare(
+        _t(s, d, "events"), "value", iforest=False))
+    q["outlier_verdict_forest"] = q_outlier_verdict_forest
     q["outlier_flag_all"] = q_outlier_flag_all
     q["moderate_values"] = lambda s, d: profile.moderate_values(_t(s, d, "part"))
     q["density_3d"] = lambda s, d: chartdata.density_3d(_t(s, d, "lineitem"), "l_quantity", "l_extendedprice", "l_tax")
@@ -933,6 +1002,10 @@ def _oracle() -> dict[str, str]:
     o["outlier_verdict"] = (
         "SELECT CASE WHEN bool_or(is_distinct) THEN 'behavioural' ELSE 'statistical' END AS verdict, "
         f"COUNT(*) FILTER (WHERE is_distinct) AS distinct_columns FROM ({o['outlier_compare']})")
+    o["outlier_flag_forest"] = "SELECT event_id, value, true AS agrees FROM events"
+    o["outliers_combined_forest"] = "SELECT DISTINCT value, true AS agrees FROM events WHERE value IS NOT NULL"
+    o["outlier_compare_forest"] = _union([f"SELECT '{c}' AS column_name, true AS agrees" for c in ("event_id", "user_id")])
+    o["outlier_verdict_forest"] = "SELECT true AS agrees"
     o["outlier_flag_all"] = "SELECT COUNT(*) AS rows, true AS is_the_union FROM events"
     o["moderate_values"] = _union([
         f"SELECT '{c}' AS column_name, CAST(rank AS INTEGER) AS rank, value, count FROM (SELECT {c} AS value, COUNT(*) AS "
@@ -980,6 +1053,7 @@ def _oracle() -> dict[str, str]:
         f"AS skew_label, ROUND(({_k2_expr('value')})[2], 6) AS p_value, ({_k2_expr('value')})[2] >= 0.05 AS is_normal, "
         "COUNT(*) FILTER (WHERE is_iqr) AS iqr_outliers, COUNT(*) FILTER (WHERE is_z) AS z_outliers, "
         "COUNT(DISTINCT CASE WHEN o THEN value END) AS combined_outliers FROM f")
+    o["column_report_forest"] = f"SELECT column_name, iqr_outliers, z_outliers, true AS agrees FROM ({o['column_report']})"
     o["cleaning_suggestions"] = (
         f"SELECT 'cleaning' AS section, 'qty' AS column_name, 'impute' AS \"check\", 'info' AS severity, "
         f"CAST(COUNT(*) FILTER (WHERE qty IS NULL) AS DOUBLE) AS metric, 'median or mean' AS detail FROM {F2} "

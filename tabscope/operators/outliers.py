@@ -98,9 +98,9 @@ def column_outlier_stats(df: DataFrame, col: str, k: float = 1.5) -> dict:
     return {"bounds": bounds, "median": med, "z": (ex["_mu"], ex["_sd"])}
 
 
-def outlier_flags(df: DataFrame, col: str, iforest: bool = False, seed: int = 42,
+def outlier_flags(df: DataFrame, col: str, iforest: bool = True, seed: int = 42,
                   stats: dict | None = None) -> DataFrame:
-    """Row-level flags ``is_iqr``, ``is_z`` (and ``is_iforest``), and ``is_any``."""
+    """Row-level flags ``is_iqr``, ``is_z``, ``is_iforest`` and ``is_any``; ``iforest=False`` leaves the forest out."""
     stats = stats or column_outlier_stats(df, col)
     b, st = stats["bounds"], stats["z"]
     x = _x(df, col)
@@ -113,14 +113,14 @@ def outlier_flags(df: DataFrame, col: str, iforest: bool = False, seed: int = 42
     return out.withColumn("is_any", any_flag)
 
 
-def outliers_combined(df: DataFrame, col: str, iforest: bool = False, seed: int = 42) -> DataFrame:
+def outliers_combined(df: DataFrame, col: str, iforest: bool = True, seed: int = 42) -> DataFrame:
     """Sorted distinct outlier values of all methods."""
     f = outlier_flags(df, col, iforest=iforest, seed=seed)
     return (f.filter("is_any").select(_x(f, col).alias("value")).distinct()
             .orderBy("value"))
 
 
-def outlier_flag(df: DataFrame, col: str, iforest: bool = False, flag_col: str = "is_outlier") -> DataFrame:
+def outlier_flag(df: DataFrame, col: str, iforest: bool = True, flag_col: str = "is_outlier") -> DataFrame:
     """``Outlier``/``Normal`` label column by the combined outlier test."""
     f = outlier_flags(df, col, iforest=iforest)
     helper = [c for c in ("is_iqr", "is_z", "is_iforest", "iforest_score") if c in f.columns
@@ -159,7 +159,7 @@ def whitespace_issues(df: DataFrame, cols: list[str] | None = None) -> DataFrame
                                            "column_name string, affected bigint, example string")
 
 
-def outlier_compare(df: DataFrame, col: str, iforest: bool = False, k: float = 1.5) -> DataFrame:
+def outlier_compare(df: DataFrame, col: str, iforest: bool = True, k: float = 1.5) -> DataFrame:
     """Outlier rows vs normal rows on every other numeric column.
 
     Per column: outlier mean, normal mean and normal sample std; ``distinct`` when

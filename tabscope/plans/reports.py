@@ -86,7 +86,7 @@ def cleaning_suggestions(df: DataFrame, audit_rows: list[tuple] | None = None) -
 
 # ------------------------------------------------------------------ M6 column report
 
-def column_report(df: DataFrame, col: str, iforest: bool = False) -> DataFrame:
+def column_report(df: DataFrame, col: str, iforest: bool = True) -> DataFrame:
     """One-row statistical and anomaly report of a numeric column (M6)."""
     df = normalize_missing(df)
     stats = outliers.column_outlier_stats(df, col)
@@ -111,7 +111,7 @@ def column_report(df: DataFrame, col: str, iforest: bool = False) -> DataFrame:
                       "combined_outliers")
 
 
-def column_report_parts(df: DataFrame, col: str, iforest: bool = False) -> dict:
+def column_report_parts(df: DataFrame, col: str, iforest: bool = True) -> dict:
     """All parts of the full column report: stats row, histogram, box, comparison."""
     return {
         "summary": column_report(df, col, iforest),
