@@ -22,8 +22,8 @@ from .common import cut
 
 #: Training bound: labelled URLs that the trees are fitted on.
 SAMPLE = 10_000
-#: Suffixes with statistics of their own, at most.
-SUFFIXES = 1000
+#: Suffix tables of up to so many bytes are broadcast; larger ones meet the pages by a shuffle.
+BROADCAST_BYTES = 4 << 20
 PRIOR_ROWS = 20.0
 TREES, DEPTH, BINS = 12, 4, 32
 
@@ -76,12 +76,18 @@ def _lexical(df: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, column: str, overall: float) -> DataFrame:
-    """Smoothed block rate of the most frequent values of a suffix column (at most ``SUFFIXES`` rows)."""
+    """Smoothed block rate of every value of a suffix column."""
     seen = labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-    return seen.orderBy(F.desc("n"), column).limit(SUFFIXES).select(
+    return seen.select(
         column, ((F.col("bad") + overall * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)).alias(column + "_rate"))
 
 
+def _placing(rates: DataFrame) -> DataFrame:
+    """``rates`` to join with: broadcast if its counted size is small, else by a shuffle."""
+    size = rates.agg(F.sum(F.octet_length(rates.columns[0]) + 40).alias("b")).first()["b"] or 0
+    return F.broadcast(rates) if size <= BROADCAST_BYTES else rates.hint("merge")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], sample: int = SAMPLE, seed: int = 11) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page."""
     from pyspark.ml.classification import GBTClassifier
@@ -96,12 +102,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], sample: int = SAMPLE,
                              F.coalesce("_r.verdict", F.lit(only)).alias("verdict"))
     overall = known["p"]
     full = _lexical(labelled)
-    rates = [cut(_rates(full, c, overall), "suffixes") for c in ("host_suffix", "file_suffix")]
+    rates = [_placing(cut(_rates(full, c, overall), "suffixes")) for c in ("host_suffix", "file_suffix")]
 
     def features(df: DataFrame) -> DataFrame:
         out = _lexical(df)
         for r in rates:
-            out = out.join(F.broadcast(r), r.columns[0], "left").fillna(overall, [r.columns[1]])
+            out = out.join(r, r.columns[0], "left").fillna(overall, [r.columns[1]])
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(out)
 
     scale = 1 << 30
