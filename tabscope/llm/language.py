@@ -32,9 +32,8 @@ from .common import ship
 ORDER = 3
 #: Training bound: documents per language.
 SAMPLE = 500
-#: Contexts seen less often than this are left out of the tree, and its largest size.
+#: Contexts seen less often than this are left out of the tree.
 MIN_COUNT = 4
-MAX_STATES = 20_000
 #: Code lengths are kept in units of 2^-16 bits.
 UNIT = 1 << 16
 #: Bits per byte from which a text is taken to be in no learned language.
@@ -109,47 +108,42 @@ class Model:
         for g, n in zip(grams, counts):
             s = [self.code[(g >> (8 * d)) & 255].astype(np.int64) for d in range(4)]
             rows.append((s, n))
-        parents, cost = None, None
-        self.state = None
+        levels, states = [], 1
+        rows_of = np.zeros(1, dtype=np.int64)      # from a context to its row, else the row of its longest known suffix
         for d in range(ORDER + 1):
             key = [sum((s[j + 1] * size ** j for j in range(d)), np.zeros(len(n), np.int64)) for s, n in rows]
             if d == 0:
-                kept = np.zeros(1, dtype=np.int64)
+                kept = shorter = np.zeros(1, dtype=np.int64)
             else:
                 every, at = np.unique(np.concatenate(key), return_inverse=True)
                 total = np.bincount(at, weights=np.concatenate([n for _, n in rows]))
                 kept = every[total >= MIN_COUNT]
-                if len(kept) > MAX_STATES:
-                    best = np.argsort(-total[total >= MIN_COUNT], kind="stable")[:MAX_STATES]
-                    kept = np.sort(kept[best])
-            shorter = np.zeros(len(kept), dtype=np.int64) if d < 2 else parents[kept % size ** (d - 1)]
-            own = np.empty((len(langs), len(kept), size))
-            for i, (s, n) in enumerate(rows):
-                at = np.searchsorted(kept, key[i])
-                at[at == len(kept)] = 0
-                ok = kept[at] == key[i]
-                table = np.bincount(at[ok] * size + s[0][ok], weights=n[ok], minlength=len(kept) * size)
-                table = table.reshape(len(kept), size)
-                n_all, q = table.sum(1), (table > 0).sum(1)
-                back = np.full((len(kept), size), 8.0) if d == 0 else cost[i][shorter]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hit = -np.log2(table / (n_all + q)[:, None])
-                    esc = -np.log2(q / (n_all + q))
-                esc = np.where(n_all > 0, esc, 0.0)[:, None] + back
-                own[i] = np.where(table > 0, np.nan_to_num(hit, posinf=0.0), esc)
-            # parents: table from a context of this length to its row, else the row of its longest known suffix
-            if d == 0:
-                cost = own
-                rows_of = np.zeros(1, dtype=np.int64)
-            else:
-                prev = rows_of
-                rows_of = np.tile(prev, size)
-                cost_all = np.concatenate([cost, own], axis=1)
-                rows_of[kept] = cost.shape[1] + np.arange(len(kept))
-                cost = cost_all
-            parents = rows_of
+                shorter = rows_of[kept % size ** (d - 1)]
+                rows_of = np.tile(rows_of, size)
+                rows_of[kept] = states + np.arange(len(kept))
+                states += len(kept)
+            levels.append((key, kept, shorter))
         self.state = rows_of.astype(np.int32)
-        self.cost = [np.ascontiguousarray(np.rint(c * UNIT).astype(np.int32).ravel()) for c in cost]
+        # one language at a time, so that a single table of floats is held beside the compiled ones
+        self.cost = [self._costs(s[0], n, [(key[i], *x) for key, *x in levels]) for i, (s, n) in enumerate(rows)]
+
+    def _costs(self, byte: np.ndarray, n: np.ndarray, levels: list) -> np.ndarray:
+        """Code lengths of one language: a row per state, a column per byte."""
+        size, cost = self.size, np.empty((0, self.size))
+        for d, (key, kept, shorter) in enumerate(levels):
+            at = np.searchsorted(kept, key)
+            at[at == len(kept)] = 0
+            ok = kept[at] == key if len(kept) else np.zeros(len(key), dtype=bool)
+            table = np.bincount(at[ok] * size + byte[ok], weights=n[ok], minlength=len(kept) * size)
+            table = table.reshape(len(kept), size)
+            n_all, q = table.sum(1), (table > 0).sum(1)
+            back = np.full((len(kept), size), 8.0) if d == 0 else cost[shorter]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit = -np.log2(table / (n_all + q)[:, None])
+                esc = -np.log2(q / (n_all + q))
+            esc = np.where(n_all > 0, esc, 0.0)[:, None] + back
+            cost = np.concatenate([cost, np.where(table > 0, np.nan_to_num(hit, posinf=0.0), esc)])
+        return np.rint(cost * UNIT).astype(np.int32).ravel()
 
     def lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in units of each text (rows) under each language (columns)."""
