@@ -9,7 +9,7 @@ phrase begins depends on a few neighbours only, so equal substrings have equal
 names inside, wherever they stand.
 
 The fingerprint is the last name (16 hex digits) and 64 registers of 16 bits (hex)
-over the names of all phrases from the second level on. Likeness compares
+over the names of all phrases of all levels. Likeness compares
 registers; equal texts have equal fingerprints, likeness 1.
 
 Rows: a null text counts as empty; the empty text's fingerprint is all zeros and
@@ -30,7 +30,6 @@ from . import textvec
 from .common import NULL_ID, id_bounds, ship, shuffle_parts
 from .minhash import REGISTERS, jaccard_estimate, registers
 
-FIRST_LEVEL = 2
 EMPTY = "0" * (16 + 4 * REGISTERS)
 
 _FIRST = textvec._splitmix(256, 11)            # names of the bytes
@@ -99,7 +98,7 @@ def _slice_fingerprints(raw: np.ndarray, off: np.ndarray) -> list[str]:
     coins = raw[off[0]:off[-1]]
     names, at = _FIRST[coins], np.append(off[:-1][full], off[-1]) - off[0]
     docs, last = np.arange(len(full)), np.zeros(len(full), dtype=np.uint64)
-    kept, owner, level = [], [], 0
+    kept, owner = [], []
     while len(docs):
         done = np.diff(at) == 1                                # one symbol is left: the text's last name
         if done.any():
@@ -111,10 +110,8 @@ def _slice_fingerprints(raw: np.ndarray, off: np.ndarray) -> list[str]:
             docs, at = docs[~done], np.append(0, np.cumsum(np.diff(at)[~done]))
         names, at = _level(names, coins, at)
         coins = names
-        level += 1
-        if level >= FIRST_LEVEL:
-            kept.append(names)
-            owner.append(np.repeat(docs, np.diff(at)))
+        kept.append(names)
+        owner.append(np.repeat(docs, np.diff(at)))
     kept.append(textvec.mix(last ^ np.uint64(1)))              # of the last name, so that no set is empty
     owner.append(np.arange(len(full)))
     kept, owner = np.concatenate(kept), np.concatenate(owner)
