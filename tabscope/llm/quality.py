@@ -91,14 +91,22 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class Features:
     """Per text: ``n`` words, the labellers' measures, shape shares; and the abuse features of all words."""
     n: np.ndarray
-    measures: np.ndarray          # share of repeats, symbols, capitals, endings, function words; insults, contempt
+    counts: np.ndarray            # repeats, symbols, capitals, endings, function words; insults, contempt
+    whole: np.ndarray             # what the first five are shares of: words, bytes, letters, words, tokens
     shapes: np.ndarray            # texts x SHAPES counts, as (text, shape, count) triples
     owner: np.ndarray             # text of each abuse feature
     feature: np.ndarray
+    last: np.ndarray              # hash of the slice's last word, if it has one
+
+    @property
+    def measures(self) -> np.ndarray:
+        """Share of repeats, symbols, capitals, endings, function words; insults, contempt."""
+        return np.concatenate([self.counts[:, :5] / np.maximum(self.whole, 1), self.counts[:, 5:]], axis=1)
 
 
 def _slice_features(raw: np.ndarray, off: np.ndarray, insults: np.ndarray, contempt: np.ndarray,
-                    function: np.ndarray) -> Features:
+                    function: np.ndarray, before: np.ndarray | None = None) -> Features:
+    """Features of the texts of one slice; ``before`` is the last word of the piece before, of the same text."""
     docs = len(off) - 1
     w = textvec.Words(raw, off)
     words, n = w.hashes(), np.diff(w.at)
@@ -106,6 +114,8 @@ def _slice_features(raw: np.ndarray, off: np.ndarray, insults: np.ndarray, conte
     add = lambda x: np.bincount(owner, weights=x, minlength=docs)
     same = np.zeros(len(words), dtype=bool)
     same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+    if before is not None and len(before):
+        same[:1] = words[:1] == before
     letters = _sums(_LETTER[raw], w.starts, w.ends)
     upper = _sums(_UPPER[raw], w.starts, w.ends)
     symbols = _sums(_SYMBOL[raw], w.starts, w.ends)
@@ -126,24 +136,22 @@ def _slice_features(raw: np.ndarray, off: np.ndarray, insults: np.ndarray, conte
         parts.append(textvec.mix(t.hashes(m)[long] + np.uint64(m)))
         owners.append(towner[long])
     feature = np.concatenate(parts) >> np.uint64(64 - FEATURE_BITS)
-    one, tokens = np.maximum(n, 1), np.maximum(np.diff(t.at), 1)
-    measures = np.stack([add(same) / one, add(symbols) / np.maximum(add(size), 1),
-                         add(upper) / np.maximum(add(letters), 1), add(tail) / one,
-                         hit(function) / tokens, hit(insults), hit(contempt)], axis=1)
-    return Features(n, measures, np.stack([key // SHAPES, key % SHAPES, count], axis=1),
-                    np.concatenate(owners), feature)
+    counts = np.stack([add(same), add(symbols), add(upper), add(tail), hit(function), hit(insults), hit(contempt)], axis=1)
+    whole = np.stack([n, add(size), add(letters), n, np.diff(t.at)], axis=1)
+    return Features(n, counts, whole, np.stack([key // SHAPES, key % SHAPES, count], axis=1),
+                    np.concatenate(owners), feature, words[-1:])
 
 
 _TABLES: list[np.ndarray] = []
 
 
 def _joined(parts: list[Features]) -> Features:
-    """Features of one text from those of its pieces: shares are averaged by words."""
-    n = np.sum([f.n for f in parts], axis=0)
-    share = np.stack([f.n for f in parts]) / np.maximum(n, 1)
-    measures = np.sum([f.measures for f in parts], axis=0)
-    measures[:, :5] = np.sum([f.measures[:, :5] * s[:, None] for f, s in zip(parts, share)], axis=0)
-    return Features(n, measures, *[np.concatenate([getattr(f, x) for f in parts]) for x in ("shapes", "owner", "feature")])
+    """Features of one text from those of its pieces: all counts are added."""
+    shape, at = np.unique(np.concatenate([f.shapes[:, 1] for f in parts]), return_inverse=True)
+    count = np.bincount(at, weights=np.concatenate([f.shapes[:, 2] for f in parts]), minlength=len(shape))
+    return Features(*[np.sum([getattr(f, x) for f in parts], axis=0) for x in ("n", "counts", "whole")],
+                    np.stack([np.zeros_like(shape), shape, count.astype(shape.dtype)], axis=1),
+                    *[np.concatenate([getattr(f, x) for f in parts]) for x in ("owner", "feature")], parts[-1].last)
 
 
 def text_features(texts: pa.Array) -> Iterator[Features]:
@@ -152,7 +160,12 @@ def text_features(texts: pa.Array) -> Iterator[Features]:
         _TABLES.extend(_hash_of(x) for x in (INSULTS, CONTEMPT, FUNCTION_WORDS))
     raw, off = textvec.flat(texts)
     for i, j in textvec.doc_slices(off):
-        parts = [_slice_features(r, o, *_TABLES) for r, o in textvec.pieces(raw, off[i:j + 1], textvec.SPACE)]
+        parts: list[Features] = []
+        for r, o in textvec.pieces(raw, off[i:j + 1], textvec.SPACE):
+            f = _slice_features(r, o, *_TABLES, parts[-1].last if parts else None)
+            if parts and not len(f.last):
+                f.last = parts[-1].last                    # a piece without a word
+            parts.append(f)
         yield parts[0] if len(parts) == 1 else _joined(parts)
 
 
