@@ -2,7 +2,8 @@
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``; what it returns is
 written as Parquet and read again as the next stage's ``docs``. All stages but the
-last return the columns of ``documents``; the last adds the token ids.
+last return the columns of ``documents``; the last adds the token ids and the
+digest of the text decoded from them.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids."""
-    return bpe.encode(docs, vocabulary(), keep=docs.columns, arrays=True)
+    """Every document with its token ids and the digest of the text they decode to."""
+    return bpe.encode(docs, vocabulary(), keep=docs.columns, arrays=True, decoded=True)
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_dedup", one_of_each),

@@ -16,6 +16,7 @@ named in ``keep``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterable
@@ -138,11 +139,14 @@ def _fields(df: DataFrame, names: Iterable[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays: bool = False,
+           decoded: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and ``ids`` (binary) of every whole ``text``.
 
-    With ``arrays`` the ids come as ``token_ids array<int>`` instead."""
+    With ``arrays`` the ids come as ``token_ids array<int>`` instead; with ``decoded`` they are
+    decoded again and ``decoded_sha256`` is the digest of that text."""
     keep, name = list(keep), "token_ids" if arrays else "ids"
+    extra = ["decoded_sha256"] if decoded else []
     ship(docs.sparkSession)
 
     def run(batches):
@@ -155,12 +159,14 @@ def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays
                 own = pa.ListArray.from_arrays(off, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
             else:
                 own = pa.array(ids, type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n), own],
-                                             names=[*keep, "n_tokens", name])
+            back = [pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids],
+                             type=pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n), own, *back],
+                                             names=[*keep, "n_tokens", name, *extra])
 
     return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, ", ".join(x for x in (_fields(docs, keep), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}")
-                       if x))
+        run, ", ".join(x for x in (_fields(docs, keep), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}",
+                                   *[f"{x} string" for x in extra]) if x))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
