@@ -176,7 +176,7 @@ def _eda_part(part: str):
 
 
 def q_one_click_parts(spark, sf):
-    """Every table of the one-click report, executed: its rows and the sum of its counts."""
+    """Tables of the one-click report: their rows and the sum of their counts (values: ``one_click_values``)."""
     rep = reports.one_click_report(_t(spark, sf, "events"))
     out = None
     tables = [(n, rep["eda"][n], "n" if n == "box_by_category" else "count") for n in (
@@ -190,6 +190,26 @@ def q_one_click_parts(spark, sf):
     return out
 
 
+#: Value columns of the one-click report's tables.
+ONE_CLICK_VALUES = {
+    "histograms": ["bin_start", "bin_end", "count"], "bars": ["count"], "pies": ["count", "pct"], "scatter": ["count"],
+    "facets": ["count"], "box_by_category": ["n", "q1", "median", "q3", "whisker_low", "whisker_high", "fliers"],
+    "group_means": ["event_id", "user_id", "value"], "trends": ["slope", "intercept", "r2", "n"],
+    "decomposition": ["observed", "trend", "seasonal", "resid"], "monthly": ["mean"], "weekday": ["mean"]}
+
+
+def q_one_click_values(spark, sf):
+    """The sum of every value column of the one-click report's tables, so that each is computed."""
+    rep = reports.one_click_report(_t(spark, sf, "events"))
+    out = None
+    for name, cols in ONE_CLICK_VALUES.items():
+        df = rep["time" if name in ("decomposition", "monthly", "weekday") else "eda"][name]
+        sums = df.agg(*[F.round(F.sum(F.round(F.col(c).cast("double"), 6)), 6).alias(c) for c in cols])
+        part = sums.unpivot([], cols, "column_name", "total").select(F.lit(name).alias("part"), "column_name", "total")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def q_outlier_flag_all(spark, sf):
     """The combined flag of all three methods covers every row that IQR or z-score flags, and every forest row."""
     from tabscope.operators.iforest import isolation_forest_flags
@@ -482,9 +502,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["duplicate_count_texts"] = lambda s, d: profile.duplicate_count(
         _t(s, d, "documents").select("text", "lang"))
     q["cardinality_documents"] = lambda s, d: profile.cardinality_class(_t(s, d, "documents"))
-    for part in ("histograms", "bars", "pies", "box_by_category", "group_means", "scatter", "trends"):
+    for part in ("histograms", "bars", "pies", "box_by_category", "group_means", "scatter", "trends", "facets"):
         q[f"eda_{part}"] = _eda_part(part)
     q["one_click_parts"] = q_one_click_parts
+    q["one_click_values"] = q_one_click_values
     q["outlier_verdict"] = lambda s, d: outliers.outlier_verdict(outliers.outlier_compare(
         _t(s, d, "events"), "value", iforest=False))
     q["outlier_verdict_forest"] = q_outlier_verdict_forest
@@ -615,6 +636,15 @@ def _eda_oracles() -> dict[str, str]:
         f"SELECT '{a}' AS x, '{b}' AS y, ROUND(regr_slope({b}, {a}), 6) AS slope, ROUND(regr_intercept({b}, {a}), 6) AS "
         f"intercept, ROUND(regr_r2({b}, {a}), 6) AS r2, COUNT(*) AS n FROM events WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
         for a, b in pairs])
+    # the facets show the pair with the largest correlation
+    o["eda_facets"] = (
+        "SELECT f.* FROM (" + _union([
+            f"SELECT event_type AS facet, {_bin_sql(a)} AS bin_x, {_bin_sql(b)} AS bin_y, COUNT(*) AS count, "
+            f"'event_type' AS facet_column, '{a}' AS col_x, '{b}' AS col_y FROM events, {_ranges_sql([a, b])} "
+            f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2, 3" for a, b in pairs])
+        + ") f JOIN (SELECT * FROM (" + _union([
+            f"SELECT '{a}' AS col_x, '{b}' AS col_y, abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) AS r FROM events"
+            for a, b in pairs]) + ") ORDER BY r DESC LIMIT 1) p USING (col_x, col_y)")
     count = "SELECT '{p}' AS part, COUNT(*) AS rows, CAST({t} AS BIGINT) AS total FROM ({sql})"
     daily = _daily_sql("events", "ts", "value")
     o["one_click_parts"] = _union(
@@ -624,6 +654,13 @@ def _eda_oracles() -> dict[str, str]:
         + [count.format(p="decomposition", t="NULL", sql=f"SELECT * FROM {daily}"),
            count.format(p="monthly", t="NULL", sql=f"SELECT DISTINCT month(day) AS m FROM {daily}"),
            "SELECT 'weekday' AS part, CAST(7 AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS total"])
+    time = {"decomposition": _seasonal_sql(),
+            "monthly": f"SELECT ROUND(avg(observed), 6) AS mean FROM {daily} GROUP BY month(day)",
+            "weekday": f"SELECT ROUND(avg(observed), 6) AS mean FROM {daily} GROUP BY isodow(day)"}
+    o["one_click_values"] = _union([
+        f"SELECT '{p}' AS part, unnest([{', '.join(repr(c) for c in cols)}]) AS column_name, unnest(["
+        + ", ".join(f"ROUND(sum(CAST({c} AS DOUBLE)), 6)" for c in cols)
+        + f"]) AS total FROM ({time.get(p) or o[f'eda_{p}']})" for p, cols in ONE_CLICK_VALUES.items()])
     return o
 
 
