@@ -481,6 +481,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["time_analysis"] = lambda s, d: _r6(reports.time_series_daily(_t(s, d, "events")), "raw_mean", "observed")
     q["daily_resample"] = lambda s, d: _r6(_ts_daily(s, d, "orders", "o_orderdate", "o_totalprice"),
                                            "raw_mean", "observed")
+    q["time_line"] = lambda s, d: _r6(timeseries.time_line(_t(s, d, "events"), "ts", "value", "hour"), "mean")
     q["seasonal_decompose"] = lambda s, d: _r6(timeseries.seasonal_decompose(
         _ts_daily(s, d, "events", "ts", "value")), "observed", "trend", "seasonal", "resid")
     q["monthly_pattern"] = lambda s, d: _r6(timeseries.monthly_pattern(
@@ -1067,6 +1068,8 @@ def _oracle() -> dict[str, str]:
                           f"FROM {_daily_sql('events', 'ts', 'value')}")
     o["daily_resample"] = (f"SELECT day, ROUND(raw_mean, 6) AS raw_mean, ROUND(observed, 6) AS observed "
                            f"FROM {_daily_sql('orders', 'o_orderdate', 'o_totalprice')}")
+    o["time_line"] = ("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, ROUND(avg(value), 6) AS mean, min(value) AS min, "
+                      "max(value) AS max, COUNT(value) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 1")
     o["seasonal_decompose"] = _seasonal_sql()
     o["monthly_pattern"] = (
         f"SELECT CAST(month(day) AS INTEGER) AS month, monthname(min(day)) AS month_name, ROUND(avg(observed), 6) "

@@ -35,6 +35,27 @@ def daily_resample(df: DataFrame, time_col: str, value_col: str, fmt: str | None
     return fill_calendar(daily_means(df, time_col, value_col, fmt))
 
 
+def _grain_start(t, grain: str):
+    """Beginning of the minute, hour, day, week or month of a TIMESTAMP_NTZ, whatever the session's time zone."""
+    if grain in ("minute", "hour"):
+        minute = F.minute(t) if grain == "minute" else F.lit(0)
+        return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), minute, F.lit(0))
+    if grain in ("day", "week", "month"):
+        day = F.to_date(t)
+        return (day if grain == "day" else F.to_date(F.trunc(day, grain))).cast("timestamp_ntz")
+    raise ValueError(f"unknown grain: {grain}")
+
+
+def time_line(df: DataFrame, time_col: str, value_col: str, grain: str = "hour", fmt: str | None = None) -> DataFrame:
+    """The value against time (T8): all rows in order of time, as mean, least, largest and
+    number of values per ``grain`` that has rows; no row is sampled and no gap is filled."""
+    v = missing_safe(df, value_col).cast("double")
+    rows = df.select(to_timestamp_any(df, time_col, fmt).alias("_t"), v.alias("v")).filter(F.col("_t").isNotNull())
+    return (rows.groupBy(_grain_start(F.col("_t"), grain).alias("time"))
+            .agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+            .orderBy("time"))
+
+
 def fill_calendar(daily: DataFrame) -> DataFrame:
     """Day-grain ``(day, mean)`` → every calendar day between the first and last,
     with ``raw_mean`` and the forward-filled ``observed`` (bounded by the span)."""
