@@ -58,4 +58,38 @@ likeness AS (SELECT doc_id, item_id, start, size, CAST(sum(k) AS BIGINT) AS k,
 SELECT doc_id, item_id, start, size AS n_words, k / every AS similarity FROM likeness WHERE 100 * k >= 80 * every
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k / every DESC, start) = 1"""
 
-ORACLES: dict[str, str] = {"op7_chat_format": OP7, "op8_minhash_dedup": OP8, "op10_decontamination": OP10}
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text of digits: one step per bit, the byte joins at its first bit."""
+    steps = (f"flatten(list_transform(range(1, length({text}) + 1), "
+             f"lambda j: [CAST(ascii({text}[j]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))")
+    step = "xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))"
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), "
+            f"lambda c, v: {step}), CAST(4294967295 AS BIGINT))")
+
+
+OP12 = f"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, w, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+s AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h], []), h.w[h + 1:]) AS w
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, w, len(w) AS n, unnest(range(0, len(w) + 1)) AS depth FROM s),
+k AS (SELECT conv_id, n, depth, CAST(w[1:depth] AS VARCHAR) AS name, CAST(w[1:depth - 1] AS VARCHAR) AS above,
+             CASE WHEN depth > 0 THEN strlen(w[depth].t) ELSE 0 END AS size FROM p),
+g AS (SELECT name, depth, min(above) AS above, min(conv_id) AS conv_id, COUNT(*) AS n_convs, min(size) AS size,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), ''))
+               AS ends_sha256, max(n) = depth AS leaf FROM k GROUP BY name, depth),
+up AS (SELECT DISTINCT g.name, g.depth, a.name AS top, a.depth AS top_depth, g.leaf, (g.n_convs - 1) * g.size AS saved
+       FROM g JOIN k ON k.name = g.name AND k.depth = g.depth AND k.conv_id = g.conv_id
+       JOIN k a ON a.conv_id = k.conv_id AND a.depth <= k.depth),
+sums AS (SELECT top, top_depth, COUNT(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+                COUNT(*) FILTER (WHERE depth = top_depth + 1) AS n_children FROM up GROUP BY ALL)
+SELECT g.conv_id, g.depth, a.conv_id AS parent_conv_id, g.n_convs, n_children, n_leaves, saved_tokens, g.ends_sha256
+FROM g JOIN sums ON top = g.name AND top_depth = g.depth
+LEFT JOIN g a ON a.name = g.above AND a.depth = g.depth - 1"""
+
+ORACLES: dict[str, str] = {"op12_prefix_trie": OP12, "op7_chat_format": OP7, "op8_minhash_dedup": OP8, "op10_decontamination": OP10}

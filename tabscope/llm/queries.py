@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabscope.session import scratch_path
 
-from . import bpe, chat, decontam, fingerprints, language, minhash, quality, token_counts, token_files, urls
+from . import (bpe, chat, decontam, fingerprints, language, minhash, periodic_runs, prefix_trie, quality, simhash,
+               token_counts, token_files, urls)
 from .common import cut, read_table
 
 
@@ -82,12 +83,61 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("n_words").cast("long").alias("n_words"), "similarity")
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; one document in ten repeats a block of its words from some word on (see op11)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+                       ).select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rest = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_runs(read_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                              (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"),
+        F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """``conv_id, turns``: the first turns of one conversation in five stand before those of its neighbours (see op12)."""
+    heads = seqs.filter(F.col("conv_id") % 5 == 0).select(
+        F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    joined = seqs.join(heads, seqs["conv_id"] - seqs["conv_id"] % 5 == heads["base"], "left")
+    head = F.when(F.col("head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("head", F.lit(1), h))
+    return joined.select("conv_id", F.concat(head, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = cut(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.prefix_trie(prefix_trie.flat(rebuilt(seqs)))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_language": op3_language,
             "op4_token_counts": op4_token_counts, "op5_fingerprints": op5_fingerprints,
             "op6_url_filter": op6_url_filter, "op7_chat_format": op7_chat_format,
             "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe,
-            "op10_decontamination": op10_decontamination}
+            "op10_decontamination": op10_decontamination, "op11_periodic_runs": op11_periodic_runs,
+            "op12_prefix_trie": op12_prefix_trie, "op13_simhash_dedup": op13_simhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
