@@ -11,7 +11,8 @@ little-endian unsigned 32-bit integers in a binary column (``ids``).
 
 Rows: a null text counts as empty and has no ids; rows are independent, so
 repeated rows and ids give repeated results; extra columns are dropped unless
-named in ``keep``; an empty table gives an empty result.
+named in ``keep``, where one that has a result's name comes with an underscore
+before it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 from .chunks import ChunkEncoder
 from .common import ship
 
-#: Chunks a worker remembers (of one cache generation).
-CACHE_ENTRIES = 100_000
-#: Widths of an id and of a byte position in packed integers.
-_ID_BITS, _POS_BITS = 20, 40
-_ID_MASK, _POS_MASK = (1 << _ID_BITS) - 1, (1 << _POS_BITS) - 1
+#: Chunks that a worker remembers.
+CACHE_ENTRIES = 400_000
+#: Queue entries hold a merge rank above the position of the left symbol.
+_POS_BITS = 40
+_POS_MASK = (1 << _POS_BITS) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,66 +64,62 @@ class ByteBPE:
         for token, i in self.added.items():
             self.strings[i] = token.encode()
         self.byte_id = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        if len(self.strings) > 1 << _ID_BITS:
-            raise ValueError("the vocabulary is too large")
-        self.merges = {}                                  # left and right id -> rank and new id
+        self.merges: list[dict[int, int]] = [{} for _ in self.strings]   # of a left id: right id -> place of the rank
+        self.merged: list[int] = []                                     # of a rank: new id
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << _ID_BITS | vocab[right]] = rank << _ID_BITS | vocab[left + right]
+            self.merges[vocab[left]][vocab[right]] = rank << _POS_BITS
+            self.merged.append(vocab[left + right])
+        self.first = [self.merges[a].get(b, -1) for a in self.byte_id for b in self.byte_id]     # of two bytes
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.encode = ChunkEncoder(self._piece, self._with_added, names, CACHE_ENTRIES)
+        self.encode = ChunkEncoder(self._piece, self._words, self._with_added, names, CACHE_ENTRIES)
 
     def piece_ids(self, data: bytes) -> list[int]:
-        """Ids of one piece; queue entries hold a merge rank above the position of the left symbol."""
-        sym = [self.byte_id[b] for b in data]
-        n = len(sym)
-        get, push, pop = self.merges.get, heapq.heappush, heapq.heappop
-        queue = []
-        for i in range(n - 1):
-            m = get(sym[i] << _ID_BITS | sym[i + 1])
-            if m is not None:
-                queue.append(m >> _ID_BITS << _POS_BITS | i)
+        """Ids of one piece."""
+        sym = list(map(self.byte_id.__getitem__, data))
+        n, first = len(sym), self.first
+        queue = [m + i for i, (a, b) in enumerate(zip(data, data[1:])) if (m := first[a << 8 | b]) >= 0]
         if not queue:
             return sym
+        merges, merged, push, pop = self.merges, self.merged, heapq.heappush, heapq.heappop
         heapq.heapify(queue)
         nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
         while queue:
             entry = pop(queue)
             i = entry & _POS_MASK
-            j = nxt[i]
-            if sym[i] < 0 or j >= n:
-                continue                                  # stale: the left symbol has merged
-            m = get(sym[i] << _ID_BITS | sym[j])
-            if m is None or m >> _ID_BITS != entry >> _POS_BITS:
+            left, j = sym[i], nxt[i]
+            if left < 0 or j >= n or merges[left].get(sym[j]) != entry - i:
                 continue                                  # stale: one of the symbols has changed
-            new = sym[i] = m & _ID_MASK
+            new = sym[i] = merged[entry >> _POS_BITS]
             sym[j] = -1
             k = nxt[i] = nxt[j]
             if k < n:
                 prv[k] = i
-                m = get(new << _ID_BITS | sym[k])
+                m = merges[new].get(sym[k])
                 if m is not None:
-                    push(queue, m >> _ID_BITS << _POS_BITS | i)
+                    push(queue, m + i)
             p = prv[i]
             if p >= 0:
-                m = get(sym[p] << _ID_BITS | new)
+                m = merges[sym[p]].get(new)
                 if m is not None:
-                    push(queue, m >> _ID_BITS << _POS_BITS | p)
+                    push(queue, m + p)
         return [s for s in sym if s >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.piece_ids(piece.encode("utf-8")), dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> list[int]:
+        return self.piece_ids(piece.encode("utf-8"))
 
-    def _with_added(self, run: str) -> bytes:
-        return b"".join(self.added[x].to_bytes(4, "little") if x in self.added else self.encode.plain(x)
-                        for x in self.special.split(run))
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(self.piece_ids(b" " + w.encode("utf-8"))) for w in words]
 
-    def decode(self, ids: bytes) -> str:
+    def _with_added(self, run: str) -> list[int]:
+        return [i for x in self.special.split(run) for i in ([self.added[x]] if x in self.added else self.encode.plain(x))]
+
+    def decode(self, ids: bytes | np.ndarray) -> str:
         """Text of little-endian uint32 ids; bytes that are no UTF-8 become U+FFFD."""
-        strings = self.strings
-        return b"".join([strings[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+        own = np.frombuffer(ids, dtype="<u4").tolist()
+        return b"".join(map(self.strings.__getitem__, own)).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, ByteBPE] = {}
@@ -139,6 +136,14 @@ def _fields(df: DataFrame, names: Iterable[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
+def fresh(name: str, taken: set[str]) -> str:
+    """``name`` after as many underscores as make it differ from all ``taken`` names, which it joins."""
+    while name.lower() in taken:
+        name = f"_{name}"
+    taken.add(name.lower())
+    return name
+
+
 def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays: bool = False,
            decoded: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and ``ids`` (binary) of every whole ``text``.
@@ -147,25 +152,32 @@ def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays
     decoded again and ``decoded_sha256`` is the digest of that text."""
     keep, name = list(keep), "token_ids" if arrays else "ids"
     extra = ["decoded_sha256"] if decoded else []
+    taken = {"n_tokens", name, *extra, *(c.lower() for c in keep)}
+    named = {}                                            # kept column -> its name in the result
+    for c in keep:
+        named[c] = fresh(c, taken) if c.lower() in ("n_tokens", name, *extra) else c
+    text = fresh("text", taken)
     ship(docs.sparkSession)
 
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column("_text").to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            if arrays:
-                off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                own = pa.ListArray.from_arrays(off, pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-            else:
-                own = pa.array(ids, type=pa.binary())
-            back = [pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids],
-                             type=pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n), own, *back],
-                                             names=[*keep, "n_tokens", name, *extra])
-
-    return docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, ", ".join(x for x in (_fields(docs, keep), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}",
+            for i, j, ids, off in bpe.encode.slices(b.column(len(keep))):
+                if arrays:
+                    own = pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(ids.view("<i4")))
+                else:
+                    own = pa.Array.from_buffers(pa.large_binary(), j - i, [
+                        None, pa.py_buffer(4 * off), pa.py_buffer(ids)]).cast(pa.binary())
+                back = [pa.array([hashlib.sha256(bpe.decode(ids[a:z]).encode("utf-8")).hexdigest()
+                                  for a, z in zip(off[:-1], off[1:])], type=pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(i, j - i) for c in b.columns[:len(keep)]], pa.array(np.diff(off)), own, *back],
+                    names=[*named.values(), "n_tokens", name, *extra])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(new) for c, new in named.items()],
+                       F.col("text").cast("string").alias(text))
+    return rows.mapInArrow(
+        run, ", ".join(x for x in (_fields(rows, named.values()), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}",
                                    *[f"{x} string" for x in extra]) if x))
 
 

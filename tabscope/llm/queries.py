@@ -72,9 +72,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary())
-    return bpe.decode(coded, vocabulary()).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

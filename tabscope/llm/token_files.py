@@ -8,14 +8,13 @@ reads those columns, row groups and pages only. ``read_tokens`` gives the
 documents with ``start``, the number of ids of all documents before each.
 
 Rows: a null text counts as empty (its only id is the end id); null ids come
-first; rows that repeat a ``doc_id`` follow each other in text order. Extra
-columns are ignored. An empty table writes an empty folder with a schema.
+first; rows that repeat a ``doc_id`` follow each other in the order of a hash of
+the text, which also parts them between files. Extra columns are ignored. An empty table writes an empty folder with a schema.
 """
 
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 
 import numpy as np
@@ -35,8 +34,8 @@ LAYOUT = {"parquet.block.size": 16 << 20, "parquet.page.size": 128 << 10, "parqu
           "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20,
           "compression": "zstd"}
 
-#: Chunks a worker remembers (of one cache generation).
-CACHE_ENTRIES = 300_000
+#: Chunks that a worker remembers.
+CACHE_ENTRIES = 400_000
 
 _LOADED: dict[str, ChunkEncoder] = {}
 
@@ -50,22 +49,25 @@ def library_encoder(path: str) -> ChunkEncoder:
         tok.no_truncation()
         tok.no_padding()
 
-        def whole(text: str) -> bytes:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        def whole(text: str) -> list[int]:
+            return tok.encode(text, add_special_tokens=False).ids
 
         letters = {b: c for c, b in byte_letters().items()}
-        blank, model = letters[0x20], tok.model
+        blank, tokenize = letters[0x20], tok.model.tokenize
 
-        def piece(text: str) -> bytes:
+        def piece(text: str) -> list[int]:
             """One piece, as its byte letters, straight to the library's merge model."""
             if text.isascii() and text.isprintable():
-                found = model.tokenize(text.replace(" ", blank))
-            else:
-                found = model.tokenize(text.encode("utf-8").decode("latin-1").translate(letters))
-            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                return [t.id for t in tokenize(text.replace(" ", blank))]
+            return [t.id for t in tokenize(text.encode("utf-8").decode("latin-1").translate(letters))]
+
+        def words(found: list[str]) -> list[tuple[int, ...]]:
+            # as byte letters, all at once; a letter's bytes are none of a line end's
+            lettered = "\n".join(found).encode("utf-8").decode("latin-1").translate(letters | {10: "\n"}).split("\n")
+            return [tuple([t.id for t in tokenize(blank + w)]) for w in lettered] if found else []
 
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
-        _LOADED[path] = ChunkEncoder(piece, whole, added, CACHE_ENTRIES)
+        _LOADED[path] = ChunkEncoder(piece, words, whole, added, CACHE_ENTRIES)
     return _LOADED[path]
 
 
@@ -73,24 +75,24 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, parts: i
     """Encode ``docs(doc_id, text)`` with the tokenizer file ``path`` and write the token files to ``out``."""
     spark = docs.sparkSession
     ship(spark)
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = library_encoder(path)
+        encoder = library_encoder(path)
         part, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            raw = [encode(t or "") + end for t in b.column("text").to_pylist()]
-            n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            off = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(off, type=pa.int32()),
-                                           pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(done + off[:-1]),
-                 pa.array(n), ids], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
-            done += int(off[-1])
+            for i, j, ids, off in encoder.slices(b.column("text")):
+                ids = np.insert(ids, off[1:], end_id).view("<i4")
+                off = off + np.arange(len(off))                    # an end id after each text
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, part, dtype=np.int32)),
+                     pa.array(done + off[:-1]), pa.array(np.diff(off)),
+                     pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(ids))],
+                    names=["doc_id", "part", "part_start", "n_tokens", "ids"])
+                done += int(off[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts or shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts or shuffle_parts(spark), *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(out)
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -40,6 +41,17 @@ def test_both_encoders_equal_the_library(library):
         assert own.decode(own.encode(s)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_many_texts_at_once_equal_the_library(library):
+    texts = [None, "", *_strings(400, 4), " a b", "a  b", "a \n b", "end ", "x <|endoftext|> y", None] + ["plain words, again."] * 5
+    rng = random.Random(6)
+    rng.shuffle(texts)
+    for encoder in (bpe.ByteBPE(BPE).encode, token_files.library_encoder(BPE)):
+        for part in (pa.array(texts), pa.array(texts).slice(7, 90), pa.array(texts).slice(3, 0), pa.array(["", None])):
+            ids, off = encoder.many(part)
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [
+                library.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
 def test_decoding_of_any_ids_equals_the_library(library):
     own, rng = bpe.ByteBPE(BPE), random.Random(5)
     for _ in range(300):
@@ -53,7 +65,8 @@ def test_caches_stay_bounded_and_right(library):
         c.entries = 10
     for s in _strings(200, 9):
         assert np.frombuffer(own.encode(s), dtype="<u4").tolist() == library.encode(s, add_special_tokens=False).ids
-    assert len(own.encode.chunks) <= 10 and len(own.encode.chunks.old) <= 10
+    assert 0 < len(own.encode.chunks.keys) == len(own.encode.chunks.size) <= 10
+    assert len(own.encode.pieces) <= 10 and len(own.encode.pieces.old) <= 10
 
 
 def test_op9_digests(spark, library):
