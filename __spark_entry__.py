@@ -535,11 +535,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _optional(name: str):
-    """A module of the corpus subpackage, or None where it is not installed."""
+    """A module that needs the corpus subpackage, or None where that (or the module itself) is not installed."""
     try:
         return importlib.import_module(name)
     except ModuleNotFoundError as e:
-        if e.name and (name == e.name or name.startswith(e.name + ".")):
+        if e.name == name or f"{e.name}.".startswith("tabscope.llm."):
             return None
         raise
 
