@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import agg_row
+from ..functions.gram import Gram
 from ..functions.missing import missing_safe, quote
 from ..functions.typeclass import numeric_columns
 from .profile import top_values
@@ -23,12 +24,10 @@ def _x(df: DataFrame, name: str) -> Column:
     return missing_safe(df, name).cast("double")
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson r; NULL when either side is constant or < 2 rows."""
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    r = F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
-    return F.when(F.count(xs) >= 2, r)
+#: Columns from which on the pairs' sums come from Gram matrices in one scan instead of one aggregate a pair.
+WIDE = 13
+#: Part of a sum of squares that is rounding: a smaller spread counts as none.
+ROUNDING = 1e-14
 
 
 def corr_pre_aggregates(df: DataFrame, cols: list[str]) -> list:
@@ -40,15 +39,21 @@ def corr_pre_aggregates(df: DataFrame, cols: list[str]) -> list:
 
 
 class PairSums:
-    """Mean-shifted sums of every column pair from two codegen-friendly scans; gives
-    Pearson r and the least-squares line of any pair without another pass."""
+    """Mean-shifted sums of every column pair; gives Pearson r and the least-squares line
+    of any pair without another pass. Few columns take two codegen-friendly scans of
+    plain sums, ``WIDE`` or more one scan of Gram matrices. An infinite value leaves
+    the pairs of its column without r and line."""
 
     def __init__(self, df: DataFrame, cols: list[str], pre: dict | None = None):
         self.cols = cols
         m = len(cols)
+        self.gram = Gram(df, cols) if m >= WIDE else None
+        if self.gram is not None:
+            self.mean, self.constant = self.gram.shift.tolist(), self.gram.constant.tolist()
+            return
         xs = [_x(df, c) for c in cols]
         pre = pre or agg_row(df, corr_pre_aggregates(df, cols))
-        self.mean = [pre[f"_ca{i}"] or 0.0 for i in range(m)]
+        self.mean = [v if v is not None and math.isfinite(v) else 0.0 for v in (pre[f"_ca{i}"] for i in range(m))]
         self.has_null = [pre[f"_cm{i}"] > 0 for i in range(m)]
         self.constant = [not pre[f"_cs{i}"] for i in range(m)]
         self.n_all = pre["_cn"]
@@ -72,6 +77,8 @@ class PairSums:
 
     def _moments(self, i: int, j: int):
         """(n, sx, sy, sxx, syy, sxy) over the pairwise-complete rows, shifted by the means."""
+        if self.gram is not None:
+            return self.gram.moments(i, j)
         s, (a, b) = self.sums, (min(i, j), max(i, j))
         if self.constant[a] or self.constant[b]:
             return None
@@ -83,6 +90,8 @@ class PairSums:
         if not n or n < 2 or sa is None:
             return None
         sab = s[f"p{a}_{b}"]
+        if not all(map(math.isfinite, (sa, sb, saa, sbb, sab))):
+            return None                            # an infinite value among them
         return (n, sa, sb, saa, sbb, sab) if i < j else (n, sb, sa, sbb, saa, sab)
 
     def r(self, i: int, j: int):
@@ -91,7 +100,7 @@ class PairSums:
             return None
         n, sx, sy, sxx, syy, sxy = mo
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-        if vx <= 0 or vy <= 0:
+        if vx <= ROUNDING * sxx or vy <= ROUNDING * syy:
             return None
         return (sxy - sx * sy / n) / math.sqrt(vx * vy)
 
@@ -102,7 +111,7 @@ class PairSums:
             return None
         n, sx, sy, sxx, syy, sxy = mo
         vx = sxx - sx * sx / n
-        if vx <= 0:
+        if vx <= ROUNDING * sxx:
             return None
         slope = (sxy - sx * sy / n) / vx
         mx, my = self.mean[i] + sx / n, self.mean[j] + sy / n
@@ -115,12 +124,13 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, pre: dict | None =
     """Long-form correlation matrix ``(col_a, col_b, r)`` for every ordered pair of
     numeric columns (booleans excluded); empty with fewer than two columns.
 
-    Two scans of plain sums, both inside whole-stage codegen: the first gets each
+    Wide tables take one scan of Gram matrices (``functions.gram``). Others take
+    two scans of plain sums, both inside whole-stage codegen: the first gets each
     column's mean, missing count and spread; the second sums products of
     mean-shifted values (the stable two-pass form). Pairs of complete columns
     share per-column sums; a pair touching a column with missing values sums over
-    its pairwise-complete rows only. Wide tables are split into chunks of
-    aggregates under the codegen field limit. r is NULL for a constant column."""
+    its pairwise-complete rows only. r is NULL for a constant column and for one with
+    an infinite value."""
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     schema = "pos_a int, col_a string, pos_b int, col_b string, r double"

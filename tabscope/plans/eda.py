@@ -61,7 +61,7 @@ def eda_numeric_extras(df: DataFrame, nums: list[str]) -> list:
         (f"a{i}", F.avg(missing_safe(df, c).cast("double")), 2),
         (f"lo{i}", F.min(missing_safe(df, c).cast("double")), 1),
         (f"hi{i}", F.max(missing_safe(df, c).cast("double")), 1))]
-        + (relations.corr_pre_aggregates(df, nums) if len(nums) >= 2 else []))
+        + (relations.corr_pre_aggregates(df, nums) if 2 <= len(nums) < relations.WIDE else []))
 
 
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
