@@ -317,6 +317,37 @@ def q_iforest_extreme(spark, sf):
                  F.bool_and(F.when(far, F.col("is_iforest"))).alias("extremes_flagged"))
 
 
+def blanks(spark: SparkSession, sf: str) -> DataFrame:
+    """Order priorities with blanks that only Unicode knows at one end (F4 with other blanks)."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    ends = [(7, "\u00a0", ""), (5, "", "\u3000"), (3, "\x1c", "\u2029"), (2, "\u200b", "")]     # the last is no blank
+    pri = p
+    for mod, before, after in reversed(ends):
+        pri = F.when(k % mod == 0, F.concat(F.lit(before), p, F.lit(after))).otherwise(pri)
+    return _t(spark, sf, "orders").select("o_orderkey", pri.alias("pri"))
+
+
+def with_infinities(spark: SparkSession, sf: str) -> DataFrame:
+    """events with an infinite value in every tenth row, of either sign."""
+    k = F.col("event_id")
+    return _t(spark, sf, "events").select("event_id", "event_type", F.when(k % 20 == 0, F.lit(float("inf"))).when(
+        k % 20 == 10, F.lit(float("-inf"))).otherwise(F.col("value")).alias("value"))
+
+
+WIDE_COLUMNS = 24
+
+
+def wide(spark: SparkSession, sf: str) -> DataFrame:
+    """24 numeric columns of lineitem rows, some with missing values, one constant."""
+    li = _t(spark, sf, "lineitem")
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+    cols = []
+    for i in range(WIDE_COLUMNS - 1):
+        x = F.col(base[i % 4]).cast("double") * (i + 1) + F.col(base[(i // 4) % 4]).cast("double")
+        cols.append((F.when(F.col("l_orderkey") % (i + 2) == 0, F.lit(None)).otherwise(x) if i % 3 == 0 else x).alias(f"c{i}"))
+    return li.select(*cols, F.lit(7.5).alias(f"c{WIDE_COLUMNS - 1}"))
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -429,6 +460,18 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["kde_close_to_exact"] = q_kde_close
     q["corr_matrix"] = lambda s, d: _r6(relations.corr_matrix(_t(s, d, "lineitem")), "r")
     q["top_corr_pairs"] = lambda s, d: _r6(relations.top_corr_pairs(_t(s, d, "lineitem")), "r", "abs_r")
+    q["corr_matrix_wide"] = lambda s, d: _r6(relations.corr_matrix(wide(s, d)), "r")
+    q["whitespace_blanks"] = lambda s, d: outliers.whitespace_issues(blanks(s, d))
+    q["histogram_infinite"] = lambda s, d: _r6(chartdata.histogram(with_infinities(s, d), "value"), "bin_start", "bin_end")
+    q["outliers_iqr_infinite"] = lambda s, d: outliers.outliers_iqr(with_infinities(s, d), "value")
+    q["iforest_infinite"] = lambda s, d: iforest.isolation_forest_flags(with_infinities(s, d), "value").filter(
+        F.abs("value") == float("inf")).select("event_id", "is_iforest")
+    q["outlier_flag_names"] = lambda s, d: outliers.outlier_flag(_t(s, d, "events").select(
+        "event_id", F.col("value").alias("is_any"), F.col("user_id").alias("iforest_score"),
+        F.col("user_id").alias("row"), F.col("user_id").alias("x")), "is_any", iforest=False)
+    q["category_codes_names"] = lambda s, d: transform.category_codes(_t(s, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("_v"), F.col("o_orderstatus").alias("_code"),
+        F.col("o_custkey").alias("row")), "_v")
     q["ols_trend"] = lambda s, d: _r6(relations.ols_trend(_t(s, d, "lineitem"), "l_quantity", "l_extendedprice"),
                                       "slope", "intercept", "r2")
     q["group_means"] = lambda s, d: _r6(relations.group_means(_t(s, d, "events"), "event_type"),
@@ -587,6 +630,9 @@ def _lineitem_numeric() -> list[str]:
             "l_discount", "l_tax"]
 
 
+# what Python's str.strip() removes, by Python's own rule
+PYTHON_BLANKS = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
 
 
@@ -797,7 +843,7 @@ def _oracle() -> dict[str, str]:
                               f"WHERE {_flag_sql('value')} ORDER BY value")
     o["negative_values"] = (f"SELECT 'account_amount' AS column_name, COUNT(*) FILTER (WHERE account_amount < 0) "
                             f"AS negative_count FROM {AMOUNTS}")
-    ws = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    ws = f"trim({{c}}, '{PYTHON_BLANKS}')"
     o["whitespace_issues"] = _union([
         f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} <> {ws.format(c=c)}) AS affected, "
         f"min(CASE WHEN {c} <> {ws.format(c=c)} THEN {c} END) AS example FROM {F4}"
@@ -922,6 +968,45 @@ def _oracle() -> dict[str, str]:
     o["kde_close_to_exact"] = "SELECT true AS within_1e4_of_the_peak, CAST(50 AS BIGINT) AS points"
     o |= _eda_oracles()
     o["corr_matrix"] = _corr_sql()
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+    wide_cols = []
+    for i in range(WIDE_COLUMNS - 1):
+        x = f"CAST({base[i % 4]} AS DOUBLE) * {i + 1} + CAST({base[(i // 4) % 4]} AS DOUBLE)"
+        wide_cols.append(f"CASE WHEN l_orderkey % {i + 2} = 0 THEN NULL ELSE {x} END AS c{i}" if i % 3 == 0 else f"{x} AS c{i}")
+    last = WIDE_COLUMNS - 1
+    corrs = ", ".join(f"corr(c{i}, c{j}) AS r{i}_{j}" for i in range(last) for j in range(i + 1, last))
+    listed = ", ".join([f"{{'a': {a}, 'b': {b}, 'r': r{min(a, b)}_{max(a, b)}}}" for a in range(last) for b in range(last) if a != b]
+                       + [f"{{'a': {a}, 'b': {a}, 'r': 1.0}}" for a in range(last)]
+                       + [f"{{'a': {a}, 'b': {b}, 'r': NULL}}" for a, b in [(last, last)] + [
+                           p for i in range(last) for p in ((i, last), (last, i))]])
+    o["corr_matrix_wide"] = (
+        f"WITH w AS (SELECT {', '.join(wide_cols)} FROM lineitem), m AS (SELECT {corrs} FROM w), "
+        f"p AS (SELECT unnest([{listed}]) AS p FROM m) SELECT CAST(p.a AS INTEGER) AS pos_a, 'c' || p.a AS col_a, "
+        "CAST(p.b AS INTEGER) AS pos_b, 'c' || p.b AS col_b, ROUND(p.r, 6) AS r FROM p")
+    ends = [(7, "\u00a0", ""), (5, "", "\u3000"), (3, "\x1c", "\u2029"), (2, "\u200b", "")]
+    pri = "CASE " + " ".join(f"WHEN o_orderkey % {m} = 0 THEN '{a}' || o_orderpriority || '{b}'" for m, a, b in ends) + (
+        " ELSE o_orderpriority END")
+    o["whitespace_blanks"] = (
+        f"SELECT 'pri' AS column_name, COUNT(*) AS affected, min(pri) AS example FROM (SELECT {pri} AS pri FROM orders) "
+        f"WHERE pri <> trim(pri, '{PYTHON_BLANKS}')")
+    infinite = ("(SELECT event_id, CASE WHEN event_id % 20 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 20 = 10 THEN "
+                "CAST('-inf' AS DOUBLE) ELSE value END AS value FROM events)")
+    o["histogram_infinite"] = (
+        f"WITH f AS (SELECT value FROM {infinite} WHERE isfinite(value)), r AS (SELECT min(value) AS lo, max(value) AS hi "
+        "FROM f), c AS (SELECT CAST(LEAST(FLOOR((value - lo) * (30 / (hi - lo))), 29) AS INTEGER) AS bin, COUNT(*) AS k "
+        "FROM f, r GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, ROUND(lo + i * ((hi - lo) / 30), 6) AS bin_start, "
+        "ROUND(CASE WHEN i = 29 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 30) END, 6) AS bin_end, coalesce(k, 0) AS count "
+        "FROM range(30) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i")
+    o["outliers_iqr_infinite"] = (
+        f"SELECT value FROM {infinite}, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM "
+        f"{infinite}) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)")
+    o["iforest_infinite"] = "SELECT event_id, true AS is_iforest FROM events WHERE event_id % 10 = 0"
+    o["outlier_flag_names"] = (
+        f"SELECT event_id, value AS is_any, user_id AS iforest_score, user_id AS row, user_id AS x, CASE WHEN {_flag_sql('value')} "
+        f"THEN 'Outlier' ELSE 'Normal' END AS is_outlier FROM events, {_bounds('events', 'value')} b")
+    o["category_codes_names"] = (
+        "SELECT o_orderkey, o_orderpriority AS _v, o_orderstatus AS _code, o_custkey AS row, "
+        "dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS _v_code FROM orders")
     pairs = []
     for i, a in enumerate(li_num):
         for j, b in enumerate(li_num):
@@ -1180,14 +1265,14 @@ def _table_summary_sql(table: str = "events", spec=None) -> str:
     for i, (c, t, k) in enumerate(spec or EVENTS_COLS):
         if k == "numeric":
             mean, std, mode = f"avg({c})", f"stddev_samp({c})", "CAST(NULL AS VARCHAR)"
-            desc = f"printf('Numeric. Mean: %.2f, Std: %.2f', avg({c}), stddev_samp({c}))"
+            desc = f"printf('numbers with mean %.2f and deviation %.2f', avg({c}), stddev_samp({c}))"
         elif k == "datetime":
             mean, std, mode = "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"
-            desc = f"'Datetime. From ' || CAST(min({c}) AS VARCHAR) || ' to ' || CAST(max({c}) AS VARCHAR)"
+            desc = f"'times between ' || CAST(min({c}) AS VARCHAR) || ' and ' || CAST(max({c}) AS VARCHAR)"
         else:
             mean, std = "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"
             mode = (f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, {c} LIMIT 1)")
-            desc = f"'Categorical. Top value: ''' || coalesce({mode}, 'N/A') || ''''"
+            desc = f"'values, most often ' || coalesce({mode}, 'none')"
         parts.append(
             f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, COUNT(DISTINCT {c}) AS unique_values, "
             f"ROUND(COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*), 6) AS missing_pct, "
@@ -1230,7 +1315,7 @@ def _audit_sql(table: str = "events", spec=None) -> str:
             f"(quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS hi FROM {table})")
     parts.append("SELECT 'invalid', c, 'iqr_outliers', 'warning', k, CAST(k AS VARCHAR) || ' values outside the "
                  f"IQR fences' FROM ({_union(outl)}) WHERE k > 0")
-    ws = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    ws = f"trim({{c}}, '{PYTHON_BLANKS}')"
     for c in cats:
         parts.append(
             f"SELECT 'consistency', '{c}', 'whitespace', 'warning', COUNT(*), 'example: ''' || min({c}) || '''' "

@@ -34,8 +34,12 @@ def _c(name: str) -> Column:
 
 
 def _lerp(a: float, b: float, t: float) -> float:
-    """numpy's linear interpolation (the form pandas' quantile uses)."""
+    """numpy's linear interpolation (the form pandas' quantile uses); an infinite end, if there is one, between two ends."""
+    if a == b or t == 0:
+        return a
     d = b - a
+    if math.isinf(d):
+        return a if math.isinf(a) and not math.isinf(b) else b if math.isinf(b) and not math.isinf(a) else math.nan
     if t >= 0.5:
         return b - d * (1.0 - t)
     return a + d * t
@@ -243,25 +247,16 @@ def kurt_bias_corrected(n: Column, g2: Column) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def moments(x: Column, prefix: str) -> list[Column]:
-    """count, population skewness and excess kurtosis (NULL for a constant)."""
-    sd = F.stddev_pop(x)
-    return [
-        F.count(x).alias(f"{prefix}n"),
-        F.when(sd > 0, F.skewness(x)).alias(f"{prefix}g1"),
-        F.when(sd > 0, F.kurtosis(x)).alias(f"{prefix}g2"),
-    ]
-
-
 def with_k2(df: DataFrame, n: str, g1: str, g2: str, stat: str = "statistic",
             p_value: str = "p_value") -> DataFrame:
     """Add D'Agostino–Pearson K² and its p-value (chi-square, 2 d.f.) to ``df``.
 
     ``g1`` is the population skewness and ``g2`` the population excess kurtosis,
     exactly Spark's ``skewness``/``kurtosis``. Closed form, no UDF; intermediate
-    terms are separate projections so the generated code stays small.
+    terms are separate projections so the generated code stays small. NULL for 8
+    values or fewer, where the test is not defined.
     """
-    nn = F.col(n).cast("double")
+    nn = F.when(F.col(n) > 8, F.col(n)).cast("double")       # fewer values: all terms are NULL
     steps = [
         ("_y", F.col(g1) * F.sqrt((nn + 1) * (nn + 3) / (6.0 * (nn - 2)))),
         ("_beta2", 3.0 * (nn * nn + 27 * nn - 70) * (nn + 1) * (nn + 3)

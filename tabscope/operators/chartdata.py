@@ -2,7 +2,7 @@
 
 No figure is drawn: each function returns the small table a plotting library
 would need (histogram bars, density curve, box statistics, binned scatter).
-Point-level charts become deterministic samples (a top-k on a row hash).
+Point-level charts become deterministic samples. Infinite values are left out.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import missing_safe, normalize_missing, quote
+from ..functions.sampling import bottom_k, bottom_k_by
 from ..functions.stats import quantiles
 from ..functions.typeclass import numeric_columns
 from .profile import top_values
@@ -22,6 +23,11 @@ def _x(df: DataFrame, name: str) -> Column:
     return missing_safe(df, name).cast("double")
 
 
+def finite(x: Column) -> Column:
+    """``x`` with infinite values as missing: charts leave them out, as they do missing ones."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def hist_range(lo: float | None, hi: float | None) -> tuple[float | None, float | None]:
     """numpy's histogram range: a constant column spans [v − 0.5, v + 0.5]."""
     if lo is None:
@@ -39,8 +45,8 @@ def hist_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """Equal-width histogram (A19): every bin, empty ones with count 0."""
-    x = _x(df, col)
+    """Equal-width histogram (A19) of the finite values: every bin, empty ones with count 0."""
+    x = finite(_x(df, col))
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     lo, hi = hist_range(r["lo"], r["hi"])
     spark = df.sparkSession
@@ -58,17 +64,23 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
             .orderBy("bin"))
 
 
+#: Bandwidths from a value to the last grid point its kernel is added to (exp(-0.5 * 9 ** 2) is 3e-18).
+KERNEL_REACH = 9.0
+
+
 def kde_curve(df: DataFrame, col: str, grid: int = 200, exact: bool = False,
               bins_per_bandwidth: int = 64) -> DataFrame:
-    """Gaussian kernel density on ``grid`` points from min to max.
+    """Gaussian kernel density of the finite values on ``grid`` points from min to max.
 
     Bandwidth is Scott's rule n^(−1/5)·std (sample std). ``exact`` sums one kernel
     per row (each row contributes to every grid point, pre-aggregated per
     partition before the shuffle); by default rows are first reduced to
     weighted bin centres whose width is the bandwidth over ``bins_per_bandwidth``
     (relative error about 1e-5, whatever the column's tails), so the kernel work
-    is per occupied bin. ``count_density`` is scaled to counts (density × n)."""
-    x = _x(df, col)
+    is per occupied bin. A value meets the grid points within ``KERNEL_REACH``
+    bandwidths, beyond which its kernel is below the doubles' precision.
+    ``count_density`` is scaled to counts (density × n)."""
+    x = finite(_x(df, col))
     r = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                F.stddev_samp(x).alias("sd")).first()
     spark = df.sparkSession
@@ -86,10 +98,15 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, exact: bool = False,
         pts = (df.filter(x.isNotNull()).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("w"))
                .select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(fw)).alias("v"), "w"))
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    gpts = F.sequence(F.lit(0), F.lit(grid - 1))
-    contrib = pts.select(F.posexplode(F.transform(
-        gpts, lambda g: F.col("w") * F.exp(-0.5 * F.pow(
-            (F.lit(lo) + g * F.lit(step) - F.col("v")) / F.lit(bw), 2)))).alias("point", "k"))
+    place = (F.col("v") - F.lit(lo)) / F.lit(step)
+    near = F.lit(KERNEL_REACH * bw / step)
+    first = F.greatest(F.ceil(place - near), F.lit(0)).cast("int")
+    last = F.least(F.floor(place + near), F.lit(grid - 1)).cast("int")
+    met = pts.filter(first <= last).select("v", "w", F.explode(F.sequence(first, last)).alias("point"))
+    contrib = met.select("point", (F.col("w") * F.exp(-0.5 * F.pow(
+        (F.lit(lo) + F.col("point") * F.lit(step) - F.col("v")) / F.lit(bw), 2))).alias("k"))
+    # every point is there, also one that no value reaches
+    contrib = contrib.unionAll(spark.range(grid).select(F.col("id").cast("int"), F.lit(0.0)))
     dens = contrib.groupBy("point").agg((F.sum("k") * F.lit(norm)).alias("density"))
     return dens.select(F.col("point").cast("int"),
                        (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), "density",
@@ -157,7 +174,7 @@ def box_stats_by_category(df: DataFrame, cat: str, col: str, top: int = 15) -> D
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 30, by: str | None = None) -> DataFrame:
     """Binned scatter (A31): counts per (x bin, y bin[, facet]) with histogram bins."""
-    xs, ys = _x(df, x), _x(df, y)
+    xs, ys = finite(_x(df, x)), finite(_x(df, y))
     r = df.agg(F.min(xs).alias("xl"), F.max(xs).alias("xh"), F.min(ys).alias("yl"),
                F.max(ys).alias("yh")).first()
     xl, xh = hist_range(r["xl"], r["xh"])
@@ -175,14 +192,14 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 30, by: str | None = N
 def density_3d(df: DataFrame, x: str, y: str, z: str, bins: int = 10) -> DataFrame:
     """Binned counts over three numeric columns (A31); at most ``bins``³ rows."""
     spans = {}
-    r = df.agg(*[e for i, c in enumerate((x, y, z)) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
-                                                              F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+    r = df.agg(*[e for i, c in enumerate((x, y, z)) for e in (F.min(finite(_x(df, c))).alias(f"lo{i}"),
+                                                              F.max(finite(_x(df, c))).alias(f"hi{i}"))]).first()
     for i, c in enumerate((x, y, z)):
         spans[c] = hist_range(r[f"lo{i}"], r[f"hi{i}"])
     names = ("bin_x", "bin_y", "bin_z")
     if any(spans[c][0] is None for c in spans):
         return df.sparkSession.createDataFrame([], "bin_x int, bin_y int, bin_z int, count bigint")
-    binned = df.select(*[hist_bin(_x(df, c), *spans[c], bins).alias(n) for c, n in zip((x, y, z), names)])
+    binned = df.select(*[hist_bin(finite(_x(df, c)), *spans[c], bins).alias(n) for c, n in zip((x, y, z), names)])
     return binned.filter(" and ".join(f"{n} is not null" for n in names)).groupBy(*names).agg(
         F.count(F.lit(1)).alias("count"))
 
@@ -194,36 +211,13 @@ def pair_plot(df: DataFrame, first: int = 5, bins: int = 30) -> DataFrame:
     return density_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], bins)
 
 
-def numbered_copies(df: DataFrame, cols: list[str], block: int = 10_000) -> DataFrame:
-    """The rows of ``df`` (columns ``cols``) with a number ``_copy`` among equal rows.
-
-    Equal rows are counted and re-expanded, first by blocks of copies that are
-    dealt out anew, so a point that holds a third of all rows is numbered by many
-    tasks and no long sequence is held."""
-    names = [quote(c) for c in cols]
-    blocks = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
-    dealt = blocks.repartition(*names, "_b")
-    last = F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.col("_b") * block, last))).select(*names, "_copy")
-
-
 def scatter_sample(df: DataFrame, cols: list[str], n: int = 1000, seed: int = 42,
                    by: str | None = None, per_group: int | None = None) -> DataFrame:
-    """Deterministic sample of points for point-level charts (L5): the ``n`` rows
-    with the smallest hash of point and copy number (a distributed top-k, no full
-    sort), so equal points are drawn as often as they occur. With ``by``,
-    ``per_group`` rows per category."""
+    """Deterministic uniform sample of ``n`` points for point-level charts (L5); equal points are
+    drawn as often as they occur. With ``by``, ``per_group`` rows per category."""
     keep = list(dict.fromkeys(cols + ([by] if by else [])))
-    names = [quote(c) for c in keep]
-    base = numbered_copies(df.select(*names), keep).withColumn("_h", F.xxhash64(*names, "_copy", F.lit(seed)))
-    if by is None:
-        return base.orderBy("_h", *names, "_copy").limit(n).drop("_h", "_copy")
-    from pyspark.sql import Window
-    w = Window.partitionBy(quote(by)).orderBy("_h", *names, "_copy")
-    k = per_group or n
-    # rank inside each group; a group keeps only its first k rows
-    return base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_h", "_r", "_copy")
+    points = df.select(*[quote(c) for c in keep])
+    return bottom_k(points, n, seed) if by is None else bottom_k_by(points, by, per_group or n, seed)
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -241,14 +235,14 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 30, ranges: dict | No
     if not cols:
         return spark.createDataFrame([], ddl)
     if ranges is None:
-        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
-                                                             F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(finite(_x(df, c))).alias(f"lo{i}"),
+                                                             F.max(finite(_x(df, c))).alias(f"hi{i}"))]).first()
         ranges = {c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
     spans = {c: hist_range(*ranges[c]) for c in cols}
     live = [c for c in cols if spans[c][0] is not None]
     if not live:
         return spark.createDataFrame([], ddl)
-    entries = F.array(*[F.struct(F.lit(c).alias("c"), hist_bin(_x(df, c), *spans[c], bins).alias("b"))
+    entries = F.array(*[F.struct(F.lit(c).alias("c"), hist_bin(finite(_x(df, c)), *spans[c], bins).alias("b"))
                         for c in live])
     counts = (df.select(F.explode(entries).alias("e")).filter(F.col("e.b").isNotNull())
               .groupBy(F.col("e.c").alias("column_name"), F.col("e.b").alias("bin"))
@@ -299,16 +293,16 @@ def density_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 30,
         return spark.createDataFrame([], ddl)
     cols = sorted({c for p in pairs for c in p})
     if ranges is None:
-        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(_x(df, c)).alias(f"lo{i}"),
-                                                             F.max(_x(df, c)).alias(f"hi{i}"))]).first()
+        r = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(finite(_x(df, c))).alias(f"lo{i}"),
+                                                             F.max(finite(_x(df, c))).alias(f"hi{i}"))]).first()
         ranges = {c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
     spans = {c: hist_range(*ranges[c]) for c in cols}
     live = [(a, b) for a, b in pairs if spans[a][0] is not None and spans[b][0] is not None]
     if not live:
         return spark.createDataFrame([], ddl)
     entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                 hist_bin(_x(df, a), *spans[a], bins).alias("bx"),
-                                 hist_bin(_x(df, b), *spans[b], bins).alias("by")) for a, b in live])
+                                 hist_bin(finite(_x(df, a)), *spans[a], bins).alias("bx"),
+                                 hist_bin(finite(_x(df, b)), *spans[b], bins).alias("by")) for a, b in live])
     return (df.select(F.explode(entries).alias("e"))
             .filter(F.col("e.bx").isNotNull() & F.col("e.by").isNotNull())
             .groupBy(F.col("e.a").alias("col_x"), F.col("e.b").alias("col_y"),

@@ -1,8 +1,9 @@
 """Isolation forest on one numeric column (D3) as a Spark job.
 
-1. Sample: one distributed top-k of ``n_trees × 256`` rows by a seeded row hash
-   (at most that many rows move); it holds every row when the column is smaller,
-   in which case each tree draws its own ``min(256, n)`` rows from it.
+1. Sample: the ``n_trees × 256`` rows with the smallest draws (``functions.sampling``:
+   one scan for the count, one for the draw, about that many rows move); it holds
+   every row when the column is smaller, in which case each tree draws its own
+   ``min(256, n)`` rows from it. Infinite values are not drawn, but scored.
 2. Build: ``groupBy(tree).applyInPandas`` grows one tree per group with numpy
    (random split uniform between the node's min and max, depth limit
    ceil(log2(sample))). With one feature a tree is a step function of the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import missing_safe
-from .chartdata import numbered_copies
+from ..functions.sampling import bottom_k
 
 # The tree builder and the scorer run in Python workers. Pickling this module's
 # functions by value means executors need only numpy and pandas, not this package.
@@ -85,13 +86,9 @@ def isolation_forest_scores(df: DataFrame, col: str, n_trees: int = 100, sample_
                             seed: int = 42) -> DataFrame:
     """Adds ``iforest_score`` (anomaly score in (0, 1)) and ``is_iforest`` to ``df``."""
     x = missing_safe(df, col).cast("double")
-    # equal values are numbered, so a value is drawn as often as it occurs
-    present = numbered_copies(df.select(x.alias("v")).filter(F.col("v").isNotNull()), ["v"]).select(
-        "v", F.xxhash64("v", "_copy", F.lit(seed)).alias("h"))
-    # one top-k by that hash: it holds every row when the column has fewer than
-    # n_trees × sample_size values, so no separate count pass is needed
+    present = df.select(x.alias("v")).filter(F.abs("v") < F.lit(math.inf))
     k = n_trees * sample_size
-    top = present.orderBy("h", "v").limit(k).persist(StorageLevel.MEMORY_AND_DISK)   # ≤ k rows
+    top = bottom_k(present, k, seed, draw="h").persist(StorageLevel.MEMORY_AND_DISK)   # ≤ k rows
     n = top.count()
     if n <= 1:
         top.unpersist()

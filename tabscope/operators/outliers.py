@@ -7,6 +7,8 @@ then a plain predicate, so flagging or filtering never re-shuffles the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from ..functions.typeclass import categorical_columns, numeric_columns
 # Name fragments of measures that must not be negative.
 NON_NEGATIVE_HINTS = ["revenue", "sales", "price", "quantity", "amount", "count"]
 
+# Fixed value: the characters that Python's str.strip() removes.
+BLANKS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 
 def _x(df: DataFrame, name: str) -> Column:
     return missing_safe(df, name).cast("double")
@@ -40,8 +45,8 @@ def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "ex
 
 def iqr_predicate(x: Column, bounds) -> Column:
     _, _, lo, hi = bounds
-    if lo is None:
-        return F.lit(False)
+    if lo is None or math.isnan(lo) or math.isnan(hi):
+        return F.lit(False)        # empty column, or quartiles that are infinite: nothing lies outside
     return F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
 
 
@@ -122,11 +127,11 @@ def outliers_combined(df: DataFrame, col: str, iforest: bool = True, seed: int =
 
 def outlier_flag(df: DataFrame, col: str, iforest: bool = True, flag_col: str = "is_outlier") -> DataFrame:
     """``Outlier``/``Normal`` label column by the combined outlier test."""
-    f = outlier_flags(df, col, iforest=iforest)
-    helper = [c for c in ("is_iqr", "is_z", "is_iforest", "iforest_score") if c in f.columns
-              and c not in df.columns]
-    return (f.withColumn(flag_col, F.when(F.col("is_any"), F.lit("Outlier")).otherwise(F.lit("Normal")))
-            .drop(*helper, "is_any"))
+    own = [c for c in df.columns if c != flag_col]
+    # the caller's columns travel as one, so none shares a name with a flag
+    packed = df.select(F.struct(*[F.col(quote(c)) for c in own]).alias("row"), _x(df, col).alias("x"))
+    f = outlier_flags(packed, "x", iforest=iforest)
+    return f.select("row.*", F.when(F.col("is_any"), F.lit("Outlier")).otherwise(F.lit("Normal")).alias(flag_col))
 
 
 def negative_values(df: DataFrame) -> DataFrame:
@@ -140,8 +145,8 @@ def negative_values(df: DataFrame) -> DataFrame:
 
 
 def strip_ws(x: Column) -> Column:
-    """Python's ``str.strip()``: all leading/trailing whitespace, not just spaces."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Python's ``str.strip()``: all leading/trailing whitespace, not just ASCII's."""
+    return F.regexp_replace(x, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
 
 
 def whitespace_issues(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

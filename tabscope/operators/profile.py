@@ -504,10 +504,9 @@ def table_summary_and_rows(df: DataFrame, vc: DataFrame | None = None,
         [(c, dc.get(c, 0), modes.get(c)) for c in names],
         "column_name string, unique_values bigint, mode string"), "column_name")
     desc = (F.when(F.col("kind") == "numeric",
-                   F.format_string("Numeric. Mean: %.2f, Std: %.2f", F.col("mean"), F.col("std")))
+                   F.format_string("numbers with mean %.2f and deviation %.2f", F.col("mean"), F.col("std")))
             .when(F.col("kind") == "datetime",
-                  F.concat(F.lit("Datetime. From "), F.col("first"), F.lit(" to "), F.col("last")))
-            .otherwise(F.concat(F.lit("Categorical. Top value: '"),
-                                F.coalesce(F.col("mode"), F.lit("N/A")), F.lit("'"))))
+                  F.concat(F.lit("times between "), F.col("first"), F.lit(" and "), F.col("last")))
+            .otherwise(F.concat(F.lit("values, most often "), F.coalesce(F.col("mode"), F.lit("none")))))
     return (out.select("position", "column_name", "data_type", "unique_values", "missing_pct",
                        "mean", "std", "mode", desc.alias("description")).orderBy("position"), n)

@@ -7,6 +7,8 @@ single row becomes literals of the projection.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,14 +103,14 @@ def category_codes(df: DataFrame, name: str, code_col: str | None = None) -> Dat
     _require(df, name)
     code_col = code_col or f"{name}_code"
     _require_new(df, code_col)
-    v = missing_safe(df, name)
-    distinct = df.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    # the caller's columns travel as one, so none shares a name with the code table's
+    packed = df.select(F.struct(*[_col(c) for c in df.columns]).alias("row"), missing_safe(df, name).alias("key"))
+    distinct = packed.select(F.col("key").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     codes = with_global_position(distinct, [F.col("_v").asc()], pos="_code")
     size = codes.agg(F.sum(F.octet_length(F.col("_v").cast("string")) + F.lit(16))).first()[0] or 0
     table = F.broadcast(codes) if size <= CODE_TABLE_BROADCAST_BYTES else codes
-    joined = df.join(table, v == F.col("_v"), "left")         # missing values match nothing and stay out of the join
-    return joined.select(*[_col(c) for c in df.columns],
-                         F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(code_col))
+    joined = packed.join(table, F.col("key") == F.col("_v"), "left")   # missing values match nothing and stay out
+    return joined.select("row.*", F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint").alias(code_col))
 
 
 # Bytes of the largest code table (value, code) broadcast to the join; larger ones are shuffle-joined.
@@ -180,11 +182,13 @@ def equal_width_bin(x: Column, lo: float | None, hi: float | None, n: int) -> Co
 
 
 def bin_equal_width(df: DataFrame, name: str, n: int, new_name: str) -> DataFrame:
-    """Equal-width bin index 0..n−1 of a numeric column."""
+    """Equal-width bin index 0..n−1 of a numeric column (C9); infinite values have no bin width and raise."""
     _require(df, name)
     _require_new(df, new_name)
     x = missing_safe(df, name).cast("double")
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if r["lo"] is not None and math.isinf(r["hi"] - r["lo"]):
+        raise ValueError(f"column {name!r} has infinite values and no equal-width bins")
     return df.withColumn(new_name, equal_width_bin(x, r["lo"], r["hi"], n))
 
 
