@@ -548,6 +548,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["cardinality_documents"] = lambda s, d: profile.cardinality_class(_t(s, d, "documents"))
     for part in ("histograms", "bars", "pies", "box_by_category", "group_means", "scatter", "trends", "facets"):
         q[f"eda_{part}"] = _eda_part(part)
+    q["eda_report_documents"] = lambda s, d: _r6(reports.eda_findings(_t(s, d, "documents")), "metric")
+    q["eda_bars_documents"] = lambda s, d: reports.eda_report(_t(s, d, "documents"))["bars"]
+    q["one_click_documents"] = lambda s, d: _r6(reports.one_click_findings(_t(s, d, "documents")).filter(
+        F.col("section").isin("missing", "duplicates", "invalid", "consistency", "eda")), "metric")
     q["one_click_parts"] = q_one_click_parts
     q["one_click_values"] = q_one_click_values
     q["outlier_verdict"] = lambda s, d: outliers.outlier_verdict(outliers.outlier_compare(
@@ -1203,6 +1207,20 @@ def _oracle() -> dict[str, str]:
         "COUNT(DISTINCT o_orderkey) AS u, COUNT(*) AS n FROM orders UNION ALL SELECT 'o_custkey', 1, "
         "COUNT(DISTINCT o_custkey), COUNT(*) FROM orders) WHERE u * 1.0 / n > 0.8 ORDER BY i LIMIT 1)"])
     o["audit_report_documents"] = _audit_sql("documents", DOCUMENTS_COLS)
+    info = "SELECT 'eda' AS section, '{c}' AS column_name, '{k}' AS check, 'info' AS severity, {m} AS metric, {d} AS detail"
+    o["eda_report_documents"] = _union(
+        [(info + " FROM documents").format(c=c, k=k, m=f"ROUND({f}, 6)", d="CAST(NULL AS VARCHAR)")
+         for c in ("doc_id", "n_chars") for k, f in (("mean", f"avg({c})"), ("median", f"quantile_cont(CAST({c} AS DOUBLE), 0.5)"))]
+        + [(info + " FROM (SELECT {c}, COUNT(*) AS k FROM documents WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 "
+            "LIMIT 1)").format(c=c, k="top_category", m="CAST(k AS DOUBLE)", d=c) for c in ("text", "lang", "source")]
+        + [(info + " FROM (SELECT corr(doc_id, n_chars) AS r FROM documents) WHERE abs(r) < 1").format(
+            c="doc_id", k="correlated_with", m="ROUND(r, 6)", d="'n_chars'")])
+    o["eda_bars_documents"] = _union([
+        f"SELECT '{c}' AS column_name, CASE WHEN {c} IN (SELECT {c} FROM documents WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"ORDER BY COUNT(*) DESC, {c} LIMIT 20) THEN {c} ELSE 'Other' END AS value, COUNT(*) AS count FROM documents "
+        f"WHERE {c} IS NOT NULL GROUP BY 2" for c in ("text", "lang", "source")])
+    audit_part = f"SELECT * FROM ({o['audit_report_documents']}) WHERE section IN ('missing', 'duplicates', 'invalid', 'consistency')"
+    o["one_click_documents"] = audit_part + " UNION ALL " + o["eda_report_documents"]
     o["table_summary_documents"] = _table_summary_sql("documents", DOCUMENTS_COLS)
     o["duplicate_count_zeros"] = (f"SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_rows FROM "
                                   f"(SELECT COUNT(*) AS k FROM {ZEROS} GROUP BY ALL)".replace("GROUP BY ALL",

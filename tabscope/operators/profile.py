@@ -189,20 +189,63 @@ def row_key(df: DataFrame) -> Column:
 #: Texts longer than this are counted under a 128-bit name where only counts are asked for.
 LONG_TEXT = 64
 LONG_MARK = "\u0001"
+#: Keys (about 100 bytes each) up to which their list is broadcast to look their texts up.
+LOOKUP_BROADCAST = 20_000
 
 
 def compact_key(text: Column) -> Column:
-    """``text``, or a short name of it when it is long."""
-    name = F.concat(F.lit(LONG_MARK), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(31), text)))
+    """``text``, or where it is long its first ``LONG_TEXT`` characters, a mark and a 128-bit name.
+
+    Keys are in the order of their texts, but for long texts that begin alike."""
+    name = F.concat(F.left(text, F.lit(LONG_TEXT)), F.lit(LONG_MARK), F.hex(F.xxhash64(text)),
+                    F.hex(F.xxhash64(F.lit(31), text)))
     return F.when(F.length(text) > LONG_TEXT, name).otherwise(text)
 
 
+def is_name(key: Column) -> Column:
+    """Whether a compact key stands for a long text (other keys have no character at that place)."""
+    return F.substring(key, LONG_TEXT + 1, 1) == LONG_MARK
+
+
+def texts_of(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """``value, text``: the long texts of ``col`` that the compact keys ``keys(value)`` stand for.
+
+    Only rows with such a key move, once for each task and key; few keys are broadcast."""
+    v = value_key(df, col)
+    if keys.count() <= LOOKUP_BROADCAST:
+        keys = F.broadcast(keys)
+    rows = df.select(v.alias("text"), compact_key(v).alias("value")).filter(is_name(F.col("value")))
+    return rows.join(keys, "value", "left_semi").groupBy("value").agg(F.min("text").alias("text"))
+
+
+def top_of_each(df: DataFrame, vc: DataFrame, k: int) -> DataFrame:
+    """``vc`` rows of the ``k`` most frequent values of each column with ``rank``, ties by value.
+
+    In a compact table the order is known but for long texts that begin alike; the texts of those that may
+    be among the first ``k`` are looked up, so whole texts of all other values stay where they are."""
+    named = is_name(F.col("value"))
+    head = F.when(named, F.left("value", F.lit(LONG_TEXT))).otherwise(F.col("value"))
+    order = Window.partitionBy("column_name").orderBy(F.col("count").desc(), head, named)
+    near = vc.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= k).drop("rank")
+    long_ones = [r["column_name"] for r in near.filter(named).select("column_name").distinct().collect()]
+    found = None
+    for c in long_ones:                                # one lookup a column that has such values among its first
+        keys = near.filter(named & (F.col("column_name") == c)).select("value")
+        part = texts_of(df, c, keys).withColumn("column_name", F.lit(c))
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        near = near.join(found, ["column_name", "value"], "left").withColumn(
+            "value", F.coalesce("text", "value")).drop("text").select(*vc.columns)
+    last = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value"))
+    return near.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+
+
 def value_counts_long(df: DataFrame, cols: list[str], rows: bool = False, compact: bool = False) -> DataFrame:
     """VC core: ``(column_name, value, lower_value, count)`` for many columns with one shuffle.
 
     With ``rows`` the row hash is counted too (column name ``__row__``), so the
     same shuffle also counts duplicate rows. With ``compact`` long texts are
-    counted under a 128-bit name (see ``compact_key``), so whole texts do not move;
+    counted under a name (see ``compact_key``), so whole texts do not move;
     counts, distinct counts and spellings that differ by case stay exact.
     ``lower_value`` names the lower-cased value the same way."""
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
@@ -417,25 +460,19 @@ def column_modes(df: DataFrame, cols: list[str], vc: DataFrame | None = None) ->
     """``(column_name, mode)``: per column the smallest of the most frequent values,
     from the value-count table with two distributed aggregations (no window).
 
-    Long texts in a compact table are looked up: where every value is as frequent
-    as any other the mode is the column's minimum, else the minimum of the rows
-    whose names are among the most frequent."""
+    The smallest key of a compact table tells how the mode begins; if it stands for a long text,
+    the most frequent ones that begin so are looked up."""
     vc = value_counts_long(df, cols, compact=True) if vc is None else vc.filter(F.col("column_name").isin(cols))
-    best = vc.groupBy("column_name").agg(F.max("count").alias("_top"), F.min("count").alias("_least"))
+    best = vc.groupBy("column_name").agg(F.max("count").alias("_top"))
     tied = vc.join(F.broadcast(best), "column_name").filter(F.col("count") == F.col("_top"))   # one row per column
-    named = F.col("value").startswith(LONG_MARK)
-    found = tied.groupBy("column_name").agg(F.min("value").alias("mode"), F.bool_or(named).alias("named"),
-                                            F.max(F.col("_top") == F.col("_least")).alias("flat")).collect()
     out = []
-    for r in found:
+    for r in tied.groupBy("column_name").agg(F.min("value").alias("mode"),
+                                             is_name(F.min("value")).alias("named")).collect():
         mode, c = r["mode"], r["column_name"]
         if r["named"]:
-            v = value_key(df, c)
-            rows = df.select(v.alias("value"), compact_key(v).alias("_key"))
-            if not r["flat"]:
-                keys = tied.filter(F.col("column_name") == c).select(F.col("value").alias("_key"))
-                rows = rows.join(keys, "_key", "left_semi")
-            mode = rows.agg(F.min("value")).first()[0]
+            keys = tied.filter((F.col("column_name") == c) & is_name(F.col("value"))
+                               & (F.left("value", F.lit(LONG_TEXT)) == mode[:LONG_TEXT])).select("value")
+            mode = texts_of(df, c, keys).agg(F.min("text")).first()[0]
         out.append((c, mode))
     return df.sparkSession.createDataFrame(out, "column_name string, mode string")
 

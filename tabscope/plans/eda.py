@@ -18,21 +18,19 @@ times. Here the parts share:
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import missing_safe, normalize_missing, quote
 from ..functions.stats import quantiles
 from ..functions.typeclass import categorical_columns, numeric_columns
 from ..operators import chartdata, relations
-from ..operators.profile import value_counts_long
+from ..operators.profile import top_of_each, value_counts_long
 
 
-def _category_tables(vc: DataFrame, k_bars: int, k_pie: int, k_groups: int) -> dict:
+def _category_tables(df: DataFrame, vc: DataFrame, k_bars: int, k_pie: int, k_groups: int) -> dict:
     """Top values, bars (+Other), pie slices (+Other, %) per column from the VC core."""
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-    k = max(k_bars, k_pie, k_groups)
-    top = vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = top_of_each(df, vc, max(k_bars, k_pie, k_groups))
     per_col = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"),
                                             F.sum("count").alias("total"))
 
@@ -67,11 +65,12 @@ def eda_numeric_extras(df: DataFrame, nums: list[str]) -> list:
 def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices: int = 10,
                bins: int = 30, vc: DataFrame | None = None, numeric: dict | None = None,
                quantile_method: str = "exact", group_top: int = 20, box_top: int = 15,
-               box_columns: int = 3) -> dict:
+               box_columns: int = 3, facet_plain: int = 20, facet_top: int = 20) -> dict:
     """Parts of the exploratory analysis as DataFrames (long form, one table per
     chart kind with a ``column_name`` column). Bars and slices, the categories of
-    group means and facets (``group_top``), and of grouped boxes (``box_top`` categories,
-    ``box_columns`` numeric columns) are limited independently."""
+    group means (``group_top``), of grouped boxes (``box_top`` categories, ``box_columns``
+    numeric columns) and of facets (all up to ``facet_plain`` values, else the first
+    ``facet_top`` and Other) are limited independently."""
     df = normalize_missing(df)
     spark = df.sparkSession
     nums = numeric_columns(df)
@@ -94,14 +93,14 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
     distinct: dict = {}
     tops: dict = {}
     if cats:
-        vc = (value_counts_long(df, cats).persist(StorageLevel.MEMORY_AND_DISK) if vc is None
+        vc = (value_counts_long(df, cats, compact=True).persist(StorageLevel.MEMORY_AND_DISK) if vc is None
               else vc.filter(F.col("column_name").isin(cats)))
-        tables = _category_tables(vc, max_bars, max_slices, max(group_top, box_top))
+        tables = _category_tables(df, vc, max_bars, max_slices, max(group_top, box_top, facet_top))
         parts["value_counts"] = tables["top"].filter(F.col("rank") <= max_bars)
         parts["bars"] = tables["bars"]
         parts["pies"] = tables["pie"]
         distinct = {r["column_name"]: r["distinct"] for r in tables["per_col"].collect()}
-        for r in tables["top"].filter(F.col("rank") <= max(group_top, box_top)).collect():   # few per column
+        for r in tables["top"].orderBy("column_name", "rank").collect():   # few per column
             tops.setdefault(r["column_name"], []).append(r["value"])
 
     pairs: list = []
@@ -138,8 +137,8 @@ def eda_report(df: DataFrame, top_pairs: int = 3, max_bars: int = 20, max_slices
             facet = next((c for c in cats if 2 <= distinct.get(c, 0) <= 10), cats[0])  # R8
             xa, ya = pairs[0] if pairs else (nums[0], nums[1])
             fv = missing_safe(df, facet)
-            label = fv if distinct.get(facet, 0) <= 20 else F.when(
-                fv.isin(tops.get(facet, [])), fv).otherwise(F.lit("Other"))
+            label = fv if distinct.get(facet, 0) <= facet_plain else F.when(
+                fv.isin(tops.get(facet, [])[:facet_top]), fv).otherwise(F.lit("Other"))
             facet_spec = (facet, label, xa, ya)
     if nums:
         parts.update(_binned_parts(df, nums, pairs, facet_spec, ranges, bins))

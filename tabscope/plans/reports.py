@@ -179,7 +179,7 @@ def one_click_report(df: DataFrame) -> dict:
     spark = df.sparkSession
     # one value-count shuffle over all columns serves the audit, the summary and the EDA
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
-    vc = profile.value_counts_long(df, cols, rows=True).persist(StorageLevel.MEMORY_AND_DISK)
+    vc = profile.value_counts_long(df, cols, rows=True, compact=True).persist(StorageLevel.MEMORY_AND_DISK)
     # one quantile run (with the audit's checks and the EDA's column statistics in
     # its first pass) serves both sections
     nums = numeric_columns(df)
