@@ -460,6 +460,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["kde_close_to_exact"] = q_kde_close
     q["corr_matrix"] = lambda s, d: _r6(relations.corr_matrix(_t(s, d, "lineitem")), "r")
     q["top_corr_pairs"] = lambda s, d: _r6(relations.top_corr_pairs(_t(s, d, "lineitem")), "r", "abs_r")
+    q["distinct_counts_approx"] = lambda s, d: profile.distinct_counts(
+        _t(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"], approx=True)
     q["corr_matrix_wide"] = lambda s, d: _r6(relations.corr_matrix(wide(s, d)), "r")
     q["whitespace_blanks"] = lambda s, d: outliers.whitespace_issues(blanks(s, d))
     q["histogram_infinite"] = lambda s, d: _r6(chartdata.histogram(with_infinities(s, d), "value"), "bin_start", "bin_end")
@@ -971,6 +973,9 @@ def _oracle() -> dict[str, str]:
         f"FROM range(50) g(i), {LONG_TAIL}, p GROUP BY g.i, lo, step, n, bw")
     o["kde_close_to_exact"] = "SELECT true AS within_1e4_of_the_peak, CAST(50 AS BIGINT) AS points"
     o |= _eda_oracles()
+    o["distinct_counts_approx"] = _union([
+        f"SELECT {i} AS position, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM lineitem"
+        for i, c in enumerate(["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"])])
     o["corr_matrix"] = _corr_sql()
     base = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
     wide_cols = []

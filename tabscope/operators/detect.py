@@ -17,6 +17,7 @@ from ..functions.dates import best_formats, fully_parsing
 from ..functions.missing import missing_safe
 from ..functions.typeclass import (DATETIME_TYPES, NESTED_TYPES, categorical_columns,
                                    numeric_columns)
+from ..functions.distinct import bounds, estimates
 from .profile import distinct_counts, value_key
 
 # Column-name fragments the reference looks for.
@@ -24,7 +25,6 @@ ID_HINTS = ["id", "key", "number"]
 ENTITY_HINTS = ["id", "customer", "user"]
 VALUE_HINTS = ["sales", "revenue", "price", "amount", "value"]
 TIME_HINTS = ["date", "time"]
-ROWS = "__rows__"
 
 
 def _named(cols: list[str], hints: list[str]) -> list[str]:
@@ -49,20 +49,17 @@ def detect_id_column(df: DataFrame, hints: list[str] | None = None, ratio: float
     ddl = "position int, column_name string, distinct_count bigint, rows bigint, ratio double"
     if not cands:
         return _empty(df, ddl)
-    # one value-count shuffle gives every candidate's distinct count and, through a
-    # constant entry counted once per row, the row count (missing values included)
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), value_key(df, c).alias("value"))
-                        for c in cands] + [F.struct(F.lit(ROWS).alias("column_name"), F.lit("").alias("value"))])
-    vc = (df.select(F.explode(entries).alias("e")).filter(F.col("e.value").isNotNull())
-          .groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("count")))
-    per = {r["column_name"]: (r["distinct"], r["total"]) for r in
-           vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"),
-                                         F.sum("count").alias("total")).collect()}   # one row per candidate
-    n = per.get(ROWS, (0, 0))[1]
-    rows = [(df.columns.index(c), c, per.get(c, (0, 0))[0], n, (per.get(c, (0, 0))[0] / n) if n else None)
-            for c in cands]
-    return (df.sparkSession.createDataFrame(rows, ddl).filter(F.col("ratio") > ratio)
-            .orderBy("position").limit(1))
+    # sketches tell most candidates; values are counted only where the ratio is near, and for the column found
+    guess, n = estimates(df, {c: value_key(df, c) for c in cands})
+    rows = []
+    for c in cands:
+        if not n or bounds(guess[c])[1] <= ratio * n:
+            continue
+        k = distinct_counts(df, [c]).first()["distinct_count"]
+        if k / n > ratio:
+            rows.append((df.columns.index(c), c, k, n, k / n))
+            break
+    return df.sparkSession.createDataFrame(rows, ddl)
 
 
 def detect_entity_column(df: DataFrame) -> DataFrame:
@@ -160,13 +157,17 @@ def detect_category_column(df: DataFrame, lo: int = 2, hi: int = 20, fallback: b
     ddl = "position int, column_name string, distinct_count bigint"
     if not cats:
         return _empty(df, ddl)
-    dc = distinct_counts(df, cats)
-    hit = dc.filter((F.col("distinct_count") >= lo) & (F.col("distinct_count") <= hi))
-    if fallback:
-        hit = hit.unionByName(dc.filter(F.col("position") == 0).withColumn("position", F.lit(10 ** 6)))
-    return hit.orderBy("position").limit(1).select(
-        F.when(F.col("position") == 10 ** 6, F.lit(0)).otherwise(F.col("position")).alias("position"),
-        "column_name", "distinct_count")
+    guess, _ = estimates(df, {c: value_key(df, c) for c in cats})
+    for i, c in enumerate(cats):
+        least, most = bounds(guess[c])
+        if least <= hi and most >= lo:                       # counted only where it may fit
+            k = distinct_counts(df, [c]).first()["distinct_count"]
+            if lo <= k <= hi:
+                return df.sparkSession.createDataFrame([(i, c, k)], ddl)
+    if not fallback:
+        return _empty(df, ddl)
+    first = distinct_counts(df, cats[:1]).first()
+    return df.sparkSession.createDataFrame([(0, cats[0], first["distinct_count"])], ddl)
 
 
 def datetime_candidates(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggs import agg_row
+from ..functions.distinct import estimates
 from ..functions.missing import is_missing, missing_safe, normalize_missing, quote
 from ..functions.stats import (kurt_bias_corrected, quantile_map, quantiles,
                                skew_bias_corrected, with_k2)
@@ -265,10 +266,15 @@ def value_counts_long(df: DataFrame, cols: list[str], rows: bool = False, compac
             .groupBy("e.column_name", "e.value", "e.lower_value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Exact number of distinct non-missing values per column."""
+def distinct_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """Number of distinct non-missing values per column (A6): exact, or with ``approx`` estimated
+    from one sketch a column (standard error 1.6 %, small counts exact), for which no value moves."""
     cols = list(cols) if cols is not None else [
         f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
+    if approx:
+        guess, _ = estimates(df, {c: value_key(df, c) for c in cols})
+        return df.sparkSession.createDataFrame([(i, c, guess[c]) for i, c in enumerate(cols)],
+                                               "position int, column_name string, distinct_count bigint")
     pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     counted = value_counts_long(df, cols, compact=True).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("distinct_count"))
