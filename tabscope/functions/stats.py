@@ -1,14 +1,14 @@
 """Statistical building blocks shared by the operators.
 
 * ``quantiles`` — exact linear-interpolated quantiles (pandas' default) that
-  never hold a whole column in one task: an approximate pass brackets every
-  target rank, a counting pass fixes the rank offset (narrowing the bracket
-  again while it is too wide), and only the values inside a bracket — at most
-  ``max_bracket`` of them, a bound known before they are gathered — are sorted
-  to read the exact order statistics.
+  never hold a whole column in one task: one mergeable KLL sketch per column
+  brackets all its target ranks, one pass then counts what lies between the
+  brackets and the values inside them — at most ``max_bracket`` values, a bound
+  known before they are gathered — and a running count reads the exact order
+  statistics. A bracket that is too wide is narrowed by another sketch first.
   Spark's own exact ``percentile`` keeps a value→count map of the whole column
-  in the final task, which does not survive 100 TB; ``method="approx"`` gives the
-  plain ``percentile_approx`` answer in one pass.
+  in the final task, which does not survive 100 TB; ``method="approx"`` gives
+  the plain ``percentile_approx`` answer in one pass.
 * Bias-corrected skewness/kurtosis from Spark's population moments.
 * D'Agostino's K² normality test as a closed-form column expression.
 """
@@ -16,8 +16,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggs import agg_row
@@ -45,9 +46,9 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + d * t
 
 
-def _lookup(values: dict, key: Column) -> Column:
+def _lookup(values: dict, key: Column | None) -> Column:
     """``values[key]`` as a column (a literal when there is one group and no key)."""
-    if len(values) == 1 and key is None:
+    if key is None:
         return F.lit(next(iter(values.values())))
     return F.create_map(*[x for g, v in values.items() for x in (F.lit(g), F.lit(v))])[key]
 
@@ -61,6 +62,21 @@ def _grouped_rows(df: DataFrame, key: Column | None, groups: list, named: list)
     return {r["_qg"]: r.asDict() for r in rows}
 
 
+def _sketch_size(accuracy: int) -> int:
+    return max(8, min(65_535, int(accuracy) * 2 // 5))
+
+
+def _rank_error(k: int) -> float:
+    """Share of the rows by which a rank in a KLL sketch of size ``k`` is off, at 99 % confidence."""
+    return 2.296 / k ** 0.9723
+
+
+def _sketched(x: Column, fractions: list[float], k: int) -> Column:
+    """Values at ``fractions`` by one sketch; NULL without values."""
+    at = F.array(*[F.lit(min(1.0, max(0.0, f))) for f in fractions])
+    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x, F.lit(k)), at))
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
               groups: list | None = None, method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY,
@@ -68,24 +84,22 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
               max_gather: int = DEFAULT_MAX_GATHER) -> dict:
     """Quantiles of ``cols`` at ``probs`` → ``{(group, col, p): float | None}``.
 
-    Missing values are skipped (the column must already be NaN-normalised).
-    With ``by`` the statistics are per group, computed with ``groupBy(by)`` for
-    the given ``groups`` (expected to be few, e.g. a top-N list); each group's
-    bracket is looked up from a small literal map, so the aggregate has one
-    expression per column, probability and side whatever the number of groups.
-
-    Pass 1 gives the count and an approximate bracket around every needed order
-    statistic. Each following pass is one aggregation that counts the rows below
-    each open bracket, the ties on its two ends and its strict interior, and —
-    when the interior is known or predicted to hold at most ``max_bracket`` rows —
-    sorts just those values and reads the exact order statistic on the
-    executors. A wider interior is narrowed by another approximate pass
-    restricted to it; a bracket the approximation missed is opened on that side.
-    Typically two passes in all. One aggregate gathers ``max_gather`` rows at most
-    (the two sides of a rank share a bracket and count once), so with many
-    columns or groups the brackets are read in several passes. ``extra`` = ``[(alias, aggregate, width)]`` are
-    computed in the first pass too (ungrouped only) and returned under
-    ``"__extra__"``, saving a scan for callers that need plain statistics as well.
+    Missing values are skipped (the column must already be NaN-normalised); infinite
+    ones count as the least and greatest. With ``by`` the statistics are per group, for
+    the given ``groups`` (expected to be few, e.g. a top-N list).
+
+    Pass 1 gives the counts and one sketch per column, which brackets every wanted
+    rank (three times the sketch's error to each side). Pass 2 unpivots the rows to
+    (column, place among the brackets, value if in a bracket) and counts them —
+    partial aggregation leaves a task one row per place and bracketed value — and a
+    running count over these few rows finds the exact order statistics, on the
+    executors. Brackets expected to hold more than ``max_bracket`` rows are narrowed
+    by a sketch of their own rows first, and one pass gathers ``max_gather`` rows at
+    most, so many wide brackets are read in several passes. A rank that the sketch
+    missed is sought anew in the whole column. Two passes are typical.
+    ``extra`` = ``[(alias, aggregate, width)]`` are computed in the first pass too
+    (ungrouped only) and returned under ``"__extra__"``, saving a scan for callers
+    that need plain statistics as well.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
@@ -100,131 +114,172 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
                 out.update({(None, c, p): None for c in cols for p in probs})
     if not group_values:
         return out
-    if method != "approx":
-        accuracy = max(int(accuracy), 100)   # each narrowing keeps at most ~8 % of a bracket
-    margin = 3.0 / accuracy
-    ext = (lambda g: None) if by is None else (lambda g: g)
-
-    # pass 1: counts and approximate brackets for every column (and group)
-    fracs = []
-    for p in probs:
-        fracs += [max(0.0, p - margin), p, min(1.0, p + margin)]
-    farr = F.array(*[F.lit(f) for f in fracs])
+    max_bracket = max(int(max_bracket), 8)       # two ranks, the ends and room to narrow
+    size = _sketch_size(max(int(accuracy), 100))
+    margin = 3 * _rank_error(size)
+    name = (lambda g: None) if by is None else (lambda g: g)
+
+    # pass 1: counts and brackets for every column (and group)
+    fractions = [f for p in probs for f in (p - margin, p + margin)]
     named = list(extra or []) if key is None else []
     for ci, c in enumerate(cols):
-        named += [(f"_qn{ci}", F.count(_c(c)), 1),
-                  (f"_qa{ci}", F.percentile_approx(_c(c), farr, accuracy), 1)]
+        x = _c(c)
+        told = (_sketched(x, fractions, size) if method != "approx" else
+                F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy))
+        named += [(f"_qn{ci}", F.count(x), 1), (f"_qa{ci}", told, 1)]
     first = _grouped_rows(df, key, group_values, named)
     if extra and key is None:
         out["__extra__"] = {a: first[0][a] for a, _, _ in extra}
 
-    wanted = []     # (out key, lo state, hi state, fraction)
-    state = {}      # (group, col index, prob index, side) -> bracket state
+    brackets = []
     for g in group_values:
         row = first.get(g)
         for ci, c in enumerate(cols):
             n = int(row[f"_qn{ci}"] or 0) if row else 0
-            approx = row[f"_qa{ci}"] if row else None
             for pi, p in enumerate(probs):
-                okey = (ext(g), c, p)
                 if n == 0:
-                    out[okey] = None
+                    out[(name(g), c, p)] = None
                     continue
                 if method == "approx":
-                    out[okey] = float(approx[3 * pi + 1])
+                    out[(name(g), c, p)] = float(row[f"_qa{ci}"][pi])
                     continue
+                low, high = (float(v) for v in row[f"_qa{ci}"][2 * pi:2 * pi + 2])
                 h = (n - 1) * p
-                ks = {"lo": int(math.floor(h)), "hi": min(int(math.ceil(h)), n - 1)}
-                for side in ("lo", "hi"):
-                    state[(g, ci, pi, side)] = dict(
-                        k=ks[side], lo=float(approx[3 * pi]), hi=float(approx[3 * pi + 2]),
-                        est=n * (2 * margin + 2.0 / accuracy) + 2, value=None, done=False)
-                wanted.append((okey, (g, ci, pi, "lo"), (g, ci, pi, "hi"), h - ks["lo"]))
-    if method == "approx" or not wanted:
-        return out
-
-    slots = sorted({s[1:] for s in state})
-    for _ in range(32 + len(state)):
-        live = {sl: {g: state[(g,) + sl] for g in group_values
-                     if (g,) + sl in state and not state[(g,) + sl]["done"]} for sl in slots}
-        live = {sl: st for sl, st in live.items() if st}
-        if not live:
+                k = int(math.floor(h))
+                brackets.append(_Bracket(g, ci, p, (k, min(int(math.ceil(h)), n - 1)), h - k,
+                                         low if p > margin else -math.inf, high if p < 1 - margin else math.inf,
+                                         n * 2 * margin + 2))
+    for _ in range(64):
+        todo = [b for b in brackets if b.values is None]
+        if not todo:
             break
-        gkey = key if key is not None else None
-        _share_out(live, max_bracket, max_gather)
-        named = []
-        for j, (sl, st) in enumerate(live.items()):
-            x = _c(cols[sl[0]])
-            lo = _lookup({g: t["lo"] for g, t in st.items()}, gkey)
-            hi = _lookup({g: t["hi"] for g, t in st.items()}, gkey)
-            below = F.count_if(x < lo)
-            eq_lo = F.count_if(x == lo)
-            eq_hi = F.count_if((x == hi) & (hi != lo))
-            interior = (x > lo) & (x < hi)
-            named += [(f"b{j}", below, 1), (f"el{j}", eq_lo, 1), (f"eh{j}", eq_hi, 1),
-                      (f"m{j}", F.count_if(interior), 1)]
-            if any(t["collect"] for t in st.values()):
-                allow = _lookup({g: t["collect"] for g, t in st.items()}, gkey)
-                ranked = F.array_sort(F.collect_list(F.when(interior & allow, x)))
-                k = _lookup({g: t["k"] for g, t in st.items()}, gkey)
-                pos = (k + 1 - below - eq_lo).cast("int")
-                named.append((f"v{j}", F.when(pos >= 1, F.try_element_at(ranked, pos)), 1))
-        res = _grouped_rows(df, key, group_values, named)
-        narrow = []
-        for j, (sl, st) in enumerate(live.items()):
-            for g, t in st.items():
-                r = res.get(g)
-                b, el, eh, m = (int(r[f"{a}{j}"]) for a in ("b", "el", "eh", "m")) if r else (0, 0, 0, 0)
-                p = t["k"] - b
-                if p < 0:                      # the approximate bracket missed low: open it
-                    t["lo"], t["est"] = -math.inf, math.inf
-                elif p >= el + m + eh:         # missed high: open it
-                    t["hi"], t["est"] = math.inf, math.inf
-                elif p < el:
-                    t["value"], t["done"] = t["lo"], True
-                elif p >= el + m:
-                    t["value"], t["done"] = t["hi"], True
-                elif t["collect"] and r.get(f"v{j}") is not None:
-                    t["value"], t["done"] = r[f"v{j}"], True
-                else:
-                    t.update(below=b + el, est=m)
-                    if m > max_bracket:
-                        narrow.append((g, sl, t))   # interior too wide: narrow it around the rank
-        if narrow:
-            aggs = []
-            for i, (g, sl, t) in enumerate(narrow):
-                x = _c(cols[sl[0]])
-                if key is not None:
-                    x = F.when(key == F.lit(g), x)
-                inner = F.when((x > F.lit(t["lo"])) & (x < F.lit(t["hi"])), x)
-                f = (t["k"] - t["below"]) / max(t["est"] - 1, 1)
-                aggs.append(F.percentile_approx(
-                    inner, F.array(F.lit(max(0.0, f - margin)), F.lit(min(1.0, f + margin))),
-                    accuracy).alias(f"q{i}"))
-            r = df.agg(*aggs).first()
-            for i, (g, sl, t) in enumerate(narrow):
-                t["lo"], t["hi"] = float(r[f"q{i}"][0]), float(r[f"q{i}"][1])
-                t["est"] = t["est"] * (2 * margin + 2.0 / accuracy) + 2
+        now = _share_out(todo, max_bracket, max_gather)
+        if now:
+            _read(df, cols, key, now)
+        wide = [b for b in todo if b.values is None and not any(b is x for x in now)]
+        if wide and not now:
+            _narrow(df, cols, key, wide, size, margin, max_bracket)
     else:
         raise RuntimeError("quantile bracket did not converge")
-    for okey, a, b, frac in wanted:
-        out[okey] = _lerp(state[a]["value"], state[b]["value"], frac)
+    for b in brackets:
+        out[(name(b.group), cols[b.col], b.p)] = _lerp(*b.values, b.part)
+    return out
+
+
+@dataclass
+class _Bracket:
+    """Values ``low`` to ``high`` between which the two order statistics ``ranks`` are sought; ``part`` of the way
+    from the first to the second is the quantile. ``rows`` are expected inside."""
+    group: object
+    col: int
+    p: float
+    ranks: tuple[int, int]
+    part: float
+    low: float
+    high: float
+    rows: float
+    values: tuple | None = None
+
+
+def _share_out(todo: list, max_bracket: int, max_gather: int) -> list:
+    """The brackets to read now, the smallest first."""
+    used, now = 0, []
+    for b in sorted(todo, key=lambda b: b.rows):
+        if b.rows <= max_bracket and (not used or used + b.rows <= max_gather):
+            used += b.rows
+            now.append(b)
+    return now
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The union of closed intervals as disjoint ones in ascending order."""
+    out: list = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
     return out
 
 
-def _share_out(live: dict, max_bracket: int, max_gather: int) -> None:
-    """Decide which open brackets gather their interior now, the smallest first."""
-    by_bracket: dict = {}
-    for (ci, pi, _), st in live.items():
-        for g, t in st.items():
-            by_bracket.setdefault((g, ci, pi, t["lo"], t["hi"]), []).append(t)
-    used = 0
-    for same in sorted(by_bracket.values(), key=lambda ts: max(t["est"] for t in ts)):
-        est = max(t["est"] for t in same)
-        ok = est <= max_bracket and (not used or used + est <= max_gather)
-        used += est if ok else 0
-        for t in same:
-            t["collect"] = ok
+def _read(df: DataFrame, cols: list[str], key: Column | None, now: list) -> None:
+    """Read the order statistics of brackets from one pass over the rows."""
+    groups = list(dict.fromkeys(b.group for b in now))
+    entries = []
+    for ci in sorted({b.col for b in now}):
+        spans = {g: _merged([(b.low, b.high) for b in now if b.group == g and b.col == ci]) for g in groups}
+        slots = max(map(len, spans.values()))
+        x = _c(cols[ci])
+        place = None
+        for j in range(slots):                  # an unused slot lies above all values
+            low = _lookup({g: s[j][0] if j < len(s) else math.inf for g, s in spans.items()}, key)
+            high = _lookup({g: s[j][1] if j < len(s) else -math.inf for g, s in spans.items()}, key)
+            place = F.when(x < low, 2 * j) if place is None else place.when(x < low, 2 * j)
+            place = place.when(x <= high, 2 * j + 1)
+        place = F.when(x.isNotNull(), place.otherwise(2 * slots))
+        entries.append(F.struct(F.lit(ci).alias("c"), place.alias("r"), x.alias("x")))
+    source = df if key is None else df.filter(key.isin(groups))
+    group = F.lit(0) if key is None else key
+    cells = source.select(group.alias("g"), F.explode(F.array(*entries)).alias("e")).filter(F.col("e.r").isNotNull())
+    inside = F.when(F.col("e.r") % 2 == 1, F.col("e.x"))
+    counted = cells.groupBy("g", F.col("e.c").alias("c"), F.col("e.r").alias("r"), inside.alias("x")).agg(
+        F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "c").orderBy("r", "x"))     # bracketed values: max_gather at most
+    ranks: dict = {}
+    for b in now:
+        ranks.setdefault((b.group, b.col), set()).update(b.ranks)
+    hit = None
+    for (g, ci), ks in ranks.items():
+        own = (F.col("c") == ci) & F.exists(F.lit(sorted(ks)).cast("array<long>"),
+                                            lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
+        own = own if key is None else own & (F.col("g") == F.lit(g))
+        hit = own if hit is None else hit | own
+    found: dict = {}
+    for r in counted.withColumn("upto", upto).filter(hit).collect():            # a row for each wanted rank
+        found.setdefault((0 if key is None else r["g"], r["c"]), []).append((r["upto"] - r["n"], r["upto"], r["x"]))
+    for b in now:
+        values = [next((x for lo, hi, x in found.get((b.group, b.col), []) if lo <= k < hi), None) for k in b.ranks]
+        if None in values:                      # the sketch missed the rank: seek it in all rows
+            b.low, b.high, b.rows = -math.inf, math.inf, math.inf
+        else:
+            b.values = tuple(values)
+
+
+def _narrow(df: DataFrame, cols: list[str], key: Column | None, wide: list, size: int, margin: float,
+            max_bracket: int) -> None:
+    """Narrow brackets by a sketch of the rows strictly inside them; a frequent value at an end is one to read."""
+    def column(b):
+        x = _c(cols[b.col])
+        return x if key is None else F.when(key == F.lit(b.group), x)
+    counts = []
+    for i, b in enumerate(wide):
+        x = column(b)
+        counts += [F.count_if(x < F.lit(b.low)).alias(f"b{i}"), F.count_if(x == F.lit(b.low)).alias(f"e{i}"),
+                   F.count_if((x > F.lit(b.low)) & (x < F.lit(b.high))).alias(f"s{i}"),
+                   F.count_if(x <= F.lit(b.high)).alias(f"u{i}")]
+    r = df.agg(*counts).first()
+    sketches = []
+    for i, b in enumerate(wide):
+        start, inside = r[f"b{i}"] + r[f"e{i}"], r[f"s{i}"]          # ranks before and of the strict interior
+        if not (r[f"b{i}"] <= b.ranks[0] and b.ranks[1] < r[f"u{i}"]):
+            b.low, b.high, b.rows = -math.inf, math.inf, math.inf    # the sketch missed: all rows
+        elif inside + 2 <= max_bracket:
+            b.rows = inside + 2
+        else:
+            at = [(k - start) / (inside - 1) for k in b.ranks]
+            x = column(b)
+            inner = F.when((x > F.lit(b.low)) & (x < F.lit(b.high)), x)
+            sketches.append((b, at, inside, _sketched(inner, [at[0] - margin, at[1] + margin], size)))
+    if not sketches:
+        return
+    r = df.agg(*[e.alias(f"q{i}") for i, (_, _, _, e) in enumerate(sketches)]).first()
+    for i, (b, at, inside, _) in enumerate(sketches):
+        low, high = (float(v) for v in r[f"q{i}"])
+        if at[0] > margin:
+            b.low = low
+        if at[1] < 1 - margin:
+            b.high = high
+        b.rows = inside * (2 * margin + max(at[1], 0.0) - min(at[0], 1.0)) + 2
 
 
 def quantile_map(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict:

@@ -64,3 +64,27 @@ def test_blanks_are_those_of_python(spark):
     df = spark.createDataFrame([(i, c + "x" + c) for i, c in enumerate(chars)], "i long, t string")
     got = {r["i"]: r["s"] for r in df.select("i", outliers.strip_ws(df["t"]).alias("s")).collect()}
     assert got == {i: (c + "x" + c).strip() for i, c in enumerate(chars)}
+
+
+@pytest.mark.parametrize("accuracy,bracket,gather", [(10_000, 200_000, 2_000_000), (100, 5, 12), (100, 40, 60), (300, 3, 3)])
+def test_quantiles_of_hard_columns(spark, accuracy, bracket, gather):
+    """Ties that hold most rows, two heavy values with few between, long tails, infinities; narrow brackets and budgets."""
+    rng = np.random.default_rng(accuracy + bracket)
+    n = 4000
+    two = np.where(np.arange(n) < 1990, 1.0, 2.0)
+    two[1985:2015] = rng.uniform(1, 2, 30)
+    cols = {"tie": np.where(rng.random(n) < 0.9, 3.0, rng.normal(size=n)), "two": two, "tail": rng.pareto(0.3, n),
+            "inf": np.where(rng.random(n) < 0.3, np.inf, rng.normal(size=n)), "int": rng.integers(0, 50, n).astype(float),
+            "some": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n))}
+    names = list(cols)
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in zip(*cols.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.4975, 0.5, 0.75, 0.999, 1.0]
+    got = quantiles(df, names, probs, accuracy=accuracy, max_bracket=bracket, max_gather=gather)
+    for c in names:
+        v = np.sort(cols[c][~np.isnan(cols[c])])
+        for p in probs:
+            h = (len(v) - 1) * p
+            k = int(math.floor(h))
+            want = _lerp(float(v[k]), float(v[min(math.ceil(h), len(v) - 1)]), h - k)
+            assert got[(None, c, p)] == want or got[(None, c, p)] == pytest.approx(want, rel=1e-12), (c, p)
