@@ -12,8 +12,10 @@ back).
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -35,6 +37,18 @@ MARKS = frozenset(".,;:!?")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+@contextmanager
+def no_cycles():
+    """Without the search for cycles: a slice makes some 100,000 lists of numbers, which hold none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class _Cache(dict):
     """``entries``: size of one generation."""
 
@@ -187,7 +201,9 @@ class ChunkEncoder:
         """``(i, j, ids, offsets)`` of consecutive rows ``i`` to ``j`` of about ``SLICE`` bytes."""
         _, off = textvec.flat(texts)
         for i, j in textvec.doc_slices(off, SLICE):
-            yield i, j, *self.many(texts.slice(i, j - i))
+            with no_cycles():
+                found = self.many(texts.slice(i, j - i))
+            yield i, j, *found
 
     def __call__(self, text: str) -> bytes:
         return self.many(pa.array([text], type=pa.large_string()))[0].tobytes()

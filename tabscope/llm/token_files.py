@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +54,21 @@ def library_encoder(path: str) -> ChunkEncoder:
             return tok.encode(text, add_special_tokens=False).ids
 
         letters = {b: c for c, b in byte_letters().items()}
-        blank, tokenize = letters[0x20], tok.model.tokenize
+        model, blank, token_id = tok.model, letters[0x20], attrgetter("id")
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)                            # its own cache would meet each word once
+        tokenize = model.tokenize
 
         def piece(text: str) -> list[int]:
             """One piece, as its byte letters, straight to the library's merge model."""
             if text.isascii() and text.isprintable():
-                return [t.id for t in tokenize(text.replace(" ", blank))]
-            return [t.id for t in tokenize(text.encode("utf-8").decode("latin-1").translate(letters))]
+                return list(map(token_id, tokenize(text.replace(" ", blank))))
+            return list(map(token_id, tokenize(text.encode("utf-8").decode("latin-1").translate(letters))))
 
         def words(found: list[str]) -> list[tuple[int, ...]]:
             # as byte letters, all at once; a letter's bytes are none of a line end's
             lettered = "\n".join(found).encode("utf-8").decode("latin-1").translate(letters | {10: "\n"}).split("\n")
-            return [tuple([t.id for t in tokenize(blank + w)]) for w in lettered] if found else []
+            return [tuple(map(token_id, tokenize(blank + w))) for w in lettered] if found else []
 
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
         _LOADED[path] = ChunkEncoder(piece, words, whole, added, CACHE_ENTRIES)
