@@ -148,10 +148,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage."""
-    key = "_row_key"
-    while key in docs.columns:
-        key += "_"
-    leaks = _find(_keyed(docs), benchmark, shingle, num, den).select(F.col("rk").alias(key)).distinct()
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string")))
-    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark passage.
+
+    A row is known by its ``doc_id`` and a hash of id and text, so no other document goes with it."""
+    taken = {c.lower() for c in docs.columns}
+    key, own = "_row_key", "_row_id"
+    while key in taken or own in taken:
+        key, own = key + "_", own + "_"
+    leaks = _find(_keyed(docs), benchmark, shingle, num, den).select(
+        F.col("rk").alias(key), F.col("doc_id").alias(own)).distinct()
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", F.col("text").cast("string")),
+                              own: F.col("doc_id").cast("long")})
+    same = (keyed[key] == leaks[key]) & keyed[own].eqNullSafe(leaks[own])
+    return keyed.join(leaks, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
