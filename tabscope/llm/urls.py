@@ -72,7 +72,7 @@ def _lexical(df: DataFrame) -> DataFrame:
         "digit_ratio": F.length(F.regexp_replace(url, "[^0-9]", "")) / size, "entropy": entropy,
         "parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1), "hyphens": count(url, "-"),
         "host_suffix": F.substring_index("host", ".", -1),
-        "file_suffix": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1)})
+        "file_suffix": F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)})
 
 
 def _rates(labelled: DataFrame, column: str, overall: float) -> DataFrame:

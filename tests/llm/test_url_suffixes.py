@@ -20,3 +20,10 @@ def test_verdicts_do_not_depend_on_how_rates_are_joined(spark, monkeypatch):
     small = sorted(tuple(r) for r in urls.judge(df, rules).collect())
     monkeypatch.setattr(urls, "BROADCAST_BYTES", -1)
     assert sorted(tuple(r) for r in urls.judge(df, rules).collect()) == small and len(small) == 490
+
+
+def test_file_suffixes_of_any_length(spark):
+    df = spark.createDataFrame([(1, "http://a.b/x.longextension9"), (2, "http://a.b/x.gz"), (3, "http://a.b/x"), (4, None)],
+                               "page_id long, url string")
+    got = {r[0]: r[1] for r in urls._lexical(urls.parts(df)).select("page_id", "file_suffix").collect()}
+    assert got == {1: "longextension9", 2: "gz", 3: "", 4: ""}
