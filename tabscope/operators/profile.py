@@ -107,17 +107,13 @@ def _row_hash(plain: DataFrame) -> list[Column]:
     return [F.xxhash64(*cols, nulls).alias("_h1"), F.xxhash64(F.lit(31), nulls, *reversed(cols)).alias("_h2")]
 
 
-def _row_groups(df: DataFrame, keep_row: bool = False) -> DataFrame:
-    """``_k`` rows per distinct row (and one such row ``_row``), found by the row hash.
+def _row_groups(df: DataFrame) -> DataFrame:
+    """``_k`` rows per distinct row, found by the row hash.
 
     The one path of all duplicate operators, whatever the rows' width: 16 bytes
-    per row are shuffled, partially aggregated, so neither texts nor hot rows
-    move; with ``keep_row`` one representative of a row moves per map task."""
+    per row are shuffled, partially aggregated, so neither texts nor hot rows move."""
     plain = _plain(df)
-    row = F.struct(*[_col(c) for c in plain.columns]).alias("_row")
-    rows = plain.select(*_row_hash(plain), *([row] if keep_row else []))
-    aggs = [F.count(F.lit(1)).alias("_k")] + ([F.first("_row").alias("_row")] if keep_row else [])
-    return rows.groupBy("_h1", "_h2").agg(*aggs)
+    return plain.select(*_row_hash(plain)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k"))
 
 
 def duplicate_count_from_hashes(df: DataFrame, vc: DataFrame) -> int:
@@ -131,17 +127,43 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return _row_groups(df).agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
+#: Words of 64 bits of the filter that holds the names of repeated rows: at most so many rows are broadcast.
+SIEVE_WORDS = 1 << 18
+
+
+def _sieved(df: DataFrame, words: int = SIEVE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``(suspects, singles)``: rows whose name may be repeated, with it, and rows that surely stand alone.
+
+    A first pass counts names (16 bytes a row, partially aggregated) and sets three bits of one
+    64-bit word for each repeated one, a Bloom filter of ``words`` words at most that is broadcast
+    whatever the table's size. A full filter lets rows through that stand alone; none is lost.
+    The table is read once for the names and once for either part, so it must read alike each time."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright(_h1, {6 * i}) & 63 as int))" for i in range(3))
+    word, mask = F.pmod("_h2", F.lit(words)).cast("int").alias("_w"), F.expr(bits).alias("_m")
+    repeated = _row_groups(df).filter("_k > 1").select(word, mask)
+    sieve = F.broadcast(repeated.groupBy("_w").agg(F.bit_or("_m").alias("_bits")))
+    plain = _plain(df)
+    named = plain.select(*_row_hash(plain), F.struct(*[_col(c) for c in plain.columns]).alias("_row"))
+    met = named.select("_h1", "_h2", "_row", word, mask).join(sieve, "_w", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False))
+    return met.filter(hit).select("_h1", "_h2", "_row"), met.filter(~hit).select("_row.*")
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one row of each identical group (A4)."""
-    return _row_groups(df, keep_row=True).select("_row.*")
+    """Keep one row of each identical group (A4); only rows that may be repeated move."""
+    suspects, singles = _sieved(df)
+    kept = suspects.groupBy("_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row.*")
+    return singles.unionAll(kept)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Every member of every duplicated group, sorted by all columns.
 
-    Groups are counted once and re-expanded by their count, so no self-join."""
-    g = _row_groups(df, keep_row=True).filter(F.col("_k") > 1)
-    out = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).select("_row.*")
+    Only rows that may be repeated move; groups are counted once and re-expanded by
+    their count, so no self-join."""
+    suspects, _ = _sieved(df)
+    g = suspects.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_k"), F.first("_row").alias("_row"))
+    out = g.filter("_k > 1").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).select("_row.*")
     return out.orderBy(*[_col(c).asc_nulls_last() for c in df.columns])
 
 
