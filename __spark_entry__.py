@@ -499,6 +499,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["pareto_summary"] = lambda s, d: _r6(segment.pareto_summary(_t(s, d, "orders"), "o_custkey",
                                                                   "o_totalprice"),
                                            "pct_entities", "value", "pct_value")
+    q["pareto_split"] = lambda s, d: segment.pareto_split(_t(s, d, "orders"), "o_custkey", "o_totalprice").select(
+        "segment", "entities", F.round("pct_entities", 6).alias("pct_entities"), F.round("value", 2).alias("value"),
+        F.round("pct_value", 6).alias("pct_value"))
 
     # sorts / limits / set operations
     q["scatter_sample_by"] = lambda s, d: chartdata.scatter_sample(
@@ -1078,6 +1081,11 @@ def _oracle() -> dict[str, str]:
         f"ROUND(sum(total), 6) AS value, ROUND(sum(total) * 100.0 / sum(sum(total)) OVER (), 6) AS pct_value "
         f"FROM (SELECT *, CASE WHEN cumulative_pct <= 80.0 THEN 'Top' ELSE 'Bottom' END AS segment "
         f"FROM {_pareto_sql()}) GROUP BY segment")
+    o["pareto_split"] = (
+        f"SELECT segment, COUNT(*) AS entities, ROUND(COUNT(*) * 100.0 / sum(COUNT(*)) OVER (), 6) AS pct_entities, "
+        f"ROUND(sum(total), 2) AS value, ROUND(sum(total) * 100.0 / sum(sum(total)) OVER (), 6) AS pct_value "
+        f"FROM (SELECT *, CASE WHEN cumulative_pct <= 80.0 THEN 'Top' ELSE 'Bottom' END AS segment "
+        f"FROM {_pareto_sql()}) GROUP BY segment")
     o["segmentation"] = (
         "WITH t AS (SELECT event_id AS entity, coalesce(sum(value), 0.0) AS total FROM events WHERE event_id IS NOT NULL "
         "GROUP BY 1), r AS (SELECT total, sum(total) OVER (ORDER BY total DESC, entity ROWS BETWEEN UNBOUNDED "
