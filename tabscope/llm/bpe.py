@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import ship
+from .common import released, ship
 
 #: Chunks that a worker remembers.
 CACHE_ENTRIES = 400_000
+#: Bytes of text encoded at once; a slice takes some 25 bytes of memory a byte.
+SLICE = 2 << 20
 #: Queue entries hold a merge rank above the position of the left symbol.
 _POS_BITS = 40
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -107,8 +109,8 @@ class ByteBPE:
                     push(queue, m + p)
         return [s for s in sym if s >= 0]
 
-    def _piece(self, piece: str) -> list[int]:
-        return self.piece_ids(piece.encode("utf-8"))
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.piece_ids(piece.encode("utf-8")))
 
     def _words(self, words: list[str]) -> list[tuple[int, ...]]:
         return [tuple(self.piece_ids(b" " + w.encode("utf-8"))) for w in words]
@@ -162,7 +164,7 @@ def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
-            for i, j, ids, off in bpe.encode.slices(b.column(len(keep))):
+            for i, j, ids, off in bpe.encode.slices(b.column(len(keep)), SLICE):
                 if arrays:
                     own = pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), pa.array(ids.view("<i4")))
                 else:
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), arrays
     rows = docs.select(*[F.col(f"`{c}`").alias(new) for c, new in named.items()],
                        F.col("text").cast("string").alias(text))
     return rows.mapInArrow(
-        run, ", ".join(x for x in (_fields(rows, named.values()), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}",
+        released(run), ", ".join(x for x in (_fields(rows, named.values()), f"n_tokens long, {name} {'array<int>' if arrays else 'binary'}",
                                    *[f"{x} string" for x in extra]) if x))
 
 

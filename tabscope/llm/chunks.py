@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from itertools import chain
 
@@ -107,7 +107,7 @@ class ChunkEncoder:
     around them.
     """
 
-    def __init__(self, piece: Callable[[str], list[int]], words: Callable[[list[str]], list[tuple[int, ...]]],
+    def __init__(self, piece: Callable[[str], Sequence[int]], words: Callable[[list[str]], list[tuple[int, ...]]],
                  whole: Callable[[str], list[int]], special: Iterable[str], entries: int):
         self.find = regex.compile(PATTERN).findall
         self.words = words
@@ -197,10 +197,10 @@ class ChunkEncoder:
             self.chunks.add(words.take(pa.array(missed[kept])), n, own)
         return out, np.concatenate([[0], total[begin[1:] - 1]]).astype(np.int64) if len(head) else np.zeros(1, np.int64)
 
-    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """``(i, j, ids, offsets)`` of consecutive rows ``i`` to ``j`` of about ``SLICE`` bytes."""
+    def slices(self, texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(i, j, ids, offsets)`` of consecutive rows ``i`` to ``j`` of about ``limit`` bytes."""
         _, off = textvec.flat(texts)
-        for i, j in textvec.doc_slices(off, SLICE):
+        for i, j in textvec.doc_slices(off, limit):
             with no_cycles():
                 found = self.many(texts.slice(i, j - i))
             yield i, j, *found

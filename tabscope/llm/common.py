@@ -3,6 +3,7 @@ ordered buckets, grouped Arrow maps and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -122,6 +123,29 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
     return dealt.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hand the memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)            # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` of an Arrow map that releases memory after each batch it yields and at its end.
+
+    A Python worker lives on through the stages of a job, and what it keeps counts against its executor.
+    """
+    def each(batches):
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return each
+
+
 def batched(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Gather row dicts into record batches of at most ``size`` rows."""
     held: list[dict] = []

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import ship
+from .common import released, ship
 
 ORDER = 3
 #: Training bound: documents per language.
@@ -235,4 +235,4 @@ def keep_identified(docs: DataFrame, model: Model | None, max_bits: float = MAX_
                 known = known & (bits <= max_bits)
             yield batch.filter(pa.array(known))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import ship
+from .common import released, ship
 
 #: Training bound: rows of the scorers' sample.
 SAMPLE = 4000
@@ -405,4 +405,4 @@ def keep_good(docs: DataFrame, scorer: Scorer) -> DataFrame:
             junk, abuse = sent.value(batch.column("text"))
             yield batch.filter(pa.array((junk < JUNK_CUT) & (abuse < ABUSE_CUT)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
