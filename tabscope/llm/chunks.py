@@ -99,7 +99,22 @@ class _Table:
             self.keys, self.size, self.used = self.keys.take(pa.array(keep)), n, self.used[keep]
 
 
-class ChunkEncoder:
+class SliceEncoder:
+    """Slices of texts, and one text, through ``many``, which gives the ids of all texts and their offsets."""
+
+    def slices(self, texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(i, j, ids, offsets)`` of consecutive rows ``i`` to ``j`` of about ``limit`` bytes."""
+        _, off = textvec.flat(texts)
+        for i, j in textvec.doc_slices(off, limit):
+            with no_cycles():
+                found = self.many(texts.slice(i, j - i))
+            yield i, j, *found
+
+    def __call__(self, text: str) -> bytes:
+        return self.many(pa.array([text], type=pa.large_string()))[0].tobytes()
+
+
+class ChunkEncoder(SliceEncoder):
     """Encodes texts to uint32 ids.
 
     ``piece`` gives the ids of one piece, ``words`` those of words of letters after a
@@ -196,14 +211,3 @@ class ChunkEncoder:
             own = ids[np.repeat(at[held + kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             self.chunks.add(words.take(pa.array(missed[kept])), n, own)
         return out, np.concatenate([[0], total[begin[1:] - 1]]).astype(np.int64) if len(head) else np.zeros(1, np.int64)
-
-    def slices(self, texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """``(i, j, ids, offsets)`` of consecutive rows ``i`` to ``j`` of about ``limit`` bytes."""
-        _, off = textvec.flat(texts)
-        for i, j in textvec.doc_slices(off, limit):
-            with no_cycles():
-                found = self.many(texts.slice(i, j - i))
-            yield i, j, *found
-
-    def __call__(self, text: str) -> bytes:
-        return self.many(pa.array([text], type=pa.large_string()))[0].tobytes()
